@@ -31,7 +31,7 @@ from .common import free_name, materialise, parts_for
 from .suffix_sort import common_prefixes, suffix_array
 
 #: Bytes of the documents table in a part (as many parts as shuffle partitions at least) and for each shard.
-PART_BYTES = 16 << 20
+PART_BYTES = 4 << 20
 SHARD_BYTES = 5 << 19
 LEAST_SHARDS = 32
 
