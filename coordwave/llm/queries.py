@@ -7,13 +7,19 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 
 
+def op8_simhash_gray_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import fingerprint_table
+
+    return fingerprint_table(table(spark, sf_dir, "documents"))
+
+
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffix_dedup import digest
 
     return digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op10_suffix_array_dedup,)}
+QUERIES = {f.__name__: f for f in (op8_simhash_gray_index, op10_suffix_array_dedup)}
 
 #: Equivalent DuckDB SQL, where SQL can express the query.
 ORACLE_SQL: dict[str, str] = {}
