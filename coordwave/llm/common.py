@@ -70,3 +70,16 @@ def free_name(df: DataFrame, base: str) -> str:
     while base.lower() in taken:
         base = f"_{base}"
     return base
+
+
+def slices(batch, texts: int, most: int = 2 << 20):
+    """Parts of an Arrow batch of about `most` bytes of the text column (one row at least), in order."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    if batch.num_rows:
+        size = np.asarray(pc.fill_null(pc.binary_length(batch.column(texts)), 0), np.int64)
+        group = (np.cumsum(size) - size) // most
+        cuts = np.concatenate(([0], np.flatnonzero(group[1:] != group[:-1]) + 1, [len(group)])).tolist()
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            yield batch.slice(a, b - a)
