@@ -7,19 +7,35 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 
 
+def op6_bit_plane_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .plane_files import digest
+
+    return digest(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op8_simhash_gray_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import fingerprint_table
 
     return fingerprint_table(table(spark, sf_dir, "documents"))
 
 
+def op9_byte_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .byte_bpe import digest
+
+    return digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffix_dedup import digest
 
     return digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op8_simhash_gray_index, op10_suffix_array_dedup)}
+QUERIES = {f.__name__: f for f in (op6_bit_plane_files, op8_simhash_gray_index, op9_byte_bpe_transducer, op10_suffix_array_dedup)}
 
 #: Equivalent DuckDB SQL, where SQL can express the query.
 ORACLE_SQL: dict[str, str] = {}
