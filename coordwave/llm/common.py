@@ -39,6 +39,11 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_finished(spark: SparkSession) -> None:
+    """Let go of shuffle files that only finished queries used; Spark does so when the driver's JVM collects garbage."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

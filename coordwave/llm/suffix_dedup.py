@@ -23,11 +23,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, materialise, parts_for
+from .common import drop_finished, free_name, materialise, parts_for
 from .suffix_sort import common_prefixes, suffix_array
 
 #: Bytes of the documents table in a part (as many parts as shuffle partitions at least) and for each shard.
@@ -81,6 +82,23 @@ def shard_of(hashes: np.ndarray, shards: int) -> np.ndarray:
     return ((hashes >> np.uint64(20)) % np.uint64(shards)).astype(np.int64)
 
 
+def pack40(values: np.ndarray) -> bytes:
+    """The low 40 bits of each value. Inside a shard, whose size is bounded, they tell hashes apart well enough:
+    two that are taken for one only let some runs through to the suffix arrays, which decide."""
+    return np.ascontiguousarray(values, "<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def unpack40(data: bytes) -> np.ndarray:
+    wide = np.zeros((len(data) // 5, 8), np.uint8)
+    wide[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
+    return wide.view("<u8")[:, 0]
+
+
+def _filed(hashes: np.ndarray, shard: np.ndarray) -> np.ndarray:
+    """One number for a hash's shard and its low 40 bits."""
+    return shard.astype(np.uint64) << np.uint64(40) | hashes & np.uint64((1 << 40) - 1)
+
+
 def _texts(table: pa.Table, id_col: str, text_col: str) -> tuple[list[int | None], list[bytes]]:
     ids = table.column(id_col).to_pylist()
     texts = table.column(text_col).cast(pa.large_binary()).to_pylist()
@@ -138,15 +156,15 @@ def _report(shards, span, gram):
             for s, at in _split(shard[by]):
                 out["shard"].append(s)
                 out["part"].append(key[0].as_py())
-                out["data"].append(told[by[at]].tobytes())
+                out["data"].append(pack40(told[by[at]]))
         return pa.table(out, schema=pa.schema([("shard", pa.int64()), ("part", pa.int64()), ("data", pa.binary())]))
 
     return run
 
 
 def _answer(table):
-    parts, blobs = table.column("part").to_pylist(), table.column("data").to_pylist()
-    told = [np.frombuffer(b, np.uint64) for b in blobs]
+    parts, shards, told = (table.column(c).to_pylist() for c in ("part", "shard", "data"))
+    told = [unpack40(b) for b in told]
     from_row = np.repeat(np.arange(len(told)), [len(x) for x in told])
     told = np.concatenate(told)
     hashes = told | _BIT
@@ -161,8 +179,8 @@ def _answer(table):
     for r, at in _split(from_row[by]):
         out["part"].append(parts[r])
         out["kind"].append(0)
-        out["data"].append(hashes[by[at]].tobytes())
-        out["more"].append(b"")
+        out["data"].append(pack40(hashes[by[at]]))
+        out["more"].append(np.int64(shards[r]).tobytes())
     return pa.table(out, schema=_reply_schema())
 
 
@@ -176,15 +194,16 @@ def _contents(shards, span, gram):
     def run(key, table, replies):
         out = {"kind": [], "shard": [], "part": [], "data": [], "more": []}
         schema = pa.schema([("kind", pa.int32()), ("shard", pa.int64()), ("part", pa.int64()), ("data", pa.binary()), ("more", pa.binary())])
-        blobs = replies.column("data").to_pylist()
+        blobs, heads = replies.column("data").to_pylist(), replies.column("more").to_pylist()
         if not table.num_rows or not blobs:
             return pa.table(out, schema=schema)
         part = key[0].as_py()
-        known = np.sort(np.concatenate([np.frombuffer(b, np.uint64) for b in blobs]))
+        known = np.sort(np.concatenate([_filed(unpack40(b), np.frombuffer(h, np.int64)) for b, h in zip(blobs, heads, strict=True)]))
         ids, texts = _texts(table, "id", "text")
         rows, hashes, starts, counts = _part_runs(ids, texts, span, gram)
-        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-        live = known[at] == hashes
+        filed = _filed(hashes, shard_of(hashes, shards))
+        live = known[np.minimum(np.searchsorted(known, filed), len(known) - 1)] == filed
+        del known, filed
         rows, hashes, starts, counts = rows[live], hashes[live], starts[live], counts[live]
         number: dict[bytes, int] = {}
         least: list[int] = []
@@ -197,7 +216,7 @@ def _contents(shards, span, gram):
                 least.append(ids[row])  # rows come in order of id
                 shard.append(to)
             which[i] = n
-        contents = list(number)
+        contents, pack = list(number), zstandard.ZstdCompressor(level=1)
         shard_a, least_a = np.array(shard, np.int64), np.array(least, np.int64)
         lengths = np.array([len(c) for c in contents], np.int64)
         by = np.argsort(shard_a, kind="stable")
@@ -206,7 +225,7 @@ def _contents(shards, span, gram):
             out["kind"].append(0)
             out["shard"].append(s)
             out["part"].append(part)
-            out["data"].append(b"".join([contents[i] for i in own.tolist()]))
+            out["data"].append(pack.compress(b"".join([contents[i] for i in own.tolist()])))
             out["more"].append(np.stack((least_a[own], own, lengths[own])).tobytes())
         if len(rows):
             out["kind"].append(1)
@@ -265,6 +284,7 @@ def _holders(span):
         for r, (blob, head) in enumerate(zip(blobs, heads, strict=True)):
             low, n, length = np.frombuffer(head, np.int64).reshape(3, -1)
             stop = np.cumsum(length)
+            blob = zstandard.decompress(blob)
             for a, b, x in zip((stop - length).tolist(), stop.tolist(), low.tolist(), strict=True):
                 c = blob[a:b]
                 g = own.setdefault(c, len(least))
@@ -374,6 +394,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     lean = dealt.select(F.col(part).alias("part"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     replies = lean.groupBy("part").applyInArrow(_report(shards, span, gram), REPORT).groupBy("shard").applyInArrow(_answer, REPLY)
     messages = materialise(lean.groupBy("part").cogroup(replies.groupBy("part")).applyInArrow(_contents(shards, span, gram), CONTENT), "contents")
+    drop_finished(docs.sparkSession)
     holders = messages.where("kind = 0").groupBy("shard").applyInArrow(_holders(span), REPLY)
     told = messages.where("kind = 1").select("part", "kind", "data", "more").unionByName(holders)
     schema = T.StructType([*docs.schema.fields, T.StructField(out, T.StructType.fromDDL("n_bytes bigint, n_removed bigint, spans array<struct<start: bigint, stop: bigint>>, kept binary"))])
