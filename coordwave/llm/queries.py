@@ -19,6 +19,12 @@ def op4_ngram_ratio_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_bitmask_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import predictions
+
+    return predictions(table(spark, sf_dir, "documents"))
+
+
 def op6_bit_plane_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -47,7 +53,7 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_compression_toxicity, op4_ngram_ratio_quality, op6_bit_plane_files, op8_simhash_gray_index, op9_byte_bpe_transducer, op10_suffix_array_dedup)}
+QUERIES = {f.__name__: f for f in (op1_compression_toxicity, op4_ngram_ratio_quality, op5_bitmask_language, op6_bit_plane_files, op8_simhash_gray_index, op9_byte_bpe_transducer, op10_suffix_array_dedup)}
 
 #: Equivalent DuckDB SQL, where SQL can express the query.
 ORACLE_SQL: dict[str, str] = {}
