@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .top_k import ORACLE as TOP_K
 
 
 def op1_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +34,12 @@ def op6_bit_plane_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_histogram_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .top_k import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op8_simhash_gray_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import fingerprint_table
 
@@ -53,7 +60,7 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_compression_toxicity, op4_ngram_ratio_quality, op5_bitmask_language, op6_bit_plane_files, op8_simhash_gray_index, op9_byte_bpe_transducer, op10_suffix_array_dedup)}
+QUERIES = {f.__name__: f for f in (op1_compression_toxicity, op4_ngram_ratio_quality, op5_bitmask_language, op6_bit_plane_files, op7_histogram_top_k, op8_simhash_gray_index, op9_byte_bpe_transducer, op10_suffix_array_dedup)}
 
 #: Equivalent DuckDB SQL, where SQL can express the query.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op7_histogram_top_k": TOP_K}
