@@ -66,14 +66,14 @@ def _blocks(batches, group) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray
                 yield at, ids, scores_of(queries[at : at + 512], rows, exact), own
 
 
-def _counts(shared, low: np.ndarray, step: int):
+def _counts(shared, low: np.ndarray, width: int, step: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group = shared.value
         total = np.zeros((len(low), BINS), np.int64)
         for at, _, scores, own in _blocks(batches, group):
             n = len(scores)
-            bins = (scores - low[at : at + n, None]) // step
-            bins = np.where((bins < 0) | (bins >= BINS) | own, BINS, bins) + (BINS + 1) * np.arange(n)[:, None]
+            offset = scores - low[at : at + n, None]
+            bins = np.where((offset < 0) | (offset >= width) | own, BINS, offset // step) + (BINS + 1) * np.arange(n)[:, None]
             total[at : at + n] += np.bincount(bins.ravel(), minlength=n * (BINS + 1)).reshape(n, BINS + 1)[:, :BINS]
         for at in range(0, len(low), 256):
             data = zstandard.compress(total[at : at + 256].tobytes(), 1)
@@ -151,7 +151,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vec
         width = 2 * bound + 1
         while width > 1:
             step = -(-width // BINS)
-            counted = blocks.mapInArrow(_counts(shared, low, step), "part long, data binary").groupBy("part").applyInArrow(_add, "part long, data binary")
+            counted = blocks.mapInArrow(_counts(shared, low, width, step), "part long, data binary").groupBy("part").applyInArrow(_add, "part long, data binary")
             for row in counted.collect():
                 at = row["part"]
                 from_top = np.frombuffer(zstandard.decompress(row["data"]), "<i8").reshape(-1, BINS)
