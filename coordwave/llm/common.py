@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import math
 import os
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,8 +42,12 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 def drop_finished(spark: SparkSession) -> None:
-    """Let go of shuffle files that only finished queries used; Spark does so when the driver's JVM collects garbage."""
-    spark.sparkContext._jvm.System.gc()
+    """Let go of shuffle files that only finished queries used: Spark deletes them once both the driver's Python
+    and its JVM have collected what refers to them."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

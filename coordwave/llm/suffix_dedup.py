@@ -32,8 +32,8 @@ from .common import drop_finished, free_name, materialise, parts_for
 from .suffix_sort import common_prefixes, suffix_array
 
 #: Bytes of the documents table in a part (as many parts as shuffle partitions at least) and for each shard.
-PART_BYTES = 4 << 20
-SHARD_BYTES = 5 << 19
+PART_BYTES = 2 << 20
+SHARD_BYTES = 1 << 20
 LEAST_SHARDS = 32
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -94,6 +94,17 @@ def unpack40(data: bytes) -> np.ndarray:
     return wide.view("<u8")[:, 0]
 
 
+def pack_rows(*rows: np.ndarray) -> bytes:
+    """Rows of integers of one length, as compressed byte planes of the differences along each row."""
+    steps = np.diff(np.stack(rows).astype("<i8"), axis=1, prepend=0)
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes())
+
+
+def unpack_rows(data: bytes, rows: int = 3) -> np.ndarray:
+    flat = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(flat.T).view("<i8").reshape(rows, -1), axis=1)
+
+
 def _filed(hashes: np.ndarray, shard: np.ndarray) -> np.ndarray:
     """One number for a hash's shard and its low 40 bits."""
     return shard.astype(np.uint64) << np.uint64(40) | hashes & np.uint64((1 << 40) - 1)
@@ -226,12 +237,12 @@ def _contents(shards, span, gram):
             out["shard"].append(s)
             out["part"].append(part)
             out["data"].append(pack.compress(b"".join([contents[i] for i in own.tolist()])))
-            out["more"].append(np.stack((least_a[own], own, lengths[own])).tobytes())
+            out["more"].append(pack_rows(least_a[own], own, lengths[own]))
         if len(rows):
             out["kind"].append(1)
             out["shard"].append(0)
             out["part"].append(part)
-            out["data"].append(np.stack((rows_rank(ids, texts, rows), starts, which)).tobytes())
+            out["data"].append(pack_rows(rows_rank(ids, texts, rows), starts, which))
             out["more"].append(b"")
         return pa.table(out, schema=schema)
 
@@ -282,7 +293,7 @@ def _holders(span):
         least: list[int] = []
         sent, kind_of, number = [], [], []
         for r, (blob, head) in enumerate(zip(blobs, heads, strict=True)):
-            low, n, length = np.frombuffer(head, np.int64).reshape(3, -1)
+            low, n, length = unpack_rows(head)
             stop = np.cumsum(length)
             blob = zstandard.decompress(blob)
             for a, b, x in zip((stop - length).tolist(), stop.tolist(), low.tolist(), strict=True):
@@ -319,7 +330,7 @@ def _holders(span):
         for r, cut in _split(rows):
             out["part"].append(parts[r])
             out["kind"].append(2)
-            out["data"].append(np.ascontiguousarray(triples[:, cut]).tobytes())
+            out["data"].append(pack_rows(*triples[:, cut]))
             out["more"].append(b"")
         return pa.table(out, schema=_reply_schema())
 
@@ -355,8 +366,8 @@ def _cut(span, gram, id_col, text_col, out, schema_names):
         ids, texts = _texts(table, id_col, text_col)
         spans: dict[int, list[tuple[int, int]]] = {}
         kinds, blobs = messages.column("kind").to_pylist(), messages.column("data").to_pylist()
-        where = [np.frombuffer(b, np.int64).reshape(3, -1) for k, b in zip(kinds, blobs, strict=True) if k == 1]
-        told = [np.frombuffer(b, np.int64).reshape(3, -1) for k, b in zip(kinds, blobs, strict=True) if k == 2]
+        where = [unpack_rows(b) for k, b in zip(kinds, blobs, strict=True) if k == 1]
+        told = [unpack_rows(b) for k, b in zip(kinds, blobs, strict=True) if k == 2]
         if where and told and table.num_rows:
             rank, starts, which = where[0]
             order = _order(ids, texts)

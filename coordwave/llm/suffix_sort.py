@@ -176,11 +176,20 @@ def common_prefixes(text: np.ndarray, order: np.ndarray) -> np.ndarray:
     shared = np.zeros(n, np.int64)
     live = here[direct & (before >= 0)]
     other = before[live]
+    # Four symbols at a time as one number; suffixes part at the last symbol, which is unique, at the latest.
+    narrow = np.concatenate((text, np.zeros(4, text.dtype))).astype("<u2" if text.max() < 1 << 16 else "<u8")
+    per = 8 // narrow.itemsize
+    words = np.ndarray((n + 4 - per + 1,), "<u8", buffer=narrow, strides=(narrow.itemsize,))
+    done = np.zeros(len(live), np.int64)
     while len(live):
-        one, two = live + shared[live], other + shared[live]
-        fits = (one < n) & (two < n)
-        fits[fits] = text[one[fits]] == text[two[fits]]
-        live, other = live[fits], other[fits]
-        shared[live] += 1
+        differ = words[live + done] ^ words[other + done]
+        ends = np.flatnonzero(differ)
+        last = differ[ends]
+        extra = np.zeros(len(ends), np.int64)
+        for k in range(1, per):
+            extra += (last & np.uint64((1 << 16 * k) - 1)) == 0
+        shared[live[ends]] = done[ends] + extra
+        on = differ == 0
+        live, other, done = live[on], other[on], done[on] + per
     base = np.maximum.accumulate(np.where(direct, here, 0))
     return np.maximum(shared[base] - (here - base), 0)
