@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat import ORACLE as CHAT
 from .common import table
 from .top_k import ORACLE as TOP_K
 
@@ -14,6 +15,12 @@ def op1_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predictions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_fingerprint_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import digest
+
+    return digest(table(spark, sf_dir, "conversations"))
+
+
 def op4_ngram_ratio_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import verdicts
 
@@ -60,7 +67,7 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_compression_toxicity, op4_ngram_ratio_quality, op5_bitmask_language, op6_bit_plane_files, op7_histogram_top_k, op8_simhash_gray_index, op9_byte_bpe_transducer, op10_suffix_array_dedup)}
+QUERIES = {f.__name__: f for f in (op1_compression_toxicity, op2_fingerprint_chat_format, op4_ngram_ratio_quality, op5_bitmask_language, op6_bit_plane_files, op7_histogram_top_k, op8_simhash_gray_index, op9_byte_bpe_transducer, op10_suffix_array_dedup)}
 
 #: Equivalent DuckDB SQL, where SQL can express the query.
-ORACLE_SQL: dict[str, str] = {"op7_histogram_top_k": TOP_K}
+ORACLE_SQL: dict[str, str] = {"op2_fingerprint_chat_format": CHAT, "op7_histogram_top_k": TOP_K}
