@@ -21,6 +21,12 @@ def op2_fingerprint_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(table(spark, sf_dir, "conversations"))
 
 
+def op3_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import rates
+
+    return rates(table(spark, sf_dir, "documents"))
+
+
 def op4_ngram_ratio_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import verdicts
 
@@ -67,7 +73,7 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_compression_toxicity, op2_fingerprint_chat_format, op4_ngram_ratio_quality, op5_bitmask_language, op6_bit_plane_files, op7_histogram_top_k, op8_simhash_gray_index, op9_byte_bpe_transducer, op10_suffix_array_dedup)}
+QUERIES = {f.__name__: f for f in (op1_compression_toxicity, op2_fingerprint_chat_format, op3_soft_mixing, op4_ngram_ratio_quality, op5_bitmask_language, op6_bit_plane_files, op7_histogram_top_k, op8_simhash_gray_index, op9_byte_bpe_transducer, op10_suffix_array_dedup)}
 
 #: Equivalent DuckDB SQL, where SQL can express the query.
 ORACLE_SQL: dict[str, str] = {"op2_fingerprint_chat_format": CHAT, "op7_histogram_top_k": TOP_K}
