@@ -122,6 +122,15 @@ def assess(docs: DataFrame, ratios: list[float] | None, text_col: str = "text",
     return step.withColumn(out, q.withField("kept", ~q["base_failed"] & fits))
 
 
+def keep_good(docs: DataFrame, ratios: list[float] | None, text_col: str = "text") -> DataFrame:
+    """The rows of docs that the rules keep, as they are."""
+    out, mark = free_name(docs, "verdict"), free_name(docs, "mark")
+    # A condition is pushed below what it is made of, and words would be split again for each use in it; it isn't
+    # pushed below a column that depends on the row's place.
+    found = assess(docs, ratios, text_col, out).withColumn(mark, F.monotonically_increasing_id())
+    return found.where(F.col(out)["kept"] & (F.col(mark) >= 0)).select(docs.columns)
+
+
 def verdicts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The result of the registered query."""
     docs = docs.select("doc_id", "text")
