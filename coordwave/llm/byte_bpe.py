@@ -12,7 +12,8 @@ when there are too many, all are dropped and computed anew.
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterable, Iterator
+from array import array
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
@@ -26,7 +27,7 @@ from .common import free_name, slices
 
 MOST_STATES = 200_000
 #: Chunks between single spaces whose ids a worker keeps.
-MOST_CHUNKS = 250_000
+MOST_CHUNKS = 900_000
 
 
 class Transducer:
@@ -191,6 +192,19 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
 
 
+class _Chunks(dict):
+    """Ids (as int32 bytes) of chunks of text; unknown ones are encoded, and kept while there is room."""
+
+    def __init__(self, encode, lead: str):
+        self.encode, self.lead = encode, lead
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self.encode(self.lead + chunk)
+        if len(self) < MOST_CHUNKS and len(chunk) < 200:
+            self[chunk] = ids
+        return ids
+
+
 class Codec:
     """A text's pieces and ids. Chunks between single spaces are encoded once and kept, up to MOST_CHUNKS."""
 
@@ -199,28 +213,22 @@ class Codec:
         self.pieces = regex.compile(pattern)
         # A cut at a space is safe where no white space is beside it: no piece goes on over such a space.
         self.unsafe = regex.compile(r" [\s\x1c-\x1f]|[\s\x1c-\x1f] ")
-        self.chunks: dict[str, tuple[int, ...]] = {}
+        self.after_space = _Chunks(self._encode, " ")
 
-    def _chunk(self, chunk: str) -> tuple[int, ...]:
+    def _encode(self, text: str) -> bytes:
         encode = self.transducer.encode_piece
-        ids = tuple(chain.from_iterable(encode(p.encode()) for p in self.pieces.findall(chunk)))
-        if len(self.chunks) < MOST_CHUNKS and len(chunk) < 200:
-            self.chunks[chunk] = ids
-        return ids
+        return array("i", chain.from_iterable([encode(p.encode()) for p in self.pieces.findall(text)])).tobytes()
 
-    def encode(self, text: str) -> np.ndarray:
+    def encode(self, text: str) -> bytes:
+        """The ids of a text as int32 bytes."""
         if self.unsafe.search(text):
-            return np.array(self._chunk(text), np.int32)
+            return self._encode(text)
         head, *tail = text.split(" ")
-        known, chunk = self.chunks.get, self._chunk
-        found = [known(head) or chunk(head)] if head else []
-        found += [known(c) or chunk(c) for c in [" " + c for c in tail]]
-        return np.fromiter(chain.from_iterable(found), np.int32)
+        return self._encode(head) + b"".join(map(self.after_space.__getitem__, tail))
 
-    def decode(self, ids: Iterable[int], block: int = 4096) -> Iterator[str]:
+    def decode(self, ids: list[int], block: int = 4096) -> Iterator[str]:
         """The text of ids, block by block."""
         machine, of = Utf8Machine(), self.transducer.bytes_of
-        ids = list(ids)
         for at in range(0, len(ids), block):
             yield machine.feed(b"".join([of[i] for i in ids[at : at + block]]))
         yield machine.finish()
@@ -242,17 +250,17 @@ def encode_and_decode(docs: DataFrame, path: str, pattern: str, text_col: str =
     Null text is empty: no ids, and empty decoded text. Rows are independent; there is no shuffle.
     """
     ids, decoded = free_name(docs, ids), free_name(docs, decoded)
-    at = docs.columns.index(text_col)
+    at, names = docs.columns.index(text_col), [*docs.columns, ids, decoded]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         for whole in batches:
             for batch in slices(whole, at):
                 rows = [own.encode(t.as_py() or "") for t in batch.column(at)]
-                texts = ["".join(own.decode(r.tolist())) for r in rows]
-                ends = np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows)))
-                yield pa.RecordBatch.from_arrays([*batch.columns, lists, pa.array(texts, pa.string())], names=[*docs.columns, ids, decoded])
+                texts = ["".join(own.decode(np.frombuffer(r, np.int32).tolist())) for r in rows]
+                ends = np.concatenate(([0], np.cumsum([len(r) // 4 for r in rows]))).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(rows), np.int32)))
+                yield pa.RecordBatch.from_arrays([*batch.columns, lists, pa.array(texts, pa.string())], names=names)
 
     schema = T.StructType([*docs.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(decoded, T.StringType())])
     return docs.mapInArrow(run, schema)
