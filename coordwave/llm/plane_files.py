@@ -18,8 +18,8 @@ from __future__ import annotations
 
 import struct
 import uuid
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +35,7 @@ BLOCK = 1 << 16
 #: Bytes of the documents table for each file (as many files as shuffle partitions at least).
 FILE_BYTES = 16 << 20
 #: Words whose ids a worker keeps.
-MOST_WORDS = 250_000
+MOST_WORDS = 1_000_000
 
 
 def to_planes(ids: np.ndarray, bits: int) -> list[bytes]:
@@ -130,28 +130,27 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are text
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = {}
 
     def encode(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
         """Counts and ids of the texts, each with the end id behind it."""
+        # The tokenizer reads lower case; doing that first, where it is plain, makes for fewer different words.
+        texts = [t.lower() if t.isascii() else t for t in texts]
         # str.split also cuts at four control characters that the tokenizer takes for symbols.
-        words = [t.split() if t.isprintable() or not _CUTS.intersection(t) else t.split(" ") for t in texts]
+        words = [t.split(" ") if any(c in t for c in _CUTS) else t.split() for t in texts]
         known = self.known
-        new = {w for ws in words for w in ws if w not in known}
-        here: dict[str, tuple[int, ...]] = {}
+        new = list(set().union(*words).difference(known))
         if new:
-            new = list(new)
             found = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-            here = {w: tuple(e.ids) for w, e in zip(new, found, strict=True)}
-            room = MOST_WORDS - len(known)
-            if room > 0:
-                known.update((w, here[w]) for w in new[:room])
-        get = known.get
-        rows = [np.fromiter(chain(chain.from_iterable([get(w) or here.get(w, ()) for w in ws]), (end,)), np.uint32) for ws in words]
-        return np.array([len(r) for r in rows], np.int64), np.concatenate(rows) if rows else np.empty(0, np.uint32)
+            known.update((w, array("I", e.ids).tobytes()) for w, e in zip(new, found, strict=True))
+        last = array("I", (end,)).tobytes()
+        rows = [b"".join(map(known.__getitem__, ws)) + last for ws in words]
+        for w in new[max(0, len(new) - max(0, len(known) - MOST_WORDS)) :]:
+            del known[w]
+        return np.array([len(r) // 4 for r in rows], np.int64), np.frombuffer(b"".join(rows), np.uint32)
 
 
-_CUTS = frozenset("\x1c\x1d\x1e\x1f")
+_CUTS = "\x1c\x1d\x1e\x1f"
 _encoders: dict[str, WordEncoder] = {}
 
 
@@ -183,7 +182,7 @@ def write_files(docs: DataFrame, tokenizer: str, end: int = 1, id_col: str = "do
         writer, stream = None, None
         own = encoder(tokenizer)
         for whole in batches:
-            for batch in slices(whole, 1):
+            for batch in slices(whole, 1, 6 << 20):
                 if writer is None:
                     store.create_dir(base, recursive=True)
                     stream = store.open_output_stream(path)
