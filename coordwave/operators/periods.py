@@ -16,7 +16,7 @@ def _bracketed(t: np.ndarray, f: np.ndarray, at: np.ndarray, widest: float, miss
     k = np.clip(np.searchsorted(t, at, side="right") - 1, 0, len(t) - 2)
     gap = t[k + 1] - t[k]
     value = f[k] + (f[k + 1] - f[k]) * (at - t[k]) / gap
-    bad = (at < t[0]) | (at > t[-1]) | (gap > widest)
+    bad = (at < t[0]) | (at >= t[-1]) | (gap > widest)  # there is no sample behind the last one
     bad |= np.searchsorted(missing, t[k], side="right") < np.searchsorted(missing, t[k + 1], side="left")
     return np.where(bad, np.nan, value)
 
@@ -44,7 +44,7 @@ def suggest(t: np.ndarray, f: np.ndarray, missing: np.ndarray) -> list[tuple[flo
 
     lags = np.linspace(low, high, 601)
     score = np.array([like(x)[0] for x in lags])
-    peak = np.flatnonzero((score >= np.append(-1, score[:-1])) & (score >= np.append(score[1:], -1)))
+    peak = 1 + np.flatnonzero((score[1:-1] >= score[:-2]) & (score[1:-1] >= score[2:]))  # the ends are no peaks
     found = []
     for k in sorted(peak, key=lambda k: (-score[k], k))[:16]:
         centre, reach = lags[k], lags[1] - lags[0]
