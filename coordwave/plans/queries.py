@@ -126,58 +126,44 @@ def _packed(spark, sf_dir):
     return matching.pack(points, counts.join(fit, "recording_id", "left_semi"))
 
 
-#: The whole-window score in SQL: positions by rounding, per-pair ranges, mean squares, then both directions.
+#: Whole-window scores in SQL: positions by rounding, ranges by pair, mean squares, and distinct aligned support.
 _WHOLE = f"""{_DECIMATE}{_POINTS}, v AS (
   SELECT recording_id, row_number() OVER (PARTITION BY recording_id ORDER BY event_idx) - 1 AS pos, event_idx, t,
     [frequency, pri, pw] AS x, [break_frequency, break_pri, break_pw] AS br FROM points
 ), g AS (
   SELECT recording_id, count(*) AS n, min(event_idx) AS i0, max(event_idx) AS i1, min(t) AS t0, max(t) AS t1,
     [min(x[1]), min(x[2]), min(x[3])] AS lo, [max(x[1]), max(x[2]), max(x[3])] AS hi FROM v GROUP BY recording_id
-), pairs AS (SELECT a.recording_id AS q, b.recording_id AS u FROM g a JOIN g b ON a.recording_id <> b.recording_id AND a.recording_id < 12 AND b.recording_id < 40
+  HAVING count(*) >= 16
 ), al AS (
-  SELECT q, u, k, a.pos AS ap, b.pos AS bp, (a.t - ga.t0) / (ga.t1 - ga.t0) - (b.t - gb.t0) / (gb.t1 - gb.t0) AS dt,
+  SELECT ga.recording_id AS q, gb.recording_id AS u, k, a.pos AS ap, b.pos AS bp, (a.t - ga.t0) / (ga.t1 - ga.t0) - (b.t - gb.t0) / (gb.t1 - gb.t0) AS dt,
     a.x[k] IS NOT NULL AND b.x[k] IS NOT NULL AND NOT a.br[k] AND NOT b.br[k] AS ok,
     CASE WHEN ga.hi[k] = ga.lo[k] AND gb.hi[k] = gb.lo[k] THEN 0 WHEN ga.hi[k] = ga.lo[k] OR gb.hi[k] = gb.lo[k] THEN 1
       ELSE (a.x[k] - ga.lo[k]) / (ga.hi[k] - ga.lo[k]) - (b.x[k] - gb.lo[k]) / (gb.hi[k] - gb.lo[k]) END AS d
-  FROM pairs JOIN g ga ON ga.recording_id = q JOIN g gb ON gb.recording_id = u JOIN v a ON a.recording_id = q
-  JOIN v b ON b.recording_id = u AND b.pos = CAST(floor((a.event_idx - ga.i0) / greatest(1, ga.i1 - ga.i0)::DOUBLE * (gb.n - 1) + 0.5) AS BIGINT)
+  FROM g ga JOIN g gb ON ga.recording_id <> gb.recording_id JOIN v a ON a.recording_id = ga.recording_id
+  JOIN v b ON b.recording_id = gb.recording_id AND b.pos = CAST(floor((a.event_idx - ga.i0) / greatest(1, ga.i1 - ga.i0)::DOUBLE * (gb.n - 1) + 0.5) AS BIGINT)
   CROSS JOIN (SELECT unnest([1, 2, 3]) AS k)
-), ch AS (SELECT q, u, k, sum(d * d) FILTER (ok) / count(*) FILTER (ok) AS ms FROM al GROUP BY q, u, k
-), ti AS (SELECT q, u, sqrt(avg(dt * dt)) AS te FROM (SELECT q, u, ap, any_value(dt) AS dt FROM al WHERE ok GROUP BY q, u, ap) GROUP BY q, u
-)
-SELECT q AS query_id, u AS target_id, round(exp(-4 * sqrt(avg(ms)) - 2 * any_value(te)), 6) AS score
-FROM ch JOIN ti USING (q, u) GROUP BY q, u"""
+), ch AS (
+  SELECT q, u, k, sum(d * d) FILTER (ok) / count(*) FILTER (ok) AS ms,
+    least(count(DISTINCT ap) FILTER (ok), count(DISTINCT bp) FILTER (ok)) AS support FROM al GROUP BY q, u, k
+), pt AS (SELECT q, u, ap, any_value(bp) AS bp, any_value(dt) AS dt, count(*) FILTER (ok) AS n FROM al GROUP BY q, u, ap
+), ti AS (
+  SELECT q, u, sqrt(avg(dt * dt) FILTER (n > 0)) AS te, least(count(*) FILTER (n = 3), count(DISTINCT bp) FILTER (n = 3)) AS joint FROM pt GROUP BY q, u
+), sc AS (
+  SELECT q, u, exp(-4 * sqrt(avg(ms)) - 2 * any_value(te)) AS score, min(support) >= 16 AND any_value(joint) >= 16 AS complete
+  FROM ch JOIN ti USING (q, u) GROUP BY q, u
+)"""
 
 
-@query(_WHOLE)
+@query(f"{_WHOLE} SELECT q AS query_id, u AS target_id, round(score, 6) AS score, complete FROM sc WHERE score IS NOT NULL")
 def m3_whole_score(spark, sf_dir):
-    """Scores of the first recordings as queries (a stated query set) against targets of a stated range."""
-    rec = _rec(spark, sf_dir).where("recording_id < 40")
+    rec = _rec(spark, sf_dir)
     packed = matching.pack(windows.resample(windows.decimate(rec)), windows.summary(rec))
-    queries = packed.where("recording_id < 12").select(F.col("recording_id").alias("query_id"), F.col("n_events").alias("qn"), F.col("data").alias("qdata"))
-    s = matching.Settings()
-
-    def run(batches):
-        import numpy as np
-        import pandas as pd
-
-        for b in batches:
-            rows = []
-            for q, part in b.groupby("query_id"):
-                one = matching.Views([q], [part["qn"].iloc[0]], [part["qdata"].iloc[0]])
-                many = matching.Views(part["recording_id"].tolist(), part["n_events"].tolist(), part["data"].tolist())
-                got = matching.whole(one, 0, many, np.arange(len(many.ids)), s)["score"]
-                rows.append(pd.DataFrame({"query_id": q, "target_id": many.ids, "score": got}))
-            yield pd.concat(rows) if rows else pd.DataFrame({"query_id": [], "target_id": [], "score": []})
+    return matching.directed_scores(packed).withColumn("score", F.round("score", 6))
 
-    # Twelve queries at most, of 8 kB each.
-    met = packed.join(F.broadcast(queries), F.col("query_id") != F.col("recording_id"))
-    return met.mapInPandas(run, "query_id long, target_id long, score double").select("query_id", "target_id", F.round("score", 6).alias("score"))
 
-
-@query()
+@query(f"{_WHOLE} SELECT x.q AS a, x.u AS b, round(least(x.score, y.score), 6) AS score FROM sc x JOIN sc y ON x.q = y.u AND x.u = y.q WHERE x.q < x.u AND x.complete AND y.complete")
 def m6_symmetric(spark, sf_dir):
-    return matching.symmetric_scores(_packed(spark, sf_dir), least_score=0.2)
+    return matching.symmetric_scores(_packed(spark, sf_dir)).withColumn("score", F.round("score", 6))
 
 
 @query()
@@ -340,3 +326,45 @@ def o5_presentation_edges(spark, sf_dir):
     order = Window.partitionBy("user_id").orderBy(F.desc("value"), "event_id")
     placed = e.withColumn("rank", F.row_number().over(order)).withColumn("total", F.count(F.lit(1)).over(Window.partitionBy("user_id")))
     return placed.where("rank <= 4")
+
+
+@query("""WITH v AS (SELECT vec_id, label, list_max(embedding)::DOUBLE AS hi, list_min(embedding)::DOUBLE AS lo FROM embeddings)
+  SELECT label, min(hi - lo) AS least_range, max(hi - lo) AS most_range, count(*) AS n_members FROM v GROUP BY label""")
+def a10_region_ranges(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    span = F.array_max("embedding").cast("double") - F.array_min("embedding").cast("double")
+    return e.withColumn("span", span).groupBy("label").agg(F.min("span").alias("least_range"), F.max("span").alias("most_range"), F.count(F.lit(1)).alias("n_members"))
+
+
+@query("""SELECT label, count(DISTINCT vec_id % 7) AS captures, count(DISTINCT CASE WHEN vec_id % 3 = 0 THEN vec_id % 11 END) AS shapes FROM embeddings GROUP BY label""")
+def a9_distinct_captures(spark, sf_dir):
+    v = F.col("vec_id")
+    return table(spark, sf_dir, "embeddings").groupBy("label").agg(F.count_distinct(v % 7).alias("captures"), F.count_distinct(F.when(v % 3 == 0, v % 11)).alias("shapes"))
+
+
+@query("""SELECT o_orderkey, o_custkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_nationkey < 12)""")
+def v10_missing_references(spark, sf_dir):
+    """Rows of a backup whose reference isn't in it."""
+    known = table(spark, sf_dir, "customer").where("c_nationkey < 12").select(F.col("c_custkey").alias("o_custkey"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(known, "o_custkey", "left_anti").select("o_orderkey", "o_custkey")
+
+
+@query("""SELECT o_custkey AS source_id FROM orders GROUP BY o_custkey HAVING count(DISTINCT CASE WHEN o_orderkey % 5 < 3 THEN 'fit' ELSE 'test' END) > 1""")
+def v7_sources_in_several_splits(spark, sf_dir):
+    split = F.when(F.col("o_orderkey") % 5 < 3, "fit").otherwise("test")
+    by = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("source_id")).agg(F.count_distinct(split).alias("n"))
+    return by.where("n > 1").select("source_id")
+
+
+@query("""SELECT user_id, CAST(floor(epoch_us(ts) / 3600000000) AS BIGINT) AS bucket, count(*) AS n_events, min(value) AS least, max(value) AS most FROM events GROUP BY ALL""")
+def w10_tumbling_buckets(spark, sf_dir):
+    at = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ))")
+    return table(spark, sf_dir, "events").groupBy("user_id", F.floor(at / 3600000000).alias("bucket")).agg(F.count(F.lit(1)).alias("n_events"), F.min("value").alias("least"), F.max("value").alias("most"))
+
+
+@query(f"""{REC}, n AS (SELECT *, lag(frequency) OVER o AS b, lead(frequency) OVER o AS a FROM rec WINDOW o AS (PARTITION BY recording_id ORDER BY event_idx))
+  SELECT recording_id, event_idx, frequency FROM n WHERE b IS NOT NULL AND a IS NOT NULL AND frequency >= a AND frequency >= b""")
+def w5_local_maxima(spark, sf_dir):
+    order = Window.partitionBy("recording_id").orderBy("event_idx")
+    near = [f("frequency").over(order) for f in (F.lag, F.lead)]
+    return _rec(spark, sf_dir).select("recording_id", "event_idx", "frequency", near[0].alias("b"), near[1].alias("a")).where("frequency >= a AND frequency >= b").select("recording_id", "event_idx", "frequency")
