@@ -23,11 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, slices
+from .common import free_name, lean_batches, slices
 
-MOST_STATES = 200_000
+MOST_STATES = 300_000
 #: Chunks between single spaces whose ids a worker keeps.
-MOST_CHUNKS = 900_000
+MOST_CHUNKS = 450_000
 
 
 class Transducer:
@@ -193,12 +193,22 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class _Chunks(dict):
-    """Ids (as int32 bytes) of chunks of text; unknown ones are encoded, and kept while there is room."""
+    """Ids (as int32 bytes) of chunks behind `lead`; unknown ones are encoded, and kept while there is room.
+
+    A piece ends before a full stop or comma that follows a letter, and a line feed between two characters that
+    aren't white space is a piece of its own, so chunks are put together from what stands around these.
+    """
 
     def __init__(self, encode, lead: str):
-        self.encode, self.lead = encode, lead
+        self.encode, self.lead, self.bare = encode, lead, self
+        self.marks = {c: encode(c) for c in ".,\n"}
 
     def __missing__(self, chunk: str) -> bytes:
+        cut = chunk.find("\n")
+        if 0 < cut < len(chunk) - 1 and not chunk[cut - 1].isspace() and not chunk[cut + 1].isspace():
+            return self[chunk[:cut]] + self.marks["\n"] + self.bare[chunk[cut + 1 :]]
+        if len(chunk) > 1 and chunk[-1] in ".," and chunk[-2].isalpha():
+            return self[chunk[:-1]] + self.marks[chunk[-1]]
         ids = self.encode(self.lead + chunk)
         if len(self) < MOST_CHUNKS and len(chunk) < 200:
             self[chunk] = ids
@@ -214,6 +224,7 @@ class Codec:
         # A cut at a space is safe where no white space is beside it: no piece goes on over such a space.
         self.unsafe = regex.compile(r" [\s\x1c-\x1f]|[\s\x1c-\x1f] ")
         self.after_space = _Chunks(self._encode, " ")
+        self.after_space.bare = _Chunks(self._encode, "")
 
     def _encode(self, text: str) -> bytes:
         encode = self.transducer.encode_piece
@@ -224,7 +235,7 @@ class Codec:
         if self.unsafe.search(text):
             return self._encode(text)
         head, *tail = text.split(" ")
-        return self._encode(head) + b"".join(map(self.after_space.__getitem__, tail))
+        return (self.after_space.bare[head] if head else b"") + b"".join(map(self.after_space.__getitem__, tail))
 
     def decode(self, ids: list[int], block: int = 4096) -> Iterator[str]:
         """The text of ids, block by block."""
@@ -263,7 +274,7 @@ def encode_and_decode(docs: DataFrame, path: str, pattern: str, text_col: str =
                 yield pa.RecordBatch.from_arrays([*batch.columns, lists, pa.array(texts, pa.string())], names=names)
 
     schema = T.StructType([*docs.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(decoded, T.StringType())])
-    return docs.mapInArrow(run, schema)
+    return lean_batches(docs).mapInArrow(run, schema)
 
 
 def digest(docs: DataFrame, path: str, pattern: str) -> DataFrame:

@@ -83,6 +83,15 @@ def free_name(df: DataFrame, base: str) -> str:
     return base
 
 
+def lean_batches(df: DataFrame) -> DataFrame:
+    """df, whose rows go to Python at most 1000 at a time from now on: batches of texts stay small."""
+    conf = df.sparkSession.conf
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= 1000:
+        conf.set(name, "1000")
+    return df
+
+
 def slices(batch, texts: int, most: int = 2 << 20):
     """Parts of an Arrow batch of about `most` bytes of the text column (one row at least), in order."""
     import numpy as np

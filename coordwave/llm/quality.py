@@ -116,7 +116,10 @@ def assess(docs: DataFrame, ratios: list[float] | None, text_col: str = "text",
         failed.alias("base_failed"),
         score.alias("score"),
     )
-    step = step.select(*docs.columns, first.alias(out))
+    # A condition on the result would be pushed below what it is made of, and words split again for each use of
+    # them; it isn't pushed below a column that depends on a row's place.
+    mark = free_name(docs, f"{out}_mark")
+    step = step.select(*docs.columns, first.alias(out), F.monotonically_increasing_id().alias(mark)).where(F.col(mark) >= 0).drop(mark)
     q = F.col(out)
     fits = F.coalesce(q["score"] >= threshold, F.lit(True))
     return step.withColumn(out, q.withField("kept", ~q["base_failed"] & fits))
@@ -124,11 +127,8 @@ def assess(docs: DataFrame, ratios: list[float] | None, text_col: str = "text",
 
 def keep_good(docs: DataFrame, ratios: list[float] | None, text_col: str = "text") -> DataFrame:
     """The rows of docs that the rules keep, as they are."""
-    out, mark = free_name(docs, "verdict"), free_name(docs, "mark")
-    # A condition is pushed below what it is made of, and words would be split again for each use in it; it isn't
-    # pushed below a column that depends on the row's place.
-    found = assess(docs, ratios, text_col, out).withColumn(mark, F.monotonically_increasing_id())
-    return found.where(F.col(out)["kept"] & (F.col(mark) >= 0)).select(docs.columns)
+    out = free_name(docs, "verdict")
+    return assess(docs, ratios, text_col, out).where(F.col(out)["kept"]).select(docs.columns)
 
 
 def verdicts(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import drop_finished, free_name, materialise, parts_for
+from .common import drop_finished, free_name, lean_batches, materialise, parts_for
 from .suffix_sort import common_prefixes, suffix_array
 
 #: Bytes of the documents table in a part (as many parts as shuffle partitions at least) and for each shard.
@@ -398,7 +398,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     not touching) and kept (the remaining bytes, which may split a character)."""
     if not 1 <= gram <= span:
         raise ValueError("gram must be from 1 to span")
-    parts = parts_for(docs, PART_BYTES)
+    parts = parts_for(lean_batches(docs), PART_BYTES)
     shards = max(LEAST_SHARDS, parts_for(docs, SHARD_BYTES, floor=0) or 4 * parts)
     part, out = free_name(docs, "part"), free_name(docs, out)
     dealt = docs.withColumn(part, F.pmod(F.xxhash64(id_col, text_col), F.lit(parts)))
