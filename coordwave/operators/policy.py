@@ -133,3 +133,35 @@ def admit(entries: list[str], regions: list[Region], score, shape, threshold: fl
             if len({shape(c) for c in region.core}) >= LEAST_SHAPES:
                 region.representatives = [*region.anchors, *cover(region.core, region.anchors, score, shape)]
     return out
+
+
+@dataclass
+class Split:
+    anchor: str
+    members: list[str]
+    cohesion: float
+
+
+def split_proposals(anchors: list[str], fringe: list[str], score, shape, threshold: float, flagged=frozenset()) -> list[Split]:
+    """Groups inside a region's fringe that are closer to each other than to its anchors.
+
+    In order of ids each fringe member joins the first cluster all of whose members score at least the core
+    threshold with it. A cluster of LEAST_SHAPES different shapes or more is proposed if its weakest pair exceeds
+    every member's best anchor score by COMPETITION; its anchor is the member of greatest total score.
+    """
+    core = min(1.0, threshold + CORE)
+    clusters: list[list[str]] = []
+    for e in sorted(x for x in fringe if x not in flagged and x not in anchors):
+        home = next((c for c in clusters if all(score(e, x) >= core for x in c)), None)
+        if home is None:
+            clusters.append([e])
+        else:
+            home.append(e)
+    out = []
+    for c in clusters:
+        if len({shape(x) for x in c}) < LEAST_SHAPES:
+            continue
+        weakest = min(score(p, q) for k, p in enumerate(c) for q in c[k + 1 :])
+        if all(weakest >= max((score(x, a) for a in anchors), default=0.0) + COMPETITION for x in c):
+            out.append(Split(max(c, key=lambda x: (sum(score(x, y) for y in c), -c.index(x))), c, weakest))
+    return out

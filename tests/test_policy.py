@@ -44,3 +44,13 @@ def test_placement_and_stress():
     assert policy.stress(matrix, cycles.embed(matrix)) < 1e-9
     assert policy.place(matrix[1], xy).tolist() == [3, 0]
     assert np.allclose(policy.place(np.array([1.0, 1.0]), xy[:2]), [1.5, 0])
+
+
+def test_split_proposals():
+    far = {"p": 0.7, "q": 0.7, "r": 0.72, "s": 0.9}
+    score = lambda x, y: 1.0 if x == y else far.get(x, far.get(y)) if "a" in (x, y) else 0.2 if "s" in (x, y) else 0.9
+    got = policy.split_proposals(["a"], ["s", "r", "q", "p"], score, lambda e: e, 0.65)
+    assert [(g.anchor, g.members, g.cohesion) for g in got] == [("p", ["p", "q", "r"], 0.9)]
+    assert policy.split_proposals(["a"], ["r", "q", "p"], score, lambda e: e, 0.65, flagged={"p"}) == []
+    far["r"] = 0.88
+    assert policy.split_proposals(["a"], ["r", "q", "p"], score, lambda e: e, 0.65) == []
