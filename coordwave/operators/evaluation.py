@@ -31,11 +31,22 @@ def calibration_error(pairs: DataFrame) -> DataFrame:
     return by.agg(F.round(F.sum("b"), 6).alias("brier"), F.round(F.sum(F.abs(F.col("s") - F.col("p"))), 6).alias("ece"))
 
 
+def _ranges(rows: DataFrame, column: str) -> DataFrame:
+    """rows with `part`: the number of the range of values, as many as the session's shuffle partitions."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = sorted(set(rows.approxQuantile(column, [k / n for k in range(1, n)], 0.1 / n))) if n > 1 else []
+    return rows.withColumn("part", sum([(F.col(column) >= c).cast("int") for c in cuts], F.lit(0)))
+
+
 def threshold_grid(scores: DataFrame) -> DataFrame:
-    """The midpoints between neighbouring different scores."""
-    # Scores of one tuning run are few; the window has no key because the grid is one ordered list.
-    before = F.lag("score").over(Window.orderBy("score"))
-    return scores.select("score").distinct().select(((F.col("score") + before) / 2).alias("threshold")).where("threshold IS NOT NULL")
+    """The midpoints between neighbouring different scores, by ranges; each begins at the last score before it."""
+    placed = _ranges(scores.select("score").where("score IS NOT NULL").distinct(), "score")
+    last = {r["part"]: r["last"] for r in placed.groupBy("part").agg(F.max("score").alias("last")).collect()}  # a row a range
+    carried = F.lit(None).cast("double")
+    for low, high in zip(sorted(last)[:-1], sorted(last)[1:], strict=True):
+        carried = F.when(F.col("part") == high, F.lit(last[low])).otherwise(carried)
+    before = F.coalesce(F.lag("score").over(Window.partitionBy("part").orderBy("score")), carried)
+    return placed.select(((F.col("score") + before) / 2).alias("threshold")).where("threshold IS NOT NULL")
 
 
 def fit_logistic(score: np.ndarray, y: np.ndarray, steps: int = 1500, rate: float = 0.2, penalty: float = 0.01):

@@ -319,6 +319,12 @@ def w8_threshold_grid(spark, sf_dir):
     return evaluation.threshold_grid(table(spark, sf_dir, "orders").where("o_orderkey % 97 = 1").select(F.col("o_totalprice").alias("score")))
 
 
+@query("""WITH d AS (SELECT DISTINCT o_totalprice AS score FROM orders), p AS (SELECT (score + lag(score) OVER (ORDER BY score)) / 2 AS threshold FROM d) SELECT threshold FROM p WHERE threshold IS NOT NULL""")
+def w8_threshold_grid_whole(spark, sf_dir):
+    """Over all orders; w8_threshold_grid and its SQL read one in 97."""
+    return evaluation.threshold_grid(table(spark, sf_dir, "orders").select(F.col("o_totalprice").alias("score")))
+
+
 @query("""WITH e AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS rank FROM events)
   SELECT user_id, event_id, value, CAST(rank AS INTEGER) AS rank, t.total FROM e JOIN (SELECT user_id, count(*) AS total FROM events GROUP BY user_id) t USING (user_id) WHERE rank <= 4""")
 def o5_presentation_edges(spark, sf_dir):
