@@ -212,7 +212,7 @@ def fingerprint_table(docs: DataFrame) -> DataFrame:
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, bits: int = 2) -> DataFrame:
     """All columns of docs for one row of each group: that of its smallest id (of rows with that id, the least one).
 
-    Rows with a null id stay only where no row with an id has their fingerprint.
+    Rows with a null id go. The pipeline uses near_copies.keep_first, which keeps them.
     """
     found = near_duplicates(docs, id_col, text_col, width, bits)
     ids = found.where("id = component").select(F.col("id").alias(id_col)).distinct()
