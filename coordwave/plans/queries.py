@@ -175,8 +175,7 @@ def c13_similarity_groups(spark, sf_dir):
 @query()
 def m5_ranked_matches(spark, sf_dir):
     packed = _packed(spark, sf_dir)
-    first = packed.agg(F.min("recording_id")).first()[0]
-    return matching.ranked(matching.match_one(packed, -1 if first is None else first))
+    return matching.ranked(matching.match_many(packed, packed.where("recording_id % 100 = 0")))
 
 
 @query("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS f FROM embeddings), c AS (
@@ -199,7 +198,8 @@ def j4_cycle_distances(spark, sf_dir):
 
 @query()
 def j6_neighbours(spark, sf_dir):
-    return cycles.neighbours(_gridded(spark, sf_dir), 0)
+    gridded = _gridded(spark, sf_dir)
+    return cycles.neighbours(gridded, gridded.where("cycle_id % 100 = 0"))
 
 
 @query("SELECT vec_id AS cycle_id, CAST(64 AS INTEGER) AS n_samples, 0.015625 AS gap_fraction FROM embeddings WHERE list_max(embedding) - list_min(embedding) > 2e-12")
