@@ -79,12 +79,24 @@ def bootstrap(sources: list[str], correct: np.ndarray, reps: int = 500, seed: in
 
 def tune(scored: DataFrame, thresholds: DataFrame) -> DataFrame:
     """The threshold of greatest balanced accuracy on scored examples (expected, region, score); then fewer false
-    merges, then nearest to 0.5. The grid is midpoints of these examples' scores, so it has as many rows as they."""
-    decided = scored.join(F.broadcast(thresholds.limit(10_000)), F.lit(True)).withColumn("predicted", F.when(F.col("score") >= F.col("threshold"), F.col("region")))
-    known, taken = F.col("expected").isNotNull(), F.col("predicted").isNotNull()
-    right = F.avg(F.when(known, F.coalesce((F.col("expected") == F.col("predicted")).cast("double"), F.lit(0.0))))
-    refused = F.avg(F.when(~known, (~taken).cast("double")))
-    by = decided.groupBy("threshold").agg(F.round((F.coalesce(right, F.lit(0.0)) + F.coalesce(refused, F.lit(0.0))) / 2, 12).alias("accuracy"), F.count_if(~known & taken).alias("false_merges"))
+    merges, then nearest to 0.5. All thresholds are tried: counts of the examples at or over each are sums over the
+    ordered scores, by ranges; each begins with the sums of the ranges over it."""
+    known, taken = F.col("expected").isNotNull(), F.col("region").isNotNull()
+    right = (known & taken & (F.col("expected") == F.col("region"))).cast("long")
+    examples = scored.where("score IS NOT NULL").select(F.col("score").cast("double").alias("at"), F.coalesce(right, F.lit(0)).alias("right"), (~known & taken).cast("long").alias("merged"), F.lit(False).alias("tried"))
+    grid = thresholds.where("threshold IS NOT NULL").select(F.col("threshold").cast("double").alias("at"), F.lit(0).cast("long").alias("right"), F.lit(0).cast("long").alias("merged"), F.lit(True).alias("tried"))
+    sums = [F.sum(c).alias(c) for c in ("right", "merged")]
+    placed = _ranges(examples.unionByName(grid).groupBy("at").agg(*sums, F.max("tried").alias("tried")), "at")
+    n = scored.agg(F.count_if(known).alias("known"), F.count_if(~known).alias("strange")).first()
+    carried, over = [F.lit(0)] * 2, [0, 0]
+    for r in sorted(placed.groupBy("part").agg(*sums).collect(), key=lambda r: -r["part"]):  # a row a range
+        carried = [F.when(F.col("part") == r["part"], F.lit(o)).otherwise(c) for c, o in zip(carried, over, strict=True)]
+        over = [over[0] + r["right"], over[1] + r["merged"]]
+    down = Window.partitionBy("part").orderBy(F.desc("at")).rowsBetween(Window.unboundedPreceding, 0)
+    counted = placed.select(F.col("at").alias("threshold"), "tried", (F.sum("right").over(down) + carried[0]).alias("hits"), (F.sum("merged").over(down) + carried[1]).alias("false_merges"))
+    refused = (n["strange"] - F.col("false_merges")) / n["strange"] if n["strange"] else F.lit(0.0)
+    found = F.col("hits") / n["known"] if n["known"] else F.lit(0.0)
+    by = counted.where("tried").select("threshold", F.round((found + refused) / 2, 12).alias("accuracy"), "false_merges")
     return by.orderBy(F.desc("accuracy"), "false_merges", F.abs(F.col("threshold") - 0.5), "threshold").limit(1)
 
 
