@@ -6,7 +6,10 @@ certain token, and only prefixes from which some token still reaches beyond the
 of the final encoding. The transducer's state is that set of prefixes: for each, the trie node of the bytes read
 since, the token it ends in, and the tokens not yet emitted. What all of them begin with is emitted at once, so
 output lags by a bounded lookahead (the longest token). Transitions are computed when first taken and kept;
-when there are too many, all are dropped and computed anew.
+when there are too many states, all but the present one are dropped, and encoding goes on from the same byte.
+
+Decoding runs the bytes of each token through an incremental UTF-8 state machine, whose state is the beginning of a
+character that is not yet whole; its moves over whole tokens are kept likewise.
 """
 
 from __future__ import annotations
@@ -23,11 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, lean_batches, slices
+from .common import free_name, slices
 
 MOST_STATES = 300_000
 #: Chunks between single spaces whose ids a worker keeps.
 MOST_CHUNKS = 450_000
+#: Moves of the decoder that a worker keeps.
+MOST_MOVES = 500_000
 
 
 class Transducer:
@@ -108,9 +113,16 @@ class Transducer:
             whole = self._whole[token] = self.merge(self.bytes_of[token]) == [token]
         return whole and (last < 0 or self._fit(last, token))
 
+    def _keep_only(self, state: int) -> int:
+        """Drops all states and transitions but the start and this state; its new number."""
+        kept = self.states[state]
+        self._reset()
+        if kept not in self.number:
+            self.number[kept] = len(self.states)
+            self.states.append(kept)
+        return self.number[kept]
+
     def _step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        if len(self.states) > self.most_states:
-            raise _Full
         entries, ends = [], None
         for node, last, pending in self.states[state]:
             node = self.child.get(node << 8 | byte)
@@ -143,48 +155,59 @@ class Transducer:
         known = self.ranks.get(piece)
         if known is not None:
             return [known]
-        try:
-            out: list[int] = []
-            state, steps = 0, self.steps
-            for byte in piece:
-                found = steps.get(state << 8 | byte)
-                if found is None:
-                    found = self._step(state, byte)
-                state, emitted = found
-                if emitted:
-                    out += emitted
-            out += self.states[state][-1][2]
-            return out
-        except _Full:
-            self._reset()
-            return self.encode_piece(piece)
-
-
-class _Full(Exception):
-    pass
+        out: list[int] = []
+        state = 0
+        for byte in piece:
+            found = self.steps.get(state << 8 | byte)
+            if found is None:
+                if len(self.states) > self.most_states:
+                    state = self._keep_only(state)
+                found = self._step(state, byte)
+            state, emitted = found
+            if emitted:
+                out += emitted
+        return out + list(self.states[state][-1][2])
+
+
+#: Fixed values of UTF-8: first bytes of a character, how many bytes it has, and the range of its second byte.
+_FIRST = (
+    (0xC2, 0xDF, 2, 0x80, 0xBF), (0xE0, 0xE0, 3, 0xA0, 0xBF), (0xE1, 0xEC, 3, 0x80, 0xBF), (0xED, 0xED, 3, 0x80, 0x9F),
+    (0xEE, 0xEF, 3, 0x80, 0xBF), (0xF0, 0xF0, 4, 0x90, 0xBF), (0xF1, 0xF3, 4, 0x80, 0xBF), (0xF4, 0xF4, 4, 0x80, 0x8F),
+)
+_LEADS = {b: (size, low, high) for first, last, size, low, high in _FIRST for b in range(first, last + 1)}
 
 
 class Utf8Machine:
-    """Text from bytes that come in pieces: a character cut by a piece's end waits for its other bytes."""
+    """Text from bytes that come one after the other. `held` is the state: the bytes of a character that isn't whole
+    yet. A beginning that its next byte can't continue, or the end, becomes one U+FFFD, as does any other wrong byte."""
 
     def __init__(self) -> None:
-        self.rest = b""
+        self.held = b""
+
+    def step(self, byte: int) -> str:
+        if self.held:
+            size, low, high = _LEADS[self.held[0]]
+            if (low <= byte <= high) if len(self.held) == 1 else (0x80 <= byte <= 0xBF):
+                self.held += bytes((byte,))
+                if len(self.held) < size:
+                    return ""
+                whole, self.held = self.held, b""
+                return whole.decode()
+            self.held = b""
+            return "\ufffd" + self.step(byte)
+        if byte < 0x80:
+            return chr(byte)
+        if byte in _LEADS:
+            self.held = bytes((byte,))
+            return ""
+        return "\ufffd"
 
     def feed(self, data: bytes) -> str:
-        data = self.rest + data
-        hold = 0
-        for back in range(1, min(3, len(data)) + 1):
-            byte = data[-back]
-            if byte & 0xC0 != 0x80:  # a first byte: it waits if it asks for more bytes than there are
-                wants = 4 if byte >= 0xF0 else 3 if byte >= 0xE0 else 2 if byte >= 0xC0 else 1
-                hold = back if wants > back else 0
-                break
-        self.rest = data[len(data) - hold :]
-        return data[: len(data) - hold].decode("utf-8", "replace")
+        return "".join([self.step(b) for b in data])
 
     def finish(self) -> str:
-        rest, self.rest = self.rest, b""
-        return rest.decode("utf-8", "replace")
+        held, self.held = self.held, b""
+        return "\ufffd" if held else ""
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -225,6 +248,7 @@ class Codec:
         self.unsafe = regex.compile(r" [\s\x1c-\x1f]|[\s\x1c-\x1f] ")
         self.after_space = _Chunks(self._encode, " ")
         self.after_space.bare = _Chunks(self._encode, "")
+        self.moves: dict[tuple[bytes, int], tuple[bytes, str]] = {}
 
     def _encode(self, text: str) -> bytes:
         encode = self.transducer.encode_piece
@@ -238,11 +262,27 @@ class Codec:
         return (self.after_space.bare[head] if head else b"") + b"".join(map(self.after_space.__getitem__, tail))
 
     def decode(self, ids: list[int], block: int = 4096) -> Iterator[str]:
-        """The text of ids, block by block."""
-        machine, of = Utf8Machine(), self.transducer.bytes_of
+        """The text of ids, in blocks of so many ids: each id moves the state machine as its bytes would."""
+        moves, held = self.moves, b""
         for at in range(0, len(ids), block):
-            yield machine.feed(b"".join([of[i] for i in ids[at : at + block]]))
-        yield machine.finish()
+            texts = []
+            for token in ids[at : at + block]:
+                move = moves.get((held, token))
+                if move is None:
+                    move = self._move(held, token)
+                held, text = move
+                texts.append(text)
+            yield "".join(texts)
+        yield "\ufffd" if held else ""
+
+    def _move(self, held: bytes, token: int) -> tuple[bytes, str]:
+        machine = Utf8Machine()
+        machine.held = held
+        text = machine.feed(self.transducer.bytes_of[token])
+        if len(self.moves) >= MOST_MOVES:
+            self.moves.clear()
+        move = self.moves[held, token] = (machine.held, text)
+        return move
 
 
 _codecs: dict[tuple[str, str], Codec] = {}
@@ -258,7 +298,8 @@ def codec(path: str, pattern: str) -> Codec:
 def encode_and_decode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """All columns of docs, the token ids of its texts (array of int) and the text that decoding them gives.
 
-    Null text is empty: no ids, and empty decoded text. Rows are independent; there is no shuffle.
+    Null text is empty: no ids, and empty decoded text. Rows are independent, so repeated rows have equal results;
+    there is no shuffle. A very long text is held in memory with its ids: an array's cell is made whole.
     """
     ids, decoded = free_name(docs, ids), free_name(docs, decoded)
     at, names = docs.columns.index(text_col), [*docs.columns, ids, decoded]
@@ -274,7 +315,7 @@ def encode_and_decode(docs: DataFrame, path: str, pattern: str, text_col: str =
                 yield pa.RecordBatch.from_arrays([*batch.columns, lists, pa.array(texts, pa.string())], names=names)
 
     schema = T.StructType([*docs.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(decoded, T.StringType())])
-    return lean_batches(docs).mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
 def digest(docs: DataFrame, path: str, pattern: str) -> DataFrame:

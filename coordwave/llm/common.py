@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import gc
 import math
 import os
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,12 +15,15 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or (tests only) one made here."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session, whose one process is
+    both, gets a folder of its own where none is set; a cluster without one is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         path = current.get() if current.isDefined() else None
     if not path:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="coordwave-shared-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
@@ -41,24 +42,21 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_finished(spark: SparkSession) -> None:
-    """Let go of shuffle files that only finished queries used: Spark deletes them once both the driver's Python
-    and its JVM have collected what refers to them."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def parts_for(df: DataFrame, bytes_each: int, floor: int | None = None) -> int:
-    """Parts for a table: floor (the session's shuffle partitions), or more where a part would exceed bytes_each."""
+    """Parts for a table: floor (the session's shuffle partitions), or more where a part would exceed bytes_each.
+
+    The optimizer's size of a join is the product of its sides; twice the sum of what the plan reads is a bound
+    that doesn't multiply."""
     if floor is None:
         floor = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    plan = df._jdf.queryExecution().optimizedPlan()
+    size = lambda node: int(str(node.stats().sizeInBytes()))
+    leaves = plan.collectLeaves()
+    estimate = min(size(plan), 2 * sum(size(leaves.apply(i)) for i in range(leaves.size())))
     # An unknown size is reported as a number beyond any table; floor then decides.
     return floor if estimate >= 1 << 60 else max(floor, math.ceil(estimate / bytes_each))
 
@@ -83,15 +81,6 @@ def free_name(df: DataFrame, base: str) -> str:
     return base
 
 
-def lean_batches(df: DataFrame) -> DataFrame:
-    """df, whose rows go to Python at most 1000 at a time from now on: batches of texts stay small."""
-    conf = df.sparkSession.conf
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(name)) <= 1000:
-        conf.set(name, "1000")
-    return df
-
-
 def slices(batch, texts: int, most: int = 2 << 20):
     """Parts of an Arrow batch of about `most` bytes of the text column (one row at least), in order."""
     import numpy as np

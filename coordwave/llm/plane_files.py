@@ -109,33 +109,34 @@ def read_file(stream, size: int) -> Iterator[tuple[list[int | None], np.ndarray,
     docs = np.frombuffer(unpack.decompress(stream.read(docs_size)), "<i8").reshape(3, -1)
     ends = np.cumsum(docs[2])
     stream.seek(len(MAGIC))
-    rest, given, have = np.empty(0, np.uint32), 0, 0
+    waiting, given, have = [], 0, 0  # blocks whose documents aren't whole yet are joined once, when they are
     for n, *lengths in index.tolist():
-        ids = from_planes([unpack.decompress(stream.read(k), max_output_size=n * 4) for k in lengths], n, bits)
-        rest = np.concatenate((rest, ids))
+        waiting.append(from_planes([unpack.decompress(stream.read(k), max_output_size=n * 4) for k in lengths], n, bits))
         have += n
         until = int(np.searchsorted(ends, have, side="right"))
         if until > given:
             take = int(docs[2, given:until].sum())
+            rest = np.concatenate(waiting)
             yield [None if z else d for d, z in zip(docs[0, given:until].tolist(), docs[1, given:until].tolist(), strict=True)], docs[2, given:until], rest[:take]
-            rest, given = rest[take:], until
+            waiting, given = [rest[take:]], until
 
 
 class WordEncoder:
-    """A tokenizer applied to each different word once; white space, which it drops, separates its pre-tokens."""
+    """A tokenizer, as its file says, applied to each different word once; white space, which it drops, separates its
+    pre-tokens. A special token's name in a text gives that token, as from the library."""
 
     def __init__(self, path: str):
         quiet_threads()
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are text
         self.known: dict[str, bytes] = {}
 
     def encode(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
         """Counts and ids of the texts, each with the end id behind it."""
-        # The tokenizer reads lower case; doing that first, where it is plain, makes for fewer different words.
-        texts = [t.lower() if t.isascii() else t for t in texts]
+        # The tokenizer reads lower case, but for the names of special tokens, which it takes for those tokens; lower
+        # case first, where it is plain and no such name can be, makes for fewer different words.
+        texts = [t.lower() if t.isascii() and "<|" not in t else t for t in texts]
         # str.split also cuts at four control characters that the tokenizer takes for symbols.
         words = [t.split(" ") if any(c in t for c in _CUTS) else t.split() for t in texts]
         known = self.known

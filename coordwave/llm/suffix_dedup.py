@@ -5,7 +5,9 @@ passes over the documents, each dealt into the same parts by a hash of the whole
 
 1. Each `span`-byte string is filed under the least hash of its `gram`-byte substrings. Strings in a row with
    the same least hash form one run. A part reports the hashes it has, once each; a shard of hashes answers
-   which of them occur in more than one document. Runs of other hashes can't repeat and are left out.
+   which of them occur in more than one document. Runs of other hashes can't repeat and are left out. Where the
+   different contents under one hash exceed HOT_BYTES, as around a very common word, each of its strings is filed
+   under a hash of its own instead, so that they are dealt over all shards.
 2. The bytes of the remaining runs go to the shard of their hash, each different content once per part, with
    the smallest document id that has it. Equal strings have equal least hashes, so they meet in one shard.
    The shard sorts the suffixes of its different contents by induced sorting, computes permuted common
@@ -28,13 +30,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import drop_finished, free_name, lean_batches, materialise, parts_for
+from .common import free_name, materialise, parts_for
 from .suffix_sort import common_prefixes, suffix_array
 
 #: Bytes of the documents table in a part (as many parts as shuffle partitions at least) and for each shard.
 PART_BYTES = 2 << 20
 SHARD_BYTES = 1 << 20
 LEAST_SHARDS = 32
+#: Bytes of different contents under one hash beyond which it is split.
+HOT_BYTES = 256 << 10
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xC4CEB9FE1A85EC53)
@@ -71,11 +75,14 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(values[: len(values) - (width - reach)], values[width - reach :]) if reach < width else values
 
 
-def runs_of(data: np.ndarray, span: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Least hash, first start and number of starts of each run of span-byte strings under one least hash."""
-    least = sliding_min(gram_hashes(data, gram), span - gram + 1)
+def runs_of(data: np.ndarray, span: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Least hash, first start and number of starts of each run of span-byte strings under one least hash, and a
+    number that tells the contents of its runs apart well enough to estimate their size."""
+    grams = gram_hashes(data, gram)
+    least = sliding_min(grams, span - gram + 1)
     first = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
-    return least[first] | _BIT, first, np.diff(np.append(first, len(least)))
+    count = np.diff(np.append(first, len(least)))
+    return least[first] | _BIT, first, count, grams[first] * _ODD + grams[first + count - 1 + span - gram]
 
 
 def shard_of(hashes: np.ndarray, shards: int) -> np.ndarray:
@@ -110,6 +117,13 @@ def _filed(hashes: np.ndarray, shard: np.ndarray) -> np.ndarray:
     return shard.astype(np.uint64) << np.uint64(40) | hashes & np.uint64((1 << 40) - 1)
 
 
+def _among(known: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which values are among the sorted known ones."""
+    if not len(known):
+        return np.zeros(len(values), bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
 def _texts(table: pa.Table, id_col: str, text_col: str) -> tuple[list[int | None], list[bytes]]:
     ids = table.column(id_col).to_pylist()
     texts = table.column(text_col).cast(pa.large_binary()).to_pylist()
@@ -122,19 +136,25 @@ def _order(ids: list, texts: list[bytes]) -> list[int]:
 
 
 def _part_runs(ids, texts, span, gram):
-    """Runs of all rows of a part that can match: row, hash, start, count, in order of row and start."""
-    rows, hashes, starts, counts = [], [], [], []
+    """Runs of all rows of a part that can match: row, hash, start, count, sign, in order of row and start."""
+    rows, found = [], []
     for row in _order(ids, texts):
         if len(texts[row]) >= span:
-            h, s, c = runs_of(np.frombuffer(texts[row], np.uint8), span, gram)
-            rows.append(np.full(len(h), row, np.int64))
-            hashes.append(h)
-            starts.append(s)
-            counts.append(c)
+            found.append(runs_of(np.frombuffer(texts[row], np.uint8), span, gram))
+            rows.append(np.full(len(found[-1][0]), row, np.int64))
     if not rows:
         none = np.empty(0, np.int64)
-        return none, none.astype(np.uint64), none, none
-    return tuple(np.concatenate(x) for x in (rows, hashes, starts, counts))
+        return none, none.astype(np.uint64), none, none, none.astype(np.uint64)
+    return np.concatenate(rows), *(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _strings_of(texts, rows, starts, counts, span):
+    """Runs taken apart into their strings: row, hash of the whole string, start."""
+    of, at = np.repeat(rows, counts), np.repeat(starts - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+    hashes = np.empty(len(of), np.uint64)
+    for row, own in _split(of):  # rows stand together
+        hashes[own] = gram_hashes(np.frombuffer(texts[row], np.uint8), span)[at[own]]
+    return of, hashes | _BIT, at
 
 
 def _split(keys: np.ndarray):
@@ -145,54 +165,79 @@ def _split(keys: np.ndarray):
             yield int(keys[a]), slice(a, b)
 
 
-REPORT = "shard bigint, part bigint, data binary"
+REPORT = "shard bigint, part bigint, data binary, sizes binary"
 REPLY = "part bigint, kind int, data binary, more binary"
 CONTENT = "kind int, shard bigint, part bigint, data binary, more binary"
 
 
 def _report(shards, span, gram):
+    """A part's hashes for each shard, and the sizes of those with several contents (place among them, bytes)."""
+
     def run(key, table):
         ids, texts = _texts(table, "id", "text")
-        rows, hashes, _, _ = _part_runs(ids, texts, span, gram)
-        order = np.lexsort((rows, hashes))
-        hashes, rows = hashes[order], rows[order]
-        out = {"shard": [], "part": [], "data": []}
+        rows, hashes, _, counts, signs = _part_runs(ids, texts, span, gram)
+        order = np.argsort(hashes, kind="stable")
+        hashes, rows, counts, signs = hashes[order], rows[order], counts[order], signs[order]
+        out = {"shard": [], "part": [], "data": [], "sizes": []}
         if len(hashes):
             first = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1])))
             last = np.append(first[1:], len(hashes)) - 1
             # The lowest bit of a hash, always set, is cleared where two rows of the part have it.
             told = hashes[first] - (rows[first] != rows[last]).astype(np.uint64)
+            size = np.zeros(len(first), np.int64)
+            place = np.repeat(np.arange(len(first)), last - first + 1)
+            some = np.flatnonzero(np.repeat(last > first, last - first + 1))  # runs that share their hash
+            if len(some):
+                some = some[np.lexsort((signs[some], place[some]))]
+                at, sign = place[some], signs[some]
+                new = np.concatenate(([True], (at[1:] != at[:-1]) | (sign[1:] != sign[:-1])))
+                size = np.bincount(at[new], (counts[some] + span - 1)[new], len(first)).astype(np.int64)
             shard = shard_of(told | _BIT, shards)
             by = np.argsort(shard, kind="stable")
             for s, at in _split(shard[by]):
+                own = by[at]
+                several = np.flatnonzero(size[own] >= 2 * span)
                 out["shard"].append(s)
                 out["part"].append(key[0].as_py())
-                out["data"].append(pack40(told[by[at]]))
-        return pa.table(out, schema=pa.schema([("shard", pa.int64()), ("part", pa.int64()), ("data", pa.binary())]))
+                out["data"].append(pack40(told[own]))
+                out["sizes"].append(pack_rows(several, size[own][several]) if len(several) else b"")
+        return pa.table(out, schema=pa.schema([("shard", pa.int64()), ("part", pa.int64()), ("data", pa.binary()), ("sizes", pa.binary())]))
 
     return run
 
 
-def _answer(table):
-    parts, shards, told = (table.column(c).to_pylist() for c in ("part", "shard", "data"))
-    told = [unpack40(b) for b in told]
-    from_row = np.repeat(np.arange(len(told)), [len(x) for x in told])
-    told = np.concatenate(told)
-    hashes = told | _BIT
-    order = np.argsort(hashes, kind="stable")
-    hashes, many, from_row = hashes[order], (told[order] & _BIT) == 0, from_row[order]
-    first = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1])))
-    size = np.diff(np.append(first, len(hashes)))
-    shared = np.repeat((size > 1) | np.logical_or.reduceat(many, first), size)
-    hashes, from_row = hashes[shared], from_row[shared]
-    by = np.argsort(from_row, kind="stable")
-    out = {"part": [], "kind": [], "data": [], "more": []}
-    for r, at in _split(from_row[by]):
-        out["part"].append(parts[r])
-        out["kind"].append(0)
-        out["data"].append(pack40(hashes[by[at]]))
-        out["more"].append(np.int64(shards[r]).tobytes())
-    return pa.table(out, schema=_reply_schema())
+def _answer(span, hot):
+    """To each part, which of its hashes occur in more than one document (kind 0), and which of these are hot (3)."""
+
+    def run(table):
+        parts, shards, told, listed = (table.column(c).to_pylist() for c in ("part", "shard", "data", "sizes"))
+        told = [unpack40(b) for b in told]
+        sizes = [np.full(len(x), 2 * span, np.int64) for x in told]  # at most, for a hash with one content
+        for size, b in zip(sizes, listed, strict=True):
+            if b:
+                at, bytes_ = unpack_rows(b, 2)
+                size[at] = bytes_
+        from_row = np.repeat(np.arange(len(told)), [len(x) for x in told])
+        told, sizes = np.concatenate(told), np.concatenate(sizes)
+        hashes = told | _BIT
+        order = np.argsort(hashes, kind="stable")
+        hashes, many, from_row, sizes = hashes[order], (told[order] & _BIT) == 0, from_row[order], sizes[order]
+        first = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1])))
+        n = np.diff(np.append(first, len(hashes)))
+        shared = np.repeat((n > 1) | np.logical_or.reduceat(many, first), n)
+        split = np.repeat(np.add.reduceat(sizes, first) > hot, n)
+        out = {"part": [], "kind": [], "data": [], "more": []}
+        for kind, wanted in ((0, shared), (3, shared & split)):
+            some, to = hashes[wanted], from_row[wanted]
+            by = np.argsort(to, kind="stable")
+            for r, at in _split(to[by]):
+                out["part"].append(parts[r])
+                out["kind"].append(kind)
+                out["data"].append(pack40(some[by[at]]))
+                out["more"].append(np.int64(shards[r]).tobytes())
+        return pa.table(out, schema=_reply_schema())
+
+    return run
 
 
 def _reply_schema() -> pa.Schema:
@@ -205,17 +250,26 @@ def _contents(shards, span, gram):
     def run(key, table, replies):
         out = {"kind": [], "shard": [], "part": [], "data": [], "more": []}
         schema = pa.schema([("kind", pa.int32()), ("shard", pa.int64()), ("part", pa.int64()), ("data", pa.binary()), ("more", pa.binary())])
-        blobs, heads = replies.column("data").to_pylist(), replies.column("more").to_pylist()
-        if not table.num_rows or not blobs:
+        told = list(zip(*(replies.column(c).to_pylist() for c in ("kind", "data", "more")), strict=True))
+        if not table.num_rows or not told:
             return pa.table(out, schema=schema)
         part = key[0].as_py()
-        known = np.sort(np.concatenate([_filed(unpack40(b), np.frombuffer(h, np.int64)) for b, h in zip(blobs, heads, strict=True)]))
+        none = [np.empty(0, np.uint64)]
+        known, hot = (np.sort(np.concatenate(none + [_filed(unpack40(b), np.frombuffer(h, np.int64)) for k, b, h in told if k == kind])) for kind in (0, 3))
         ids, texts = _texts(table, "id", "text")
-        rows, hashes, starts, counts = _part_runs(ids, texts, span, gram)
+        rows, hashes, starts, counts, _ = _part_runs(ids, texts, span, gram)
         filed = _filed(hashes, shard_of(hashes, shards))
-        live = known[np.minimum(np.searchsorted(known, filed), len(known) - 1)] == filed
+        live = _among(known, filed)
+        rows, hashes, starts, counts, filed = rows[live], hashes[live], starts[live], counts[live], filed[live]
+        apart = _among(hot, filed)
         del known, filed
-        rows, hashes, starts, counts = rows[live], hashes[live], starts[live], counts[live]
+        if apart.any():
+            of, own, at = _strings_of(texts, rows[apart], starts[apart], counts[apart], span)
+            rows, hashes, starts, counts = (np.concatenate((x[~apart], y)) for x, y in ((rows, of), (hashes, own), (starts, at), (counts, np.ones(len(of), np.int64))))
+            rank = np.empty(len(ids), np.int64)
+            rank[_order(ids, texts)] = np.arange(sum(x is not None for x in ids))
+            by = np.lexsort((starts, rank[rows]))
+            rows, hashes, starts, counts = rows[by], hashes[by], starts[by], counts[by]
         number: dict[bytes, int] = {}
         least: list[int] = []
         shard: list[int] = []
@@ -242,7 +296,7 @@ def _contents(shards, span, gram):
             out["kind"].append(1)
             out["shard"].append(0)
             out["part"].append(part)
-            out["data"].append(pack_rows(rows_rank(ids, texts, rows), starts, which))
+            out["data"].append(pack_rows(rows_rank(ids, texts, rows), starts, which, counts))
             out["more"].append(b"")
         return pa.table(out, schema=schema)
 
@@ -359,23 +413,18 @@ def marked_spans(rank, starts, which, counts, triples, id_of_rank, span):
     return r[firsts], a[firsts], b[np.append(firsts[1:], len(r)) - 1]
 
 
-def _cut(span, gram, id_col, text_col, out, schema_names):
+def _cut(span, id_col, text_col, out, schema_names):
     kind = pa.struct([("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), ("kept", pa.binary())])
 
     def run(key, table, messages):
         ids, texts = _texts(table, id_col, text_col)
         spans: dict[int, list[tuple[int, int]]] = {}
         kinds, blobs = messages.column("kind").to_pylist(), messages.column("data").to_pylist()
-        where = [unpack_rows(b) for k, b in zip(kinds, blobs, strict=True) if k == 1]
+        where = [unpack_rows(b, 4) for k, b in zip(kinds, blobs, strict=True) if k == 1]
         told = [unpack_rows(b) for k, b in zip(kinds, blobs, strict=True) if k == 2]
         if where and told and table.num_rows:
-            rank, starts, which = where[0]
+            rank, starts, which, counts = where[0]
             order = _order(ids, texts)
-            rows, _, all_starts, all_counts = _part_runs(ids, texts, span, gram)
-            place = np.empty(len(ids), np.int64)
-            place[order] = np.arange(len(order))
-            key_all = place[rows] * (1 << 40) + all_starts
-            counts = all_counts[np.searchsorted(key_all, rank * (1 << 40) + starts)]
             id_of_rank = np.array([ids[i] for i in order], np.int64)
             for r, a, b in zip(*(x.tolist() for x in marked_spans(rank, starts, which, counts, np.concatenate(told, axis=1), id_of_rank, span)), strict=True):
                 spans.setdefault(order[r], []).append((a, b))
@@ -393,23 +442,22 @@ def _cut(span, gram, id_col, text_col, out, schema_names):
     return run
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 50, gram: int = 16, out: str = "repeats") -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 50, gram: int = 16, out: str = "repeats", hot: int = HOT_BYTES) -> DataFrame:
     """All rows and columns of docs, and a struct `out`: n_bytes, n_removed, spans (array of start, stop; ascending,
-    not touching) and kept (the remaining bytes, which may split a character)."""
+    not touching) and kept (the remaining bytes, which may split a character). hot: see HOT_BYTES."""
     if not 1 <= gram <= span:
         raise ValueError("gram must be from 1 to span")
-    parts = parts_for(lean_batches(docs), PART_BYTES)
+    parts = parts_for(docs, PART_BYTES)
     shards = max(LEAST_SHARDS, parts_for(docs, SHARD_BYTES, floor=0) or 4 * parts)
     part, out = free_name(docs, "part"), free_name(docs, out)
     dealt = docs.withColumn(part, F.pmod(F.xxhash64(id_col, text_col), F.lit(parts)))
     lean = dealt.select(F.col(part).alias("part"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    replies = lean.groupBy("part").applyInArrow(_report(shards, span, gram), REPORT).groupBy("shard").applyInArrow(_answer, REPLY)
+    replies = lean.groupBy("part").applyInArrow(_report(shards, span, gram), REPORT).groupBy("shard").applyInArrow(_answer(span, hot), REPLY)
     messages = materialise(lean.groupBy("part").cogroup(replies.groupBy("part")).applyInArrow(_contents(shards, span, gram), CONTENT), "contents")
-    drop_finished(docs.sparkSession)
     holders = messages.where("kind = 0").groupBy("shard").applyInArrow(_holders(span), REPLY)
     told = messages.where("kind = 1").select("part", "kind", "data", "more").unionByName(holders)
     schema = T.StructType([*docs.schema.fields, T.StructField(out, T.StructType.fromDDL("n_bytes bigint, n_removed bigint, spans array<struct<start: bigint, stop: bigint>>, kept binary"))])
-    return dealt.groupBy(part).cogroup(told.groupBy("part")).applyInArrow(_cut(span, gram, id_col, text_col, out, docs.columns), schema)
+    return dealt.groupBy(part).cogroup(told.groupBy("part")).applyInArrow(_cut(span, id_col, text_col, out, docs.columns), schema)
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -1,18 +1,16 @@
-"""Suffix arrays by induced sorting, and permuted common prefixes, as whole-array numpy steps.
+"""Suffix arrays by induced sorting, at every level of the recursion, and permuted common prefixes.
 
-Induced sorting scans the suffix array once to the right and once to the left. What a scan does inside one
-bucket only depends on buckets it has passed, so each bucket is one batch: its entries' left neighbours are
-looked up, split by character with a stable sort, and appended to later buckets. Runs of one character are
-the only entries that extend the bucket at hand; they take a further round for each repetition.
+Induced sorting scans the suffix array once to the right and once to the left; each entry tells the place of its
+left neighbour. What a scan does inside one bucket depends on buckets it has passed and on runs of the bucket's own
+symbol alone. So a scan takes as many buckets at once as don't induce into each other, as whole-array numpy steps:
+a few hundred batches for the many different names of a deep level, and a bucket each for bytes. Of n symbols in
+which neighbours fall at random, about the root of n batches are needed; each bucket is one at worst.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Beyond this many distinct symbols a scan by bucket costs more than it saves; see order_of_names.
-MAX_BUCKETS = 4096
-
 
 def classify(text: np.ndarray) -> np.ndarray:
     """True where a suffix is smaller than its right neighbour (S-type). The last symbol must be the unique least."""
@@ -28,61 +26,81 @@ def classify(text: np.ndarray) -> np.ndarray:
     return rises[nearest]
 
 
-def induce(text: np.ndarray, small: np.ndarray, seeds: np.ndarray, size: int) -> np.ndarray:
-    """All suffixes in the order that the leftmost-smaller ones in seeds imply; seeds are in order within a bucket."""
-    by = np.argsort(text[seeds], kind="stable")
-    grouped = seeds[by]
-    ends = np.searchsorted(text[grouped], np.arange(size + 1))
-    left: list[list[np.ndarray]] = [[] for _ in range(size)]
-    right: list[list[np.ndarray]] = [[] for _ in range(size)]
-
-    def spread(entries: np.ndarray, bucket: int, wanted: bool, into: list[list[np.ndarray]]) -> np.ndarray:
-        """Put left neighbours of the wanted type into their buckets; return those of this very bucket."""
+def _batches(highest: np.ndarray, present: np.ndarray) -> list[int]:
+    """First buckets of batches: a batch ends before a bucket that a bucket of the batch induces into. highest: for
+    each bucket the greatest smaller symbol that follows its own somewhere (-1: none)."""
+    cuts, first = [0], 0
+    for c, d in zip(present.tolist(), highest[present].tolist(), strict=True):
+        if d >= first and c > first:
+            cuts.append(c)
+            first = c
+    return cuts
+
+
+def _ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... (count[0] numbers), first[1], ..."""
+    ends = np.cumsum(count)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - count), count)
+
+
+def _scan(text: np.ndarray, mine: np.ndarray, order: np.ndarray, size: int) -> None:
+    """One scan to the right: places the suffixes marked mine, which are greater than their right neighbours, behind
+    what is placed already (at the ends of buckets; -1: nothing), in order."""
+    n = len(text)
+    here = np.arange(n)
+    changes = np.concatenate(([True], text[1:] != text[:-1]))
+    # How many of the symbol stand directly before a position.
+    before_run = here - np.maximum.accumulate(np.where(changes, here, 0))
+    closes = np.append(changes[1:], True)
+    total = np.bincount(text, minlength=size)
+    start = np.append(0, np.cumsum(total))
+    n_base = np.bincount(text[mine & closes], minlength=size)
+    n_more = np.bincount(text[mine & ~closes], minlength=size)
+    base_slots, more_slots = _ranges(start[:-1], n_base), _ranges(start[:-1] + n_base, n_more)
+    base_at, more_at = np.append(0, np.cumsum(n_base)), np.append(0, np.cumsum(n_more))
+    falls = np.flatnonzero(text[:-1] > text[1:])
+    highest = np.full(size, -1, np.int64)
+    np.maximum.at(highest, text[falls], text[falls + 1].astype(np.int64))
+    heads = start[:-1].copy()
+    cuts = _batches(highest, np.flatnonzero(total))
+    for low, high in zip(cuts, [*cuts[1:], size], strict=True):
+        if more_at[low] < more_at[high]:
+            # Suffixes that begin with one more of the bucket's symbol follow all that begin with one less.
+            base = order[base_slots[base_at[low] : base_at[high]]]
+            times = before_run[base]
+            of = np.repeat(base, times)
+            nth = _ranges(np.ones(len(base), np.int64), times)
+            order[more_slots[more_at[low] : more_at[high]]] = (of - nth)[np.lexsort((nth, text[of]))]
+        entries = order[start[low] : start[high]]
         before = entries[entries > 0] - 1
-        before = before[small[before] == wanted]
-        if not len(before):
-            return before
+        before = before[text[before] > text[before + 1]]
         symbols = text[before]
-        own = symbols == bucket
-        again = before[own] if own.any() else before[:0]
-        if len(again):
-            before, symbols = before[~own], symbols[~own]
+        by = np.argsort(symbols, kind="stable")
+        before, symbols = before[by], symbols[by]
         if len(before):
-            order = np.argsort(symbols, kind="stable")
-            before, symbols = before[order], symbols[order]
-            cuts = np.flatnonzero(symbols[1:] != symbols[:-1]) + 1
-            for piece, symbol in zip(np.split(before, cuts), symbols[np.concatenate(([0], cuts))], strict=True):
-                into[symbol].append(piece)
-        return again
-
-    none = np.empty(0, np.int64)
-    larger: list[np.ndarray] = []
-    for bucket in range(size):
-        found = left[bucket]
-        step = np.concatenate(found) if found else none
-        rounds = [step]
-        while len(step):
-            step = spread(step, bucket, False, left)
-            rounds.append(step)
-        larger.append(np.concatenate(rounds) if len(rounds) > 2 else rounds[0])
-        left[bucket] = []
-        spread(grouped[ends[bucket] : ends[bucket + 1]], bucket, False, left)
-    parts: list[np.ndarray] = []
-    for bucket in range(size - 1, -1, -1):
-        found = right[bucket]
-        step = np.concatenate(found) if found else none
-        if bucket == 0:
-            step = grouped[ends[0] : ends[1]]  # the final symbol, which nothing precedes in order
-        rounds = [step]
-        while len(step):
-            step = spread(step, bucket, True, right)
-            rounds.append(step)
-        right[bucket] = []
-        smaller = np.concatenate(rounds) if len(rounds) > 2 else rounds[0]
-        spread(larger[bucket][::-1], bucket, True, right)
-        parts.append(smaller[::-1])
-        parts[-1] = np.concatenate((larger[bucket], parts[-1]))
-    return np.concatenate(parts[::-1])
+            first = np.flatnonzero(np.concatenate(([True], symbols[1:] != symbols[:-1])))
+            count, found = np.diff(np.append(first, len(symbols))), symbols[first]
+            order[_ranges(heads[found], count)] = before
+            heads[found] += count
+
+
+def induce(text: np.ndarray, small: np.ndarray, seeds: np.ndarray, size: int) -> np.ndarray:
+    """All suffixes in the order that the leftmost-smaller ones in seeds imply; seeds are in order within a bucket."""
+    n = len(text)
+    order = np.full(n, -1, np.int64)
+    ends = np.cumsum(np.bincount(text, minlength=size))
+    seeds = seeds[np.argsort(text[seeds], kind="stable")]
+    n_seeds = np.bincount(text[seeds], minlength=size)
+    order[_ranges(ends - n_seeds, n_seeds)] = seeds
+    _scan(text, ~small, order, size)
+    n_small = np.bincount(text[small], minlength=size)
+    order[_ranges(ends - n_small, n_small)] = -1
+    order[0] = n - 1
+    # The scan to the left is the same one on mirrored symbols and places.
+    rest = small.copy()
+    rest[-1] = False
+    _scan((size - 1 - text.astype(np.int64)).astype(text.dtype), rest, order[::-1], size)
+    return order
 
 
 def name_substrings(text: np.ndarray, small: np.ndarray, ordered: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -103,50 +121,23 @@ def name_substrings(text: np.ndarray, small: np.ndarray, ordered: np.ndarray, st
     return np.cumsum(new) - 1
 
 
-def order_of_names(names: np.ndarray) -> np.ndarray:
-    """Suffix order of a string of many distinct names: ranks of 1, 2, 4 ... names; only tied suffixes are sorted on."""
-    n = len(names)
-    order = np.argsort(names, kind="stable")
-    rank = np.empty(n, np.int64)
-    fresh = np.concatenate(([True], names[order][1:] != names[order][:-1]))
-    rank[order] = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
-    width = 1
-    while True:
-        tied = ~(fresh & np.append(fresh[1:], True))
-        slots = np.flatnonzero(tied)
-        if not len(slots):
-            return order
-        at = order[slots]
-        ahead = at + width
-        second = np.where(ahead < n, rank[np.minimum(ahead, n - 1)], -1)
-        key = rank[at] * (n + 1) + second + 1
-        again = np.argsort(key, kind="stable")
-        at, key = at[again], key[again]
-        order[slots] = at
-        split = np.concatenate(([True], key[1:] != key[:-1]))
-        fresh[slots] |= split
-        rank[at] = slots[np.maximum.accumulate(np.where(split, np.arange(len(at)), 0))]
-        width *= 2
-
-
 def suffix_array(text: np.ndarray) -> np.ndarray:
     """Suffix array of non-negative symbols of which the last is the unique least.
 
     Empty and one-symbol inputs are their own order. Substrings between leftmost-smaller positions are sorted by
-    one induction and named; equal names call this again on the string of names (or, with more distinct names
-    than MAX_BUCKETS, order_of_names), and a second induction places all suffixes.
+    one induction and named; if names are equal, this calls itself on the string of names, and a second induction
+    places all suffixes.
     """
     n = len(text)
     if n < 3:
         return np.arange(n, dtype=np.int64)[::-1].copy()
     size = int(text.max()) + 1
-    if size > MAX_BUCKETS:
-        return order_of_names(text)
+    text = text.astype(np.uint16 if size <= 1 << 16 else np.int64)  # symbols of 16 bits are sorted by radix
     small = classify(text)
     starts = np.flatnonzero(small[1:] & ~small[:-1]) + 1
-    if len(starts) < 2:
-        return induce(text, small, starts, size)
     rough = induce(text, small, starts, size)
+    if len(starts) < 2:
+        return rough
     is_start = np.zeros(n, bool)
     is_start[starts] = True
     ordered = rough[is_start[rough]]

@@ -14,6 +14,7 @@ import pytest
 import tiktoken
 import xxhash
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from coordwave.llm import byte_bpe, chat, language, mixing, plane_files, quality, queries, simhash, suffix_dedup, suffix_sort, top_k, toxicity
 from coordwave.llm.common import free_name, table
@@ -27,7 +28,7 @@ def awkward_rows():
     words = ["alpha", "Beta", "γάμμα", "delta!", "ein", "zwölf", "<tag>", "x" * 30, "了解", "\x1c", "'s"]
     prose = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 160))) for _ in range(24)]
     shared = "this passage of well over fifty bytes stands in several documents, word for word. "
-    texts = [*prose, None, "", "   \n\t ", "a", "ab cd", "line\nline\nline\n", "na " * 120, shared + prose[0], prose[1] + shared, shared * 3, prose[2], prose[2], "é" * 40, "\\### Assistant: </turn>", " lead", "trail ", "two  spaces \n\n", "very long " + " ".join(str(i * i) for i in range(30000))]
+    texts = [*prose, None, "", "   \n\t ", "a", "ab cd", "line\nline\nline\n", "na " * 120, shared + prose[0], prose[1] + shared, shared * 3, prose[2], prose[2], "é" * 40, "\\### Assistant: </turn>", "end <|endoftext|>of<|startoftext|> and <|ENDOFTEXT|> Text", " lead", "trail ", "two  spaces \n\n", "very long " + " ".join(str(i * i) for i in range(30000))]
     rows = [(i, t, ["en", "de", None][i % 3], "s", None if t is None else len(t)) for i, t in enumerate(texts)]
     rows += [rows[3], rows[3], (None, "no id " * 20, None, None, None), (None, None, "en", "s", 0), (900, "é" * 40 + "ü" * 9, "de", None, 3), (-5, shared, "en", "s", 1)]
     return rows
@@ -82,14 +83,15 @@ def test_repeats_with_other_spans(spark):
     rng = random.Random(3)
     rows = [(i, "".join(rng.choice("ab") for _ in range(rng.randint(0, 90)))) for i in range(30)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = sorted((r.doc_id, r.repeats.n_bytes, r.repeats.n_removed, len(r.repeats.spans), sha(bytes(r.repeats.kept))) for r in suffix_dedup.remove_repeats(docs, span=9, gram=4).collect())
-    assert got == sorted(brute_repeats(rows, 9))
+    for hot in (suffix_dedup.HOT_BYTES, 60, 0):  # no hash, some, and all are split
+        got = sorted((r.doc_id, r.repeats.n_bytes, r.repeats.n_removed, len(r.repeats.spans), sha(bytes(r.repeats.kept))) for r in suffix_dedup.remove_repeats(docs, span=9, gram=4, hot=hot).collect())
+        assert got == sorted(brute_repeats(rows, 9))
 
 
 def test_suffix_array_and_prefixes():
     rng = np.random.default_rng(1)
-    for _ in range(200):
-        text = np.append(rng.integers(1, rng.integers(2, 6), rng.integers(1, 60)), 0)
+    for k in range(400):
+        text = np.append(rng.integers(1, rng.integers(2, (6, 300, 70_000)[k % 3]), rng.integers(1, 60)), 0)
         order = suffix_sort.suffix_array(text)
         plain = sorted(range(len(text)), key=lambda i: text[i:].tolist())
         assert order.tolist() == plain
@@ -99,6 +101,24 @@ def test_suffix_array_and_prefixes():
             assert shared[b] == next((k for k, (p, q) in enumerate(zip(x, y)) if p != q), min(len(x), len(y)))
 
 
+def test_suffix_array_recurses_on_many_names(monkeypatch):
+    """Induced sorting all the way down, for a string with tens of thousands of different names."""
+    rng, sizes, induce = np.random.default_rng(2), [], suffix_sort.induce
+    monkeypatch.setattr(suffix_sort, "induce", lambda t, *x: sizes.append((len(t), x[-1])) or induce(t, *x))
+    part = rng.integers(1, 30, 60_000)
+    text = np.concatenate((part, part[7:], np.full(500, 3), part[:20_000], [0]))
+    order = suffix_sort.suffix_array(text)
+    data = (text.astype(">u2")).tobytes()
+    assert all(data[2 * a : 2 * a + 200] <= data[2 * b : 2 * b + 200] for a, b in zip(order[:-1].tolist(), order[1:].tolist()))
+    assert sorted(order.tolist()) == list(range(len(text))) and len({n for n, _ in sizes}) > 3 and max(s for _, s in sizes) > 10_000
+    shared = suffix_sort.common_prefixes(text, order)
+    rank = np.argsort(order)
+    for b in rng.integers(0, len(text), 300).tolist():
+        if rank[b]:
+            a, k = int(order[rank[b] - 1]), int(shared[b])
+            assert (text[a : a + k] == text[b : b + k]).all() and text[a + k] < text[b + k]
+
+
 def brute_fingerprint(text, width=3):
     words = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode())
     words = [bytes(c + 32 if 65 <= c <= 90 else c for c in w) for w in words]
@@ -224,7 +244,10 @@ def test_transducer_on_random_text_and_full_tables():
     ranks = byte_bpe.read_ranks(BYTE_BPE)
     library = tiktoken.Encoding("test", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     own = byte_bpe.Codec(ranks, public_tokenizers.PATTERN)
-    own.transducer.most_states = 500  # tables are dropped often
+    own.transducer.most_states = 500  # tables are dropped often, in the middle of pieces too
+    for size in (1, 50, 2000):
+        word = "".join(random.Random(size).choice("abcdefgh") for _ in range(size))
+        assert own.transducer.encode_piece(word.encode()) == library.encode_ordinary(word)
     rng = random.Random(11)
     letters = [chr(i) for i in range(1, 0x250)] + list("漢字かな한국어😀́  \n\n '")
     for k in range(3000):
@@ -237,10 +260,15 @@ def test_utf8_machine_waits_for_cut_characters():
     machine, text = byte_bpe.Utf8Machine(), "aé了😀z"
     assert "".join(machine.feed(bytes([b])) for b in text.encode()) + machine.finish() == text
     assert machine.feed(b"\xff\xe4") == "�" and machine.finish() == "�"
+    rng = random.Random(8)
+    for _ in range(3000):
+        data = bytes(rng.choice([rng.randrange(256), 0xE0, 0xED, 0xF0, 0xF4, 0x80, 0x9F, 0xA0, 65]) for _ in range(rng.randint(0, 8)))
+        machine = byte_bpe.Utf8Machine()
+        assert machine.feed(data) + machine.finish() == data.decode("utf-8", "replace")
 
 
 def test_plane_files_equal_library(awkward):
-    tokenizer = plane_files.encoder(WORD_BPE).tokenizer
+    tokenizer = Tokenizer.from_file(WORD_BPE)
     rows = sorted(((i, t) for i, t, *_ in awkward_rows()), key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, (r[1] or "").encode()))
     start, wanted = 0, []
     for i, t in rows:
@@ -251,6 +279,15 @@ def test_plane_files_equal_library(awkward):
     assert sorted(got, key=repr) == sorted(wanted, key=repr)
 
 
+def test_words_with_special_tokens_equal_library():
+    tokenizer, own, rng = Tokenizer.from_file(WORD_BPE), plane_files.WordEncoder(WORD_BPE), random.Random(4)
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|", "|>", "A", "bc", " ", "\n", "é", "'S", "1", "."]
+    for _ in range(2000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 12)))
+        counts, ids = own.encode([text], 1)
+        assert ids.tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 1] and counts.tolist() == [len(ids)]
+
+
 @pytest.mark.parametrize("bits", [1, 8])
 def test_planes_round_trip(bits, tmp_path):
     rng = np.random.default_rng(bits)
