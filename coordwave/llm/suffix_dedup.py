@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, materialise, parts_for
+from .common import free_name, parts_for
 from .suffix_sort import common_prefixes, suffix_array
 
 #: Bytes of the documents table in a part (as many parts as shuffle partitions at least) and for each shard.
@@ -167,14 +167,14 @@ def _split(keys: np.ndarray):
 
 REPORT = "shard bigint, part bigint, data binary, sizes binary"
 REPLY = "part bigint, kind int, data binary, more binary"
-CONTENT = "kind int, shard bigint, part bigint, data binary, more binary"
+CONTENT = "shard bigint, part bigint, data binary, more binary"
 
 
-def _report(shards, span, gram):
+def _report(shards, span, gram, id_col, text_col):
     """A part's hashes for each shard, and the sizes of those with several contents (place among them, bytes)."""
 
     def run(key, table):
-        ids, texts = _texts(table, "id", "text")
+        ids, texts = _texts(table, id_col, text_col)
         rows, hashes, _, counts, signs = _part_runs(ids, texts, span, gram)
         order = np.argsort(hashes, kind="stable")
         hashes, rows, counts, signs = hashes[order], rows[order], counts[order], signs[order]
@@ -244,19 +244,20 @@ def _reply_schema() -> pa.Schema:
     return pa.schema([("part", pa.int64()), ("kind", pa.int32()), ("data", pa.binary()), ("more", pa.binary())])
 
 
-def _contents(shards, span, gram):
-    """Kind 0: contents for a shard (data) with minimal ids, numbers and lengths (more). Kind 1: where they occur."""
+def _contents(shards, span, gram, id_col, text_col):
+    """Contents for a shard (data) with minimal ids, numbers and lengths (more); and, under the negative shard
+    -1 - part, where they occur, for the part itself."""
 
     def run(key, table, replies):
-        out = {"kind": [], "shard": [], "part": [], "data": [], "more": []}
-        schema = pa.schema([("kind", pa.int32()), ("shard", pa.int64()), ("part", pa.int64()), ("data", pa.binary()), ("more", pa.binary())])
+        out = {"shard": [], "part": [], "data": [], "more": []}
+        schema = pa.schema([("shard", pa.int64()), ("part", pa.int64()), ("data", pa.binary()), ("more", pa.binary())])
         told = list(zip(*(replies.column(c).to_pylist() for c in ("kind", "data", "more")), strict=True))
         if not table.num_rows or not told:
             return pa.table(out, schema=schema)
         part = key[0].as_py()
         none = [np.empty(0, np.uint64)]
         known, hot = (np.sort(np.concatenate(none + [_filed(unpack40(b), np.frombuffer(h, np.int64)) for k, b, h in told if k == kind])) for kind in (0, 3))
-        ids, texts = _texts(table, "id", "text")
+        ids, texts = _texts(table, id_col, text_col)
         rows, hashes, starts, counts, _ = _part_runs(ids, texts, span, gram)
         filed = _filed(hashes, shard_of(hashes, shards))
         live = _among(known, filed)
@@ -287,14 +288,12 @@ def _contents(shards, span, gram):
         by = np.argsort(shard_a, kind="stable")
         for s, cut in _split(shard_a[by]):
             own = by[cut]
-            out["kind"].append(0)
             out["shard"].append(s)
             out["part"].append(part)
             out["data"].append(pack.compress(b"".join([contents[i] for i in own.tolist()])))
             out["more"].append(pack_rows(least_a[own], own, lengths[own]))
         if len(rows):
-            out["kind"].append(1)
-            out["shard"].append(0)
+            out["shard"].append(-1 - part)
             out["part"].append(part)
             out["data"].append(pack_rows(rows_rank(ids, texts, rows), starts, which, counts))
             out["more"].append(b"")
@@ -338,10 +337,14 @@ def smallest_holders(contents: list[bytes], least: np.ndarray, span: int) -> np.
 
 
 def _holders(span):
-    """Per part and content: (number, first start, least id) wherever the least id changes along a content."""
+    """Per part and content: (number, first start, least id) wherever the least id changes along a content (kind 2).
+    What a part tells itself is handed on (kind 1)."""
 
-    def run(table):
+    def run(key, table):
         parts = table.column("part").to_pylist()
+        if key[0].as_py() < 0:
+            n = len(parts)
+            return pa.table({"part": parts, "kind": [1] * n, "data": table.column("data"), "more": [b""] * n}, schema=_reply_schema())
         blobs, heads = table.column("data").to_pylist(), table.column("more").to_pylist()
         own: dict[bytes, int] = {}
         least: list[int] = []
@@ -450,14 +453,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     parts = parts_for(docs, PART_BYTES)
     shards = max(LEAST_SHARDS, parts_for(docs, SHARD_BYTES, floor=0) or 4 * parts)
     part, out = free_name(docs, "part"), free_name(docs, out)
-    dealt = docs.withColumn(part, F.pmod(F.xxhash64(id_col, text_col), F.lit(parts)))
-    lean = dealt.select(F.col(part).alias("part"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    replies = lean.groupBy("part").applyInArrow(_report(shards, span, gram), REPORT).groupBy("shard").applyInArrow(_answer(span, hot), REPLY)
-    messages = materialise(lean.groupBy("part").cogroup(replies.groupBy("part")).applyInArrow(_contents(shards, span, gram), CONTENT), "contents")
-    holders = messages.where("kind = 0").groupBy("shard").applyInArrow(_holders(span), REPLY)
-    told = messages.where("kind = 1").select("part", "kind", "data", "more").unionByName(holders)
+    # One shuffle of the documents serves all three passes.
+    dealt = docs.withColumn(part, F.pmod(F.xxhash64(id_col, text_col), F.lit(parts))).groupBy(part)
+    reports = dealt.applyInArrow(_report(shards, span, gram, id_col, text_col), REPORT)
+    replies = reports.groupBy("shard").applyInArrow(_answer(span, hot), REPLY)
+    messages = dealt.cogroup(replies.groupBy("part")).applyInArrow(_contents(shards, span, gram, id_col, text_col), CONTENT)
+    told = messages.groupBy("shard").applyInArrow(_holders(span), REPLY)
     schema = T.StructType([*docs.schema.fields, T.StructField(out, T.StructType.fromDDL("n_bytes bigint, n_removed bigint, spans array<struct<start: bigint, stop: bigint>>, kept binary"))])
-    return dealt.groupBy(part).cogroup(told.groupBy("part")).applyInArrow(_cut(span, id_col, text_col, out, docs.columns), schema)
+    return dealt.cogroup(told.groupBy("part")).applyInArrow(_cut(span, id_col, text_col, out, docs.columns), schema)
 
 
 def digest(docs: DataFrame) -> DataFrame:

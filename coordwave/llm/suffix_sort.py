@@ -43,71 +43,93 @@ def _ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - count), count)
 
 
-def _scan(text: np.ndarray, mine: np.ndarray, order: np.ndarray, size: int) -> None:
-    """One scan to the right: places the suffixes marked mine, which are greater than their right neighbours, behind
-    what is placed already (at the ends of buckets; -1: nothing), in order."""
-    n = len(text)
-    here = np.arange(n)
-    changes = np.concatenate(([True], text[1:] != text[:-1]))
-    # How many of the symbol stand directly before a position.
-    before_run = here - np.maximum.accumulate(np.where(changes, here, 0))
-    closes = np.append(changes[1:], True)
-    total = np.bincount(text, minlength=size)
-    start = np.append(0, np.cumsum(total))
-    n_base = np.bincount(text[mine & closes], minlength=size)
-    n_more = np.bincount(text[mine & ~closes], minlength=size)
-    base_slots, more_slots = _ranges(start[:-1], n_base), _ranges(start[:-1] + n_base, n_more)
-    base_at, more_at = np.append(0, np.cumsum(n_base)), np.append(0, np.cumsum(n_more))
-    falls = np.flatnonzero(text[:-1] > text[1:])
-    highest = np.full(size, -1, np.int64)
-    np.maximum.at(highest, text[falls], text[falls + 1].astype(np.int64))
-    heads = start[:-1].copy()
-    cuts = _batches(highest, np.flatnonzero(total))
-    for low, high in zip(cuts, [*cuts[1:], size], strict=True):
-        if more_at[low] < more_at[high]:
-            # Suffixes that begin with one more of the bucket's symbol follow all that begin with one less.
-            base = order[base_slots[base_at[low] : base_at[high]]]
-            times = before_run[base]
-            of = np.repeat(base, times)
-            nth = _ranges(np.ones(len(base), np.int64), times)
-            order[more_slots[more_at[low] : more_at[high]]] = (of - nth)[np.lexsort((nth, text[of]))]
-        entries = order[start[low] : start[high]]
-        before = entries[entries > 0] - 1
-        before = before[text[before] > text[before + 1]]
-        symbols = text[before]
-        by = np.argsort(symbols, kind="stable")
-        before, symbols = before[by], symbols[by]
-        if len(before):
-            first = np.flatnonzero(np.concatenate(([True], symbols[1:] != symbols[:-1])))
-            count, found = np.diff(np.append(first, len(symbols))), symbols[first]
-            order[_ranges(heads[found], count)] = before
+class _Scan:
+    """A scan to the right of suffixes of one text: places those marked mine, which are greater than their right
+    neighbours, behind what is placed already (at the ends of buckets; -1: nothing), in order."""
+
+    def __init__(self, text: np.ndarray, mine: np.ndarray, size: int):
+        changes = np.flatnonzero(text[1:] != text[:-1])
+        first, last = np.append(0, changes + 1), np.append(changes, len(text) - 1)
+        long = last > first
+        self.run = np.zeros(len(text), np.int32 if len(text) < 1 << 31 else np.int64)
+        self.run[last[long]] = (last - first)[long]  # at a run's end: how many of its symbol stand before
+        self.start = np.append(0, np.cumsum(np.bincount(text, minlength=size)))
+        total = np.bincount(text[mine], minlength=size)
+        inner = mine[:-1] & (text[1:] == text[:-1])
+        more = np.bincount(text[:-1][inner], minlength=size)
+        self.base_slots, self.more_slots = _ranges(self.start[:-1], total - more), _ranges(self.start[:-1] + total - more, more)
+        self.base_at, self.more_at = np.append(0, np.cumsum(total - more)), np.append(0, np.cumsum(more))
+        falls = np.flatnonzero(text[:-1] > text[1:])
+        highest = np.full(size, -1, np.int64)
+        np.maximum.at(highest, text[falls], text[falls + 1].astype(np.int64))
+        self.left = np.append(text[-1:], text[:-1])  # the symbol before a position
+        self.larger = np.zeros(len(text) + 1, bool)  # whether that one is larger; the last place answers for -1, nothing
+        self.larger[falls + 1] = True
+        cuts = _batches(highest, np.flatnonzero(self.start[1:] > self.start[:-1]))
+        self.batches = list(zip(cuts, [*cuts[1:], size], strict=True))
+
+    def __call__(self, order: np.ndarray) -> None:
+        start, base_at, more_at, left, larger = self.start, self.base_at, self.more_at, self.left, self.larger
+        heads = start[:-1].copy()
+        for low, high in self.batches:
+            if more_at[low] < more_at[high]:
+                # Suffixes that begin with one more of the bucket's symbol follow all that begin with one less.
+                base = order[self.base_slots[base_at[low] : base_at[high]]]
+                times = self.run[base]
+                base, times = base[times > 0], times[times > 0]
+                more = np.repeat(base, times)
+                if times.max() > 1:
+                    nth = _ranges(np.ones(len(base), np.int64), times)
+                    more = (more - nth)[np.lexsort((nth, left[more]))]
+                else:
+                    more -= 1
+                order[self.more_slots[more_at[low] : more_at[high]]] = more
+            entries = order[start[low] : start[high]]
+            entries = entries[larger[entries]]
+            if not len(entries):
+                continue
+            symbols = left[entries]
+            by = np.argsort(symbols, kind="stable")
+            symbols = symbols[by]
+            first = np.append(0, np.flatnonzero(symbols[1:] != symbols[:-1]) + 1)
+            count, found = np.diff(first, append=len(symbols)), symbols[first]
+            slots = np.arange(len(symbols)) + np.repeat(heads[found] - first, count)
+            order[slots] = entries[by] - 1
             heads[found] += count
 
 
-def induce(text: np.ndarray, small: np.ndarray, seeds: np.ndarray, size: int) -> np.ndarray:
-    """All suffixes in the order that the leftmost-smaller ones in seeds imply; seeds are in order within a bucket."""
-    n = len(text)
-    order = np.full(n, -1, np.int64)
-    ends = np.cumsum(np.bincount(text, minlength=size))
-    seeds = seeds[np.argsort(text[seeds], kind="stable")]
-    n_seeds = np.bincount(text[seeds], minlength=size)
-    order[_ranges(ends - n_seeds, n_seeds)] = seeds
-    _scan(text, ~small, order, size)
-    n_small = np.bincount(text[small], minlength=size)
-    order[_ranges(ends - n_small, n_small)] = -1
-    order[0] = n - 1
-    # The scan to the left is the same one on mirrored symbols and places.
-    rest = small.copy()
-    rest[-1] = False
-    _scan((size - 1 - text.astype(np.int64)).astype(text.dtype), rest, order[::-1], size)
-    return order
+class _Induction:
+    """Induced sorting of one text: all suffixes in the order that its leftmost-smaller ones imply."""
+
+    def __init__(self, text: np.ndarray, small: np.ndarray, size: int):
+        self.text, self.size = text, size
+        self.ends = np.cumsum(np.bincount(text, minlength=size))
+        self.n_small = np.bincount(text[small], minlength=size)
+        rest = small.copy()
+        rest[-1] = False
+        self.right = _Scan(text, ~small, size)
+        # The scan to the left is the same one on mirrored symbols and places.
+        self.mirrored = _Scan((size - 1 - text.astype(np.int64)).astype(text.dtype), rest, size)
+
+    def __call__(self, seeds: np.ndarray) -> np.ndarray:
+        """seeds: the leftmost-smaller suffixes, in order within a bucket."""
+        order = np.full(len(self.text), -1, np.int64)
+        seeds = seeds[np.argsort(self.text[seeds], kind="stable")]
+        n_seeds = np.bincount(self.text[seeds], minlength=self.size)
+        order[_ranges(self.ends - n_seeds, n_seeds)] = seeds
+        self.right(order)
+        order[_ranges(self.ends - self.n_small, self.n_small)] = -1
+        order[0] = len(self.text) - 1
+        self.mirrored(order[::-1])
+        return order
 
 
 def name_substrings(text: np.ndarray, small: np.ndarray, ordered: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Names (from 0, equal for equal substrings) of the leftmost-smaller substrings, given in order."""
     n = len(text)
-    following = np.searchsorted(starts, ordered, side="right")
-    length = np.where(following < len(starts), starts[np.minimum(following, len(starts) - 1)], n - 1) - ordered
+    lengths = np.zeros(n, np.int64)
+    lengths[starts] = np.append(starts[1:], n - 1) - starts
+    length = lengths[ordered]
     new = np.ones(len(ordered), bool)
     live = np.flatnonzero(length[1:] == length[:-1]) + 1
     offset = 0
@@ -135,7 +157,8 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     text = text.astype(np.uint16 if size <= 1 << 16 else np.int64)  # symbols of 16 bits are sorted by radix
     small = classify(text)
     starts = np.flatnonzero(small[1:] & ~small[:-1]) + 1
-    rough = induce(text, small, starts, size)
+    induce = _Induction(text, small, size)
+    rough = induce(starts)
     if len(starts) < 2:
         return rough
     is_start = np.zeros(n, bool)
@@ -145,8 +168,26 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     if names[-1] + 1 < len(starts):
         place = np.empty(n, np.int64)
         place[ordered] = names
-        ordered = starts[suffix_array(place[starts])]
-    return induce(text, small, ordered, size)
+        ordered = _resolve(place[starts], starts, ordered, names)
+    return induce(ordered)
+
+
+def _resolve(string: np.ndarray, starts: np.ndarray, ordered: np.ndarray, names: np.ndarray) -> np.ndarray:
+    """The substrings of `ordered` in the order of their suffixes, by the suffix array of the string of names. No
+    comparison goes beyond a name that occurs once, so of such names in a row only the first (and the last of all,
+    which ends the string) are kept in it."""
+    once = np.bincount(string) == 1
+    alone = once[string]
+    kept = np.ones(len(string), bool)
+    kept[1:] = ~(alone[1:] & alone[:-1])
+    kept[-1] = True
+    kept = np.flatnonzero(kept)
+    used = np.zeros(len(once), bool)
+    used[string[kept]] = True
+    deeper = kept[suffix_array((np.cumsum(used) - 1)[string[kept]])]
+    result = ordered.copy()
+    result[~once[names]] = starts[deeper[~alone[deeper]]]
+    return result
 
 
 def common_prefixes(text: np.ndarray, order: np.ndarray) -> np.ndarray:

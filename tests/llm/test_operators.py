@@ -103,8 +103,8 @@ def test_suffix_array_and_prefixes():
 
 def test_suffix_array_recurses_on_many_names(monkeypatch):
     """Induced sorting all the way down, for a string with tens of thousands of different names."""
-    rng, sizes, induce = np.random.default_rng(2), [], suffix_sort.induce
-    monkeypatch.setattr(suffix_sort, "induce", lambda t, *x: sizes.append((len(t), x[-1])) or induce(t, *x))
+    rng, sizes, induction = np.random.default_rng(2), [], suffix_sort._Induction
+    monkeypatch.setattr(suffix_sort, "_Induction", lambda t, *x: sizes.append((len(t), x[-1])) or induction(t, *x))
     part = rng.integers(1, 30, 60_000)
     text = np.concatenate((part, part[7:], np.full(500, 3), part[:20_000], [0]))
     order = suffix_sort.suffix_array(text)
