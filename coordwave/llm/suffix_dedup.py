@@ -318,7 +318,9 @@ def smallest_holders(contents: list[bytes], least: np.ndarray, span: int) -> np.
     stops = np.cumsum(lengths + 1) - 1
     body = np.ones(len(joined) - 1, bool)
     body[stops] = False
-    joined[:-1][body] = np.frombuffer(b"".join(contents), np.uint8).astype(np.uint16) + 2
+    data = np.frombuffer(b"".join(contents), np.uint8)
+    # The bytes that occur, from 2 up in their order.
+    joined[:-1][body] = (np.cumsum(np.bincount(data, minlength=256) > 0).astype(np.uint16) + 1)[data]
     joined[:-1][~body] = 1
     order = suffix_array(joined)
     prefix = common_prefixes(joined, order)

@@ -71,6 +71,7 @@ class _Scan:
     def __call__(self, order: np.ndarray) -> None:
         start, base_at, more_at, left, larger = self.start, self.base_at, self.more_at, self.left, self.larger
         heads = start[:-1].copy()
+        fresh, count = np.empty(len(order), bool), np.arange(len(order))
         for low, high in self.batches:
             if more_at[low] < more_at[high]:
                 # Suffixes that begin with one more of the bucket's symbol follow all that begin with one less.
@@ -89,13 +90,17 @@ class _Scan:
             if not len(entries):
                 continue
             symbols = left[entries]
-            by = np.argsort(symbols, kind="stable")
+            by = symbols.argsort(kind="stable")
             symbols = symbols[by]
-            first = np.append(0, np.flatnonzero(symbols[1:] != symbols[:-1]) + 1)
-            count, found = np.diff(first, append=len(symbols)), symbols[first]
-            slots = np.arange(len(symbols)) + np.repeat(heads[found] - first, count)
+            fresh[0] = True
+            new = np.not_equal(symbols[1:], symbols[:-1], out=fresh[1 : len(symbols)])
+            first = fresh[: len(new) + 1].nonzero()[0]
+            found = symbols[first]
+            ends = np.empty_like(first)
+            ends[:-1], ends[-1] = first[1:], len(symbols)
+            slots = (heads[found] - first).repeat(ends - first) + count[: len(symbols)]
             order[slots] = entries[by] - 1
-            heads[found] += count
+            heads[found] = slots[ends - 1] + 1
 
 
 class _Induction:
@@ -154,7 +159,8 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     if n < 3:
         return np.arange(n, dtype=np.int64)[::-1].copy()
     size = int(text.max()) + 1
-    text = text.astype(np.uint16 if size <= 1 << 16 else np.int64)  # symbols of 16 bits are sorted by radix
+    # Narrow symbols are sorted by radix.
+    text = text.astype(np.uint8 if size <= 1 << 8 else np.uint16 if size <= 1 << 16 else np.int64)
     small = classify(text)
     starts = np.flatnonzero(small[1:] & ~small[:-1]) + 1
     induce = _Induction(text, small, size)
