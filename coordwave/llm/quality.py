@@ -1,10 +1,11 @@
 """Quality rules: word and line statistics, and a hashed n-gram log-likelihood ratio of trusted text against the corpus.
 
-Everything on the main path is a DataFrame expression. Words and pairs of words are hashed into BUCKETS; the raw
-multinomial counts them over all documents, the target's over documents that labels call good. A document's
-score is the mean, over its n-grams, of the logarithm of the ratio of the two (smoothed) probabilities; it is
-kept if its base statistics pass and the score is at least THRESHOLD. Counts are exact, so scores depend on
-nothing but the tables.
+Everything on the main path is a DataFrame expression. Words and pairs of words are hashed into buckets, whose number
+grows with the corpus; the raw multinomial counts them over all documents, the target's over documents that labels
+call good. A document's score is the mean, over its n-grams, of the logarithm of the ratio of the two (smoothed)
+probabilities; it is kept if its base statistics pass and the score is at least THRESHOLD. Counts are exact, so
+scores depend on nothing but the tables. No step shuffles texts while the good documents' ids are few enough to be
+sent to all executors.
 """
 
 from __future__ import annotations
@@ -17,8 +18,10 @@ from pyspark.sql import functions as F
 
 from .common import free_name, materialise
 
-#: Hash buckets; the table of log ratios (8 bytes each) goes to each task, so its size is fixed.
-BUCKETS = 1 << 14
+#: Buckets of small corpora; see buckets_for.
+LEAST_BUCKETS = 1 << 14
+#: Ids of good documents (8 bytes each) that are sent to all executors; they are counted first, and joined beyond.
+BROADCAST_IDS = 500_000
 #: Natural logarithm; text like the target scores above 0, lists, shouting and symbol noise from -0.1 down.
 THRESHOLD = -0.1
 #: Words added to each bucket of both multinomials, at the corpus's scale of the target: the prior is the corpus.
@@ -33,36 +36,50 @@ def _words(text: Column) -> Column:
     return F.when(F.length(trimmed) > 0, F.split(trimmed, r"[\x20\x09-\x0D]+", -1)).otherwise(F.array().cast("array<string>"))
 
 
-def _grams(words: str) -> Column:
+def _grams(words: str, buckets: int) -> Column:
     """Bucket numbers of all words and of all pairs of neighbours."""
     w = F.col(words)
-    one = F.transform(w, lambda x: F.pmod(F.xxhash64(x), F.lit(BUCKETS)).cast("int"))
+    one = F.transform(w, lambda x: F.pmod(F.xxhash64(x), F.lit(buckets)).cast("int"))
     pair = F.transform(
         F.when(F.size(w) > 1, F.sequence(F.lit(1), F.size(w) - 1)).otherwise(F.array().cast("array<int>")),
-        lambda i: F.pmod(F.xxhash64(F.get(w, i - 1), F.get(w, i)), F.lit(BUCKETS)).cast("int"),
+        lambda i: F.pmod(F.xxhash64(F.get(w, i - 1), F.get(w, i)), F.lit(buckets)).cast("int"),
     )
     return F.concat(one, pair)
 
 
+def buckets_for(docs: DataFrame, text_col: str = "text") -> int:
+    """The power of two next to the root of the corpus's bytes, as the number of different n-grams grows: 2^15 for a
+    gigabyte of text, 2^24 (128 MB of ratios in each executor) for 100 TB."""
+    size = docs.agg(F.sum(F.octet_length(text_col)).alias("n")).first()["n"] or 0
+    return max(LEAST_BUCKETS, 1 << math.ceil(math.log2(max(1, size)) / 2))
+
+
+def _counts(docs: DataFrame, text_col: str, buckets: int, name: str) -> DataFrame:
+    words = docs.select(_words(F.col(text_col)).alias("words"))
+    return words.select(F.explode(_grams("words", buckets)).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias(name))
+
+
 def log_ratios(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[float] | None:
     """The log ratio of each bucket, from counts over all documents; None if no labelled text is good.
 
-    labels: (doc_id, quality); 1 is good. An id with several labels is good if one of them is. Ids without a
-    document and null ids count for nothing.
+    labels: (doc_id, quality); 1 is good. An id with several labels is good if one of them is; each row with a good
+    id counts. Ids without a document and null ids count for nothing.
     """
-    good = labels.where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("good")).distinct()
-    # The side without texts is hashed, so that the join needn't sort the texts.
-    marked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(good.hint("shuffle_hash"), F.col("id") == F.col("good"), "left")
-    words = marked.select(_words(F.col("text")).alias("words"), F.col("good").isNotNull().cast("long").alias("hit"))
-    counts = words.select(F.explode(_grams("words")).alias("gram"), "hit").groupBy("gram").agg(F.count(F.lit(1)).alias("raw"), F.sum("hit").alias("target"))
-    raw, target = [0] * BUCKETS, [0] * BUCKETS
-    for row in materialise(counts, "grams").collect():  # BUCKETS rows at most
-        raw[row["gram"]] += row["raw"]
-        target[row["gram"]] += row["target"]
-    if not sum(target):
+    spark, buckets = docs.sparkSession, buckets_for(docs, text_col)
+    good = materialise(labels.where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("good")).distinct(), "good")
+    if good.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        good = F.broadcast(good)
+    named = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL")
+    target = _counts(named.join(good, F.col("id") == F.col("good"), "left_semi"), "text", buckets, "target")
+    counts = materialise(_counts(docs, text_col, buckets, "raw").join(target, "gram", "left"), "grams")
+    sums = counts.agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).first()
+    if not sums["target"]:
         return None
-    share = sum(target) / sum(raw)
-    return [math.log((t + SMOOTHING) / (share * r + SMOOTHING)) for t, r in zip(target, raw, strict=True)]
+    share = sums["target"] / sums["raw"]
+    ratio = F.log((F.coalesce("target", F.lit(0)) + SMOOTHING) / (share * F.coalesce("raw", F.lit(0)) + SMOOTHING))
+    every = spark.range(buckets).join(counts, F.col("id") == F.col("gram"), "left").select("id", ratio.alias("ratio"))
+    row = every.agg(F.sort_array(F.collect_list(F.struct("id", "ratio"))).alias("listed")).select(F.transform("listed", lambda x: x["ratio"]).alias("ratios")).first()
+    return row["ratios"]  # buckets numbers
 
 
 def assess(docs: DataFrame, ratios: list[float] | None, text_col: str = "text", out: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
@@ -82,7 +99,7 @@ def assess(docs: DataFrame, ratios: list[float] | None, text_col: str = "text",
         F.when(F.size(w) > 2, F.sequence(F.lit(2), F.size(w) - 1)).otherwise(F.array().cast("array<int>")),
         lambda i: F.xxhash64(F.get(w, i - 2), F.get(w, i - 1), F.get(w, i)),
     )
-    step = step.select("*", hashes.alias(names["windows"]), _grams(names["words"]).alias(names["grams"]))
+    step = step.select("*", hashes.alias(names["windows"]), _grams(names["words"], len(ratios or [0])).alias(names["grams"]))
     # Windows found again stand next to each other when sorted; most texts have none and aren't sorted.
     pairs = F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i")))
     some = F.size(F.array_distinct(windows)) < F.size(windows)
