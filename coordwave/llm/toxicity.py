@@ -1,14 +1,16 @@
 """Toxicity by compression distance: windows of text under a dictionary of ordinary and one of toxic text.
 
-Both zstandard dictionaries are trained on labelled documents. Most of a toxic document is ordinary text, so the
-toxic one is made of the windows around words that many more toxic than ordinary documents have, and is used
-behind the ordinary one, so that both know ordinary text alike and a window's compressed lengths differ only by
-what is typical of toxic text. A document's features are the differences of its windows: the largest, the
-three largest, and the sum over the root of their number. A logistic curve fitted to other labelled documents
-turns them into the score, and the threshold is calibrated on that.
+Both zstandard dictionaries are trained by the library's trainer on labelled documents: the ordinary one on windows
+of ordinary documents, the toxic one on those windows of toxic documents that hold what makes them toxic. Most of a
+toxic document is ordinary text, so these are the words that many more toxic than ordinary documents have, each with
+its neighbours. A window's length under the ordinary dictionary alone is compared with that under both, the toxic
+one behind, so that both sides know ordinary text alike. A document's features are the differences of its windows:
+the largest, the three largest, and the sum over the root of their number. A logistic curve fitted to other labelled
+documents turns them into the score, and the threshold is calibrated on that.
 
 Fitting uses at most SAMPLE labelled documents of each class, those least by a hash of their id among texts of
-up to SAMPLE_CHARS characters, and runs on the driver in bounded memory. Every text is scored whole.
+up to SAMPLE_CHARS characters, and runs on the driver in bounded memory. Every text is scored whole, window by
+window, so a very long one needs memory for its bytes and a number a window.
 """
 
 from __future__ import annotations
@@ -33,6 +35,10 @@ SAMPLE_CHARS = 20_000
 #: Bytes in a window, and from one window's start to the next.
 WINDOW, STEP = 64, 32
 ORDINARY_BYTES, TOXIC_BYTES = 32 << 10, 2 << 10
+#: The trainer's segments for the toxic dictionary: bytes in a segment, and in the pieces that it counts.
+SEGMENT, PIECE = 24, 8
+#: Words taken on either side of a typical one.
+AROUND = 1
 LEVEL = 3
 #: Standard errors by which a word's share of toxic documents exceeds its share of ordinary ones.
 TYPICAL = 6.0
@@ -40,8 +46,8 @@ LEAST_DOCUMENTS = 5
 THRESHOLD = 0.3
 
 
-def windows(data: bytes) -> list[bytes]:
-    return [data[i : i + WINDOW] for i in range(0, max(1, len(data) - WINDOW + STEP), STEP)]
+def windows(data: bytes) -> Iterator[bytes]:
+    return (data[i : i + WINDOW] for i in range(0, max(1, len(data) - WINDOW + STEP), STEP))
 
 
 def _one_of_each(texts: list[bytes]) -> list[bytes]:
@@ -65,19 +71,20 @@ def typical_words(toxic: list[bytes], ordinary: list[bytes]) -> set[bytes]:
     return found
 
 
-def _trained(size: int, samples: list[bytes]) -> bytes:
+def toxic_windows(texts: list[bytes], typical: set[bytes]) -> list[bytes]:
+    """Each typical word of the texts with its neighbours."""
+    split = [t.split() for t in texts]
+    return [b" " + b" ".join(ws[max(0, i - AROUND) : i + AROUND + 1]) + b" " for ws in split for i, w in enumerate(ws) if w in typical]
+
+
+def _trained(size: int, samples: list[bytes], **how) -> bytes:
     """A dictionary; of too few samples for the trainer, the samples themselves."""
     try:
-        return zstandard.train_dictionary(size, samples).as_bytes()
+        return zstandard.train_dictionary(size, samples, **how).as_bytes()
     except zstandard.ZstdError:
         return b"".join(samples)[-size:]
 
 
-def _by_use(size: int, samples: list[bytes]) -> bytes:
-    """Different samples by rising number, so that what is used most stands last, where references to it are shortest."""
-    return b"".join(w for w, _ in sorted(Counter(samples).items(), key=lambda x: (x[1], x[0])))[-size:]
-
-
 @dataclass(frozen=True)
 class Model:
     ordinary: bytes
@@ -112,9 +119,9 @@ def fit(texts: list[tuple[str, int]]) -> Model | None:
     # Two thirds of each class make the dictionaries, the others the curve (all, where there are few).
     for_words, for_curve = ([[t for i, t in enumerate(c) if (i % 3 == 2) == k or len(c) < 6] for c in (toxic, ordinary)] for k in (False, True))
     one, two = (_one_of_each([t.lower().encode() for t in c]) for c in for_words)
-    typical = typical_words(one, two)
-    around = [b" " + w + b" " for t in one for w in t.split() if w in typical]
-    model = Model(_trained(ORDINARY_BYTES, [w for t in two for w in windows(t)]), _by_use(TOXIC_BYTES, around), (0.0,) * 4)
+    ordinary_dictionary = _trained(ORDINARY_BYTES, [w for t in two for w in windows(t)])
+    toxic_dictionary = _trained(TOXIC_BYTES, toxic_windows(one, typical_words(one, two)), k=SEGMENT, d=PIECE, level=LEVEL)
+    model = Model(ordinary_dictionary, toxic_dictionary, (0.0,) * 4)
     features = model.scorer()
     x = np.array([features(t) for c in for_curve for t in c])
     y = np.repeat([1.0, 0.0], [len(c) for c in for_curve])
@@ -146,7 +153,8 @@ def training_texts(docs: DataFrame, labels: DataFrame) -> list[tuple[str, int]]:
 
 
 def score_documents(docs: DataFrame, model: Model | None, text_col: str = "text", out: str = "score") -> DataFrame:
-    """All columns of docs and the score, 0 to 1 (null and empty texts too; 0 for all without a model)."""
+    """All columns of docs and the score, 0 to 1; 0 for all without a model. Null and empty texts are scored as one
+    empty window. Rows are independent, so rows that repeat a text have equal scores."""
     out = free_name(docs, out)
     if model is None:
         return docs.withColumn(out, F.lit(0.0))
