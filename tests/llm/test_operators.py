@@ -13,6 +13,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 import xxhash
+import zstandard
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -197,7 +198,7 @@ def test_quality_scores_are_mean_log_ratios(awkward, labels):
         h = 42
         for w in words:
             h = xxhash.xxh64_intdigest(w.encode(), h)
-        return (h - 2**64 if h >> 63 else h) % quality.BUCKETS
+        return (h - 2**64 if h >> 63 else h) % len(ratios)
 
     grams = {}
     raw, good = Counter(), Counter()
@@ -219,6 +220,18 @@ def test_quality_scores_are_mean_log_ratios(awkward, labels):
             assert abs(r.score - mean) < 1e-9 and r.kept == (not r.base_failed and r.score >= quality.THRESHOLD)
 
 
+def test_buckets_grow_with_the_corpus(spark, awkward):
+    assert quality.buckets_for(awkward) == quality.buckets_for(awkward.limit(0)) == quality.LEAST_BUCKETS
+    long = spark.range(10).select(F.repeat(F.lit("x" * 1000), 200_000).alias("text"))
+    assert quality.buckets_for(long) == 1 << 16
+
+
+def test_good_ids_beyond_the_broadcast(awkward, labels, monkeypatch):
+    few = quality.log_ratios(awkward, labels)
+    monkeypatch.setattr(quality, "BROADCAST_IDS", 3)
+    assert quality.log_ratios(awkward, labels) == few
+
+
 def test_quality_keeps_clean_documents_out_of_the_sample(spark, small):
     """On the smallest table, good documents stay and most bad ones go."""
     base = small.replace("sf0.001", "sf0.01")
@@ -369,6 +382,30 @@ def test_toxicity(spark, small):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in found)
 
 
+def test_toxicity_equals_plain_compression(spark, small):
+    """Scores from their definition, by other calls of the library, under two dictionaries that its trainer made."""
+    base = small.replace("sf0.001", "sf0.01")
+    docs = table(spark, base, "documents").select("doc_id", "text")
+    model = toxicity.fit(toxicity.training_texts(docs, table(spark, base, "labels")))
+    magic = b"\x37\xa4\x30\xec"  # a trained dictionary begins with it
+    assert model.ordinary[:4] == magic and model.toxic[:4] == magic
+
+    def length(window, dictionary):
+        with_dict = zstandard.ZstdCompressionDict(dictionary)
+        how = zstandard.ZstdCompressionParameters.from_level(3, write_content_size=False, write_dict_id=False, write_checksum=False)
+        return len(zstandard.ZstdCompressor(dict_data=with_dict, compression_params=how).compress(window))
+
+    texts = {r.doc_id: r.text for r in docs.limit(25).collect()}
+    got = {r.doc_id: r.score for r in toxicity.score_documents(docs, model).collect()}
+    for i, text in texts.items():
+        data = (text or "").lower().encode()
+        starts = range(0, max(1, len(data) - 32), 32)
+        gains = sorted((length(w, model.ordinary) - length(w, model.ordinary + model.toxic) for w in (data[a : a + 64] for a in starts)), reverse=True)
+        x = (min(gains[0], 16), min(sum(gains[:3]), 32), sum(g - 1 for g in gains if g > 1) / len(gains) ** 0.5)
+        z = sum(w * f for w, f in zip(model.weights, x)) + model.weights[-1]
+        assert abs(got[i] - 1 / (1 + np.exp(-np.clip(z, -30, 30)))) < 1e-9
+
+
 def test_mixing_meets_targets(spark, small):
     docs = table(spark, small, "documents")
     rows = mixing.mix(docs, "lang", {"en": 1.0, "de": 1.0}).collect()
