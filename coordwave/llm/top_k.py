@@ -6,8 +6,9 @@ the interval that holds its k-th greatest score; the counts are added over all c
 that score is the next interval, until it is a single integer. A last pass keeps the scores from that value up -
 of those equal to it the smallest ids of each block, k at most - and ranks what is left.
 
-Queries go through in groups of QUERIES, which are sent to all executors. Histograms are added on the executors;
-the driver sees their sums, BINS counts for each query of one group, and chooses the next intervals.
+Queries go through in groups of QUERIES, which are sent to all executors; each group's result is written, and its
+vectors are let go, before the next. Histograms are added on the executors; the driver sees their sums, BINS counts
+for each query of one group, and chooses the next intervals.
 """
 
 from __future__ import annotations
@@ -20,60 +21,81 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, shared_path
 
 QUERIES = 2048
 BLOCK = 4096
 BINS = 1024
 SCALE = 1024
-#: Sums of products are exact as doubles below the first; scores count as at most the second.
-_EXACT, _MOST = 1 << 53, (1 << 62) - 1
+#: Sums of products are exact as doubles below the first, and fit 64 bits below the second.
+_EXACT, _NARROW = 1 << 53, 1 << 62
+_LONG = (1 << 63) - 1
 
 
 def _pack(dims: int):
-    """Blocks of vectors: ids, integers as doubles, and the greatest absolute value."""
+    """Blocks of vectors: ids, numbers of rows, integers as doubles, the greatest absolute value, which rows ask."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        row = TaskContext.get().partitionId() << 40
         for batch in batches:
             for at in range(0, batch.num_rows, BLOCK):
                 part = batch.slice(at, BLOCK)
                 ids = np.array(part.column(0).to_pylist(), "<i8")
-                values = np.floor(SCALE * part.column(1).flatten().to_numpy(zero_copy_only=False).astype("<f8")).reshape(-1, dims)
+                sizes = part.column(1).value_lengths().to_numpy(zero_copy_only=False)
+                values = np.zeros((len(ids), dims))
+                values[np.arange(dims) < sizes[:, None]] = np.floor(SCALE * part.column(1).flatten().to_numpy(zero_copy_only=False).astype("<f8"))
+                asks = part.column(2).to_numpy(zero_copy_only=False).astype(bool)
+                rows = row + np.arange(len(ids))
+                row += len(ids)
                 order = np.argsort(ids, kind="stable")
-                most = [float(np.abs(values).max())]
-                yield pa.RecordBatch.from_arrays([pa.array([ids[order].tobytes()]), pa.array([values[order].tobytes()]), pa.array(most)], ["ids", "data", "most"])
+                cells = [x[order].tobytes() for x in (ids, rows, values, asks)]
+                yield pa.RecordBatch.from_arrays([*(pa.array([c]) for c in cells), pa.array([float(np.abs(values).max())]), pa.array([bool(asks.any())])], ["ids", "rows", "data", "asks", "most", "some"])
 
     return run
 
 
-def scores_of(queries: np.ndarray, candidates: np.ndarray, exact: bool) -> np.ndarray:
-    """All inner products: one product of doubles where its sums are exact, else with integers of any size."""
-    if exact:
+def _asking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of blocks that are queries."""
+    for batch in batches:
+        for ids, rows, data, asks in zip(*(batch.column(c).to_pylist() for c in ("ids", "rows", "data", "asks")), strict=True):
+            at = np.flatnonzero(np.frombuffer(asks, bool))
+            ids, rows = np.frombuffer(ids, "<i8"), np.frombuffer(rows, "<i8")
+            vectors = np.frombuffer(data, "<f8").reshape(len(ids), -1)
+            yield pa.RecordBatch.from_arrays([pa.array(rows[at]), pa.array(ids[at]), pa.array([vectors[i].tobytes() for i in at], pa.binary())], ["row", "id", "v"])
+
+
+def scores_of(queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
+    """All inner products: one product of doubles where its sums are exact, else integers of any size; as int64 where
+    that holds them, else as Python's integers."""
+    most = queries.shape[1] * int(np.abs(queries).max(initial=0)) * int(np.abs(candidates).max(initial=0))
+    if most < _EXACT:
         return (queries @ candidates.T).astype(np.int64)
     whole = [np.array([[int(x) for x in row] for row in m], object).reshape(m.shape) for m in (queries, candidates)]
-    return np.clip(whole[0] @ whole[1].T, -_MOST, _MOST).astype(np.int64)
+    found = whole[0] @ whole[1].T
+    return found.astype(np.int64) if most < _NARROW else found
 
 
-def _blocks(batches, group) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Ids of candidates, their scores for each query of the group, and which of them are a query's own row."""
-    query_ids, queries, exact = group
+def _blocks(batches, group) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Ids and rows of candidates, their scores for each query of the group, and which are a query's own row."""
+    query_rows, _, queries = group
     for batch in batches:
-        for ids, data in zip(batch.column("ids").to_pylist(), batch.column("data").to_pylist(), strict=True):
-            ids = np.frombuffer(ids, "<i8")
-            rows = np.frombuffer(data, "<f8").reshape(len(ids), -1)
-            for at in range(0, len(query_ids), 512):
-                own = query_ids[at : at + 512, None] == ids
-                yield at, ids, scores_of(queries[at : at + 512], rows, exact), own
+        for ids, rows, data in zip(*(batch.column(c).to_pylist() for c in ("ids", "rows", "data")), strict=True):
+            ids, rows = np.frombuffer(ids, "<i8"), np.frombuffer(rows, "<i8")
+            vectors = np.frombuffer(data, "<f8").reshape(len(ids), -1)
+            for at in range(0, len(query_rows), 512):
+                yield at, ids, rows, scores_of(queries[at : at + 512], vectors), query_rows[at : at + 512, None] == rows
 
 
 def _counts(shared, low: np.ndarray, width: int, step: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group = shared.value
         total = np.zeros((len(low), BINS), np.int64)
-        for at, _, scores, own in _blocks(batches, group):
+        for at, _, _, scores, own in _blocks(batches, group):
             n = len(scores)
             offset = scores - low[at : at + n, None]
-            bins = np.where((offset < 0) | (offset >= width) | own, BINS, offset // step) + (BINS + 1) * np.arange(n)[:, None]
+            bins = np.where((offset < 0) | (offset >= width) | own, BINS, offset // step).astype(np.int64) + (BINS + 1) * np.arange(n)[:, None]
             total[at : at + n] += np.bincount(bins.ravel(), minlength=n * (BINS + 1)).reshape(n, BINS + 1)[:, :BINS]
         for at in range(0, len(low), 256):
             data = zstandard.compress(total[at : at + 256].tobytes(), 1)
@@ -98,56 +120,61 @@ def _narrow(from_top: np.ndarray, want: np.ndarray) -> tuple[np.ndarray, np.ndar
     return found, above
 
 
-def _keep(shared, least: np.ndarray, k: int):
+def _keep(shared, least: np.ndarray, k: int, bound: int):
+    """The rows at or above each query's least score. `height` orders scores of any size: bytes of score + bound."""
+    size = (2 * bound).bit_length() // 8 + 1
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group = shared.value
-        for at, ids, scores, own in _blocks(batches, group):
+        for at, ids, rows, scores, own in _blocks(batches, group):
             q, c = np.nonzero((scores >= least[at : at + len(scores), None]) & ~own)
             found = scores[q, c]
-            order = np.lexsort((ids[c], -found, q))
+            order = np.lexsort((rows[c], ids[c], -found, q)) if found.dtype != object else np.array(sorted(range(len(q)), key=lambda i: (q[i], -found[i], ids[c[i]], rows[c[i]])), np.int64)
             q, c, found = q[order], c[order], found[order]
             place = np.arange(len(q)) - np.searchsorted(q, q)
-            q, c, found = q[place < k], c[place < k], found[place < k]
-            yield pa.RecordBatch.from_arrays([pa.array(group[0][at + q]), pa.array(ids[c]), pa.array(found)], ["query_id", "vec_id", "score"])
+            q, c, found = q[place < k], c[place < k], found[place < k].tolist()
+            height = [(x + bound).to_bytes(size, "big") for x in found]
+            score = [max(-_LONG - 1, min(_LONG, x)) for x in found]
+            cells = [group[0][at + q], group[1][at + q], ids[c], rows[c], np.array(score, np.int64)]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, cells), pa.array(height, pa.binary())], ["query_row", "query_id", "vec_id", "row", "score", "height"])
 
     return run
 
 
 def top_k(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(query_id, rank, vec_id, score): for each row where the column is_query holds, the k rows of other ids with
-    the greatest integer inner product of floor(1024 * component), ties to smaller ids; all rows, if fewer.
+    """(query_id, rank, vec_id, score): for each row where the column is_query holds, the k other rows with the
+    greatest integer inner product of floor(1024 * component), ties to smaller ids; all rows, if fewer.
 
-    Rows with a null id or vector, with null or non-finite components, or of another length than most vectors take
-    no part. Rows that repeat an id are candidates of their own, and one query (the least vector). Scores beyond
-    2^62 count as that.
+    Rows with a null id or vector, an empty vector, or null or non-finite components take no part. A shorter vector
+    counts as filled up with zeros. Each row is a query and a candidate of its own, also where rows repeat an id; only
+    the query's own row is left out. Ranks follow exact scores of any size; a score that a long can't hold is given as
+    the nearest that it can.
     """
     usable = vectors.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull())
     usable = usable.where(F.forall(vector_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & (F.size(vector_col) > 0))
-    usable = usable.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), is_query.alias("asks"))
+    usable = usable.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     spark = vectors.sparkSession
-    result = "query_id long, vec_id long, score long"
-    sizes = usable.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    if sizes is None:
-        return empty
-    dims = sizes["n"]
-    usable = usable.where(F.size("v") == dims)
-    blocks = materialise(usable.select("id", "v").mapInArrow(_pack(dims), "ids binary, data binary, most double"), "blocks")
-    most = blocks.agg(F.max("most")).first()[0]
-    bound = min(int(dims * most * most) + 1, _MOST)
-    exact = dims * most * most < _EXACT
-    asking = materialise(usable.where("asks").groupBy("id").agg(F.min("v").alias("v")), "queries")
-    last, found = None, None
+    dims = usable.agg(F.max(F.size("v")).alias("n")).first()["n"]
+    if dims is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    blocks = materialise(usable.mapInArrow(_pack(dims), "ids binary, rows binary, data binary, asks binary, most double, some boolean"), "blocks")
+    asking = materialise(blocks.where("some").mapInArrow(_asking, "row long, id long, v binary"), "queries")
+    most = int(blocks.agg(F.max("most")).first()[0])
+    blocks = blocks.select("ids", "rows", "data")
+    bound = dims * most * most + 1
+    number = np.int64 if bound < _NARROW else object
+    result = "query_row long, query_id long, vec_id long, row long, score long, height binary"
+    out, last = shared_path(spark, "nearest"), None
+    spark.createDataFrame([], "query_id long, rank int, vec_id long, score long").write.parquet(out)
     while True:
-        rows = asking.where(F.col("id") > last) if last is not None else asking
-        rows = rows.orderBy("id").limit(QUERIES).collect()
+        rows = asking.where(F.col("row") > last) if last is not None else asking
+        rows = rows.orderBy("row").limit(QUERIES).collect()
         if not rows:
-            break
-        last = rows[-1]["id"]
-        query_ids = np.array([r["id"] for r in rows], np.int64)
-        queries = np.floor(SCALE * np.array([r["v"] for r in rows], np.float64))
-        shared = spark.sparkContext.broadcast((query_ids, queries, exact))
-        low, want = np.full(len(rows), -bound), np.full(len(rows), k)
+            return spark.read.schema("query_id long, rank int, vec_id long, score long").parquet(out)
+        last = rows[-1]["row"]
+        queries = np.frombuffer(b"".join(bytes(r["v"]) for r in rows), "<f8").reshape(len(rows), -1)
+        shared = spark.sparkContext.broadcast((np.array([r["row"] for r in rows]), np.array([r["id"] for r in rows]), queries))
+        low, want = np.full(len(rows), -bound, number), np.full(len(rows), k)
         width = 2 * bound + 1
         while width > 1:
             step = -(-width // BINS)
@@ -156,14 +183,13 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vec
                 at = row["part"]
                 from_top = np.frombuffer(zstandard.decompress(row["data"]), "<i8").reshape(-1, BINS)
                 bins, above = _narrow(from_top, want[at : at + len(from_top)])
-                low[at : at + len(from_top)] += bins * step
+                low[at : at + len(from_top)] += bins.astype(number) * step
                 want[at : at + len(from_top)] -= above
             width = step
-        near = blocks.mapInArrow(_keep(shared, low, k), result)
-        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-        ranked = near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
-        found = ranked if found is None else found.unionByName(ranked)
-    return empty if found is None else found
+        near = blocks.mapInArrow(_keep(shared, low, k, bound), result)
+        rank = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("height"), "vec_id", "row"))
+        near.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score").write.mode("append").parquet(out)
+        shared.destroy()
 
 
 def nearest(embeddings: DataFrame) -> DataFrame:
@@ -173,17 +199,17 @@ def nearest(embeddings: DataFrame) -> DataFrame:
 
 ORACLE = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
   FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), pairs AS (
-  SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+  SELECT q.r, q.vec_id AS query_id, c.vec_id AS vec_id,
          CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id
+  FROM v q JOIN v c ON q.r <> c.r
   WHERE q.vec_id % 100 = 0
 )
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
-FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs)
+FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS rank FROM pairs)
 WHERE rank <= 10
 """
