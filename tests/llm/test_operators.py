@@ -360,7 +360,7 @@ def test_chat_equals_sql_and_reads_back(spark, small):
     turns = [("a\\n\nb###</turn>\\", "x\n</turn>\n### user\n\\\\###"), ("", ""), ("assistant", "\\"), ("assistant", "### ")]
     made = spark.createDataFrame([(1, turns), (2, []), (3, None)], "id long, turns array<struct<role: string, text: string>>")
     read = chat.format_turns(made).select("id", chat.read_turns(F.col("formatted")).alias("t"), chat.read_loss(F.col("segments")).alias("l")).orderBy("id").collect()
-    assert [tuple(t) for t in read[0].t] == turns and read[0].l == "\\### " and read[1].t == read[2].t == []
+    assert [tuple(t) for t in read[0].t] == turns and read[0].l == "\\### " and read[1].t == [] and read[2].t is None
 
 
 def test_chat_layouts(spark):
@@ -372,6 +372,30 @@ def test_chat_layouts(spark):
         chat.canonical([spark.range(1)])
 
 
+def test_chat_layouts_with_other_and_deeper_fields(spark):
+    """Fields that no mapping uses change nothing; a record that no mapping covers is told, not emptied."""
+    records = [
+        '{"id":1,"source":{"a b":{"c:d":[1]}},"messages":[{"role":"human","content":"a","name":"n"}]}',
+        '{"messages":[{"role":"user","content":[{"type":"text","text":"x"},{"type":"image","url":{"u":1}},{"type":"text","text":"y"}]}],"n":[[{"z":1}]]}',
+        '{"instruction":"i","output":"o","score":0.5}',
+        '{"messages":[],"id":2}',
+        '{"messages":[{"role":"u","content":"s"},{"role":"u","content":["t"]}]}',
+        '{"messages":[{"role":"u","content":{"parts":["s"]}}]}',
+        '{"messages":[{"role":"u","content":"s"}],"prompt":"p"}',
+    ]
+    frame = spark.createDataFrame(list(enumerate(records)), "conv_id long, record string")
+    got = chat.turns_of_records(frame, "conv_id", "record").orderBy("id").collect()
+    assert [r.layout for r in got] == ["messages", "message-parts", "instruction", "no-messages", None, None, None]
+    assert [None if r.turns is None else [tuple(t) for t in r.turns] for r in got] == [[("user", "a")], [("user", "x\ny")], [("user", "i"), ("assistant", "o")], [], None, None, None]
+    assert chat.format_turns(got_frame := chat.turns_of_records(frame, "conv_id", "record")).where("formatted IS NULL").count() == 3 and got_frame.count() == 7
+    with pytest.raises(Exception, match="no layout has the fields of a record: messages"):
+        chat.canonical([frame]).collect()
+    paths = frame.select(chat.record_paths(F.col("record")).alias("p")).collect()
+    assert sorted(paths[0].p) == ["id", "messages[].content", "messages[].name", "messages[].role", "source.a b.c:d[]"]
+    assert "n[][].z" in paths[1].p and "messages[].content[].url.u" in paths[1].p and "messages[].content?" in paths[4].p
+    assert [r.f for r in frame.select(chat.record_fingerprints(F.col("record")).alias("f")).collect()] == [chat.fingerprint(r.p) for r in paths]
+
+
 def test_chat_rows_with_nulls(spark):
     rows = spark.createDataFrame([(1, 2, "assistant", None), (1, None, None, "q"), (None, 0, "user", "z")], "conv_id long, turn long, role string, text string")
     got = {r.conv_id: r for r in chat.digest(rows).collect()}
