@@ -1,20 +1,23 @@
 """SimHash near-duplicate groups, linked through an index of masked bit patterns in Gray order.
 
-Fingerprints that differ in at most `bits` of 64 bits agree wholly in two of `bits + 2` bands. Each pair of bands
-is a mask; the fingerprints that share the masked pattern are one upper node of the index, and nodes are dealt
-over the cluster by their pattern. A node with more than NODE different fingerprints is replaced by nodes below
-it, whose masks take in two of the bands of the remaining bits as well; after two such steps 8 bits are free, so
-a node holds at most 256. No node is cut short, and no link is lost.
-
-In a node, fingerprints are sorted by Gray rank of their free bits, so that neighbours share most of them.
-Groups of FAN neighbours keep the bits they have in common. Two groups are compared member by member only if
-the bits that both have fixed differ in at most `bits` places. A node reports, for each linked fingerprint, the
-least document of those it reaches inside the node; star steps join these over nodes.
+The index is a hierarchy of masked bit patterns. Fingerprints that differ in at most `bits` of 64 bits agree wholly
+in two of `bits + 2` bands. Each pair of bands is a mask; the fingerprints that share the masked pattern are one upper
+node, dealt over the cluster by its pattern. A node with more than NODE different fingerprints is replaced by nodes
+below it, whose masks take in two of the bands of the remaining bits as well; after three such steps 8 bits are free,
+so a node then holds at most 256. No node is cut short, and no link is lost.
+
+In a node, fingerprints are sorted by Gray rank of their free bits, so that neighbours share most of them, and the
+hierarchy goes on: FAN neighbours form a node, FAN of these the next one above, up to one root. Each node keeps the
+bits that all below it share. The search descends from the root's pair with itself. At each level it adds, for a pair
+of nodes, the differences in the bits that both have fixed now and hadn't before; a pair whose sum exceeds `bits` goes
+with all that is below. What reaches the single fingerprints is linked. A node reports, for each linked fingerprint,
+the least document of those it reaches inside the node; star steps join these over nodes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
@@ -23,11 +26,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import near_copies
 from .common import free_name, materialise
 from .components import components
 
-NODE = 256
-FAN = 16
+NODE = 4096
+FAN = 8
+#: Pairs of nodes that are taken apart at once.
+PAIRS = 1 << 14
+#: Rows of one fingerprint from which on its component is sent to all executors: at most one in so many rows is.
+HOT_ROWS = 100_000
 _BLOCK = 1 << 16
 
 
@@ -92,44 +100,66 @@ def _children(parents: DataFrame, bits: int, masks: list[int]) -> DataFrame:
     return rows.select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp", "rep")
 
 
-def _popcount_at_most(a: np.ndarray, b: np.ndarray, care: np.ndarray | None, bits: int) -> np.ndarray:
-    differ = a ^ b
-    return np.bitwise_count(differ if care is None else differ & care) <= bits
+@dataclass(frozen=True)
+class _Level:
+    """The nodes of one level, in order: where their children start and end in the level below, and the bits that all
+    below a node share (`fixed`) with their values (`pattern`)."""
+
+    first: np.ndarray
+    end: np.ndarray
+    fixed: np.ndarray
+    pattern: np.ndarray
+
+
+def _hierarchy(group: np.ndarray, fp: np.ndarray) -> list[_Level]:
+    """Levels from the fingerprints up, until each group has one node, its root."""
+    n = len(fp)
+    levels = [_Level(np.arange(n), np.arange(1, n + 1), np.full(n, ~np.uint64(0)), fp)]
+    both = some = fp
+    while len(group) > 1 and (group[1:] == group[:-1]).any():
+        starts = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+        inner = np.arange(len(group)) - np.repeat(starts, np.diff(np.append(starts, len(group))))
+        first = np.flatnonzero(inner % FAN == 0)
+        both, some, group = np.bitwise_and.reduceat(both, first), np.bitwise_or.reduceat(some, first), group[first]
+        levels.append(_Level(first, np.append(first[1:], len(inner)), ~(both ^ some), both))
+    return levels
+
+
+def _descend(levels: list[_Level], bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of different fingerprints within `bits`, found by adding differences from level to level."""
+    roots = np.arange(len(levels[-1].first))
+    waiting = [(len(levels) - 1, roots, roots, np.zeros(len(roots), np.int64), np.zeros(len(roots), np.uint64))]
+    lefts, rights = [roots[:0]], [roots[:0]]
+    while waiting:
+        level, one, two, sums, counted = waiting.pop()
+        if len(one) > PAIRS:
+            waiting += [(level, *(x[at : at + PAIRS] for x in (one, two, sums, counted))) for at in range(0, len(one), PAIRS)]
+            continue
+        nodes = levels[level]
+        fixed = nodes.fixed[one] & nodes.fixed[two]
+        sums = sums + np.bitwise_count((nodes.pattern[one] ^ nodes.pattern[two]) & fixed & ~counted)
+        near = sums <= bits
+        one, two, sums, fixed = one[near], two[near], sums[near], fixed[near]
+        if not level:
+            other = one != two
+            lefts.append(one[other])
+            rights.append(two[other])
+            continue
+        # Each pair of children; of a node with itself, each once.
+        n_one, n_two = nodes.end[one] - nodes.first[one], nodes.end[two] - nodes.first[two]
+        times = n_one * n_two
+        of = np.repeat(np.arange(len(one)), times)
+        nth = np.arange(len(of)) - np.repeat(np.cumsum(times) - times, times)
+        a, b = nodes.first[one][of] + nth // n_two[of], nodes.first[two][of] + nth % n_two[of]
+        once = (one[of] != two[of]) | (a <= b)
+        waiting.append((level - 1, a[once], b[once], sums[of][once], fixed[of][once]))
+    return np.concatenate(lefts), np.concatenate(rights)
 
 
 def node_links(group: np.ndarray, fp: np.ndarray, rep: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Links (rep, least rep reached) inside each node. group: ascending numbers; rows of a node in Gray order."""
     n = len(fp)
-    first = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
-    size = np.diff(np.append(first, n))
-    inner = np.arange(n) - np.repeat(first, size)
-    head = np.flatnonzero(inner % FAN == 0)  # first rows of the lower groups
-    length = np.diff(np.append(head, n))
-    both, some = np.bitwise_and.reduceat(fp, head), np.bitwise_or.reduceat(fp, head)
-    fixed = ~(both ^ some)
-    of = np.repeat(np.arange(len(first)), -(-size // FAN))
-    start = np.searchsorted(of, np.arange(len(first)))
-    later = np.repeat(start + -(-size // FAN), -(-size // FAN)) - np.arange(len(head))
-    one = np.repeat(np.arange(len(head)), later)
-    two = one + np.arange(len(one)) - np.repeat(np.cumsum(later) - later, later)
-    near = _popcount_at_most(both[one], both[two], fixed[one] & fixed[two], bits)
-    one, two = one[near], two[near]
-    label = np.arange(n)
-    lefts, rights = [], []
-    lane = np.arange(FAN)
-    for at in range(0, len(one), 4096):
-        a, b = one[at : at + 4096], two[at : at + 4096]
-        i = np.minimum(head[a][:, None] + lane, n - 1)
-        j = np.minimum(head[b][:, None] + lane, n - 1)
-        good = (lane < length[a][:, None])[:, :, None] & (lane < length[b][:, None])[:, None, :]
-        good &= i[:, :, None] < j[:, None, :]
-        good &= _popcount_at_most(fp[i][:, :, None], fp[j][:, None, :], None, bits)
-        p, x, y = np.nonzero(good)
-        lefts.append(i[p, x])
-        rights.append(j[p, y])
-    if not lefts:
-        return rep[:0], rep[:0]
-    a, b = np.concatenate(lefts), np.concatenate(rights)
+    a, b = _descend(_hierarchy(group, fp), bits)
     # label: the row of least rep reached; rows are compared by the rank of their rep.
     order = np.argsort(rep, kind="stable")
     rank = np.empty(n, np.int64)
@@ -197,10 +227,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     an id has it; they connect nothing. Rows that repeat an id are separate rows of one document.
     """
     rows = materialise(fingerprints(docs, id_col, text_col, width), "prints")
-    prints = materialise(rows.where("id IS NOT NULL").groupBy("fp").agg(F.min("id").alias("rep")), "distinct")
-    roots = components(links(prints, bits))
-    known = prints.join(roots, prints["rep"] == roots["u"], "left").select("fp", F.coalesce("v", "rep").alias("component"))
-    return rows.join(materialise(known, "roots"), "fp", "left").select("id", "fp", "component")
+    held = rows.where("id IS NOT NULL").groupBy("fp").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"))
+    prints = materialise(held, "distinct")
+    roots = components(links(prints.select("fp", "rep"), bits))
+    known = materialise(prints.join(roots, prints["rep"] == roots["u"], "left").select("fp", F.coalesce("v", "rep").alias("component"), "n"), "roots")
+    hot = F.broadcast(known.where(F.col("n") > HOT_ROWS).select("fp", "component"))
+    rest = rows.join(hot.select("fp"), "fp", "left_anti").join(known, "fp", "left")
+    return rows.join(hot, "fp").unionByName(rest.select("id", "fp", "component")).select("id", "fp", "component")
 
 
 def fingerprint_table(docs: DataFrame) -> DataFrame:
@@ -209,13 +242,19 @@ def fingerprint_table(docs: DataFrame) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, bits: int = 2) -> DataFrame:
-    """All columns of docs for one row of each group: that of its smallest id (of rows with that id, the least one).
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, bits: int = 2, similarity: float | None = None) -> DataFrame:
+    """All columns of docs for one row of each group: that of its smallest id (of rows with that id, the least as JSON).
 
-    Rows with a null id go. The pipeline uses near_copies.keep_first, which keeps them.
+    Rows with a null id go. With a similarity, documents are compared by their sets of shingles of five words instead,
+    for which two bits are too few: see near_copies.keep_first, which this then is.
     """
+    if similarity is not None:
+        if (width, similarity) != (near_copies.WIDTH, near_copies.SIMILARITY):
+            raise ValueError("similarities are compared at five words and 0.8")
+        return near_copies.keep_first(docs, id_col, text_col)
     found = near_duplicates(docs, id_col, text_col, width, bits)
     ids = found.where("id = component").select(F.col("id").alias(id_col)).distinct()
     named = docs.where(F.col(id_col).isNotNull()).join(ids, id_col, "left_semi").select(docs.columns)
     row = free_name(docs, "row")
-    return named.groupBy(id_col).agg(F.min(F.struct(*docs.columns)).alias(row)).select(f"{row}.*")
+    rows = named.select(id_col, F.struct(*docs.columns).alias(row))
+    return rows.groupBy(id_col).agg(F.min_by(row, F.to_json(row)).alias(row)).select(f"{row}.*")

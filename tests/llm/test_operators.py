@@ -168,7 +168,36 @@ def test_gray_index_with_crowded_nodes(spark, monkeypatch):
     assert {i: roots.get(i, i) for i, _ in nodes} == brute_components(nodes)
 
 
+def test_descent_adds_up_differences(monkeypatch):
+    """Pairs within two bits are found, each once, and most pairs of nodes go with all that is below them."""
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 2**63, 200, dtype=np.uint64)
+    fp = np.unique(np.concatenate([base, *[base ^ (np.uint64(1) << rng.integers(0, 64, 200, dtype=np.uint64)) for _ in range(4)]]))
+    gray = fp.copy()
+    for shift in (1, 2, 4, 8, 16, 32):
+        gray ^= gray >> np.uint64(shift)
+    fp = fp[np.argsort(gray)]
+    group = np.repeat([0, 1, 2], [len(fp) - 300, 299, 1])
+    levels = simhash._hierarchy(group, fp)
+    assert len(levels[-1].first) == 3 and len(levels) > 3
+    for low, high in zip(levels, levels[1:]):
+        for k in range(len(high.first)):
+            below = slice(high.first[k], high.end[k])
+            assert (low.fixed[below] | high.fixed[k] == low.fixed[below]).all() and ((low.pattern[below] ^ high.pattern[k]) & high.fixed[k] == 0).all()
+    monkeypatch.setattr(simhash, "PAIRS", 100)
+    a, b = simhash._descend(levels, 2)
+    got = sorted((min(x, y), max(x, y)) for x, y in zip(a.tolist(), b.tolist()))
+    assert got == [(i, j) for i in range(len(fp)) for j in range(i + 1, len(fp)) if group[i] == group[j] and int(fp[i] ^ fp[j]).bit_count() <= 2]
+
+
+def test_popular_fingerprints(awkward, monkeypatch):
+    plain = sorted(map(repr, simhash.fingerprint_table(awkward).collect()))
+    monkeypatch.setattr(simhash, "HOT_ROWS", 1)
+    assert sorted(map(repr, simhash.fingerprint_table(awkward).collect())) == plain
+
+
 def test_keep_first_keeps_one_of_each_group(awkward):
+    awkward = awkward.withColumn("m", F.create_map(F.lit("a"), F.lit(1)))
     kept = simhash.keep_first(awkward)
     ids = [r.doc_id for r in kept.collect()]
     wanted = {r.component_id for r in simhash.fingerprint_table(awkward).collect() if r.component_id is not None}
