@@ -7,7 +7,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The characters that separate words in every operator: space and \t \n \v \f \r.
@@ -73,6 +73,23 @@ def quiet_threads() -> None:
     os.environ.setdefault("OMP_NUM_THREADS", "1")
 
 
+def learning_rows(docs: DataFrame, label: str, sample: int, chars: int, most_labels: int) -> list[tuple[str, str]]:
+    """(text, label) of at most `sample` rows of each label: those least by a hash of their id, then by id and text, of
+    texts of 1 to `chars` characters. docs: (id, text, label); rows with a null are left out. More labels than
+    most_labels are an error, so what comes to the driver is bounded."""
+    usable = docs.where(F.col("id").isNotNull() & F.col(label).isNotNull() & F.length("text").between(1, chars))
+    keys = materialise(usable.select("id", label, F.xxhash64("id").alias("h")).distinct(), "learned")
+    labels = keys.select(label).distinct().limit(most_labels + 1).count()
+    if labels > most_labels:
+        raise ValueError(f"more than {most_labels} different labels in {label}")
+    place = F.row_number().over(Window.partitionBy(label).orderBy("h", "id"))
+    chosen = keys.select("id", label, place.alias("place")).where(F.col("place") <= sample).drop("place")
+    texts = usable.join(F.broadcast(chosen), ["id", label]).select("id", label, "text", F.xxhash64("id").alias("h"))
+    place = F.row_number().over(Window.partitionBy(label).orderBy("h", "id", "text"))  # ids may repeat
+    best = texts.select("*", place.alias("place")).where(F.col("place") <= sample)
+    return [(r["text"], r[label]) for r in best.orderBy(label, "id", "text").collect()]
+
+
 def free_name(df: DataFrame, base: str) -> str:
     """base, or base with underscores before it until no column of df has that name in any case."""
     taken = {c.lower() for c in df.columns}

@@ -14,7 +14,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, held_out, materialise
+from .common import free_name, held_out, learning_rows
 
 SAMPLE = 600
 SAMPLE_CHARS = 20_000
@@ -30,9 +29,11 @@ SAMPLE_CHARS = 20_000
 GRAM = 4
 SLOTS = 1 << 18
 PROBES = 2
-#: N-grams kept for each language, and by how much a language's share must exceed the least of an n-gram's shares.
+#: N-grams kept for each language, and by how much its share of an n-gram must exceed the others' mean share.
 KEPT = 8000
-RATIO = 4.0
+RATIO = 2.0
+#: Languages that a model may have (more are an error).
+MOST_LANGUAGES = 256
 UNKNOWN = "und"
 
 
@@ -90,9 +91,10 @@ def fit(texts: list[tuple[str, str]]) -> Filters:
     for k, lang in enumerate(languages):
         found, n = np.unique(hashes[lang], return_counts=True)
         shares[k, np.searchsorted(known, found)] = n / max(1, n.sum())
-    least = shares.min(axis=0) if len(languages) > 1 else np.zeros(len(known))
+    total = shares.sum(axis=0)
     for k in range(len(languages)):
-        typical = np.flatnonzero((shares[k] > 0) & (shares[k] > RATIO * least))
+        others = (total - shares[k]) / max(1, len(languages) - 1)
+        typical = np.flatnonzero((shares[k] > 0) & (shares[k] > RATIO * others))
         kept = known[typical[np.argsort(-shares[k, typical], kind="stable")[:KEPT]]]
         for where in slots_of(kept):
             slices[where, k // 64] |= np.uint64(1 << k % 64)
@@ -102,19 +104,16 @@ def fit(texts: list[tuple[str, str]]) -> Filters:
 
 def training_texts(docs: DataFrame) -> list[tuple[str, str]]:
     """The sample of each language, without held-out documents; rows with a null id, text or language are left out."""
-    usable = docs.where("doc_id IS NOT NULL AND lang IS NOT NULL").where(~held_out(F.col("doc_id"), 3, 1)).where(F.length("text").between(1, SAMPLE_CHARS))
-    rows = materialise(usable.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")), "learned")
-    languages = [r["lang"] for r in rows.groupBy("lang").count().orderBy("lang").collect()]
-    if not languages:
-        return []
-    best = [rows.where(F.col("lang") == x).orderBy("h", "doc_id").limit(SAMPLE) for x in languages]
-    chosen = reduce(DataFrame.unionByName, best).select("doc_id", "lang").distinct()  # SAMPLE rows a language
-    texts = usable.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"])
-    return [(r["text"], r["lang"]) for r in texts.orderBy("lang", "doc_id", "text").collect()]
+    learned = docs.where(~held_out(F.col("doc_id"), 3, 1)).select(F.col("doc_id").alias("id"), "text", "lang")
+    return learning_rows(learned, "lang", SAMPLE, SAMPLE_CHARS, MOST_LANGUAGES)
 
 
 def identify(docs: DataFrame, filters: Filters, text_col: str = "text", out: str = "language") -> DataFrame:
-    """All columns of docs and a struct `out`: lang (`und` for null and for texts without a letter) and score, 0 to 1."""
+    """All columns of docs and a struct `out`: lang (`und` for null and for texts without a letter) and score, 0 to 1.
+
+    Of languages with equal shares the first by name is given. Rows are independent. A very long text takes memory for
+    a few numbers an n-gram.
+    """
     out = free_name(docs, out)
     at, names = docs.columns.index(text_col), [*docs.columns, out]
     kind = pa.struct([("lang", pa.string()), ("score", pa.float64())])

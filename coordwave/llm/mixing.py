@@ -5,7 +5,8 @@ each domain. Document rates r (how often to take a document, 1 is once) should m
 domain, the sum of r * tokens * probability, meet its target. The rates start at 1 and follow the gradient of
 the squared relative misses, weighted so that a step of 1 is stable; negative rates are set to 0. A step needs
 only the misses, one number a domain, so the rates are an expression over stored probabilities, and each round is
-one aggregation over all documents. Sums are taken over integers, so results don't depend on partitions.
+one aggregation over all documents; every WRITTEN rounds the rates are stored too. Sums are taken over integers, so
+results don't depend on partitions.
 
 Unless targets are given, they are the corpus's expected shares to the power TEMPER, at a total at which no
 domain has to shrink: rates then repeat documents of small domains and drop none.
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, materialise
+from .common import free_name, learning_rows, materialise
 from .language import grams
 
 SAMPLE = 400
@@ -34,6 +35,10 @@ SAMPLE_CHARS = 20_000
 FEATURES = 1 << 15
 TEMPER = 0.7
 ROUNDS = 60
+#: Rounds after which the rates so far are written, so that their expression stays short.
+WRITTEN = 8
+#: Domains that a model may have (more are an error).
+MOST_DOMAINS = 256
 TOLERANCE = 1e-6
 #: Probabilities and rates are rounded to these decimals.
 DIGITS, RATE_DIGITS = 6, 6
@@ -82,14 +87,7 @@ def fit(texts: list[tuple[str, str]]) -> Classifier | None:
 def training_texts(docs: DataFrame, domain_col: str, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[str, str]]:
     """The sample of each domain, in an order that depends on ids and texts alone; null ids, texts and domains are left out."""
     named = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(domain_col).cast("string").alias("domain"))
-    usable = named.where("id IS NOT NULL AND domain IS NOT NULL").where(F.length("text").between(1, SAMPLE_CHARS))
-    rows = materialise(usable.select("id", "domain", F.xxhash64("id").alias("h")), "labelled")
-    domains = [r["domain"] for r in rows.groupBy("domain").count().orderBy("domain").collect()]
-    if not domains:
-        return []
-    chosen = reduce(DataFrame.unionByName, [rows.where(F.col("domain") == d).orderBy("h", "id").limit(SAMPLE) for d in domains])
-    texts = usable.join(F.broadcast(chosen.select("id", "domain").distinct()), ["id", "domain"])  # SAMPLE rows a domain
-    return [(r["text"], r["domain"]) for r in texts.orderBy("domain", "id", "text").collect()]
+    return learning_rows(named, "domain", SAMPLE, SAMPLE_CHARS, MOST_DOMAINS)
 
 
 def memberships(docs: DataFrame, classifier: Classifier | None, text_col: str = "text", out: str = "soft") -> DataFrame:
@@ -122,24 +120,28 @@ def tempered(totals: np.ndarray) -> np.ndarray:
     return wanted * max((t / w for t, w in zip(totals, wanted, strict=True) if w > 0), default=0.0)
 
 
-def fit_rates(soft: DataFrame, domains: int, targets=None, out: str = "soft") -> tuple[Column, list[float], list[float]]:
-    """The rate as a column over `soft`, the targets, and the expected tokens that the rates give."""
+def fit_rates(soft: DataFrame, domains: int, targets=None, out: str = "soft") -> tuple[DataFrame, list[float], list[float]]:
+    """soft with the rate in its struct `out`, the targets, and the expected tokens that the rates give."""
+    field = lambda r: F.col(out).withField("rate", r)
     one = F.lit(1.0)
     if not domains:
-        return one, [], []
+        return soft.withColumn(out, field(one)), [], []
     start = _totals(soft, one, domains, out)
     goal = tempered(start) if targets is None else np.array(targets, float) / np.sum(targets) * start.sum()
     scale = np.where(start > 0, start, 1.0)
     p = F.col(out)["p"]
     rate, totals = one, start
-    for _ in range(ROUNDS):
+    for k in range(1, ROUNDS + 1):
         miss = (totals - goal) / scale
         if np.abs(miss[start > 0]).max(initial=0) < TOLERANCE:
             break
         step = reduce(lambda a, b: a + b, [F.get(p, F.lit(k)) * float(miss[k]) for k in range(domains)])
         rate = F.greatest(F.lit(0.0), rate - step)
+        if k % WRITTEN == 0:
+            soft = materialise(soft.withColumn(out, field(rate)), "rates")
+            rate = F.col(out)["rate"]
         totals = _totals(soft, rate, domains, out)
-    return F.round(rate, RATE_DIGITS), goal.tolist(), totals.tolist()
+    return soft.withColumn(out, field(F.round(rate, RATE_DIGITS))), goal.tolist(), totals.tolist()
 
 
 def copies(rate: Column, id_col: Column) -> Column:
@@ -158,9 +160,8 @@ def mix(docs: DataFrame, domain_col: str, targets: dict[str, float] | None = Non
     classifier = fit(training_texts(docs, domain_col, id_col, text_col))
     domains = classifier.domains if classifier else ()
     soft = materialise(memberships(docs, classifier, text_col, out), "soft")
-    rate, _, _ = fit_rates(soft, len(domains), [targets.get(d, 0.0) for d in domains] if targets else None, out)
-    mixed = F.struct(F.col(out)["tokens"].alias("tokens"), F.col(out)["p"].alias("p"), rate.alias("rate"), copies(rate, F.col(id_col)).alias("copies"))
-    return soft.withColumn(out, mixed)
+    rated, _, _ = fit_rates(soft, len(domains), [targets.get(d, 0.0) for d in domains] if targets else None, out)
+    return rated.withColumn(out, F.col(out).withField("copies", copies(F.col(out)["rate"], F.col(id_col))))
 
 
 def repeat_rows(mixed: DataFrame, out: str = "mix") -> DataFrame:
@@ -176,5 +177,5 @@ def rates(docs: DataFrame) -> DataFrame:
     classifier = fit(training_texts(docs, "lang"))
     n = len(classifier.domains) if classifier else 0
     soft = materialise(memberships(docs.select("doc_id", "text"), classifier).select("doc_id", "soft"), "soft")
-    rate, _, _ = fit_rates(soft, n)
-    return soft.select("doc_id", F.col("soft.tokens").alias("n_tokens"), F.col("soft.p").alias("posteriors"), rate.alias("rate"), copies(rate, F.col("doc_id")).alias("copies"))
+    rated, _, _ = fit_rates(soft, n)
+    return rated.select("doc_id", F.col("soft.tokens").alias("n_tokens"), F.col("soft.p").alias("posteriors"), "soft.rate", copies(F.col("soft.rate"), F.col("doc_id")).alias("copies"))

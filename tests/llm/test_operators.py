@@ -440,6 +440,83 @@ def test_languages(spark, small):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and 0 <= r.score <= 1 for r in found)
 
 
+def plain_grams(text):
+    """The four-byte n-grams of a text in lower case, runs of white space and other ASCII non-letters as one blank."""
+    data = b" " + text.lower().encode() + b" "
+    kept = bytearray()
+    for k, b in enumerate(data):
+        letter = b >= 128 or 97 <= b <= 122
+        if letter or k == 0 or data[k - 1] >= 128 or 97 <= data[k - 1] <= 122:
+            kept.append(b if letter else 32)
+    return [bytes(kept[k : k + 4]) for k in range(len(kept) - 3)]
+
+
+def gram_hash(gram):
+    h = int.from_bytes(gram, "big") * 0x9E3779B97F4A7C15 % 2**64
+    return h ^ h >> 29
+
+
+def test_languages_equal_plain_filters(spark, small):
+    """Filters and verdicts from their definition, with sets and one n-gram at a time."""
+    docs = table(spark, small, "documents").select("doc_id", "text", "lang")
+    texts = language.training_texts(docs)
+    counts = defaultdict(Counter)
+    for text, lang in texts:
+        counts[lang].update(gram_hash(g) for g in plain_grams(text))
+    names = sorted(counts)
+    share = {x: {h: n / counts[x].total() for h, n in counts[x].items()} for x in names}
+    slots = lambda h: [(h >> 20 * k) % language.SLOTS for k in range(language.PROBES)]
+    bits = {x: set() for x in names}
+    for x in names:
+        typical = [h for h in share[x] if share[x][h] > language.RATIO * sum(share[y].get(h, 0) for y in names if y != x) / (len(names) - 1)]
+        for h in sorted(typical, key=lambda h: (-share[x][h], h))[: language.KEPT]:
+            bits[x].update(slots(h))
+    filters = language.fit(texts)
+    assert filters.languages == tuple(names)
+    for k, x in enumerate(names):
+        assert set(np.flatnonzero(filters.slices[:, k // 64] >> np.uint64(k % 64) & np.uint64(1)).tolist()) == bits[x]
+    wrong = {x: (len(bits[x]) / language.SLOTS) ** language.PROBES for x in names}
+    for r in language.identify(docs.limit(60), filters).collect():
+        grams = [gram_hash(g) for g in plain_grams(r.text or "")]
+        if not any(map(str.isalpha, r.text or "")):
+            assert r.language.lang == "und"
+            continue
+        found = {x: sum(all(s in bits[x] for s in slots(h)) for h in grams) / len(grams) for x in names}
+        fixed = {x: min(1, max(0, (found[x] - wrong[x]) / (1 - wrong[x]))) for x in names}
+        best = max(names, key=lambda x: (fixed[x], [-ord(c) for c in x]))
+        assert r.language.lang == best and abs(r.language.score - fixed[best]) < 1e-9
+
+
+def test_too_many_labels_are_told(spark):
+    rows = spark.range(300).selectExpr("id AS doc_id", "'some text here' AS text", "concat('l', id) AS lang")
+    with pytest.raises(ValueError):
+        mixing.mix(rows, "lang")
+
+
+def test_posteriors_equal_plain_bayes(spark, small):
+    """The classifier and its posteriors from their definition."""
+    docs = table(spark, small, "documents")
+    texts = mixing.training_texts(docs, "lang")
+    bucket = lambda g: gram_hash(g) >> 13 & mixing.FEATURES - 1
+    names = sorted({d for _, d in texts})
+
+    def logs(rows):
+        seen = {d: Counter() for d in names}
+        for t, d in rows:
+            seen[d].update(map(bucket, plain_grams(t)))
+        return {d: (lambda f, d=d: np.log((seen[d][f] + 0.5) / (seen[d].total() + 0.5 * mixing.FEATURES))) for d in names}
+
+    def posterior(scale, log, text):
+        grams = [bucket(g) for g in plain_grams(text or "")]
+        z = np.array([np.log(sum(d == x for _, d in texts) / len(texts)) + (scale * np.mean([log[x](f) for f in grams]) if grams else 0) for x in names])
+        return np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+
+    half, whole = logs(texts[::2]), logs(texts)
+    scale = max((5.0, 10.0, 20.0, 40.0, 80.0), key=lambda s: sum(np.log(posterior(s, half, t)[names.index(d)] + 1e-12) for t, d in texts[1::2]))
+    for r in mixing.memberships(docs.limit(30), mixing.fit(texts)).collect():
+        assert np.allclose(r.soft.p, posterior(scale, whole, r.text), atol=2e-5) and r.soft.tokens == len((r.text or "").encode().split())
+
+
 def test_toxicity(spark, small):
     base = small.replace("sf0.001", "sf0.01")
     toxic = {r.doc_id: r.toxic for r in table(spark, base, "labels").collect()}
@@ -492,13 +569,13 @@ def test_mixing_equals_plain_descent(spark):
     p = rng.dirichlet([1, 1, 1], 40).round(6)
     tokens = rng.integers(1, 500, 40)
     soft = spark.createDataFrame([(i, (int(t), x.tolist())) for i, (t, x) in enumerate(zip(tokens, p))], "id long, soft struct<tokens: long, p: array<double>>")
-    rate, goal, _ = mixing.fit_rates(soft, 3, [5, 3, 2])
+    rated, goal, _ = mixing.fit_rates(soft, 3, [5, 3, 2])
     start = (p * tokens[:, None]).sum(axis=0)
     wanted = np.array([5, 3, 2]) / 10 * start.sum()
     r = np.ones(40)
     for _ in range(mixing.ROUNDS):
         r = np.maximum(0, r - p @ (((p * (tokens * r)[:, None]).sum(axis=0) - wanted) / start))
-    got = np.array([x[0] for x in soft.orderBy("id").select(rate).collect()])
+    got = np.array([x.soft.rate for x in rated.orderBy("id").collect()])
     assert np.allclose(goal, wanted, rtol=1e-4) and np.allclose(got, r, atol=1e-3)
 
 
