@@ -28,9 +28,9 @@ from pyspark.sql import types as T
 
 from .common import free_name, slices
 
-MOST_STATES = 300_000
+MOST_STATES = 250_000
 #: Chunks between single spaces whose ids a worker keeps.
-MOST_CHUNKS = 450_000
+MOST_CHUNKS = 400_000
 #: Moves of the decoder that a worker keeps.
 MOST_MOVES = 500_000
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, held_out, learning_rows
+from .common import free_name, held_out, learning_rows, slices
 
 SAMPLE = 600
 SAMPLE_CHARS = 20_000
@@ -121,7 +121,7 @@ def identify(docs: DataFrame, filters: Filters, text_col: str = "text", out: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, at)):
             found = [dict(zip(("lang", "score"), own.classify(t.as_py()), strict=True)) for t in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], names=names)
 

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, learning_rows, materialise
+from .common import free_name, learning_rows, materialise, slices
 from .language import grams
 
 SAMPLE = 400
@@ -99,7 +99,7 @@ def memberships(docs: DataFrame, classifier: Classifier | None, text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, at)):
             found = [{"tokens": len((t := x.as_py() or "").encode().split()), "p": own.posteriors(t).round(DIGITS).tolist() if own else []} for x in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], names=names)
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, held_out
+from .common import free_name, held_out, slices
 
 SAMPLE = 3000
 SAMPLE_CHARS = 20_000
@@ -162,7 +162,7 @@ def score_documents(docs: DataFrame, model: Model | None, text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = model.scorer()
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, at)):
             found = model.score(np.array([features(t.as_py() or "") for t in batch.column(at)]).reshape(-1, 3))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], names=names)
 
