@@ -26,11 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, slices
+from .common import free_name, slices, small_batches
 
-MOST_STATES = 250_000
+MOST_STATES = 120_000
 #: Chunks between single spaces whose ids a worker keeps.
-MOST_CHUNKS = 400_000
+MOST_CHUNKS = 300_000
 #: Moves of the decoder that a worker keeps.
 MOST_MOVES = 500_000
 
@@ -63,7 +63,8 @@ class Transducer:
         start = ((0, -1, ()),)
         self.states = [start]
         self.number = {start: 0}
-        self.steps: dict[int, tuple[int, tuple[int, ...]]] = {}
+        self.steps: dict[int, int] = {}  # a state and a byte: the next state
+        self.emits: dict[int, tuple[int, ...]] = {}  # and the tokens emitted, where there are some
 
     def merge(self, data: bytes) -> list[int]:
         """BPE by its definition: join the neighbours of least rank, leftmost first, until none can be joined."""
@@ -122,7 +123,7 @@ class Transducer:
             self.states.append(kept)
         return self.number[kept]
 
-    def _step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
+    def _step(self, state: int, byte: int) -> int:
         entries, ends = [], None
         for node, last, pending in self.states[state]:
             node = self.child.get(node << 8 | byte)
@@ -147,8 +148,10 @@ class Transducer:
         if to is None:
             to = self.number[key] = len(self.states)
             self.states.append(key)
-        found = self.steps[state << 8 | byte] = (to, first[:common])
-        return found
+        self.steps[state << 8 | byte] = to
+        if common:
+            self.emits[state << 8 | byte] = first[:common]
+        return to
 
     def encode_piece(self, piece: bytes) -> list[int]:
         """The ids of one piece; a piece that is a token is that token."""
@@ -157,15 +160,18 @@ class Transducer:
             return [known]
         out: list[int] = []
         state = 0
+        steps, emits = self.steps, self.emits
         for byte in piece:
-            found = self.steps.get(state << 8 | byte)
-            if found is None:
+            at = state << 8 | byte
+            to = steps.get(at)
+            if to is None:
                 if len(self.states) > self.most_states:
                     state = self._keep_only(state)
-                found = self._step(state, byte)
-            state, emitted = found
-            if emitted:
-                out += emitted
+                    steps, emits, at = self.steps, self.emits, state << 8 | byte
+                to = self._step(state, byte)
+            if at in emits:
+                out += emits[at]
+            state = to
         return out + list(self.states[state][-1][2])
 
 
@@ -315,7 +321,7 @@ def encode_and_decode(docs: DataFrame, path: str, pattern: str, text_col: str =
                 yield pa.RecordBatch.from_arrays([*batch.columns, lists, pa.array(texts, pa.string())], names=names)
 
     schema = T.StructType([*docs.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(decoded, T.StringType())])
-    return docs.mapInArrow(run, schema)
+    return small_batches(docs).mapInArrow(run, schema)
 
 
 def digest(docs: DataFrame, path: str, pattern: str) -> DataFrame:

@@ -98,6 +98,19 @@ def free_name(df: DataFrame, base: str) -> str:
     return base
 
 
+def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """df in a clone of its session that sends rows to Python at most so many at a time, as texts are long. Nothing
+    changes in the session itself; what is made from the result stays in the clone."""
+    session, name = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if 0 < int(session.conf.get(name)) <= rows:
+        return df
+    clone = session._jsparkSession.cloneSession()
+    clone.conf().set(name, str(rows))
+    plan = df._jdf.queryExecution().logical()
+    made = session._jvm.org.apache.spark.sql.classic.Dataset.ofRows(clone, plan)
+    return type(df)(made, SparkSession(session.sparkContext, clone))
+
+
 def slices(batch, texts: int, most: int = 2 << 20):
     """Parts of an Arrow batch of about `most` bytes of the text column (one row at least), in order."""
     import numpy as np

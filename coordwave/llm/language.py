@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, held_out, learning_rows, slices
+from .common import free_name, held_out, learning_rows, slices, small_batches
 
 SAMPLE = 600
 SAMPLE_CHARS = 20_000
@@ -125,7 +125,7 @@ def identify(docs: DataFrame, filters: Filters, text_col: str = "text", out: str
             found = [dict(zip(("lang", "score"), own.classify(t.as_py()), strict=True)) for t in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], names=names)
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.StructType([T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType())]))]))
+    return small_batches(docs).mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.StructType([T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType())]))]))
 
 
 def predictions(docs: DataFrame) -> DataFrame:

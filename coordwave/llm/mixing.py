@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, learning_rows, materialise, slices
+from .common import free_name, learning_rows, materialise, slices, small_batches
 from .language import grams
 
 SAMPLE = 400
@@ -103,7 +103,7 @@ def memberships(docs: DataFrame, classifier: Classifier | None, text_col: str =
             found = [{"tokens": len((t := x.as_py() or "").encode().split()), "p": own.posteriors(t).round(DIGITS).tolist() if own else []} for x in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], names=names)
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.StructType([T.StructField("tokens", T.LongType()), T.StructField("p", T.ArrayType(T.DoubleType()))]))]))
+    return small_batches(docs).mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.StructType([T.StructField("tokens", T.LongType()), T.StructField("p", T.ArrayType(T.DoubleType()))]))]))
 
 
 def _totals(soft: DataFrame, rate: Column, domains: int, out: str) -> np.ndarray:

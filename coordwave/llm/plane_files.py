@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, parts_for, quiet_threads, shared_path, slices
+from .common import materialise, parts_for, quiet_threads, shared_path, slices, small_batches
 
 MAGIC = b"IDPLANE1"
 BLOCK = 1 << 16
@@ -196,7 +196,7 @@ def write_files(docs: DataFrame, tokenizer: str, end: int = 1, id_col: str = "do
             row = [[part], [folder + path[len(base) :]], [writer.n_docs], [writer.n_ids]]
             yield pa.RecordBatch.from_arrays([pa.array(row[0]), pa.array(row[1]), pa.array(row[2]), pa.array(row[3])], ["part", "path", "n_docs", "n_ids"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     dealt = rows.repartitionByRange(parts_for(docs, FILE_BYTES), "id").sortWithinPartitions("id", "text")
     return materialise(dealt.mapInArrow(run, "part long, path string, n_docs long, n_ids long"), "files")
 

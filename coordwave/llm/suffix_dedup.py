@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, parts_for
+from .common import free_name, parts_for, small_batches
 from .suffix_sort import common_prefixes, suffix_array
 
 #: Bytes of the documents table in a part (as many parts as shuffle partitions at least) and for each shard.
@@ -452,6 +452,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     not touching) and kept (the remaining bytes, which may split a character). hot: see HOT_BYTES."""
     if not 1 <= gram <= span:
         raise ValueError("gram must be from 1 to span")
+    docs = small_batches(docs)
     parts = parts_for(docs, PART_BYTES)
     shards = max(LEAST_SHARDS, parts_for(docs, SHARD_BYTES, floor=0) or 4 * parts)
     part, out = free_name(docs, "part"), free_name(docs, out)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, held_out, slices
+from .common import free_name, held_out, slices, small_batches
 
 SAMPLE = 3000
 SAMPLE_CHARS = 20_000
@@ -166,7 +166,7 @@ def score_documents(docs: DataFrame, model: Model | None, text_col: str = "text"
             found = model.score(np.array([features(t.as_py() or "") for t in batch.column(at)]).reshape(-1, 3))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], names=names)
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())]))
+    return small_batches(docs).mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())]))
 
 
 def predictions(docs: DataFrame, labels: DataFrame) -> DataFrame:
