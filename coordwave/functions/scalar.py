@@ -17,12 +17,37 @@ def factor(unit: Column, units: dict[str, float]) -> Column:
 
 
 def fnv1a(text: Column) -> Column:
-    """32-bit FNV-1a of a text of ASCII characters, as 8 hex digits."""
-    letters = F.filter(F.split(text, ""), lambda c: c != "")
-    h = F.aggregate(F.transform(letters, F.ascii), F.lit(2166136261).cast("long"), lambda h, c: (h.bitwiseXOR(c.cast("long")) * 16777619).bitwiseAND(F.lit(0xFFFFFFFF)))
+    """32-bit FNV-1a over a text's UTF-16 units, as 8 hex digits."""
+    units = F.transform(F.regexp_extract_all(F.hex(F.encode(text, "UTF-16BE")), F.lit("(.{4})"), F.lit(1)), lambda u: F.conv(u, 16, 10).cast("long"))
+    h = F.aggregate(units, F.lit(2166136261).cast("long"), lambda h, c: (h.bitwiseXOR(c) * 16777619).bitwiseAND(F.lit(0xFFFFFFFF)))
     return F.lower(F.lpad(F.hex(h), 8, "0"))
 
 
+def normalised(x: Column, low: Column, high: Column) -> Column:
+    """Where x lies between low and high, computed so that very large values don't overflow; null for an empty range."""
+    size = F.greatest(F.abs(low), F.abs(high), F.lit(2.0**-1022))
+    return F.when(high > low, (x / size - low / size) / (high / size - low / size))
+
+
+def entity_id(kind: str, *parts: Column) -> Column:
+    """A reproducible id of an entity: a hash of what it is made of."""
+    return F.concat(F.lit(f"{kind}-"), F.substring(F.sha2(F.concat_ws("\x1f", *[p.cast("string") for p in parts]), 256), 1, 16))
+
+
+def rotated(values: Column, by: Column) -> Column:
+    """An array that begins at place `by` and goes on from its start after its end."""
+    return F.concat(F.slice(values, by + 1, F.greatest(F.size(values) - by, F.lit(0))), F.slice(values, F.lit(1), by))
+
+
+def group_name(index: Column, names: list[str]) -> Column:
+    """The name of group number index (0 or more): names in turn, then two of them joined, up to three, as digits of a
+    count that has no zero."""
+    n = len(names)
+    of = lambda k: F.element_at(F.array(*map(F.lit, names)), (k % n + 1).cast("int"))
+    first, second = F.floor(index / n) - 1, F.floor((F.floor(index / n) - 1) / n) - 1
+    return F.concat(F.when(second >= 0, of(second)).otherwise(""), F.when(first >= 0, of(first)).otherwise(""), of(index))
+
+
 def lcg(seed: Column, steps: Column) -> Column:
     """The state of the linear congruential generator 1664525, 1013904223 mod 2^32 after some steps."""
     n = F.when(steps > 0, F.sequence(F.lit(1), steps)).otherwise(F.array().cast("array<int>"))
@@ -40,5 +65,5 @@ def sigmoid(x: Column) -> Column:
 
 
 def identifier_ok(x: Column) -> Column:
-    """Whether a text can be an identifier."""
+    """Whether a text can be an identifier: its pattern and the two reserved words are fixed values."""
     return F.coalesce(x.rlike(r"^[A-Za-z0-9][A-Za-z0-9._:-]{0,199}$") & ~x.isin("constructor", "prototype"), F.lit(False))

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalar import sigmoid
+
 BINS = 5
 
 
@@ -27,7 +29,7 @@ def calibration_error(pairs: DataFrame) -> DataFrame:
     n = pairs.agg(F.count_if(F.col("y") == 1).alias("ones"), F.count_if(F.col("y") == 0).alias("zeros"))
     weight = F.when(F.col("y") == 1, 0.5 / F.col("ones")).otherwise(0.5 / F.col("zeros"))
     rows = pairs.crossJoin(F.broadcast(n)).select("score", "y", weight.alias("w"), F.least(F.floor(F.col("score") * BINS), F.lit(BINS - 1)).alias("bin"))  # one row of counts
-    by = rows.groupBy("bin").agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("score")).alias("s"), F.sum(F.col("w") * F.col("y")).alias("p"), F.sum(F.col("w") * (F.col("score") - F.col("y")) ** 2).alias("b"))
+    by = rows.groupBy("bin").agg(F.sum(F.col("w") * F.col("score")).alias("s"), F.sum(F.col("w") * F.col("y")).alias("p"), F.sum(F.col("w") * (F.col("score") - F.col("y")) ** 2).alias("b"))
     return by.agg(F.round(F.sum("b"), 6).alias("brier"), F.round(F.sum(F.abs(F.col("s") - F.col("p"))), 6).alias("ece"))
 
 
@@ -50,10 +52,13 @@ def threshold_grid(scores: DataFrame) -> DataFrame:
 
 
 def fit_logistic(score: np.ndarray, y: np.ndarray, steps: int = 1500, rate: float = 0.2, penalty: float = 0.01):
-    """(mean, scale, slope, intercept) of a logistic curve over standardised scores, by gradient steps with both
-    classes weighing the same; slope 0 to 30, intercept -30 to 30, scale 0.01 at least."""
+    """(mean, scale, slope, intercept) of a logistic curve over standardised scores, by gradient steps from 0 with
+    both classes weighing the same; slope 0 to 30, intercept -30 to 30, scale 0.01 at least. A missing class or a
+    score that isn't finite is an error."""
+    if not ((y == 1).any() and (y == 0).any()) or not np.isfinite(score).all():
+        raise ValueError("calibration needs finite scores of both classes")
     mean, scale = score.mean(), max(score.std(), 0.01)
-    x, slope, intercept = (score - mean) / scale, 1.0, 0.0
+    x, slope, intercept = (score - mean) / scale, 0.0, 0.0
     weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
     for _ in range(steps):
         error = weight * (1 / (1 + np.exp(-np.clip(slope * x + intercept, -700, 700))) - y)
@@ -106,3 +111,111 @@ def recall_at_1(nearest: DataFrame) -> DataFrame:
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "match_id")
     top = nearest.withColumn("n", F.row_number().over(best)).where("n = 1")
     return top.rollup("quantity").agg(F.round(F.avg((F.col("label") == F.col("match_label")).cast("double")), 9).alias("recall"), F.count(F.lit(1)).alias("n_queries"))
+
+
+def split_summary(examples: DataFrame) -> DataFrame:
+    """Examples, different sources, known and unfamiliar ones of each split. examples: (split, source_id, expected)."""
+    known = F.col("expected").isNotNull()
+    return examples.groupBy("split").agg(F.count(F.lit(1)).alias("examples"), F.count_distinct("source_id").alias("sources"), F.count_if(known).alias("known"), F.count_if(~known).alias("unfamiliar"))
+
+
+def split_violations(examples: DataFrame, reference: DataFrame) -> DataFrame:
+    """V7: (rule, subject) for each broken rule of an evaluation dataset: a source or a shape in several splits, a source
+    with several labels, a shape that the reference has, a split without known or without unfamiliar examples.
+    examples: (source_id, split, expected, shape); reference: (shape)."""
+    several = lambda key, what, rule: examples.where(F.col(key).isNotNull()).groupBy(key).agg(F.count_distinct(what).alias("n")).where("n > 1").select(F.lit(rule).alias("rule"), F.col(key).cast("string").alias("subject"))
+    label = F.coalesce(F.col("expected").cast("string"), F.lit("none"))
+    counted = split_summary(examples)
+    bare = counted.select(F.explode(F.array_compact(F.array(F.when(F.col("known") == 0, "no known example"), F.when(F.col("unfamiliar") == 0, "no unfamiliar example")))).alias("rule"), F.col("split").cast("string").alias("subject"))
+    known = examples.select("shape").distinct().join(reference.select("shape").distinct(), "shape", "left_semi").select(F.lit("shape is in the reference").alias("rule"), F.col("shape").cast("string").alias("subject"))
+    found = several("source_id", F.col("split"), "source in several splits").unionByName(several("source_id", label, "source with several labels"))
+    return found.unionByName(several("shape", F.col("split"), "shape in several splits")).unionByName(known).unionByName(bare)
+
+
+def calibrated(score: Column, model: dict[str, float]) -> Column:
+    """A score's calibrated value. model: mean, scale, slope, intercept."""
+    return sigmoid(model["intercept"] + model["slope"] * (score - model["mean"]) / model["scale"])
+
+
+def prepare_pairs(examples: DataFrame, representatives: DataFrame, scores: DataFrame) -> DataFrame:
+    """E5: (example_id, split, expected, region_id, representative_id, formula, overlap): each example with each
+    representative that has a score with it. examples: (example_id, split, expected); representatives: (region_id,
+    representative_id); scores: (example_id, representative_id, formula, overlap)."""
+    return examples.join(scores, "example_id").join(representatives, "representative_id").select("example_id", "split", "expected", "region_id", "representative_id", "formula", "overlap")
+
+
+def predict(pairs: DataFrame, share: float, threshold: float, calibration: dict[str, dict[str, float]] | None = None) -> DataFrame:
+    """(example_id, expected, predicted, score, correct): the region of the best pair, ties by region and
+    representative, if its combined score reaches the threshold; null otherwise."""
+    value = lambda c: calibrated(F.col(c), calibration[c]) if calibration else F.col(c)
+    combined = share * value("formula") + (1 - share) * value("overlap")
+    best = pairs.withColumn("combined", combined).groupBy("example_id").agg(F.first("expected").alias("expected"), F.min(F.struct((-F.col("combined")).alias("low"), "region_id", "representative_id")).alias("best"))
+    score = -F.col("best.low")
+    region = F.when(score >= threshold, F.col("best.region_id"))
+    return best.select("example_id", "expected", region.alias("predicted"), score.alias("score"), region.eqNullSafe(F.col("expected")).alias("correct"))
+
+
+def tune_shares(pairs: DataFrame, shares: list[float], calibration: dict[str, dict[str, float]] | None = None) -> DataFrame:
+    """(share, threshold, accuracy, false_merges) of the best setting on the tune split: for each share the
+    thresholds are 0, 1 and all midpoints; then greatest accuracy, fewer false merges, the higher share, the threshold
+    nearest to 0.5. Another split than `tune` is an error."""
+    if pairs.where("split <> 'tune' OR split IS NULL").take(1) or pairs.isEmpty():
+        raise ValueError("parameters are chosen on the tune split only")
+    found = None
+    for share in shares:  # a few settings
+        scored = predict(pairs, share, 0.0, calibration).select("expected", F.col("predicted").alias("region"), "score")
+        ends = scored.sparkSession.createDataFrame([(0.0,), (1.0,)], "threshold double")
+        best = tune(scored, threshold_grid(scored).unionByName(ends).distinct()).select(F.lit(share).alias("share"), "threshold", "accuracy", "false_merges")
+        found = best if found is None else found.unionByName(best)
+    return found.orderBy(F.desc("accuracy"), "false_merges", F.desc("share"), F.abs(F.col("threshold") - 0.5)).limit(1)
+
+
+def evaluate(pairs: DataFrame, shares: list[float]) -> DataFrame:
+    """One row for each of the methods formula, overlap, tuned and calibrated: fitted on the fit split, tuned on the
+    tune split, then frozen and measured on the test split. pairs: as prepare_pairs gives them."""
+    on = {s: pairs.where(F.col("split") == s) for s in ("fit", "tune", "test")}
+    fitted = {}
+    for c in ("formula", "overlap"):
+        rows = on["fit"].select(c, F.coalesce(F.col("expected") == F.col("region_id"), F.lit(False)).cast("int").alias("y")).toPandas()  # the fit split is a small, labelled set
+        fitted[c] = dict(zip(("mean", "scale", "slope", "intercept"), fit_logistic(rows[c].to_numpy(float), rows["y"].to_numpy()), strict=True))
+    made = None
+    for method, tried, calibration in (("formula", [1.0], None), ("overlap", [0.0], None), ("tuned", shares, None), ("calibrated", shares, fitted)):
+        best = tune_shares(on["tune"], tried, calibration).first()
+        row = metrics(predict(on["test"], best["share"], best["threshold"], calibration)).select(F.lit(method).alias("method"), F.lit(best["share"]).alias("share"), F.round(F.lit(best["threshold"]), 9).alias("threshold"), "n_known", "n_unfamiliar", "known_correct", "unfamiliar_correct", "balanced_accuracy")
+        made = row if made is None else made.unionByName(row)
+    return made
+
+
+def component_bootstrap(groups: list[int], correct: np.ndarray, reps: int = 1000, seed: int = 20261007) -> tuple[float, float]:
+    """The middle 95 % of the mean over resamples of whole groups; one sum a group is all that it needs."""
+    names, at = np.unique(groups, return_inverse=True)
+    total, n = np.bincount(at, correct), np.bincount(at)
+    drawn = np.random.default_rng(seed).integers(0, len(names), (reps, len(names)))
+    means = np.sort(total[drawn].sum(axis=1) / n[drawn].sum(axis=1))
+    return float(means[int(0.025 * reps)]), float(means[int(0.975 * reps) - 1])
+
+
+#: Bounds of calibrations and grouping settings (fixed values).
+_CALIBRATION = {"mean": (0, 1), "scale": (0.01, 1), "slope": (0, 30), "intercept": (-30, 30)}
+
+
+def calibration_violations(profiles: DataFrame) -> DataFrame:
+    """V6: (profile_id, rule) for each value of a calibration out of its bounds or not finite. profiles: (profile_id, mean,
+    scale, slope, intercept)."""
+    broken = [F.when(F.coalesce(F.isnan(c) | ~F.col(c).between(low, high), F.lit(True)), c) for c, (low, high) in _CALIBRATION.items()]
+    return profiles.select("profile_id", F.explode(F.array_compact(F.array(*broken))).alias("rule"))
+
+
+def grouping_violations(settings: DataFrame) -> DataFrame:
+    """V5: (settings_id, rule): threshold over 0 up to 1, formula share 0 to 1, no negative weight, some weight over 0, and a
+    calibration of the settings' own quantity. settings: (settings_id, threshold, share, w_shape, w_period, w_excursion,
+    w_centre, quantity, calibration_quantity)."""
+    weights = [F.coalesce(f"w_{w}", F.lit(-1.0)) for w in ("shape", "period", "excursion", "centre")]
+    broken = [
+        F.when(~F.coalesce((F.col("threshold") > 0) & (F.col("threshold") <= 1), F.lit(False)), "threshold"),
+        F.when(~F.coalesce(F.col("share").between(0, 1), F.lit(False)), "share"),
+        F.when(F.least(*weights) < 0, "negative weight"),
+        F.when(F.greatest(*weights) <= 0, "no weight"),
+        F.when(F.col("calibration_quantity").isNotNull() & ~F.col("calibration_quantity").eqNullSafe(F.col("quantity")), "calibration"),
+    ]
+    return settings.select("settings_id", F.explode(F.array_compact(F.array(*broken))).alias("rule"))

@@ -10,18 +10,18 @@ from pyspark.sql import functions as F
 SUGGESTED = "recording_id long, place int, period double, similarity double, pairs int, coverage double, repeats double"
 
 
-def _bracketed(t: np.ndarray, f: np.ndarray, at: np.ndarray, widest: float, missing: np.ndarray):
-    """Values at times, on the line between the samples around them; NaN where these are too far apart, or a time
+def _bracketed(t: np.ndarray, f: np.ndarray, at: np.ndarray, widest: float, missing: np.ndarray, hold: bool = False):
+    """Values at times, on the line between the samples around them, or with hold of the one before; NaN where these are too far apart, or a time
     between them is marked missing."""
     k = np.clip(np.searchsorted(t, at, side="right") - 1, 0, len(t) - 2)
     gap = t[k + 1] - t[k]
-    value = f[k] + (f[k + 1] - f[k]) * (at - t[k]) / gap
+    value = f[k] if hold else f[k] + (f[k + 1] - f[k]) * (at - t[k]) / gap
     bad = (at < t[0]) | (at >= t[-1]) | (gap > widest)  # there is no sample behind the last one
-    bad |= np.searchsorted(missing, t[k], side="right") < np.searchsorted(missing, t[k + 1], side="left")
+    bad |= np.searchsorted(missing, t[k]) < np.searchsorted(missing, t[k + 1])
     return np.where(bad, np.nan, value)
 
 
-def suggest(t: np.ndarray, f: np.ndarray, missing: np.ndarray) -> list[tuple[float, float, int, float, float]]:
+def suggest(t: np.ndarray, f: np.ndarray, missing: np.ndarray, hold: bool = False) -> list[tuple[float, float, int, float, float]]:
     """Up to five periods at which a recording resembles itself: (period, similarity, pairs, coverage, repeats)."""
     if len(t) < 24 or np.ptp(f) <= 1e-12:
         return []
@@ -34,7 +34,7 @@ def suggest(t: np.ndarray, f: np.ndarray, missing: np.ndarray) -> list[tuple[flo
     base_t, base_f = t[::every], f[::every]
 
     def like(lag: float):
-        value = _bracketed(t, f, base_t + lag, 3.01 * spacing, missing)
+        value = _bracketed(t, f, base_t + lag, 3.01 * spacing, missing, hold)
         both = ~np.isnan(value)
         n, possible = int(both.sum()), int((base_t + lag <= t[-1]).sum())
         if not n:
@@ -47,11 +47,13 @@ def suggest(t: np.ndarray, f: np.ndarray, missing: np.ndarray) -> list[tuple[flo
     peak = 1 + np.flatnonzero((score[1:-1] >= score[:-2]) & (score[1:-1] >= score[2:]))  # the ends are no peaks
     found = []
     for k in sorted(peak, key=lambda k: (-score[k], k))[:16]:
-        centre, reach = lags[k], lags[1] - lags[0]
+        centre, reach, best = lags[k], lags[1] - lags[0], score[k]
         for _ in range(3):
-            tries = np.linspace(centre - reach, centre + reach, 21)
+            tries = centre + np.arange(-10, 11) * reach / 10
             tries = tries[(tries >= low) & (tries <= high)]
-            centre = tries[int(np.argmax([like(x)[0] for x in tries]))]
+            near = np.array([like(x)[0] for x in tries])
+            if near.max(initial=-1) > best:  # only a better one moves the centre; of several, the first
+                centre, best = tries[int(np.argmax(near))], near.max()
             reach /= 10
         similarity, n, coverage = like(centre)
         if similarity >= 0.85 and n >= 12 and coverage >= 0.5 and supported(t, missing, t[0], centre) >= 2:
@@ -64,23 +66,24 @@ def suggest(t: np.ndarray, f: np.ndarray, missing: np.ndarray) -> list[tuple[flo
 def supported(t: np.ndarray, missing: np.ndarray, start: float, period: float) -> int:
     """Whole windows of a period, two at most, with eight samples or more and no cyclic gap over a fifth."""
     n = 0
-    for k in range(200):
-        a, b = start + k * period, start + (k + 1) * period
-        if b > t[-1] + 1e-12 or n == 2:
-            break
-        own = t[(t >= a) & (t < b)]
-        if len(own) >= 8 and max(np.diff(own).max(), own[0] + period - own[-1]) <= 0.2 * period:
+    for k in range(min(200, int(np.floor((t[-1] - start) / period + 1e-10)))):
+        a = start + k * period
+        own = t[(t >= a) & (t < a + period)] - a
+        if len(own) >= 8 and max(np.diff(own).max(), own[0] + period - own[-1]) <= 0.2 * period + 1e-12:
             n += 1
+        if n == 2:
+            break
     return n
 
 
-def suggest_periods(samples: DataFrame) -> DataFrame:
-    """Suggestions for each recording. samples: (recording_id, t, f), f null where a value is missing."""
+def suggest_periods(samples: DataFrame, hold: bool = False) -> DataFrame:
+    """Suggestions for each recording. samples: (recording_id, t, f), f null where a value is missing. hold: values
+    stay until the next sample instead of following the line to it."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("t")
         seen = rows["f"].notna()
-        got = suggest(rows.loc[seen, "t"].to_numpy(float), rows.loc[seen, "f"].to_numpy(float), rows.loc[~seen, "t"].to_numpy(float))
+        got = suggest(rows.loc[seen, "t"].to_numpy(float), rows.loc[seen, "f"].to_numpy(float), rows.loc[~seen, "t"].to_numpy(float), hold)
         return pd.DataFrame([(rows["recording_id"].iloc[0], k, *x) for k, x in enumerate(got)], columns=["recording_id", "place", "period", "similarity", "pairs", "coverage", "repeats"])
 
     return samples.groupBy("recording_id").applyInPandas(run, SUGGESTED)

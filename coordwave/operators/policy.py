@@ -5,11 +5,12 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .linkage import labels
 
+#: Margins of the group policy (fixed values).
 CORE, COMPETITION, LEAST_SHAPES, NEAR = 0.08, 0.05, 3, 0.005
 
 
@@ -37,10 +38,98 @@ def near_duplicate_components(nodes: DataFrame, distances: DataFrame, limit: flo
 
 
 def novelty_threshold(nearest: DataFrame) -> DataFrame:
-    """One and a half times the value at place floor(.95 n) of the sorted nearest distances, 0.15 at least."""
-    # One number from a sorted list; the percentile function without interpolation picks a neighbouring place.
-    listed = nearest.agg(F.sort_array(F.collect_list("distance")).alias("d"))
-    return listed.select(F.greatest(F.lit(0.15), 1.5 * F.element_at("d", (F.floor(0.95 * F.size("d")) + 1).cast("int"))).alias("threshold"))
+    """One and a half times the value at place floor(.95 n) of the sorted nearest distances, 0.15 at least; null
+    without distances."""
+    kept = nearest.where("distance IS NOT NULL").select("distance")
+    n = kept.count()
+    value = nth_smallest(kept, "distance", int(0.95 * n)) if n else None
+    return nearest.sparkSession.createDataFrame([(None if value is None else max(0.15, 1.5 * value),)], "threshold double")
+
+
+def nth_smallest(rows: DataFrame, column: str, n: int) -> float:
+    """The value at place n (from 0) of a sorted column, by counting ranges: approximate quantiles narrow the interval
+    that holds it, and only what lies in it is sorted."""
+    size = rows.count()
+    low, high = (rows.approxQuantile(column, [min(1.0, max(0.0, n / size + d))], 0.001)[0] for d in (-0.002, 0.002))
+    below = rows.where(F.col(column) < low).count()
+    inside = rows.where(F.col(column).between(low, high))
+    if not below <= n < below + inside.count():
+        inside, below = rows, 0
+    return inside.orderBy(column).offset(n - below).limit(1).first()[0]
+
+
+def region_ranges(members: DataFrame, value: str) -> DataFrame:
+    """A10: the least and greatest value of each region's members. members: (region_id, value)."""
+    return members.groupBy("region_id").agg(F.min(value).alias(f"least_{value}"), F.max(value).alias(f"most_{value}"), F.count(F.lit(1)).alias("n_members"))
+
+
+def distinct_captures(members: DataFrame) -> DataFrame:
+    """Different captures and shapes of each region; nulls don't count. members: (region_id, capture_id, shape)."""
+    return members.groupBy("region_id").agg(F.count_distinct("capture_id").alias("captures"), F.count_distinct("shape").alias("shapes"))
+
+
+def cohesion(members: DataFrame, scores: DataFrame) -> DataFrame:
+    """(group_id, cohesion): the least score of two members of a group; 1 for a group of one. members: (id, group_id);
+    scores: (a, b, score), a < b; a pair without a score counts as 0."""
+    one, two = (members.select(F.col("id").alias(x), F.col("group_id").alias(f"group_{x}")) for x in "ab")
+    inside = scores.join(one, "a").join(two, "b").where("group_a = group_b").groupBy(F.col("group_a").alias("group_id")).agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("pairs"))
+    sizes = members.groupBy("group_id").agg(F.count(F.lit(1)).alias("n"))
+    whole = F.col("n") * (F.col("n") - 1) / 2
+    return sizes.join(inside, "group_id", "left").select("group_id", F.when(F.col("n") == 1, 1.0).when(F.coalesce("pairs", F.lit(0)) < whole, 0.0).otherwise(F.col("least")).alias("cohesion"))
+
+
+def group_representatives(members: DataFrame, scores: DataFrame, tie: float = 1e-12) -> DataFrame:
+    """(group_id, representative_id, total): the member of greatest total score inside its group, each counting 1 with
+    itself; of those equal within tie the least id. members: (id, group_id); scores: (a, b, score), a < b."""
+    both = scores.select("a", "b", "score").unionByName(scores.select(F.col("b").alias("a"), F.col("a").alias("b"), "score"))
+    one, two = (members.select(F.col("id").alias(x), F.col("group_id").alias(f"group_{x}")) for x in "ab")
+    sums = both.join(one, "a").join(two, "b").where("group_a = group_b").groupBy(F.col("a").alias("id")).agg(F.sum("score").alias("s"))
+    totals = members.join(sums, "id", "left").select("group_id", "id", (1 + F.coalesce("s", F.lit(0.0))).alias("total"))
+    most = totals.groupBy("group_id").agg(F.max("total").alias("most"))
+    return totals.join(most, "group_id").where(F.col("total") >= F.col("most") - tie).groupBy("group_id").agg(F.min("id").alias("representative_id"), F.min_by("total", "id").alias("total"))
+
+
+def reconstruction_flags(cycles: DataFrame, most_gap: float = 0.05) -> DataFrame:
+    """C20: (cycle_id, flagged): sparse cycles are flagged unless an approved extraction with small gaps. cycles: (cycle_id,
+    sampling, approved, generator, gap_fraction)."""
+    fine = F.coalesce(F.col("approved") & (F.col("generator") == "recording-extraction") & (F.col("gap_fraction") <= most_gap + 1e-12), F.lit(False))
+    return cycles.select("cycle_id", (~fine & (F.col("sampling") == "sparse-periodic")).alias("flagged"))
+
+
+def equivalence_classes(cycles: DataFrame, active: list[str]) -> DataFrame:
+    """(cycle_id, class_id): the least cycle of the same shape key and the same values of the active scales. Shape keys
+    are exact to their rounding, so equal keys are equivalent to it. cycles: (cycle_id, shape_key, ...)."""
+    least = cycles.groupBy("shape_key", *active).agg(F.min("cycle_id").alias("class_id"))
+    match = cycles["shape_key"].eqNullSafe(least["shape_key"])
+    for c in active:
+        match &= cycles[c].eqNullSafe(least[c])
+    return cycles.join(least, match).select("cycle_id", "class_id")
+
+
+def region_scores(scores: DataFrame, anchors: DataFrame, threshold: float) -> DataFrame:
+    """(cycle_id, region_id, anchor_similarity, eligible, place): each region's greatest score over its anchors;
+    eligible ones first, then by score and id. scores: (cycle_id, anchor_id, score); anchors: (region_id, anchor_id)."""
+    by = scores.join(anchors, "anchor_id").groupBy("cycle_id", "region_id").agg(F.max("score").alias("anchor_similarity"))
+    judged = by.withColumn("eligible", F.col("anchor_similarity") >= threshold)
+    place = F.row_number().over(Window.partitionBy("cycle_id").orderBy(F.desc("eligible"), F.desc("anchor_similarity"), "region_id"))
+    return judged.withColumn("place", place)
+
+
+def embedding_stress(distances: DataFrame, points: DataFrame) -> DataFrame:
+    """What an embedding's distances miss, relative to the distances. distances: (a, b, distance); points: (id, x, y)."""
+    one, two = (points.select(F.col("id").alias(s), F.col("x").alias(f"x_{s}"), F.col("y").alias(f"y_{s}")) for s in "ab")
+    got = F.hypot(F.col("x_a") - F.col("x_b"), F.col("y_a") - F.col("y_b"))
+    rows = distances.join(one, "a").join(two, "b").select("distance", got.alias("got"))
+    return rows.agg(F.sqrt(F.sum((F.col("distance") - F.col("got")) ** 2) / F.sum(F.col("distance") ** 2)).alias("stress"))
+
+
+def medoid_objective(distances: DataFrame, medoids: DataFrame) -> DataFrame:
+    """(medoid_id, n_members, objective): members go to their nearest medoid, ties to the lesser; medoids to
+    themselves. distances: (a, b, distance), a < b; medoids: (medoid_id)."""
+    both = distances.select("a", "b", "distance").unionByName(distances.select(F.col("b").alias("a"), F.col("a").alias("b"), "distance"))
+    near = both.join(medoids, F.col("b") == F.col("medoid_id")).select("a", "medoid_id", "distance").unionByName(medoids.select(F.col("medoid_id").alias("a"), "medoid_id", F.lit(0.0).alias("distance")))
+    best = near.groupBy("a").agg(F.min(F.struct("distance", "medoid_id")).alias("m"))
+    return best.groupBy(F.col("m.medoid_id").alias("medoid_id")).agg(F.count(F.lit(1)).alias("n_members"), F.sum("m.distance").alias("objective"))
 
 
 def place(distances: np.ndarray, xy: np.ndarray, k: int = 5) -> np.ndarray:

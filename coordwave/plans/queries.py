@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar
-from ..operators import cycles, evaluation, linkage, matching, periods, review, windows
+from ..operators import cycles, evaluation, linkage, matching, periods, policy, review, windows
+from ..sources.shared import materialise
 from ..sources.tables import QUANTITIES, recordings, table
 
 QUERIES = {}
@@ -134,12 +135,14 @@ _WHOLE = f"""{_DECIMATE}{_POINTS}, v AS (
   SELECT recording_id, count(*) AS n, min(event_idx) AS i0, max(event_idx) AS i1, min(t) AS t0, max(t) AS t1,
     [min(x[1]), min(x[2]), min(x[3])] AS lo, [max(x[1]), max(x[2]), max(x[3])] AS hi FROM v GROUP BY recording_id
   HAVING count(*) >= 16
+), ev AS (
+  SELECT recording_id AS er FROM rec GROUP BY recording_id HAVING greatest(count(frequency), count(pri), count(pw)) >= 16
 ), al AS (
   SELECT ga.recording_id AS q, gb.recording_id AS u, k, a.pos AS ap, b.pos AS bp, (a.t - ga.t0) / (ga.t1 - ga.t0) - (b.t - gb.t0) / (gb.t1 - gb.t0) AS dt,
     a.x[k] IS NOT NULL AND b.x[k] IS NOT NULL AND NOT a.br[k] AND NOT b.br[k] AS ok,
     CASE WHEN ga.hi[k] = ga.lo[k] AND gb.hi[k] = gb.lo[k] THEN 0 WHEN ga.hi[k] = ga.lo[k] OR gb.hi[k] = gb.lo[k] THEN 1
       ELSE (a.x[k] - ga.lo[k]) / (ga.hi[k] - ga.lo[k]) - (b.x[k] - gb.lo[k]) / (gb.hi[k] - gb.lo[k]) END AS d
-  FROM g ga JOIN g gb ON ga.recording_id <> gb.recording_id JOIN v a ON a.recording_id = ga.recording_id
+  FROM g ga JOIN ev ON er = ga.recording_id JOIN g gb ON ga.recording_id <> gb.recording_id JOIN v a ON a.recording_id = ga.recording_id
   JOIN v b ON b.recording_id = gb.recording_id AND b.pos = CAST(floor((a.event_idx - ga.i0) / greatest(1, ga.i1 - ga.i0)::DOUBLE * (gb.n - 1) + 0.5) AS BIGINT)
   CROSS JOIN (SELECT unnest([1, 2, 3]) AS k)
 ), ch AS (
@@ -191,15 +194,26 @@ def _gridded(spark, sf_dir):
     return cycles.phase_grid(cycles.from_embeddings(table(spark, sf_dir, "embeddings")))
 
 
-@query()
+#: Least root mean squares over all circular shifts, by inner products with every rotation.
+_SHIFTED = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS f FROM embeddings), c AS (
+  SELECT vec_id, f, (list_max(f) + list_min(f)) / 2 AS centre, (list_max(f) - list_min(f)) / 2 AS excursion FROM v), g AS (
+  SELECT vec_id, excursion, list_transform(range(128), lambda p: ((f[1 + p // 2] + (f[1 + (p // 2 + 1) % 64] - f[1 + p // 2]) * (p % 2) / 2.0) - centre) / excursion) AS a FROM c WHERE excursion > 1e-12),
+  n AS (SELECT vec_id, excursion, a::DOUBLE[128] AS a, list_inner_product(a, a) AS s FROM g),
+  r AS (SELECT vec_id, excursion, s, list_concat((a::DOUBLE[])[k + 1:], (a::DOUBLE[])[:k])::DOUBLE[128] AS b FROM n, unnest(generate_series(0, 127)) AS t(k)),
+  m AS (SELECT x.vec_id AS x, y.vec_id AS y, any_value(x.excursion) AS ex, any_value(y.excursion) AS ey, sqrt(greatest(0, any_value(x.s) + any_value(y.s) - 2 * max(array_inner_product(x.a, y.b))) / 128) AS rms FROM n x JOIN r y ON {ON} GROUP BY ALL)"""
+
+
+@query(_SHIFTED.replace("{ON}", "y.vec_id > x.vec_id") + " SELECT x AS a, y AS b, round(rms, 6) AS distance FROM m")
 def j4_cycle_distances(spark, sf_dir):
-    return cycles.distances(_gridded(spark, sf_dir)).select("a", "b", F.round("distance", 9).alias("distance"))
+    return cycles.distances(_gridded(spark, sf_dir)).select("a", "b", F.round("distance", 6).alias("distance"))
 
 
-@query()
+@query(_SHIFTED.replace("{ON}", "y.vec_id <> x.vec_id AND x.vec_id % 100 = 0") + """, d AS (SELECT x, y, sqrt(0.65 * rms ** 2 + 0.15 * log2(ex / ey) ** 2) AS d FROM m), k AS (SELECT *, row_number() OVER (PARTITION BY x ORDER BY round(d, 9), y) AS n FROM d)
+  SELECT x AS query_id, y AS cycle_id, round(d, 6) AS distance FROM k WHERE n <= 5""")
 def j6_neighbours(spark, sf_dir):
+    """By the default weights of shape, period and excursion."""
     gridded = _gridded(spark, sf_dir)
-    return cycles.neighbours(gridded, gridded.where("cycle_id % 100 = 0"))
+    return cycles.neighbours(gridded, gridded.where("cycle_id % 100 = 0")).withColumn("distance", F.round("distance", 6))
 
 
 @query("SELECT vec_id AS cycle_id, CAST(64 AS INTEGER) AS n_samples, 0.015625 AS gap_fraction FROM embeddings WHERE list_max(embedding) - list_min(embedding) > 2e-12")
@@ -297,13 +311,13 @@ def p12_covering_evidence(spark, sf_dir):
 @query("""SELECT c_custkey, c_name, CASE WHEN c_custkey % 3 = 0 THEN 'reviewed' WHEN c_custkey % 3 = 1 THEN 'unresolved' ELSE 'unreviewed' END AS status
   FROM customer WHERE contains(lower(concat_ws(' ', c_name, c_mktsegment)), 'build') AND c_nationkey >= 5""")
 def p6_text_filter(spark, sf_dir):
-    c = table(spark, sf_dir, "customer")
     k = F.col("c_custkey") % 3
-    status = F.when(k == 0, "reviewed").when(k == 1, "unresolved").otherwise("unreviewed")
-    return c.where(F.lower(F.concat_ws(" ", "c_name", "c_mktsegment")).contains("build") & (F.col("c_nationkey") >= 5)).select("c_custkey", "c_name", status.alias("status"))
+    status = review.window_status(F.when(k == 0, "associated").when(k == 1, "unresolved"))
+    kept = review.text_filter(table(spark, sf_dir, "customer"), ["c_name", "c_mktsegment"], "Build", F.col("c_nationkey") >= 5)
+    return kept.select("c_custkey", "c_name", status.alias("status"))
 
 
-@query()
+@query("""SELECT n_nationkey, lpad(lower(to_hex(list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split(n_name, ''), lambda x: unicode(x)::BIGINT)), lambda h, c: (xor(h, c) * 16777619) & 4294967295))), 8, '0') AS signature FROM nation""")
 def hash_fnv(spark, sf_dir):
     return table(spark, sf_dir, "nation").select("n_nationkey", scalar.fnv1a(F.col("n_name")).alias("signature"))
 
@@ -314,14 +328,8 @@ def prng_lcg(spark, sf_dir):
     return table(spark, sf_dir, "nation").select("n_nationkey", scalar.lcg(F.col("n_nationkey"), F.lit(10)).alias("state"))
 
 
-@query("""WITH d AS (SELECT DISTINCT o_totalprice AS score FROM orders WHERE o_orderkey % 97 = 1), p AS (SELECT (score + lag(score) OVER (ORDER BY score)) / 2 AS threshold FROM d) SELECT threshold FROM p WHERE threshold IS NOT NULL""")
-def w8_threshold_grid(spark, sf_dir):
-    return evaluation.threshold_grid(table(spark, sf_dir, "orders").where("o_orderkey % 97 = 1").select(F.col("o_totalprice").alias("score")))
-
-
 @query("""WITH d AS (SELECT DISTINCT o_totalprice AS score FROM orders), p AS (SELECT (score + lag(score) OVER (ORDER BY score)) / 2 AS threshold FROM d) SELECT threshold FROM p WHERE threshold IS NOT NULL""")
-def w8_threshold_grid_whole(spark, sf_dir):
-    """Over all orders; w8_threshold_grid and its SQL read one in 97."""
+def w8_threshold_grid(spark, sf_dir):
     return evaluation.threshold_grid(table(spark, sf_dir, "orders").select(F.col("o_totalprice").alias("score")))
 
 
@@ -329,9 +337,8 @@ def w8_threshold_grid_whole(spark, sf_dir):
   SELECT user_id, event_id, value, CAST(rank AS INTEGER) AS rank, t.total FROM e JOIN (SELECT user_id, count(*) AS total FROM events GROUP BY user_id) t USING (user_id) WHERE rank <= 4""")
 def o5_presentation_edges(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("user_id", "event_id", "value")
-    order = Window.partitionBy("user_id").orderBy(F.desc("value"), "event_id")
-    placed = e.withColumn("rank", F.row_number().over(order)).withColumn("total", F.count(F.lit(1)).over(Window.partitionBy("user_id")))
-    return placed.where("rank <= 4")
+    edges = review.presentation_edges(e.select(F.col("user_id").alias("query_id"), F.col("event_id").alias("target_id"), F.lit("whole").alias("kind"), F.col("value").alias("score")))
+    return edges.select(F.col("query_id").alias("user_id"), F.col("target_id").alias("event_id"), F.col("score").alias("value"), "rank", "total")
 
 
 @query("""WITH v AS (SELECT vec_id, label, list_max(embedding)::DOUBLE AS hi, list_min(embedding)::DOUBLE AS lo FROM embeddings)
@@ -339,38 +346,33 @@ def o5_presentation_edges(spark, sf_dir):
 def a10_region_ranges(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     span = F.array_max("embedding").cast("double") - F.array_min("embedding").cast("double")
-    return e.withColumn("span", span).groupBy("label").agg(F.min("span").alias("least_range"), F.max("span").alias("most_range"), F.count(F.lit(1)).alias("n_members"))
+    return policy.region_ranges(e.select(F.col("label").alias("region_id"), span.alias("range")), "range").withColumnRenamed("region_id", "label")
 
 
 @query("""SELECT label, count(DISTINCT vec_id % 7) AS captures, count(DISTINCT CASE WHEN vec_id % 3 = 0 THEN vec_id % 11 END) AS shapes FROM embeddings GROUP BY label""")
 def a9_distinct_captures(spark, sf_dir):
     v = F.col("vec_id")
-    return table(spark, sf_dir, "embeddings").groupBy("label").agg(F.count_distinct(v % 7).alias("captures"), F.count_distinct(F.when(v % 3 == 0, v % 11)).alias("shapes"))
+    members = table(spark, sf_dir, "embeddings").select(F.col("label").alias("region_id"), (v % 7).alias("capture_id"), F.when(v % 3 == 0, v % 11).alias("shape"))
+    return policy.distinct_captures(members).withColumnRenamed("region_id", "label")
 
 
 @query("""SELECT o_orderkey, o_custkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_nationkey < 12)""")
 def v10_missing_references(spark, sf_dir):
     """Rows of a backup whose reference isn't in it."""
-    known = table(spark, sf_dir, "customer").where("c_nationkey < 12").select(F.col("c_custkey").alias("o_custkey"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(known, "o_custkey", "left_anti").select("o_orderkey", "o_custkey")
-
-
-@query("""SELECT o_custkey AS source_id FROM orders GROUP BY o_custkey HAVING count(DISTINCT CASE WHEN o_orderkey % 5 < 3 THEN 'fit' ELSE 'test' END) > 1""")
-def v7_sources_in_several_splits(spark, sf_dir):
-    split = F.when(F.col("o_orderkey") % 5 < 3, "fit").otherwise("test")
-    by = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("source_id")).agg(F.count_distinct(split).alias("n"))
-    return by.where("n > 1").select("source_id")
+    known = table(spark, sf_dir, "customer").where("c_nationkey < 12")
+    return review.missing_references(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_custkey", known, "c_custkey")
 
 
 @query("""SELECT user_id, CAST(floor(epoch_us(ts) / 3600000000) AS BIGINT) AS bucket, count(*) AS n_events, min(value) AS least, max(value) AS most FROM events GROUP BY ALL""")
 def w10_tumbling_buckets(spark, sf_dir):
     at = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ))")
-    return table(spark, sf_dir, "events").groupBy("user_id", F.floor(at / 3600000000).alias("bucket")).agg(F.count(F.lit(1)).alias("n_events"), F.min("value").alias("least"), F.max("value").alias("most"))
+    return windows.tumbling(table(spark, sf_dir, "events"), ["user_id"], at, 3600000000, F.count(F.lit(1)).alias("n_events"), F.min("value").alias("least"), F.max("value").alias("most"))
 
 
 @query(f"""{REC}, n AS (SELECT *, lag(frequency) OVER o AS b, lead(frequency) OVER o AS a FROM rec WINDOW o AS (PARTITION BY recording_id ORDER BY event_idx))
   SELECT recording_id, event_idx, frequency FROM n WHERE b IS NOT NULL AND a IS NOT NULL AND frequency >= a AND frequency >= b""")
 def w5_local_maxima(spark, sf_dir):
-    order = Window.partitionBy("recording_id").orderBy("event_idx")
-    near = [f("frequency").over(order) for f in (F.lag, F.lead)]
-    return _rec(spark, sf_dir).select("recording_id", "event_idx", "frequency", near[0].alias("b"), near[1].alias("a")).where("frequency >= a AND frequency >= b").select("recording_id", "event_idx", "frequency")
+    return windows.local_maxima(_rec(spark, sf_dir), "recording_id", "event_idx", "frequency").select("recording_id", "event_idx", "frequency")
+
+
+from . import library_queries  # noqa: E402, F401  (registers its queries)

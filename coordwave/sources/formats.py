@@ -25,6 +25,10 @@ EVENTS = "path string, recording string, event_idx long, t double, values map<st
 SAMPLES = "path string, metadata map<string,string>, t double, f double, missing boolean, error string"
 
 
+#: Characters of a cycle file (fixed value).
+MOST_CHARS = 2_000_000
+
+
 def number(cell: str) -> float | None:
     """A cell's number; blank and `null` are missing values. Anything else is an error."""
     cell = cell.strip()
@@ -84,9 +88,20 @@ def parse_events(text: str) -> tuple[dict, list[tuple[float, dict]]]:
 
 
 def parse_cycle(text: str) -> tuple[dict[str, str], list[tuple[float, float | None]]]:
-    """Metadata lines `# key: value` and rows of `t,f` (or `t,pri`); a blank value is missing."""
+    """Metadata lines `# key: value` and rows of `t,f` (or `t,pri`); a blank value is missing. A text that begins
+    with a brace is JSON with `samples` of t and f, `missingTimes`, and the metadata beside them."""
+    text = text.removeprefix("﻿")
+    if len(text) > MOST_CHARS:
+        raise ValueError(f"more than {MOST_CHARS} characters")
+    if text.lstrip().startswith("{"):
+        whole = json.loads(text)
+        samples = [(float(s["t"]), None if s["f"] is None else float(s["f"])) for s in whole["samples"]]
+        samples += [(float(t), None) for t in whole.get("missingTimes") or []]
+        if not all(math.isfinite(x) for row in samples for x in row if x is not None):
+            raise ValueError("times and values must be finite")
+        return {k.lower(): v if isinstance(v, str) else json.dumps(v, sort_keys=True) for k, v in whole.items() if k not in ("samples", "missingTimes")}, sorted(samples, key=lambda s: s[0])
     meta, rows = {}, []
-    for line in text.removeprefix("﻿").splitlines():
+    for line in text.splitlines():
         if line.startswith("#"):
             key, _, value = line[1:].partition(":")
             meta[key.strip().lower()] = value.strip()
@@ -155,3 +170,12 @@ def cycle_csv(metadata: dict[str, str], samples: DataFrame) -> DataFrame:
     head = head.select(F.lit(0).alias("part"), "n", "value")
     rows = samples.select(F.lit(1).alias("part"), F.col("t").alias("n"), F.concat_ws(",", F.col("t").cast("string"), F.coalesce(F.col("f").cast("string"), F.lit(""))).alias("value"))
     return head.unionByName(rows).orderBy("part", "n").select("value")
+
+
+def cycle_json(metadata: dict[str, str], samples: DataFrame) -> DataFrame:
+    """K1: one row a cycle: its JSON, with samples and missing times in order of time. samples: (cycle_id, t, f)."""
+    listed = samples.groupBy("cycle_id").agg(F.array_sort(F.collect_list(F.struct("t", "f"))).alias("all"))
+    seen = F.filter("all", lambda x: x["f"].isNotNull())
+    missing = F.transform(F.filter("all", lambda x: x["f"].isNull()), lambda x: x["t"])
+    about = [F.lit(v).alias(k) for k, v in sorted(metadata.items())]
+    return listed.select("cycle_id", F.to_json(F.struct(*about, seen.alias("samples"), missing.alias("missingTimes"))).alias("value"))

@@ -27,7 +27,7 @@ def rows(names, values):
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query_equals_sql(spark, small, name):
     con = duckdb.connect()
-    for t in ("nation", "customer", "orders", "events", "embeddings"):
+    for t in ("nation", "customer", "supplier", "part", "orders", "lineitem", "events", "embeddings"):
         con.sql(f"CREATE VIEW {t} AS FROM '{small}/{t}.parquet'")
     found, wanted = QUERIES[name](spark, small), con.sql(ORACLE_SQL[name])
     assert sorted(found.columns) == sorted(wanted.columns)
@@ -83,11 +83,11 @@ def test_groups_by_component(spark):
 
 def view(n, f=lambda i: math.sin(i / 3), shift=0.0, missing=()):
     data = [[i, i * 10.0 + shift, f(i), 10.0 + math.cos(i), float(i % 7) if i not in missing else math.nan, 0, 0, 0] for i in range(n)]
-    return np.array(data, "<f8").tobytes()
+    return np.array(data)
 
 
 def test_matcher_identity_and_parts():
-    v = matching.Views([1, 2, 3], [64, 64, 32], [view(64), view(64, shift=500.0), np.frombuffer(view(64), "<f8").reshape(-1, 8)[16:48].tobytes()])
+    v = matching.Views([1, 2, 3], [64, 64, 32], [view(64), view(64, shift=500.0), view(64)[16:48]])
     s = matching.Settings()
     got = matching.whole(v, 0, v, np.array([0, 1]), s)
     assert np.allclose(got["score"], 1) and got["complete"].all()
@@ -122,6 +122,31 @@ def test_resample_long_views(spark):
     assert got == {i: math.floor(i * 299 / 127 + 0.5) for i in range(128)}
 
 
+def test_queries_need_one_measured_quantity(spark):
+    """A recording of 20 events with 15 values of each quantity asks for nothing, but can be found."""
+    rows = [(r, i, float(i), *[float(i * 7 % 11) if r or i < 15 else None] * 3) for r in (0, 1) for i in range(20)]
+    rec = spark.createDataFrame(rows, "recording_id long, event_idx long, t double, frequency double, pri double, pw double")
+    packed = matching.pack(windows.resample(windows.decimate(rec)), windows.summary(rec))
+    assert [(r.query_id, r.target_id) for r in matching.directed_scores(packed).collect()] == [(1, 0)]
+
+
+def test_combined_distances():
+    assert cycles.combine(0.5, 0.0, 1.0, 0.0, (1, 0, 0, 0)) == 0.5  # an infinite term of weight 0
+    assert abs(cycles.combine(0.3, 2.0, 4.0, 0.5, (0.65, 0.2, 0.15, 0.0)) - math.sqrt(0.65 * 0.09 + 0.2 + 0.6)) < 1e-12
+
+
+def test_fnv_of_wide_characters(spark):
+    def plain(text):
+        h, data = 2166136261, text.encode("utf-16-be")
+        for k in range(0, len(data), 2):
+            h = ((h ^ int.from_bytes(data[k : k + 2], "big")) * 16777619) % 2**32
+        return f"{h:08x}"
+
+    texts = ["region-a", "", "é", "了😀x"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", scalar.fnv1a(F.col("t")).alias("h")).collect()
+    assert {r.t: r.h for r in got} == {t: plain(t) for t in texts}
+
+
 def test_align_finds_shift():
     rng = np.random.default_rng(0)
     a = rng.normal(size=128)

@@ -6,8 +6,8 @@ from coordwave.plans import queries
 
 
 def test_grid_of_all_orders_equals_sql(spark, small):
-    got = queries.w8_threshold_grid_whole(spark, small)
-    sql = queries.ORACLE_SQL["w8_threshold_grid_whole"].replace("FROM orders", f"FROM '{small}/orders.parquet'")
+    got = queries.w8_threshold_grid(spark, small)
+    sql = queries.ORACLE_SQL["w8_threshold_grid"].replace("FROM orders", f"FROM '{small}/orders.parquet'")
     assert sorted(r.threshold for r in got.collect()) == sorted(x for (x,) in duckdb.sql(sql).fetchall())
 
 
