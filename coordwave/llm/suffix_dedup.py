@@ -338,7 +338,15 @@ def smallest_holders(contents: list[bytes], least: np.ndarray, span: int) -> np.
     return result
 
 
-def _holders(span):
+def _in_company(contents: list[bytes], span: int, gram: int) -> np.ndarray:
+    """Which contents have the least hash of another one too: that of any of their strings, so of their first."""
+    heads = np.frombuffer(b"".join([c[:span] for c in contents]), np.uint8)
+    hashes = np.append(gram_hashes(heads, gram), np.zeros(gram - 1, np.uint64)).reshape(-1, span)
+    _, at, count = np.unique(hashes[:, : span - gram + 1].min(axis=1), return_inverse=True, return_counts=True)
+    return count[at] > 1
+
+
+def _holders(span, gram):
     """Per part and content: (number, first start, least id) wherever the least id changes along a content (kind 2).
     What a part tells itself is handed on (kind 1)."""
 
@@ -365,26 +373,34 @@ def _holders(span):
                 kind_of.append(g)
             sent.append(np.full(len(n), r))
             number.append(n)
-        contents = list(own)
-        low = np.array(least, np.int64)
-        holder = smallest_holders(contents, low, span)[:-1]
-        lengths = np.array([len(c) for c in contents], np.int64)
-        begin = np.cumsum(lengths + 1) - lengths - 1
-        # Starts along each content at which the least id changes.
-        is_start = holder != np.iinfo(np.int64).max
-        change = np.zeros(len(holder), bool)
-        change[begin] = True
-        change[1:] |= (holder[1:] != holder[:-1]) & is_start[1:]
-        change &= is_start
-        at = np.flatnonzero(change)
-        of = np.searchsorted(begin, at, side="right") - 1
+        contents, low = list(own), np.array(least, np.int64)
+        # Only contents under one least hash can share strings. One that stands alone there holds all of its own.
+        some = np.flatnonzero(_in_company(contents, span, gram))
+        of, at, who = np.arange(len(contents)), np.zeros(len(contents), np.int64), low.copy()
+        if len(some):
+            shared = [contents[i] for i in some.tolist()]
+            holder = smallest_holders(shared, low[some], span)[:-1]
+            lengths = np.array([len(c) for c in shared], np.int64)
+            begin = np.cumsum(lengths + 1) - lengths - 1
+            # Starts along each content at which the least id changes.
+            is_start = holder != np.iinfo(np.int64).max
+            change = np.zeros(len(holder), bool)
+            change[begin] = True
+            change[1:] |= (holder[1:] != holder[:-1]) & is_start[1:]
+            places = np.flatnonzero(change & is_start)
+            owner = np.searchsorted(begin, places, side="right") - 1
+            alone = np.ones(len(contents), bool)
+            alone[some] = False
+            of, at, who = np.concatenate((of[alone], some[owner])), np.concatenate((at[alone], places - begin[owner])), np.concatenate((who[alone], holder[places]))
+            by = np.argsort(of, kind="stable")
+            of, at, who = of[by], at[by], who[by]
         count = np.bincount(of, minlength=len(contents))
         first = np.cumsum(count) - count
         kind_of, sent, number = np.array(kind_of, np.int64), np.concatenate(sent), np.concatenate(number)
         n = count[kind_of]
         item = np.repeat(first[kind_of], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         rows = np.repeat(sent, n)
-        triples = np.stack((np.repeat(number, n), (at - begin[of])[item], holder[at][item]))
+        triples = np.stack((np.repeat(number, n), at[item], who[item]))
         out = {"part": [], "kind": [], "data": [], "more": []}
         for r, cut in _split(rows):
             out["part"].append(parts[r])
@@ -461,7 +477,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     reports = dealt.applyInArrow(_report(shards, span, gram, id_col, text_col), REPORT)
     replies = reports.groupBy("shard").applyInArrow(_answer(span, hot), REPLY)
     messages = dealt.cogroup(replies.groupBy("part")).applyInArrow(_contents(shards, span, gram, id_col, text_col), CONTENT)
-    told = messages.groupBy("shard").applyInArrow(_holders(span), REPLY)
+    told = messages.groupBy("shard").applyInArrow(_holders(span, gram), REPLY)
     schema = T.StructType([*docs.schema.fields, T.StructField(out, T.StructType.fromDDL("n_bytes bigint, n_removed bigint, spans array<struct<start: bigint, stop: bigint>>, kept binary"))])
     return dealt.cogroup(told.groupBy("part")).applyInArrow(_cut(span, id_col, text_col, out, docs.columns), schema)
 
