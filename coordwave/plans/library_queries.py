@@ -681,9 +681,9 @@ def u7_with_missing(spark, sf_dir):
     return review.with_missing(rec.where("event_idx % 4 > 0"), rec.where("event_idx % 4 = 0"))
 
 
-@query("""WITH n AS (SELECT user_id, event_id, value, lag(value) OVER (PARTITION BY user_id ORDER BY value) AS b FROM events) SELECT user_id, event_id, value FROM n WHERE b IS NULL OR value - b >= 0.5""")
+@query("""WITH n AS (SELECT user_id, event_id, value, lag(value) OVER (PARTITION BY user_id ORDER BY value, event_id) AS b FROM events) SELECT user_id, event_id, value FROM n WHERE b IS NULL OR value - b >= 0.5""")
 def w7_suppressed(spark, sf_dir):
-    return windows.suppressed(table(spark, sf_dir, "events").select("user_id", "event_id", "value"), "user_id", "value", F.lit(0.5))
+    return windows.suppressed(table(spark, sf_dir, "events").select("user_id", "event_id", "value"), "user_id", "value", "event_id", F.lit(0.5))
 
 
 @query("""WITH p AS (SELECT x.label, x.vec_id AS a, y.vec_id AS b, round(sqrt(list_sum(list_transform(list_zip(x.embedding, y.embedding), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) ** 2))), 6) AS d FROM embeddings x JOIN embeddings y ON x.label = y.label AND x.vec_id < y.vec_id),
