@@ -21,16 +21,11 @@ def activity(events: DataFrame, width: str = "1 hour", late: str = "2 hours") ->
 
 
 def append_new(events: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
-    """Append events that `target` doesn't have yet, by id; a batch that is run again adds nothing."""
-
-    def add(batch: DataFrame, _: int) -> None:
-        fresh = batch.dropDuplicates(["event_id"])
-        spark = batch.sparkSession
-        try:
-            fresh = fresh.join(spark.read.parquet(target).select("event_id"), "event_id", "left_anti")
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-        fresh.write.mode("append").parquet(target)
-
-    return events.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Append events to `target`, each id once. Ids seen before are the stream's state, so the target is never read; each
+    batch has a folder of its own there, which a batch that is run again writes anew."""
+
+    def add(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{target}/batch={number}")
+
+    once = events.dropDuplicates(["event_id"])
+    return once.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
