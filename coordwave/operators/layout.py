@@ -72,3 +72,20 @@ def plot_trace(samples: DataFrame, most: int) -> DataFrame:
     """Every stride-th sample of each recording, so that at most `most` are drawn. samples: (recording_id, event_idx, ...)."""
     n = F.count(F.lit(1)).over(Window.partitionBy("recording_id"))
     return samples.withColumn("stride", F.greatest(F.lit(1), F.ceil(n / most)).cast("long")).where(F.col("event_idx") % F.col("stride") == 0).drop("stride")
+
+
+def edges(relationships: DataFrame, suggested: DataFrame, selected: int, everywhere: bool) -> DataFrame:
+    """L4: (edge_id, from_id, to_id, kind): reviewed relationships (relation_id, from_id, to_id), those of the selected
+    window or all, and the suggestions that are drawn (query_id, target_id, kind), with kinds from their coverage."""
+    here = (F.col("from_id") == selected) | (F.col("to_id") == selected) | F.lit(everywhere)
+    reviewed = relationships.where(here).select(F.col("relation_id").cast("string").alias("edge_id"), "from_id", "to_id", F.lit("reviewed").alias("kind"))
+    name = F.concat_ws(":", F.lit("suggestion"), F.col("query_id").cast("string"), F.col("target_id").cast("string"))
+    return reviewed.unionByName(suggested.select(name.alias("edge_id"), F.col("query_id").alias("from_id"), F.col("target_id").alias("to_id"), "kind"))
+
+
+def aligned_trace(points: DataFrame, alignment: DataFrame) -> DataFrame:
+    """A related window's points on the selected one's time axis and range; missing values stay missing, so gaps do
+    too. points: (window_id, t, value); alignment: (window_id, offset, scale, low, high, to_low, to_high)."""
+    rows = points.join(alignment, "window_id")
+    place = F.when(F.col("high") > F.col("low"), (F.col("value") - F.col("low")) / (F.col("high") - F.col("low"))).when(F.col("value").isNotNull(), 0.5)
+    return rows.select("window_id", (F.col("offset") + F.col("scale") * F.col("t")).alias("t"), (F.col("to_low") + place * (F.col("to_high") - F.col("to_low"))).alias("value"))

@@ -10,6 +10,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalar import identifier_ok
+
 
 def keyed_union(present: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
     """Present rows, and incoming ones whose key isn't present."""
@@ -178,6 +180,30 @@ def effective(decisions: DataFrame, library: str = "library_id", seq: str = "seq
     return decisions.withColumn("height__", height).withColumn("later__", later).where(stands).drop("height__", "later__")
 
 
+def moved(members: DataFrame, moves: DataFrame) -> DataFrame:
+    """(id, group_id) after moves (seq, id, group_id), of which the last of each member counts. Approving a split moves
+    its members into the new group; members without a move, anchors among them, stay."""
+    last = moves.groupBy("id").agg(F.max_by("group_id", "seq").alias("to"))
+    return members.join(last, "id", "left").select("id", F.coalesce("to", "group_id").alias("group_id"))
+
+
+#: Placements that a review store may hold (fixed value).
+MOST_PLACEMENTS = 10_000
+
+
+def store_violations(groups: DataFrame, placements: DataFrame) -> DataFrame:
+    """V8: (rule, subject) for each broken rule of a review store: an id that is none, a group or an anchor named twice, too
+    many placements. groups: (group_id, anchor_id), texts; placements: (entry_id, group_id)."""
+    named = lambda c: F.col(c).cast("string").alias("subject")
+    odd = groups.where(~identifier_ok(F.col("group_id"))).select(F.lit("not an id").alias("rule"), named("group_id"))
+    found = odd
+    for c in ("group_id", "anchor_id"):
+        twice = groups.groupBy(c).count().where(F.col("count") > 1)
+        found = found.unionByName(twice.select(F.lit(f"{c} named twice").alias("rule"), named(c)))
+    many = placements.agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MOST_PLACEMENTS)
+    return found.unionByName(many.select(F.lit("too many placements").alias("rule"), F.col("n").cast("string").alias("subject")))
+
+
 #: The actions of a review that associate a window with a pattern.
 ASSOCIATING = ("new-pattern", "support", "variant", "challenge")
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalar
-from ..operators import channels, cycles, evaluation, layout, policy, review, validation, windows
+from ..operators import channels, cycles, evaluation, layout, linkage, periods, policy, review, validation, windows
 from ..sources.generators import event_workload
 from ..sources.tables import table
 from .queries import REC, _rec, query
@@ -712,3 +712,61 @@ def c25_near_duplicate_components(spark, sf_dir):
   SELECT recording_id, k AS event_idx, (k * 10 + (p * 7) % 5)::DOUBLE AS t, round(100 + sin(p * 2 * pi() / 64) * 10 + k / 10000, 9) AS frequency, (10 + (p * 3) % 7)::DOUBLE AS pri, CASE WHEN p % 9 <> 0 THEN (1 + p % 4)::DOUBLE END AS pw FROM r""")
 def s13_event_workload(spark, sf_dir):
     return event_workload(spark, 7, 5000).withColumn("frequency", F.round("frequency", 9))
+
+
+# Moves, stores, edges and leaders.
+
+
+@query("""WITH v AS (SELECT o_custkey AS id, arg_max(o_orderkey % 60, o_orderkey) AS g FROM orders WHERE o_orderkey % 5 = 0 GROUP BY ALL) SELECT c_custkey AS id, coalesce(g, c_custkey % 97) AS group_id FROM customer LEFT JOIN v ON id = c_custkey""")
+def c21_moved_members(spark, sf_dir):
+    members = table(spark, sf_dir, "customer").select(_c("c_custkey").alias("id"), (_c("c_custkey") % 97).alias("group_id"))
+    moves = table(spark, sf_dir, "orders").where("o_orderkey % 5 = 0").select(_c("o_orderkey").alias("seq"), _c("o_custkey").alias("id"), (_c("o_orderkey") % 60).alias("group_id"))
+    return review.moved(members, moves)
+
+
+@query("""WITH g AS (SELECT CASE WHEN p_partkey % 9 = 0 THEN ' ' || p_partkey WHEN p_partkey % 13 = 0 THEN 'region-' || (p_partkey // 2) ELSE 'region-' || p_partkey END AS group_id, 'entry-' || (p_partkey // (1 + (p_partkey % 17 = 0)::INT)) AS anchor_id FROM part)
+  SELECT 'not an id' AS rule, group_id AS subject FROM g WHERE NOT regexp_matches(group_id, '^[A-Za-z0-9][A-Za-z0-9._:-]*$') UNION ALL SELECT 'group_id named twice', group_id FROM g GROUP BY group_id HAVING count(*) > 1
+  UNION ALL SELECT 'anchor_id named twice', anchor_id FROM g GROUP BY anchor_id HAVING count(*) > 1 UNION ALL SELECT 'too many placements', CAST(count(*) AS VARCHAR) FROM orders HAVING count(*) > 10000""")
+def v8_store_violations(spark, sf_dir):
+    p = _c("p_partkey")
+    text = lambda head, x: F.concat(F.lit(head), x.cast("string"))
+    half, anchor = F.floor(p / 2), F.floor(p / F.when(p % 17 == 0, 2).otherwise(1))
+    groups = table(spark, sf_dir, "part").select(F.when(p % 9 == 0, text(" ", p)).when(p % 13 == 0, text("region-", half)).otherwise(text("region-", p)).alias("group_id"), text("entry-", anchor).alias("anchor_id"))
+    return review.store_violations(groups, table(spark, sf_dir, "orders").select(_c("o_orderkey").alias("entry_id"), _c("o_custkey").alias("group_id")))
+
+
+@query(f"""{REC}, l AS (SELECT recording_id, max(t) AS m FROM rec GROUP BY recording_id), x AS (SELECT recording_id, CAST(floor(t / (m / 4)) AS BIGINT) AS "window", t - floor(t / (m / 4)) * (m / 4) AS t, frequency AS f, event_idx
+    FROM rec JOIN l USING (recording_id) WHERE (floor(t / (m / 4)) + 1) * (m / 4) <= m + 1e-12)
+  SELECT recording_id, "window", t, f, 'a' AS side FROM x WHERE event_idx % 50 = 7 UNION ALL SELECT recording_id, "window", t, f + 1, 'b' FROM x WHERE event_idx % 50 = 7""")
+def v9_changed_cycles(spark, sf_dir):
+    """Saved cycles are cut out of their recordings again and compared exactly; here every fiftieth value was changed."""
+    rec = _rec(spark, sf_dir)
+    samples = rec.select("recording_id", "t", _c("frequency").alias("f"))
+    quarter = samples.groupBy("recording_id").agg(F.lit(0.0).alias("start"), (F.max("t") / 4).alias("period"))
+    changed = rec.select("recording_id", "t", F.when(_c("event_idx") % 50 == 7, _c("frequency") + 1).otherwise(_c("frequency")).alias("f"))
+    return review.row_differences(periods.extract_cycles(samples, quarter), periods.extract_cycles(changed, quarter))
+
+
+@query("""SELECT CAST(o_orderkey AS VARCHAR) AS edge_id, o_orderkey % 50 AS from_id, o_custkey % 50 AS to_id, 'reviewed' AS kind FROM orders WHERE o_orderkey % 50 = 7 OR o_custkey % 50 = 7
+  UNION ALL SELECT 'suggestion:7:' || c_custkey, 7, c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'partial' ELSE 'whole' END FROM customer WHERE c_custkey < 4""")
+def l4_edges(spark, sf_dir):
+    k, c = _c("o_orderkey"), _c("c_custkey")
+    relations = table(spark, sf_dir, "orders").select(k.alias("relation_id"), (k % 50).alias("from_id"), (_c("o_custkey") % 50).alias("to_id"))
+    suggested = table(spark, sf_dir, "customer").where("c_custkey < 4").select(F.lit(7).cast("long").alias("query_id"), c.alias("target_id"), F.when(c % 2 == 0, "partial").otherwise("whole").alias("kind"))
+    return layout.edges(relations, suggested, 7, False)
+
+
+@query(f"""{REC}, g AS (SELECT recording_id, min(pw) AS low, max(pw) AS high FROM rec GROUP BY recording_id)
+  SELECT recording_id AS window_id, 5 + 2 * t AS t, round(100 + CASE WHEN high > low THEN (pw - low) / (high - low) WHEN pw IS NOT NULL THEN 0.5 END * 50, 9) AS value FROM rec JOIN g USING (recording_id)""")
+def m11_aligned_traces(spark, sf_dir):
+    points = _rec(spark, sf_dir).select(_c("recording_id").alias("window_id"), "t", _c("pw").alias("value"))
+    alignment = points.groupBy("window_id").agg(F.lit(5.0).alias("offset"), F.lit(2.0).alias("scale"), F.min("value").alias("low"), F.max("value").alias("high"), F.lit(100.0).alias("to_low"), F.lit(150.0).alias("to_high"))
+    return layout.aligned_trace(points, alignment).withColumn("value", F.round("value", 9))
+
+
+@query()
+def m9_leaders(spark, sf_dir):
+    """Leaders among all orders, where two of the same eight can be alike; tests have a plain version."""
+    o = table(spark, sf_dir, "orders").select(_c("o_orderkey").alias("id"))
+    near = o.select(_c("id").alias("a"), F.explode(F.sequence(_c("id") + 1, _c("id") + 3)).alias("id")).join(o, "id")
+    return linkage.leaders(o, near.select("a", _c("id").alias("b")).where(((_c("a") * 31 + _c("b") * 17) % 5 < 2) & (F.floor(_c("a") / 8) == F.floor(_c("b") / 8))))

@@ -201,3 +201,13 @@ def test_calibration_guards():
         evaluation.fit_logistic(np.array([0.1, np.nan]), np.array([0, 1]))
     low, high = evaluation.component_bootstrap([1, 1, 2, 3], np.array([1, 0, 1, 1]))
     assert 0 <= low <= high <= 1
+
+
+def test_leaders(spark, small):
+    ids = sorted(r.o_orderkey for r in table(spark, small, "orders").select("o_orderkey").collect())
+    heads, wanted = [], {}
+    for i in ids:
+        wanted[i] = next((h for h in heads[-8:] if 0 < i - h <= 3 and i // 8 == h // 8 and (h * 31 + i * 17) % 5 < 2), i)
+        if wanted[i] == i:
+            heads.append(i)
+    assert {r.id: r.leader for r in library_queries.m9_leaders(spark, small).collect()} == wanted
