@@ -8,9 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..sources.shared import materialise, shared_dir, shared_path
-
-__all__ = ["materialise", "shared_dir", "shared_path"]
+from ..sources.shared import materialise, shared_dir, shared_path  # noqa: F401
 
 #: The characters that separate words in every operator: space and \t \n \v \f \r.
 WORD = r"[^\x20\x09-\x0D]+"
