@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .centroids import ORACLE as CENTROIDS
 from .chat import ORACLE as CHAT
 from .common import table
 from .top_k import ORACLE as TOP_K
@@ -73,7 +74,29 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_compression_toxicity, op2_fingerprint_chat_format, op3_soft_mixing, op4_ngram_ratio_quality, op5_bitmask_language, op6_bit_plane_files, op7_histogram_top_k, op8_simhash_gray_index, op9_byte_bpe_transducer, op10_suffix_array_dedup)}
+def op11_label_string_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .alignment import digest
+
+    return digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_sentence_piece_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .sentence_piece import digest
+
+    return digest(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_screened_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .centroids import digest
+
+    return digest(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_compression_toxicity, op2_fingerprint_chat_format, op3_soft_mixing, op4_ngram_ratio_quality, op5_bitmask_language, op6_bit_plane_files, op7_histogram_top_k, op8_simhash_gray_index, op9_byte_bpe_transducer, op10_suffix_array_dedup, op11_label_string_alignment, op12_sentence_piece_spans, op13_screened_centroids)}
 
 #: Equivalent DuckDB SQL, where SQL can express the query.
-ORACLE_SQL: dict[str, str] = {"op2_fingerprint_chat_format": CHAT, "op7_histogram_top_k": TOP_K}
+ORACLE_SQL: dict[str, str] = {"op2_fingerprint_chat_format": CHAT, "op7_histogram_top_k": TOP_K, "op13_screened_centroids": CENTROIDS}
