@@ -15,6 +15,7 @@ character that is not yet whole; its moves over whole tokens are kept likewise.
 from __future__ import annotations
 
 import base64
+import re
 from array import array
 from collections.abc import Iterator
 from itertools import chain
@@ -22,6 +23,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import regex
+from public_tokenizers import PATTERN
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -224,8 +226,8 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class _Chunks(dict):
     """Ids (as int32 bytes) of chunks behind `lead`; unknown ones are encoded, and kept while there is room.
 
-    A piece ends before a full stop or comma that follows a letter, and a line feed between two characters that
-    aren't white space is a piece of its own, so chunks are put together from what stands around these.
+    By PATTERN a piece ends before a full stop or comma that follows a letter, and a line feed between two characters
+    that aren't white space is a piece of its own, so chunks are put together from what stands around these.
     """
 
     def __init__(self, encode, lead: str):
@@ -233,9 +235,9 @@ class _Chunks(dict):
         self.marks = {c: encode(c) for c in ".,\n"}
 
     def __missing__(self, chunk: str) -> bytes:
-        cut = chunk.find("\n")
-        if 0 < cut < len(chunk) - 1 and not chunk[cut - 1].isspace() and not chunk[cut + 1].isspace():
-            return self[chunk[:cut]] + self.marks["\n"] + self.bare[chunk[cut + 1 :]]
+        head, *lines = _LONE_FEED.split(chunk)
+        if lines:
+            return self.marks["\n"].join([self[head], *map(self.bare.__getitem__, lines)])
         if len(chunk) > 1 and chunk[-1] in ".," and chunk[-2].isalpha():
             return self[chunk[:-1]] + self.marks[chunk[-1]]
         ids = self.encode(self.lead + chunk)
@@ -244,12 +246,17 @@ class _Chunks(dict):
         return ids
 
 
+_LONE_FEED = re.compile(r"(?<=\S)\n(?=\S)")
+
+
 class Codec:
-    """A text's pieces and ids. Chunks between single spaces are encoded once and kept, up to MOST_CHUNKS."""
+    """A text's pieces and ids. Chunks between single spaces are encoded once and kept, up to MOST_CHUNKS; by another
+    pattern than PATTERN, texts are encoded piece by piece."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.transducer = Transducer(ranks)
         self.pieces = regex.compile(pattern)
+        self.cuts = pattern == PATTERN
         # A cut at a space is safe where no white space is beside it: no piece goes on over such a space.
         self.unsafe = regex.compile(r" [\s\x1c-\x1f]|[\s\x1c-\x1f] ")
         self.after_space = _Chunks(self._encode, " ")
@@ -262,7 +269,7 @@ class Codec:
 
     def encode(self, text: str) -> bytes:
         """The ids of a text as int32 bytes."""
-        if self.unsafe.search(text):
+        if not self.cuts or self.unsafe.search(text):
             return self._encode(text)
         head, *tail = text.split(" ")
         return (self.after_space.bare[head] if head else b"") + b"".join(map(self.after_space.__getitem__, tail))
