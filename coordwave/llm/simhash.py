@@ -245,7 +245,7 @@ def fingerprint_table(docs: DataFrame) -> DataFrame:
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, bits: int = 2, similarity: float | None = None) -> DataFrame:
     """All columns of docs for one row of each group: that of its smallest id (of rows with that id, the least as JSON).
 
-    Rows with a null id go. With a similarity, documents are compared by their sets of shingles of five words instead,
+    Of rows with a null id one for each fingerprint that no row with an id has stays (the least as JSON). With a similarity, documents are compared by their sets of shingles of five words instead,
     for which two bits are too few: see near_copies.keep_first, which this then is.
     """
     if similarity is not None:
@@ -257,4 +257,9 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     named = docs.where(F.col(id_col).isNotNull()).join(ids, id_col, "left_semi").select(docs.columns)
     row = free_name(docs, "row")
     rows = named.select(id_col, F.struct(*docs.columns).alias(row))
-    return rows.groupBy(id_col).agg(F.min_by(row, F.to_json(row)).alias(row)).select(f"{row}.*")
+    first = rows.groupBy(id_col).agg(F.min_by(row, F.to_json(row)).alias(row)).select(f"{row}.*")
+    nameless = docs.where(F.col(id_col).isNull()).select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("n"), F.col(text_col).alias("text"))
+    nameless = materialise(nameless, "nameless")  # so numbers stay
+    alone = fingerprints(nameless, "n", "text", width).join(found.where("id IS NOT NULL").select("fp").distinct(), "fp", "left_anti")
+    rest = nameless.join(alone.select(F.col("id").alias("n"), "fp"), "n").groupBy("fp").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return first.unionByName(rest.select("row.*"))

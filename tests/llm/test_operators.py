@@ -200,8 +200,12 @@ def test_keep_first_keeps_one_of_each_group(awkward):
     awkward = awkward.withColumn("m", F.create_map(F.lit("a"), F.lit(1)))
     kept = simhash.keep_first(awkward)
     ids = [r.doc_id for r in kept.collect()]
-    wanted = {r.component_id for r in simhash.fingerprint_table(awkward).collect() if r.component_id is not None}
-    assert kept.columns == awkward.columns and len(ids) == len(set(ids)) and set(ids) == wanted
+    table = simhash.fingerprint_table(awkward).collect()
+    wanted = {r.component_id for r in table if r.component_id is not None}
+    nameless = {r.fingerprint for r in table if r.component_id is None}
+    named = [i for i in ids if i is not None]
+    assert kept.columns == awkward.columns and len(named) == len(set(named)) and set(named) == wanted
+    assert nameless and len(ids) - len(named) == len(nameless)
 
 
 def brute_quality(text):
