@@ -17,9 +17,9 @@ of up to SAMPLE_CHARS characters. Everything else covers all documents and whole
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -108,9 +108,10 @@ def memberships(docs: DataFrame, classifier: Classifier | None, text_col: str =
 
 def _totals(soft: DataFrame, rate: Column, domains: int, out: str) -> np.ndarray:
     """Expected tokens of each domain at these rates, in thousandths, summed as integers."""
-    p, tokens = F.col(out)["p"], F.col(out)["tokens"]
-    sums = [F.sum(F.round(rate * tokens * F.get(p, F.lit(k)) * 1000).cast("decimal(38,0)")).alias(f"s{k}") for k in range(domains)]
-    return np.array([int(x or 0) / 1000 for x in soft.agg(*sums).first()])
+    each = soft.select((rate * F.col(out)["tokens"]).alias("weight"), F.posexplode(F.col(out)["p"]).alias("k", "p"))
+    sums = each.groupBy("k").agg(F.sum(F.round(F.col("weight") * F.col("p") * 1000).cast("decimal(38,0)")).alias("s"))
+    found = {r["k"]: int(r["s"] or 0) / 1000 for r in sums.collect()}  # a row a domain
+    return np.array([found.get(k, 0.0) for k in range(domains)])
 
 
 def tempered(totals: np.ndarray) -> np.ndarray:
@@ -121,27 +122,34 @@ def tempered(totals: np.ndarray) -> np.ndarray:
 
 
 def fit_rates(soft: DataFrame, domains: int, targets=None, out: str = "soft") -> tuple[DataFrame, list[float], list[float]]:
-    """soft with the rate in its struct `out`, the targets, and the expected tokens that the rates give."""
-    field = lambda r: F.col(out).withField("rate", r)
+    """soft with `rate` and `miss` in its struct `out`, the targets, and the expected tokens that the rates give.
+
+    miss is the same in every row: the greatest difference between a domain's expected tokens and its target, as a
+    share of the domain's tokens. It stays above TOLERANCE where no rates of 0 or more meet the targets (texts that
+    aren't of one domain alone can't be weighted apart), or where ROUNDS didn't do; a warning then says so.
+    """
+    field = lambda r, miss=None: F.col(out).withField("rate", r) if miss is None else F.col(out).withField("rate", r).withField("miss", F.lit(miss))
     one = F.lit(1.0)
     if not domains:
-        return soft.withColumn(out, field(one)), [], []
+        return soft.withColumn(out, field(one, 0.0)), [], []
     start = _totals(soft, one, domains, out)
     goal = tempered(start) if targets is None else np.array(targets, float) / np.sum(targets) * start.sum()
     scale = np.where(start > 0, start, 1.0)
-    p = F.col(out)["p"]
-    rate, totals = one, start
+    p, rate, totals = F.col(out)["p"], one, start
     for k in range(1, ROUNDS + 1):
         miss = (totals - goal) / scale
         if np.abs(miss[start > 0]).max(initial=0) < TOLERANCE:
             break
-        step = reduce(lambda a, b: a + b, [F.get(p, F.lit(k)) * float(miss[k]) for k in range(domains)])
+        step = F.aggregate(F.zip_with(p, F.lit(miss.tolist()), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
         rate = F.greatest(F.lit(0.0), rate - step)
         if k % WRITTEN == 0:
             soft = materialise(soft.withColumn(out, field(rate)), "rates")
             rate = F.col(out)["rate"]
         totals = _totals(soft, rate, domains, out)
-    return soft.withColumn(out, field(F.round(rate, RATE_DIGITS))), goal.tolist(), totals.tolist()
+    miss = float(np.abs((totals - goal) / scale)[start > 0].max(initial=0))
+    if miss >= TOLERANCE:
+        warnings.warn(f"rates miss a domain's target by {miss:.3g} of its tokens", stacklevel=2)
+    return soft.withColumn(out, field(F.round(rate, RATE_DIGITS), miss)), goal.tolist(), totals.tolist()
 
 
 def copies(rate: Column, id_col: Column) -> Column:
@@ -151,7 +159,8 @@ def copies(rate: Column, id_col: Column) -> Column:
 
 
 def mix(docs: DataFrame, domain_col: str, targets: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", out: str = "mix") -> DataFrame:
-    """All columns of docs and a struct `out`: tokens, p (by domain in order of name), rate, copies.
+    """All columns of docs and a struct `out`: tokens, p (by domain in order of name), rate, miss (see
+    fit_rates), copies.
 
     targets: relative weights of domains (unnamed ones 0) at the present total. Documents of all ids, null and
     repeated ones included, have a rate. Without labelled documents every rate is 1. An empty table stays empty.
@@ -178,4 +187,4 @@ def rates(docs: DataFrame) -> DataFrame:
     n = len(classifier.domains) if classifier else 0
     soft = materialise(memberships(docs.select("doc_id", "text"), classifier).select("doc_id", "soft"), "soft")
     rated, _, _ = fit_rates(soft, n)
-    return rated.select("doc_id", F.col("soft.tokens").alias("n_tokens"), F.col("soft.p").alias("posteriors"), "soft.rate", copies(F.col("soft.rate"), F.col("doc_id")).alias("copies"))
+    return rated.select("doc_id", F.col("soft.tokens").alias("n_tokens"), F.col("soft.p").alias("posteriors"), "soft.rate", F.round("soft.miss", 9).alias("miss"), copies(F.col("soft.rate"), F.col("doc_id")).alias("copies"))
