@@ -26,9 +26,9 @@ from . import sentence_piece
 from .common import free_name, materialise, quiet_threads, slices, small_batches
 
 #: Chunks that a worker keeps; when there are more, it begins anew.
-MOST_CHUNKS = 500_000
+MOST_CHUNKS = 300_000
 #: Tokens in these, for chunks may be long.
-MOST_HELD = 8_000_000
+MOST_HELD = 4_000_000
 #: Chunks that go to the tokenizers as one text.
 RUN = 64
 #: Links of a group that are made one by one; in larger groups equal ids are counted first.
