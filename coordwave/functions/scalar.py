@@ -40,12 +40,18 @@ def rotated(values: Column, by: Column) -> Column:
 
 
 def group_name(index: Column, names: list[str]) -> Column:
-    """The name of group number index (0 or more): names in turn, then two of them joined, up to three, as digits of a
-    count that has no zero."""
+    """The name of group number index (0 or more): names in turn, then two of them joined, then three, and so on, as digits
+    of a count that has no zero. One name alone is repeated."""
     n = len(names)
+    if n == 1:
+        return F.repeat(F.lit(names[0]), (index + 1).cast("int"))
+    digits, reach = 1, n
+    while reach < 1 << 63:  # so many digits name every long
+        digits, reach = digits + 1, reach * n + n
     of = lambda k: F.element_at(F.array(*map(F.lit, names)), (k % n + 1).cast("int"))
-    first, second = F.floor(index / n) - 1, F.floor((F.floor(index / n) - 1) / n) - 1
-    return F.concat(F.when(second >= 0, of(second)).otherwise(""), F.when(first >= 0, of(first)).otherwise(""), of(index))
+    start = F.struct(index.cast("long").alias("left"), F.lit("").alias("name"))
+    step = lambda x, _: F.when(x["left"] >= 0, F.struct((F.call_function("div", x["left"], F.lit(n).cast("long")) - 1).alias("left"), F.concat(of(x["left"]), x["name"]).alias("name"))).otherwise(x)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(digits)), start, step, lambda x: x["name"])
 
 
 def lcg(seed: Column, steps: Column) -> Column:

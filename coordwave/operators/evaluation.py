@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import sigmoid
 
 BINS = 5
+#: Ranges of scores that are ordered apart from each other, at most.
+RANGES = 2000
 
 
 def metrics(outcomes: DataFrame) -> DataFrame:
@@ -34,21 +37,32 @@ def calibration_error(pairs: DataFrame) -> DataFrame:
 
 
 def _ranges(rows: DataFrame, column: str) -> DataFrame:
-    """rows with `part`: the number of the range of values, as many as the session's shuffle partitions."""
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """rows (without null or NaN in column) with `part`: the number of the range of values, up to RANGES of them."""
+    n = min(RANGES, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     cuts = sorted(set(rows.approxQuantile(column, [k / n for k in range(1, n)], 0.1 / n))) if n > 1 else []
-    return rows.withColumn("part", sum([(F.col(column) >= c).cast("int") for c in cuts], F.lit(0)))
+    splits = [-float("inf"), *(c for c in cuts if abs(c) < float("inf")), float("inf")]
+    if len(splits) == 2:
+        return rows.withColumn("part", F.lit(0))
+    placed = Bucketizer(splits=splits, inputCol=column, outputCol="part").transform(rows)
+    return placed.withColumn("part", F.col("part").cast("int"))
+
+
+def _with_carried(placed: DataFrame, carried: list[tuple]) -> DataFrame:
+    """placed with what each range gets from its neighbours: (part, values...) of RANGES rows at most, sent to each task."""
+    names = [f"carried{k}" for k in range(len(carried[0]) - 1)] if carried else ["carried0"]
+    kind = ", ".join(["part int", *(f"{n} double" for n in names)])
+    return placed.join(F.broadcast(placed.sparkSession.createDataFrame(carried, kind)), "part", "left")
 
 
 def threshold_grid(scores: DataFrame) -> DataFrame:
-    """The midpoints between neighbouring different scores, by ranges; each begins at the last score before it."""
-    placed = _ranges(scores.select("score").where("score IS NOT NULL").distinct(), "score")
-    last = {r["part"]: r["last"] for r in placed.groupBy("part").agg(F.max("score").alias("last")).collect()}  # a row a range
-    carried = F.lit(None).cast("double")
-    for low, high in zip(sorted(last)[:-1], sorted(last)[1:], strict=True):
-        carried = F.when(F.col("part") == high, F.lit(last[low])).otherwise(carried)
-    before = F.coalesce(F.lag("score").over(Window.partitionBy("part").orderBy("score")), carried)
-    return placed.select(((F.col("score") + before) / 2).alias("threshold")).where("threshold IS NOT NULL")
+    """The midpoints between neighbouring different scores, by ranges; each begins at the last score before it. Null
+    and NaN scores don't count."""
+    kept = scores.select(F.col("score").cast("double").alias("score")).where("score IS NOT NULL AND NOT isnan(score)")
+    placed = _ranges(kept.distinct(), "score")
+    last = sorted(tuple(r) for r in placed.groupBy("part").agg(F.max("score").alias("last")).collect())  # a row a range
+    carried = [(high, low_last) for (_, low_last), (high, _) in zip(last[:-1], last[1:], strict=True)]
+    before = F.coalesce(F.lag("score").over(Window.partitionBy("part").orderBy("score")), F.col("carried0"))
+    return _with_carried(placed, carried).select(((F.col("score") + before) / 2).alias("threshold")).where("threshold IS NOT NULL")
 
 
 def fit_logistic(score: np.ndarray, y: np.ndarray, steps: int = 1500, rate: float = 0.2, penalty: float = 0.01):
@@ -88,17 +102,18 @@ def tune(scored: DataFrame, thresholds: DataFrame) -> DataFrame:
     ordered scores, by ranges; each begins with the sums of the ranges over it."""
     known, taken = F.col("expected").isNotNull(), F.col("region").isNotNull()
     right = (known & taken & (F.col("expected") == F.col("region"))).cast("long")
-    examples = scored.where("score IS NOT NULL").select(F.col("score").cast("double").alias("at"), F.coalesce(right, F.lit(0)).alias("right"), (~known & taken).cast("long").alias("merged"), F.lit(False).alias("tried"))
+    examples = scored.where("score IS NOT NULL AND NOT isnan(score)").select(F.col("score").cast("double").alias("at"), F.coalesce(right, F.lit(0)).alias("right"), (~known & taken).cast("long").alias("merged"), F.lit(False).alias("tried"))
     grid = thresholds.where("threshold IS NOT NULL").select(F.col("threshold").cast("double").alias("at"), F.lit(0).cast("long").alias("right"), F.lit(0).cast("long").alias("merged"), F.lit(True).alias("tried"))
     sums = [F.sum(c).alias(c) for c in ("right", "merged")]
     placed = _ranges(examples.unionByName(grid).groupBy("at").agg(*sums, F.max("tried").alias("tried")), "at")
     n = scored.agg(F.count_if(known).alias("known"), F.count_if(~known).alias("strange")).first()
-    carried, over = [F.lit(0)] * 2, [0, 0]
+    carried, over = [], (0, 0)
     for r in sorted(placed.groupBy("part").agg(*sums).collect(), key=lambda r: -r["part"]):  # a row a range
-        carried = [F.when(F.col("part") == r["part"], F.lit(o)).otherwise(c) for c, o in zip(carried, over, strict=True)]
-        over = [over[0] + r["right"], over[1] + r["merged"]]
+        carried.append((r["part"], float(over[0]), float(over[1])))
+        over = (over[0] + r["right"], over[1] + r["merged"])
     down = Window.partitionBy("part").orderBy(F.desc("at")).rowsBetween(Window.unboundedPreceding, 0)
-    counted = placed.select(F.col("at").alias("threshold"), "tried", (F.sum("right").over(down) + carried[0]).alias("hits"), (F.sum("merged").over(down) + carried[1]).alias("false_merges"))
+    all_over = lambda c, k: (F.sum(c).over(down) + F.col(f"carried{k}")).cast("long")
+    counted = _with_carried(placed, carried).select(F.col("at").alias("threshold"), "tried", all_over("right", 0).alias("hits"), all_over("merged", 1).alias("false_merges"))
     refused = (n["strange"] - F.col("false_merges")) / n["strange"] if n["strange"] else F.lit(0.0)
     found = F.col("hits") / n["known"] if n["known"] else F.lit(0.0)
     by = counted.where("tried").select("threshold", F.round((found + refused) / 2, 12).alias("accuracy"), "false_merges")

@@ -10,7 +10,6 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import identifier_ok
 
 
 def keyed_union(present: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
@@ -187,21 +186,26 @@ def moved(members: DataFrame, moves: DataFrame) -> DataFrame:
     return members.join(last, "id", "left").select("id", F.coalesce("to", "group_id").alias("group_id"))
 
 
-#: Placements that a review store may hold (fixed value).
-MOST_PLACEMENTS = 10_000
+#: Entries of a review store that may be placed or acknowledged, and names that can't be ids (fixed values).
+MOST_PLACEMENTS, MOST_ACKNOWLEDGED, RESERVED = 10_000, 10_000, ("__proto__", "constructor", "prototype")
 
 
-def store_violations(groups: DataFrame, placements: DataFrame) -> DataFrame:
-    """V8: (rule, subject) for each broken rule of a review store: an id that is none, a group or an anchor named twice, too
-    many placements. groups: (group_id, anchor_id), texts; placements: (entry_id, group_id)."""
-    named = lambda c: F.col(c).cast("string").alias("subject")
-    odd = groups.where(~identifier_ok(F.col("group_id"))).select(F.lit("not an id").alias("rule"), named("group_id"))
-    found = odd
+def store_violations(groups: DataFrame, placements: DataFrame, acknowledged: DataFrame) -> DataFrame:
+    """V8: (rule, subject) for each broken rule of a review store. Group, anchor, name, placed entry, its group and
+    acknowledged tokens have 1 to 200 UTF-16 units and aren't reserved words; group ids begin with region- or split-; no
+    group or anchor is named twice; at most 10,000 entries are placed and as many acknowledged. groups: (group_id, anchor_id,
+    name); placements: (entry_id, group_id); acknowledged: (token); all texts."""
+    size = lambda c: F.octet_length(F.encode(c, "UTF-16BE")) / 2
+    bad = lambda c: ~F.coalesce(size(c).between(1, 200) & ~F.col(c).isin(*RESERVED), F.lit(False))
+    broken = lambda rows, when, rule, c: rows.where(when).select(F.lit(rule).alias("rule"), F.col(c).alias("subject"))
+    found = broken(groups, ~F.coalesce(F.col("group_id").startswith("region-") | F.col("group_id").startswith("split-"), F.lit(False)), "group_id without region- or split-", "group_id")
+    for rows, c, what in ((groups, "group_id", "group_id"), (groups, "anchor_id", "anchor_id"), (groups, "name", "name"), (placements, "entry_id", "placed entry"), (placements, "group_id", "placed group"), (acknowledged, "token", "acknowledged")):
+        found = found.unionByName(broken(rows, bad(c), f"{what} is no id", c))
     for c in ("group_id", "anchor_id"):
-        twice = groups.groupBy(c).count().where(F.col("count") > 1)
-        found = found.unionByName(twice.select(F.lit(f"{c} named twice").alias("rule"), named(c)))
-    many = placements.agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MOST_PLACEMENTS)
-    return found.unionByName(many.select(F.lit("too many placements").alias("rule"), F.col("n").cast("string").alias("subject")))
+        found = found.unionByName(broken(groups.groupBy(c).count(), F.col("count") > 1, f"{c} named twice", c))
+    for what, n, most in (("placements", placements.agg(F.count_distinct("entry_id").alias("n")), MOST_PLACEMENTS), ("acknowledged", acknowledged.agg(F.count(F.lit(1)).alias("n")), MOST_ACKNOWLEDGED)):
+        found = found.unionByName(n.where(F.col("n") > most).select(F.lit(f"too many {what}").alias("rule"), F.col("n").cast("string").alias("subject")))
+    return found
 
 
 #: The actions of a review that associate a window with a pattern.

@@ -439,18 +439,20 @@ def e4_calibrated_scores(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", F.round(evaluation.calibrated(_c("vec_id") * 37 % 1000 / 1000.0, model), 9).alias("score"))
 
 
-_PAIRS = """WITH x AS (SELECT o_orderkey AS example_id, ['fit', 'tune', 'test'][1 + (o_custkey % 3)::INT] AS split, CASE WHEN o_custkey % 4 > 0 THEN o_orderkey % 6 END AS expected FROM orders), r AS (SELECT s_suppkey AS representative_id, s_suppkey % 6 AS region_id FROM supplier WHERE s_suppkey BETWEEN 1 AND 18),
+_PAIRS = """WITH x AS (SELECT o_orderkey AS example_id, ['fit', 'tune', 'test'][1 + (o_custkey % 3)::INT] AS split, CASE WHEN o_custkey % 4 > 0 THEN o_orderkey % 6 END AS expected FROM orders), r AS (SELECT s_suppkey AS representative_id, s_suppkey % 6 AS region_id FROM supplier),
   p AS (SELECT *, (CASE WHEN expected = region_id THEN 400 ELSE 0 END + (example_id * 7 + representative_id * 13) % 600) / 1000.0::DOUBLE AS formula, (CASE WHEN expected = region_id THEN 300 ELSE 0 END + (example_id * 11 + representative_id * 5) % 700) / 1000.0::DOUBLE AS overlap
-  FROM x, r WHERE (example_id + representative_id) % 5 = 0)"""
+  FROM (SELECT *, 1 + (example_id * 7 + unnest([0, 13, 26, 39])) % (SELECT count(*) FROM supplier) AS representative_id FROM x) JOIN r USING (representative_id))"""
 
 
 def _pairs(spark, sf_dir):
-    k = _c("o_orderkey")
+    """Each example with four of all representatives."""
+    k, suppliers = _c("o_orderkey"), table(spark, sf_dir, "supplier")
+    n = suppliers.count()
     examples = table(spark, sf_dir, "orders").select(k.alias("example_id"), F.element_at(F.array(*map(F.lit, ["fit", "tune", "test"])), (1 + _c("o_custkey") % 3).cast("int")).alias("split"), F.when(_c("o_custkey") % 4 > 0, k % 6).alias("expected"))
-    representatives = table(spark, sf_dir, "supplier").where("s_suppkey BETWEEN 1 AND 18").select(_c("s_suppkey").alias("representative_id"), (_c("s_suppkey") % 6).alias("region_id"))
+    representatives = suppliers.select(_c("s_suppkey").alias("representative_id"), (_c("s_suppkey") % 6).alias("region_id"))
     e, r = _c("example_id"), _c("representative_id")
-    near = F.filter(F.sequence(F.lit(1).cast("long"), F.lit(18).cast("long")), lambda x: (e + x) % 5 == 0)
-    base = examples.select("example_id", "expected", F.explode(near).alias("representative_id")).join(F.broadcast(representatives), "representative_id")  # 18 rows
+    near = F.array(*[1 + (e * 7 + j) % n for j in (0, 13, 26, 39)])
+    base = examples.select("example_id", "expected", F.explode(near).alias("representative_id")).join(representatives, "representative_id")
     hit = F.coalesce(_c("expected") == _c("region_id"), F.lit(False))
     scores = base.select("example_id", "representative_id", ((F.when(hit, 400).otherwise(0) + (e * 7 + r * 13) % 600) / 1000.0).alias("formula"), ((F.when(hit, 300).otherwise(0) + (e * 11 + r * 5) % 700) / 1000.0).alias("overlap"))
     return evaluation.prepare_pairs(examples, representatives, scores)
@@ -613,11 +615,12 @@ def scalar_kinds(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", F.round(scalar.normalised(p, F.lit(1e3), F.lit(5e5)), 9).alias("place"), scalar.half_up(p / 7).alias("rounded"), scalar.entity_id("order", _c("o_orderkey"), _c("o_custkey")).alias("entity_id"))
 
 
-@query("""WITH n AS (SELECT c_custkey AS i, ['Vega', 'Lyra', 'Orion', 'Draco'] AS w FROM customer) SELECT i AS group_index,
-  CASE WHEN (i // 4 - 1) // 4 - 1 >= 0 AND i // 4 - 1 >= 0 THEN w[1 + ((i // 4 - 1) // 4 - 1) % 4] ELSE '' END || CASE WHEN i // 4 - 1 >= 0 THEN w[1 + (i // 4 - 1) % 4] ELSE '' END || w[1 + i % 4] AS name FROM n WHERE i < 84""")
+@query("""WITH RECURSIVE n AS (SELECT c_custkey AS k, c_custkey * c_custkey AS i, '' AS name FROM customer
+  UNION ALL SELECT k, i // 4 - 1, ['Vega', 'Lyra', 'Orion', 'Draco'][1 + i % 4] || name FROM n WHERE i >= 0) SELECT k * k AS group_index, name FROM n WHERE i < 0""")
 def group_names(spark, sf_dir):
-    names = ["Vega", "Lyra", "Orion", "Draco"]  # of our own choice; three of them name 84 groups
-    return table(spark, sf_dir, "customer").where("c_custkey < 84").select(_c("c_custkey").alias("group_index"), scalar.group_name(_c("c_custkey"), names).alias("name"))
+    names = ["Vega", "Lyra", "Orion", "Draco"]  # of our own choice
+    index = _c("c_custkey") * _c("c_custkey")
+    return table(spark, sf_dir, "customer").select(index.alias("group_index"), scalar.group_name(index, names).alias("name"))
 
 
 @query("""SELECT vec_id, round(list_sum(list_transform(range(64), lambda i: embedding[1 + (i + vec_id) % 64]::DOUBLE * (i + 1))), 6) AS moment FROM embeddings""")
@@ -724,15 +727,24 @@ def c21_moved_members(spark, sf_dir):
     return review.moved(members, moves)
 
 
-@query("""WITH g AS (SELECT CASE WHEN p_partkey % 9 = 0 THEN ' ' || p_partkey WHEN p_partkey % 13 = 0 THEN 'region-' || (p_partkey // 2) ELSE 'region-' || p_partkey END AS group_id, 'entry-' || (p_partkey // (1 + (p_partkey % 17 = 0)::INT)) AS anchor_id FROM part)
-  SELECT 'not an id' AS rule, group_id AS subject FROM g WHERE NOT regexp_matches(group_id, '^[A-Za-z0-9][A-Za-z0-9._:-]*$') UNION ALL SELECT 'group_id named twice', group_id FROM g GROUP BY group_id HAVING count(*) > 1
-  UNION ALL SELECT 'anchor_id named twice', anchor_id FROM g GROUP BY anchor_id HAVING count(*) > 1 UNION ALL SELECT 'too many placements', CAST(count(*) AS VARCHAR) FROM orders HAVING count(*) > 10000""")
+@query("""WITH g AS (SELECT CASE WHEN p_partkey % 9 = 0 THEN ' ' || p_partkey WHEN p_partkey % 13 = 0 THEN 'region-' || (p_partkey // 2) WHEN p_partkey % 5 = 0 THEN 'split-a b' || p_partkey ELSE 'region-' || p_partkey END AS group_id,
+    CASE WHEN p_partkey % 71 = 0 THEN 'prototype' ELSE 'entry-' || (p_partkey // (1 + (p_partkey % 17 = 0)::INT)) END AS anchor_id, CASE WHEN p_size % 7 > 0 THEN repeat(p_name, p_size) END AS name FROM part),
+  p AS (SELECT CASE WHEN o_orderkey % 29 = 0 THEN '' ELSE 'entry-' || o_orderkey END AS entry_id, CASE WHEN o_orderkey % 31 = 0 THEN '__proto__' ELSE 'region-' || o_custkey END AS group_id FROM orders), k AS (SELECT CASE WHEN c_custkey % 37 = 0 THEN 'constructor' ELSE c_name END AS token FROM customer),
+  i AS (SELECT 'group_id' AS what, group_id AS x FROM g UNION ALL SELECT 'anchor_id', anchor_id FROM g UNION ALL SELECT 'name', name FROM g UNION ALL SELECT 'placed entry', entry_id FROM p UNION ALL SELECT 'placed group', group_id FROM p UNION ALL SELECT 'acknowledged', token FROM k)
+  SELECT what || ' is no id' AS rule, x AS subject FROM i WHERE NOT coalesce(len(x) BETWEEN 1 AND 200 AND x NOT IN ('__proto__', 'constructor', 'prototype'), false)
+  UNION ALL SELECT 'group_id without region- or split-', group_id FROM g WHERE NOT (group_id LIKE 'region-%' OR group_id LIKE 'split-%')
+  UNION ALL SELECT 'group_id named twice', group_id FROM g GROUP BY group_id HAVING count(*) > 1 UNION ALL SELECT 'anchor_id named twice', anchor_id FROM g GROUP BY anchor_id HAVING count(*) > 1
+  UNION ALL SELECT 'too many placements', CAST(count(DISTINCT entry_id) AS VARCHAR) FROM p HAVING count(DISTINCT entry_id) > 10000 UNION ALL SELECT 'too many acknowledged', CAST(count(*) AS VARCHAR) FROM k HAVING count(*) > 10000""")
 def v8_store_violations(spark, sf_dir):
-    p = _c("p_partkey")
+    p, o, c = _c("p_partkey"), _c("o_orderkey"), _c("c_custkey")
     text = lambda head, x: F.concat(F.lit(head), x.cast("string"))
     half, anchor = F.floor(p / 2), F.floor(p / F.when(p % 17 == 0, 2).otherwise(1))
-    groups = table(spark, sf_dir, "part").select(F.when(p % 9 == 0, text(" ", p)).when(p % 13 == 0, text("region-", half)).otherwise(text("region-", p)).alias("group_id"), text("entry-", anchor).alias("anchor_id"))
-    return review.store_violations(groups, table(spark, sf_dir, "orders").select(_c("o_orderkey").alias("entry_id"), _c("o_custkey").alias("group_id")))
+    groups = table(spark, sf_dir, "part").select(
+        F.when(p % 9 == 0, text(" ", p)).when(p % 13 == 0, text("region-", half)).when(p % 5 == 0, text("split-a b", p)).otherwise(text("region-", p)).alias("group_id"),
+        F.when(p % 71 == 0, "prototype").otherwise(text("entry-", anchor)).alias("anchor_id"), F.when(_c("p_size") % 7 > 0, F.repeat("p_name", _c("p_size").cast("int"))).alias("name"),
+    )
+    placements = table(spark, sf_dir, "orders").select(F.when(o % 29 == 0, "").otherwise(text("entry-", o)).alias("entry_id"), F.when(o % 31 == 0, "__proto__").otherwise(text("region-", _c("o_custkey"))).alias("group_id"))
+    return review.store_violations(groups, placements, table(spark, sf_dir, "customer").select(F.when(c % 37 == 0, "constructor").otherwise(_c("c_name")).alias("token")))
 
 
 @query(f"""{REC}, l AS (SELECT recording_id, max(t) AS m FROM rec GROUP BY recording_id), x AS (SELECT recording_id, CAST(floor(t / (m / 4)) AS BIGINT) AS "window", t - floor(t / (m / 4)) * (m / 4) AS t, frequency AS f, event_idx
@@ -748,11 +760,11 @@ def v9_changed_cycles(spark, sf_dir):
 
 
 @query("""SELECT CAST(o_orderkey AS VARCHAR) AS edge_id, o_orderkey % 50 AS from_id, o_custkey % 50 AS to_id, 'reviewed' AS kind FROM orders WHERE o_orderkey % 50 = 7 OR o_custkey % 50 = 7
-  UNION ALL SELECT 'suggestion:7:' || c_custkey, 7, c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'partial' ELSE 'whole' END FROM customer WHERE c_custkey < 4""")
+  UNION ALL SELECT 'suggestion:7:' || c_custkey, 7, c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'partial' ELSE 'whole' END FROM customer""")
 def l4_edges(spark, sf_dir):
     k, c = _c("o_orderkey"), _c("c_custkey")
     relations = table(spark, sf_dir, "orders").select(k.alias("relation_id"), (k % 50).alias("from_id"), (_c("o_custkey") % 50).alias("to_id"))
-    suggested = table(spark, sf_dir, "customer").where("c_custkey < 4").select(F.lit(7).cast("long").alias("query_id"), c.alias("target_id"), F.when(c % 2 == 0, "partial").otherwise("whole").alias("kind"))
+    suggested = table(spark, sf_dir, "customer").select(F.lit(7).cast("long").alias("query_id"), c.alias("target_id"), F.when(c % 2 == 0, "partial").otherwise("whole").alias("kind"))
     return layout.edges(relations, suggested, 7, False)
 
 

@@ -317,15 +317,15 @@ def p6_text_filter(spark, sf_dir):
     return kept.select("c_custkey", "c_name", status.alias("status"))
 
 
-@query("""SELECT n_nationkey, lpad(lower(to_hex(list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split(n_name, ''), lambda x: unicode(x)::BIGINT)), lambda h, c: (xor(h, c) * 16777619) & 4294967295))), 8, '0') AS signature FROM nation""")
+@query("""SELECT p_partkey, lpad(lower(to_hex(list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split(p_name, ''), lambda x: unicode(x)::BIGINT)), lambda h, c: (xor(h, c) * 16777619) & 4294967295))), 8, '0') AS signature FROM part""")
 def hash_fnv(spark, sf_dir):
-    return table(spark, sf_dir, "nation").select("n_nationkey", scalar.fnv1a(F.col("n_name")).alias("signature"))
+    return table(spark, sf_dir, "part").select("p_partkey", scalar.fnv1a(F.col("p_name")).alias("signature"))
 
 
-@query("""WITH RECURSIVE s AS (SELECT n_nationkey, CAST(n_nationkey AS BIGINT) AS x, 0 AS i FROM nation
-  UNION ALL SELECT n_nationkey, (x * 1664525 + 1013904223) % 4294967296, i + 1 FROM s WHERE i < 10) SELECT n_nationkey, x AS state FROM s WHERE i = 10""")
+@query("""WITH RECURSIVE s AS (SELECT c_custkey, CAST(c_custkey AS BIGINT) AS x, 0 AS i FROM customer
+  UNION ALL SELECT c_custkey, (x * 1664525 + 1013904223) % 4294967296, i + 1 FROM s WHERE i < 10) SELECT c_custkey, x AS state FROM s WHERE i = 10""")
 def prng_lcg(spark, sf_dir):
-    return table(spark, sf_dir, "nation").select("n_nationkey", scalar.lcg(F.col("n_nationkey"), F.lit(10)).alias("state"))
+    return table(spark, sf_dir, "customer").select("c_custkey", scalar.lcg(F.col("c_custkey"), F.lit(10)).alias("state"))
 
 
 @query("""WITH d AS (SELECT DISTINCT o_totalprice AS score FROM orders), p AS (SELECT (score + lag(score) OVER (ORDER BY score)) / 2 AS threshold FROM d) SELECT threshold FROM p WHERE threshold IS NOT NULL""")
