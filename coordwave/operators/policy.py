@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .linkage import labels
+from .components import labels
 
 #: Margins of the group policy (fixed values).
 CORE, COMPETITION, LEAST_SHAPES, NEAR = 0.08, 0.05, 3, 0.005

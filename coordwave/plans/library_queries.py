@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalar
-from ..operators import channels, cycles, evaluation, layout, linkage, periods, policy, review, validation, windows
+from ..operators import channels, cycles, evaluation, layout, library, linkage, periods, policy, review, validation, windows
 from ..sources.generators import event_workload
 from ..sources.tables import table
 from .queries import REC, _rec, query
@@ -782,3 +782,33 @@ def m9_leaders(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select(_c("o_orderkey").alias("id"))
     near = o.select(_c("id").alias("a"), F.explode(F.sequence(_c("id") + 1, _c("id") + 3)).alias("id")).join(o, "id")
     return linkage.leaders(o, near.select("a", _c("id").alias("b")).where(((_c("a") * 31 + _c("b") * 17) % 5 < 2) & (F.floor(_c("a") / 8) == F.floor(_c("b") / 8))))
+
+
+# The library's groups: customers in blocks of eight stand for entries, two reviewed groups in every third block.
+
+
+def _blocks(spark, sf_dir):
+    """Entries, scores of all pairs in a block, reviewed groups, placements and acknowledged entries."""
+    c, k = table(spark, sf_dir, "customer"), _c("c_custkey")
+    entries = c.select(k.alias("id"), F.when(k % 5 == 0, k - k % 2).otherwise(k).alias("class_id"), (k % 11 == 3).alias("flagged"))
+    near = entries.select(_c("id").alias("a"), F.explode(F.sequence(_c("id") + 1, _c("id") + 7)).alias("id")).join(entries.select("id"), "id")
+    scores = near.where(F.floor(_c("a") / 8) == F.floor(_c("id") / 8)).select("a", _c("id").alias("b"), ((_c("a") * 31 + _c("id") * 17) % 12 / 16.0 + 0.3).alias("score"))
+    block = F.floor(k / 8)
+    named = lambda x: F.concat(F.lit("split-"), x.cast("string"))
+    groups = c.where((block % 3 == 0) & (k % 8).isin(1, 5)).select(named(k).alias("group_id"), k.alias("anchor_id"))
+    placements = c.where((k % 8).isin(2, 3, 6)).select(k.alias("id"), named(block * 8 + F.when(k % 2 == 0, 1).otherwise(5)).alias("group_id"))
+    return entries, scores, groups, placements, c.where(k % 7 == 0).select(k.alias("id"))
+
+
+@query()
+def c15_library_groups(spark, sf_dir):
+    """Complete linkage under reviewed decisions; tests have a plain version."""
+    return library.library_groups(*_blocks(spark, sf_dir), 0.45).drop("reasons")
+
+
+@query()
+def c17_covering_members(spark, sf_dir):
+    """The representatives that cover each block's core: entries that aren't flagged; the least of a block is its anchor."""
+    entries, scores, *_ = _blocks(spark, sf_dir)
+    members = entries.select(F.floor(_c("id") / 8).alias("group_id"), "id", "class_id", (_c("id") % 8 == 0).alias("anchor"), (~_c("flagged")).alias("core"))
+    return library.covering_members(members, scores)
