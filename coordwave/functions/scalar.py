@@ -60,6 +60,11 @@ def lcg(seed: Column, steps: Column) -> Column:
     return F.aggregate(n, seed.cast("long"), lambda x, _: (x * 1664525 + 1013904223).bitwiseAND(F.lit(0xFFFFFFFF)))
 
 
+def by_locale(name: Column) -> Column:
+    """A text to be ordered by the root collation (ICU), as names are by locale."""
+    return F.collate(name.cast("string"), "UNICODE")
+
+
 def half_up(x: Column) -> Column:
     """Rounding to whole numbers, halves up."""
     return F.floor(x + 0.5)

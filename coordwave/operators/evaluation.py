@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import sigmoid
+from ..sources.shared import materialise
 
 BINS = 5
 #: Ranges of scores that are ordered apart from each other, at most.
@@ -96,6 +100,56 @@ def bootstrap(sources: list[str], correct: np.ndarray, reps: int = 500, seed: in
     return means[low], means[high]
 
 
+def numbered(rows: DataFrame, key: str) -> DataFrame:
+    """rows with `number`, 0, 1, ... in order of a key that no two share: places in ranges of the key, each behind all of
+    the ranges before it (a row a range comes to the driver)."""
+    n = min(RANGES, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    placed = materialise(rows.repartitionByRange(n, key).withColumn("part", F.spark_partition_id()), "ranges")
+    counted, before = [], 0
+    for r in placed.groupBy("part").agg(F.min(key).alias("first"), F.count(F.lit(1)).alias("n")).orderBy("first").collect():
+        counted.append((r["part"], before))
+        before += r["n"]
+    offset = rows.sparkSession.createDataFrame(counted, "part int, before long")
+    place = F.row_number().over(Window.partitionBy("part").orderBy(key)) - 1
+    return placed.withColumn("place", place).join(F.broadcast(offset), "part").withColumn("number", F.col("place") + F.col("before")).drop("part", "place", "before")
+
+
+def _states(seed: int, steps: np.ndarray) -> np.ndarray:
+    """The congruential stream's states after so many steps: powers of the step, by the bits of each number."""
+    factor, add, mask = 1664525, 1013904223, (1 << 32) - 1
+    state, left = np.full(len(steps), seed, np.uint64), steps.astype(np.uint64)
+    while left.any():
+        odd = (left & np.uint64(1)).astype(bool)
+        state[odd] = (state[odd] * np.uint64(factor) + np.uint64(add)) & np.uint64(mask)
+        factor, add = factor * factor & mask, (factor + 1) * add & mask
+        left >>= np.uint64(1)
+    return state
+
+
+def bootstrap_bounds(outcomes: DataFrame, reps: int = 500, seed: int = 20261007, low: int = 12, high: int = 487) -> DataFrame:
+    """(low, high, n_sources, reps): order statistics of the mean outcome over resamples of whole sources: each
+    repetition draws as many sources as there are, with the next numbers of one congruential stream. outcomes: (source_id,
+    correct). No rows: nulls.
+
+    Draw m of the stream is reached by itself, so draws are rows of any task: they meet the sources' sums by number, and
+    are added by repetition."""
+    spark = outcomes.sparkSession
+    sums = outcomes.groupBy("source_id").agg(F.sum(F.col("correct").cast("double")).alias("s"), F.count("correct").alias("n"))
+    sources = materialise(numbered(sums, "source_id"), "sources")
+    n = sources.count()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            m = batch.column(0).to_numpy()
+            drawn = np.floor(_states(seed, m + 1) / float(1 << 32) * n).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(m // n), pa.array(drawn)], ["rep", "number"])
+
+    drawn = spark.range(reps * n).mapInArrow(run, "rep long, number long").groupBy("rep", "number").agg(F.count(F.lit(1)).alias("times"))
+    each = drawn.join(sources, "number").groupBy("rep").agg((F.sum(F.col("times") * F.col("s")) / F.sum(F.col("times") * F.col("n"))).alias("mean"))
+    placed = each.withColumn("place", F.row_number().over(Window.orderBy("mean")) - 1)  # a row a repetition
+    return placed.agg(F.max(F.when(F.col("place") == low, F.col("mean"))).alias("low"), F.max(F.when(F.col("place") == high, F.col("mean"))).alias("high")).select("low", "high", F.lit(n).cast("long").alias("n_sources"), F.lit(reps).alias("reps"))
+
+
 def tune(scored: DataFrame, thresholds: DataFrame) -> DataFrame:
     """The threshold of greatest balanced accuracy on scored examples (expected, region, score); then fewer false
     merges, then nearest to 0.5. All thresholds are tried: counts of the examples at or over each are sums over the

@@ -10,6 +10,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalar import by_locale
+
 
 
 def keyed_union(present: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
@@ -91,6 +93,12 @@ def named_windows(windows: DataFrame, patterns: DataFrame) -> DataFrame:
     return windows.join(first, "window_id", "left").withColumn("display_name", F.coalesce("pattern_name", "name", F.col("window_id").cast("string"))).drop("pattern_name")
 
 
+def placed_by_locale(rows: DataFrame, group: str, name: str, *ties: str) -> DataFrame:
+    """Rows with their place in their group by the root collation's order of names: marks, digits, letters, small ones
+    before capitals that differ in nothing else; then by `ties`."""
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(by_locale(F.col(name)), *ties)).cast("long"))
+
+
 def fresh(results: DataFrame, current: DataFrame, identity: list[str]) -> DataFrame:
     """Results whose identity (workspace, revision, hashes ...) is a current one; nulls agree with nulls."""
     match = F.lit(True)

@@ -12,7 +12,7 @@ from ..functions import scalar
 from ..operators import channels, cycles, evaluation, layout, library, linkage, periods, policy, review, validation, windows
 from ..sources.generators import event_workload
 from ..sources.tables import table
-from .queries import REC, _rec, query
+from .queries import REC, _gridded, _rec, query
 
 
 def _c(name: str):
@@ -812,3 +812,39 @@ def c17_covering_members(spark, sf_dir):
     entries, scores, *_ = _blocks(spark, sf_dir)
     members = entries.select(F.floor(_c("id") / 8).alias("group_id"), "id", "class_id", (_c("id") % 8 == 0).alias("anchor"), (~_c("flagged")).alias("core"))
     return library.covering_members(members, scores)
+
+
+# Cycles: scores from distance and raster overlap, and medoids.
+
+
+@query()
+def c6_blended_pairs(spark, sf_dir):
+    """All pairs of cycles whose blended score reaches 0.65; tests score every pair."""
+    found = cycles.blended_pairs(_gridded(spark, sf_dir))
+    return found.select("a", "b", *[F.round(c, 9).alias(c) for c in ("formula", "overlap", "score")])
+
+
+@query()
+def c10_medoids(spark, sf_dir):
+    """Twelve medoids of all cycles; tests have a plain version."""
+    return cycles.medoid_groups(_gridded(spark, sf_dir), 12)
+
+
+# Order by locale.
+
+
+@query("""WITH n AS (SELECT p_partkey, p_size, CASE p_partkey % 5 WHEN 0 THEN '_' || p_brand WHEN 1 THEN lower(p_brand) || '-1' WHEN 2 THEN upper(p_name) WHEN 3 THEN p_name ELSE lower(p_brand) || p_partkey % 7 END AS id FROM part),
+  k AS (SELECT *, translate(lower(id), '_- #', chr(2) || chr(3) || chr(1) || chr(4)) AS letters, regexp_replace(regexp_replace(id, '[^A-Z]', '0', 'g'), '[A-Z]', '1', 'g') AS cases FROM n)
+  SELECT p_partkey, id, row_number() OVER (PARTITION BY p_size ORDER BY letters, cases, p_partkey) AS place FROM k""")
+def o7_collated(spark, sf_dir):
+    p, brand, name = _c("p_partkey"), _c("p_brand"), _c("p_name")
+    id_ = F.when(p % 5 == 0, F.concat(F.lit("_"), brand)).when(p % 5 == 1, F.concat(F.lower(brand), F.lit("-1"))).when(p % 5 == 2, F.upper(name)).when(p % 5 == 3, name).otherwise(F.concat(F.lower(brand), (p % 7).cast("string")))
+    rows = table(spark, sf_dir, "part").select("p_partkey", "p_size", id_.alias("id"))
+    return review.placed_by_locale(rows, "p_size", "id", "p_partkey").select("p_partkey", "id", "place")
+
+
+@query()
+def e8_bootstrap(spark, sf_dir):
+    """Bounds of the share of orders of high priority over resamples of whole customers; tests draw in one stream."""
+    rows = table(spark, sf_dir, "orders").select(_c("o_custkey").cast("string").alias("source_id"), (_c("o_orderpriority") < "3").cast("int").alias("correct"))
+    return evaluation.bootstrap_bounds(rows)
