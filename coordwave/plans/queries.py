@@ -157,6 +157,45 @@ _WHOLE = f"""{_DECIMATE}{_POINTS}, v AS (
 )"""
 
 
+#: The same with channels: units by recording, some arbitrary, a second channel of a quantity, a channel that isn't there,
+#: times in two units; frequency and pri are compared.
+_UNITS = """, kd AS (SELECT DISTINCT user_id AS kr, [CASE WHEN user_id % 9 = 4 THEN NULL WHEN user_id % 4 = 3 THEN 'fu' ELSE '' END, CASE WHEN user_id % 6 = 5 THEN 'tu' ELSE '' END] AS cls FROM events)"""
+_CHANNELLED = (
+    _WHOLE.replace("value AS frequency", "CASE WHEN user_id % 9 <> 4 THEN value END AS frequency").replace("nullif(CAST(regexp_extract(props, '\"k\": *([0-9]+)', 1) AS DOUBLE), 0) AS pw", "CAST(NULL AS DOUBLE) AS pw", 1)
+    .replace("SELECT recording_id AS er FROM rec GROUP BY recording_id HAVING greatest(count(frequency), count(pri), count(pw)) >= 16", "SELECT user_id AS er FROM events GROUP BY user_id HAVING count(*) >= 16")
+    .replace("AND NOT a.br[k] AND NOT b.br[k] AS ok", "AND NOT a.br[k] AND NOT b.br[k] AND coalesce(ka.cls[k] = kb.cls[k], false) AS ok")
+    .replace("  CROSS JOIN (SELECT unnest([1, 2, 3]) AS k)", "  JOIN kd ka ON ka.kr = ga.recording_id JOIN kd kb ON kb.kr = gb.recording_id CROSS JOIN (SELECT unnest([1, 2]) AS k)")
+    .replace("n = 3", "n = 2").replace("), al AS (", ")" + _UNITS + ", al AS (")
+)
+
+
+def _channelled(spark, sf_dir):
+    """Values, channels and windows of recordings that differ in units."""
+    rec, r = _rec(spark, sf_dir), F.col("recording_id")
+    names = F.array(F.lit("f1"), F.lit("f2"), F.lit("p1"), F.lit("x1"))
+    value = [F.col("frequency") / F.when(r % 4 == 1, 1e3).otherwise(1.0), F.when(r % 9 == 4, F.col("frequency")), F.col("pri") / F.when(r % 2 == 0, 1e3).otherwise(1.0), F.lit(1.0)]
+    rows = rec.select(r.alias("window_id"), "event_idx", (F.col("t") / F.when(r % 5 == 0, 1e3).otherwise(1.0)).alias("t"), F.explode(F.arrays_zip(names.alias("n"), F.array(*value).alias("v"))).alias("x"))
+    values = rows.select("window_id", "event_idx", "t", F.col("x.n").alias("channel_id"), F.col("x.v").alias("value"))
+    ids = rec.select(r.alias("window_id")).distinct()
+    w = F.col("window_id")
+    unit = F.when(F.col("channel_id").isin("f1", "f2"), F.when(w % 4 == 3, "fu").when(w % 4 == 1, "GHz").otherwise("MHz")).when(F.col("channel_id") == "p1", F.when(w % 6 == 5, "tu").when(w % 2 == 0, "ms").otherwise("us")).otherwise("dB")
+    kinds = ids.select("window_id", F.explode(names).alias("channel_id")).where((F.col("channel_id") != "f2") | (w % 9 == 4))
+    quantity = F.when(F.col("channel_id").isin("f1", "f2"), "frequency").when(F.col("channel_id") == "p1", "pri").otherwise("numeric")
+    channels = kinds.select("window_id", "channel_id", quantity.alias("quantity"), unit.alias("unit"), F.lit("supplied").alias("origin"))
+    return values, channels, ids.withColumn("time_unit", F.when(w % 5 == 0, "ms").otherwise("us"))
+
+
+@query(f"{_CHANNELLED} SELECT q AS query_id, u AS target_id, round(score, 6) AS score, complete FROM sc WHERE score IS NOT NULL")
+def m3_units(spark, sf_dir):
+    """M3 with P3 and P4: windows by their one supplied channel of frequency and of pri, whatever the units."""
+    from ..operators import channels
+
+    rec, kinds = channels.compared_recordings(*_channelled(spark, sf_dir), ("frequency", "pri"))
+    packed = matching.pack(windows.resample(windows.decimate(rec)), windows.summary(rec), kinds)
+    found = matching.directed_scores(packed, matching.Settings(parameters=("frequency", "pri")))
+    return found.select("query_id", "target_id", F.round("score", 6).alias("score"), "complete")
+
+
 @query(f"{_WHOLE} SELECT q AS query_id, u AS target_id, round(score, 6) AS score, complete FROM sc WHERE score IS NOT NULL")
 def m3_whole_score(spark, sf_dir):
     rec = _rec(spark, sf_dir)
