@@ -132,3 +132,56 @@ def covering_members(members: DataFrame, scores: DataFrame, most: int = 2, shape
         best = open_.join(near, ["group_id", "id"], "left").groupBy("group_id").agg(F.min(F.struct(F.coalesce("score", F.lit(0.0)).alias("score"), F.col("id"), F.col("class_id"))).alias("best"))
         chosen = materialise(chosen.unionByName(best.select("group_id", "best.id", "best.class_id", F.lit(place).alias("place"))), "chosen")
     return chosen.select("group_id", "id", "place")
+
+
+def first_fit(entries: DataFrame, alike: DataFrame) -> DataFrame:
+    """(id, home): in order of ids, each entry joins the first cluster all of whose members it is alike to, or founds one; a
+    cluster is called by its founder. entries: (id); alike: (a, b), a < b.
+
+    Only founders that an entry is alike to can be its home, and their members are among the founder's neighbours. In each
+    round an entry is decided once no lesser entry that it is alike to is open and, for its first founder whose members all
+    agree, none of the founder's open lesser neighbours is left; the least open entry always is. So all rounds are joins with
+    the links and running counts along each founder's neighbours.
+    """
+    links = materialise(alike.select("a", "b").distinct(), "alike")
+    state = materialise(entries.select("id", F.lit(None).cast("long").alias("home")), "homes")
+    along = Window.partitionBy("a").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    while state.where("home IS NULL").take(1):
+        known = links.join(state.select(F.col("id").alias("a"), F.col("home").alias("home_a")), "a").join(state.select(F.col("id").alias("b"), F.col("home").alias("home_b")), "b")
+        known = materialise(known, "known")
+        waits = known.where("home_b IS NULL").groupBy(F.col("b").alias("id")).agg(F.count_if(F.col("home_a").isNull()).alias("open"))
+        own = known.where("home_b IS NULL AND home_a IS NOT NULL").groupBy("b", F.col("home_a").alias("a")).agg(F.count(F.lit(1)).alias("agree"))
+        counted = known.where("home_a = a").select("a", "b", "home_b", F.coalesce(F.count_if(F.col("home_b") == F.col("a")).over(along), F.lit(0)).alias("members"), F.coalesce(F.count_if(F.col("home_b").isNull()).over(along), F.lit(0)).alias("coming"))
+        asked = counted.where("home_b IS NULL").join(own, ["a", "b"])  # the founder itself is the first member
+        judged = asked.where(F.col("agree") == F.col("members") + 1).groupBy(F.col("b").alias("id")).agg(F.min(F.struct("a", (F.col("coming") == 0).alias("sure"))).alias("first"))
+        rows = state.join(waits, "id", "left").join(judged, "id", "left")
+        home = F.when(F.coalesce("open", F.lit(0)) > 0, None).when(F.col("first").isNull(), F.col("id")).when(F.col("first.sure"), F.col("first.a"))
+        state = materialise(rows.select("id", F.coalesce("home", home).alias("home")), "homes")
+    return state
+
+
+def split_proposals(fringe: DataFrame, scores: DataFrame, threshold: float, shapes: int = 3) -> DataFrame:
+    """(region_id, anchor_id, id, cohesion, n_classes): the members of each proposed split of a region's fringe.
+
+    In order of ids each fringe entry of a region joins the first cluster with all of whose members it reaches the core
+    threshold. A cluster of `shapes` classes or more is proposed if its weakest pair exceeds every member's similarity to the
+    region's anchors by the competition margin; its anchor is the member of greatest total score, ties by id. fringe: (id,
+    region_id, class_id, anchor_similarity), without flagged entries and anchors; a null similarity takes no part; scores:
+    (a, b, score), a < b.
+    """
+    core = min(1.0, threshold + CORE)
+    fringe = materialise(fringe.where("anchor_similarity IS NOT NULL").select("id", "region_id", "class_id", "anchor_similarity"), "fringe")
+    inside = scores.where(F.col("score") >= core).select("a", "b", "score")
+    for end in ("a", "b"):
+        inside = inside.join(fringe.select(F.col("id").alias(end), F.col("region_id").alias(f"region_{end}")), end)
+    inside = materialise(inside.where("region_a = region_b").select("a", "b", "score"), "inside")
+    members = materialise(fringe.join(first_fit(fringe.select("id"), inside), "id"), "members")
+    for end in ("a", "b"):
+        inside = inside.join(members.select(F.col("id").alias(end), F.col("home").alias(f"home_{end}")), end)
+    both = _both(inside.where("home_a = home_b"))
+    sums = both.groupBy(F.col("x").alias("id")).agg(F.min("score").alias("least"), F.sum("score").alias("total"))
+    rows = members.join(sums, "id")
+    best = F.max(F.struct(F.round("total", 9).alias("total"), (-F.col("id")).alias("low")))
+    found = rows.groupBy("region_id", "home").agg(F.min("least").alias("cohesion"), F.count_distinct("class_id").alias("n_classes"), F.max("anchor_similarity").alias("nearest"), best.alias("best"))
+    found = found.where((F.col("n_classes") >= shapes) & (F.col("cohesion") >= F.col("nearest") + COMPETITION))
+    return found.select("home", (-F.col("best.low")).alias("anchor_id"), "cohesion", "n_classes").join(members, "home").select("region_id", "anchor_id", "id", "cohesion", "n_classes")

@@ -63,14 +63,23 @@ def maximal(evidence: DataFrame) -> DataFrame:
     return once.withColumn("before", before).where("before IS NULL OR end_event > before").drop("before")
 
 
-def covering(scopes: DataFrame, evidence: DataFrame) -> DataFrame:
-    """(scope_id, pattern_id) where evidence of the scope's window takes in its interval and its channels. Only
-    maximal evidence meets scopes, and scopes that ask for the same meet it once."""
-    e = maximal(evidence).select("window_id", "pattern_id", F.col("start_event").alias("e0"), F.col("end_event").alias("e1"), F.col("channels").alias("ec"))
+def covering(scopes: DataFrame, evidence: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(scope_id, pattern_id): the patterns that a scope of a window belongs to. Evidence of the scope's window, other
+    than a challenge, takes in its interval and all its channels. A scope without an interval stands for its whole window: any
+    such evidence of the window does, and so do patterns that the window represents, if they have such evidence anywhere.
+    Only maximal evidence meets scopes, and scopes that ask for the same meet it once. evidence: (window_id, pattern_id, role,
+    start_event, end_event, channels); patterns: (pattern_id, window_id), the representative one; scopes: (scope_id,
+    window_id, start_event, end_event, channels), nulls without an interval."""
+    counts = evidence.where("role IS NULL OR role <> 'challenge'")
+    e = maximal(counts).select("window_id", "pattern_id", F.col("start_event").alias("e0"), F.col("end_event").alias("e1"), F.col("channels").alias("ec"))
     asked = ["window_id", "start_event", "end_event", "channels"]
     inside = (F.col("e0") <= F.col("start_event")) & (F.col("end_event") <= F.col("e1")) & (F.size(F.array_except("channels", "ec")) == 0)
-    found = scopes.select(*asked).distinct().join(e, "window_id").where(inside).select(*asked, "pattern_id").distinct()
-    return scopes.join(found, asked).select("scope_id", "pattern_id").distinct()
+    within = scopes.where("start_event IS NOT NULL")
+    found = within.select(*asked).distinct().join(e, "window_id").where(inside).select(*asked, "pattern_id").distinct()
+    represented = patterns.join(counts.select("pattern_id").distinct(), "pattern_id", "left_semi").select("window_id", "pattern_id")
+    whole = counts.select("window_id", "pattern_id").unionByName(represented).distinct()
+    alone = scopes.where("start_event IS NULL").select("scope_id", "window_id").join(whole, "window_id")
+    return within.join(found, asked).select("scope_id", "pattern_id").unionByName(alone.select("scope_id", "pattern_id")).distinct()
 
 
 def text_filter(rows: DataFrame, columns: list[str], text: str, *conditions: Column) -> DataFrame:

@@ -814,6 +814,15 @@ def c17_covering_members(spark, sf_dir):
     return library.covering_members(members, scores)
 
 
+@query()
+def c18_split_proposals(spark, sf_dir):
+    """Splits of fringes: each block of eight customers is a region; tests have a plain version."""
+    entries, scores, *_ = _blocks(spark, sf_dir)
+    i = _c("id")
+    fringe = entries.where(~_c("flagged") & (i % 8 > 0)).select("id", F.floor(i / 8).alias("region_id"), "class_id", (i % 4 * 0.15).alias("anchor_similarity"))
+    return library.split_proposals(fringe, scores, 0.3)
+
+
 # Cycles: scores from distance and raster overlap, and medoids.
 
 

@@ -335,16 +335,21 @@ def j15_conflicts(spark, sf_dir):
     return review.conflicts(c, changed, "c_custkey")
 
 
-@query("""WITH e AS (SELECT o_orderkey % 50 AS window_id, o_orderkey % 7 AS pattern_id, o_orderkey % 20 AS a, o_orderkey % 20 + 20 + o_orderkey % 11 AS b, CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 0 END AS both_channels FROM orders)
-  SELECT DISTINCT c_custkey AS scope_id, pattern_id FROM customer JOIN e ON c_custkey % 50 = window_id
-  WHERE a <= 10 AND 10 + c_custkey % 25 <= b AND (both_channels = 1 OR c_custkey % 3 <> 0)""")
+@query("""WITH e AS (SELECT o_orderkey % 50 AS window_id, o_orderkey % 7 + 7 * (o_orderkey % 2) AS pattern_id, o_orderkey % 20 AS a, o_orderkey % 20 + 20 + o_orderkey % 11 AS b, CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 0 END AS both_channels FROM orders WHERE o_orderkey % 13 > 3),
+  s AS (SELECT c_custkey AS scope_id, c_custkey % 53 AS window_id, c_custkey % 17 = 0 AS whole, 10 + c_custkey % 25 AS z, c_custkey % 3 = 0 AS both FROM customer), r AS (SELECT p_partkey AS pattern_id, p_partkey % 60 AS window_id FROM part WHERE p_partkey IN (SELECT pattern_id FROM e))
+  SELECT DISTINCT scope_id, pattern_id FROM s JOIN e USING (window_id) WHERE whole OR (a <= 10 AND z <= b AND (both_channels = 1 OR NOT both))
+  UNION SELECT scope_id, pattern_id FROM s JOIN r USING (window_id) WHERE whole""")
 def p12_covering_evidence(spark, sf_dir):
     o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
     both = F.array(F.lit("f"), F.lit("p"))
-    evidence = o.select((k % 50).alias("window_id"), (k % 7).alias("pattern_id"), (k % 20).alias("start_event"), (k % 20 + 20 + k % 11).alias("end_event"), F.when(k % 2 == 0, both).otherwise(F.array(F.lit("f"))).alias("channels"))
-    c = F.col("c_custkey")
-    scopes = table(spark, sf_dir, "customer").select(c.alias("scope_id"), (c % 50).alias("window_id"), F.lit(10).cast("long").alias("start_event"), (10 + c % 25).alias("end_event"), F.when(c % 3 == 0, both).otherwise(F.array(F.lit("f"))).alias("channels"))
-    return review.covering(scopes, evidence)
+    evidence = o.select(
+        (k % 50).alias("window_id"), (k % 7 + 7 * (k % 2)).alias("pattern_id"), F.when(k % 13 <= 3, "challenge").when(k % 13 < 8, "variant").otherwise("support").alias("role"),
+        (k % 20).alias("start_event"), (k % 20 + 20 + k % 11).alias("end_event"), F.when(k % 2 == 0, both).otherwise(F.array(F.lit("f"))).alias("channels"),
+    )
+    c, p = F.col("c_custkey"), F.col("p_partkey")
+    part = lambda x: F.when(c % 17 > 0, x)
+    scopes = table(spark, sf_dir, "customer").select(c.alias("scope_id"), (c % 53).alias("window_id"), part(F.lit(10).cast("long")).alias("start_event"), part(10 + c % 25).alias("end_event"), part(F.when(c % 3 == 0, both).otherwise(F.array(F.lit("f")))).alias("channels"))
+    return review.covering(scopes, evidence, table(spark, sf_dir, "part").select(p.alias("pattern_id"), (p % 60).alias("window_id")))
 
 
 @query("""SELECT c_custkey, c_name, CASE WHEN c_custkey % 3 = 0 THEN 'reviewed' WHEN c_custkey % 3 = 1 THEN 'unresolved' ELSE 'unreviewed' END AS status

@@ -174,3 +174,58 @@ def test_queries_of_the_library(spark, small):
                 if left:
                     chosen.append((min(left, key=lambda i: (max((score[min(i, x), max(i, x)] for x, _ in chosen), default=0.0), i)), place))
         assert covered[block] == chosen
+
+
+def plain_first_fit(ids, alike):
+    clusters = []
+    for i in sorted(ids):
+        home = next((c for c in clusters if all((j, i) in alike for j in c)), None)
+        clusters.append([i]) if home is None else home.append(i)
+    return {i: c[0] for c in clusters for i in c}
+
+
+@pytest.mark.parametrize("seed, share", [(5, 0.3), (6, 0.75)])
+def test_first_fit(spark, seed, share):
+    rng = random.Random(seed)
+    alike = {p for p in itertools.combinations(range(24), 2) if rng.random() < share}
+    got = library.first_fit(spark.range(24), spark.createDataFrame(list(alike), "a long, b long").repartition(3))
+    assert {r.id: r.home for r in got.collect()} == plain_first_fit(range(24), alike)
+
+
+def test_split_proposals(spark):
+    rng, n = random.Random(9), 30
+    kind = [i % 5 for i in range(n)]
+    score = {(i, j): round(rng.uniform(0.78, 0.95) if kind[i] == kind[j] else rng.uniform(0, 0.7), 3) for i, j in itertools.combinations(range(n), 2)}
+    rows = [(i, i % 2, i if i % 7 else 0, None if i == 12 else 0.1 if kind[i] < 4 else 0.85) for i in range(n)]
+    frame = spark.createDataFrame(rows, "id long, region_id long, class_id long, anchor_similarity double")
+    got = {tuple(r) for r in library.split_proposals(frame, spark.createDataFrame([(*p, s) for p, s in score.items()], "a long, b long, score double"), 0.65).collect()}
+    wanted = set()
+    for region in (0, 1):
+        own = [r for r in rows if r[1] == region and r[3] is not None]
+        home = plain_first_fit([r[0] for r in own], {p for p, s in score.items() if s >= 0.73})
+        for founder in set(home.values()):
+            c = [r for r in own if home[r[0]] == founder]
+            if len({r[2] for r in c}) < 3:
+                continue
+            of = lambda a, b: score[min(a, b), max(a, b)]
+            least = min(of(a[0], b[0]) for a, b in itertools.combinations(c, 2))
+            if all(least >= r[3] + 0.05 for r in c):
+                lead = min((r[0] for r in c), key=lambda i: (-round(sum(of(i, r[0]) for r in c if r[0] != i), 9), i))
+                wanted |= {(region, lead, r[0], least, len({x[2] for x in c})) for r in c}
+    assert got == wanted and wanted
+
+
+def test_query_of_splits(spark, small):
+    entries, scores, *_ = (x.collect() for x in library_queries._blocks(spark, small))
+    score, wanted = {(r.a, r.b): r.score for r in scores}, set()
+    for region in {r.id // 8 for r in entries}:
+        own = {r.id: r for r in entries if r.id // 8 == region and not r.flagged and r.id % 8}
+        home = plain_first_fit(own, {p for p, s in score.items() if s >= 0.38})
+        for founder in set(home.values()):
+            c = [i for i in own if home[i] == founder]
+            least = min((score[p] for p in itertools.combinations(sorted(c), 2)), default=0)
+            classes = {own[i].class_id for i in c}
+            if len(classes) >= 3 and all(least >= i % 4 * 0.15 + 0.05 for i in c):
+                lead = min(c, key=lambda i: (-round(sum(score[min(i, j), max(i, j)] for j in c if j != i), 9), i))
+                wanted |= {(region, lead, i, least, len(classes)) for i in c}
+    assert {tuple(r) for r in library_queries.c18_split_proposals(spark, small).collect()} == wanted and wanted
