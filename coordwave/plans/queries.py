@@ -336,8 +336,8 @@ def j15_conflicts(spark, sf_dir):
 
 
 @query("""WITH e AS (SELECT o_orderkey % 50 AS window_id, o_orderkey % 7 + 7 * (o_orderkey % 2) AS pattern_id, o_orderkey % 20 AS a, o_orderkey % 20 + 20 + o_orderkey % 11 AS b, CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 0 END AS both_channels FROM orders WHERE o_orderkey % 13 > 3),
-  s AS (SELECT c_custkey AS scope_id, c_custkey % 53 AS window_id, c_custkey % 17 = 0 AS whole, 10 + c_custkey % 25 AS z, c_custkey % 3 = 0 AS both FROM customer), r AS (SELECT p_partkey AS pattern_id, p_partkey % 60 AS window_id FROM part WHERE p_partkey IN (SELECT pattern_id FROM e))
-  SELECT DISTINCT scope_id, pattern_id FROM s JOIN e USING (window_id) WHERE whole OR (a <= 10 AND z <= b AND (both_channels = 1 OR NOT both))
+  s AS (SELECT c_custkey AS scope_id, c_custkey % 53 AS window_id, c_custkey % 17 = 0 AS whole, 10 + c_custkey % 25 AS z, c_custkey % 3 = 0 AS needs FROM customer), r AS (SELECT p_partkey AS pattern_id, p_partkey % 60 AS window_id FROM part WHERE p_partkey IN (SELECT pattern_id FROM e))
+  SELECT DISTINCT scope_id, pattern_id FROM s JOIN e USING (window_id) WHERE whole OR (a <= 10 AND z <= b AND (both_channels = 1 OR NOT needs))
   UNION SELECT scope_id, pattern_id FROM s JOIN r USING (window_id) WHERE whole""")
 def p12_covering_evidence(spark, sf_dir):
     o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")

@@ -194,16 +194,3 @@ def test_tune_prefers_accuracy_then_middle(spark):
 def test_scalars(spark):
     r = spark.sql("SELECT 'region-a' AS x, 2.5D AS h, -800D AS z").select(scalar.fnv1a(F.col("x")).alias("f"), scalar.half_up(F.col("h")).alias("h"), scalar.sigmoid(F.col("z")).alias("s"), scalar.identifier_ok(F.col("x")).alias("i")).first()
     assert (r.f, r.h, r.i) == ("a0e3d943", 3, True) and 0 <= r.s < 1e-300
-
-
-def test_store_revisions(spark, tmp_path):
-    store = review.SnapshotStore(spark, str(tmp_path))
-    one = spark.range(3)
-    assert store.commit({"windows": one}, 0) == 1
-    with pytest.raises(review.StaleRevision):
-        store.commit({"windows": one}, 0)
-    assert store.commit({"windows": spark.range(5)}, 1) == 2
-    assert store.read("windows").count() == 5 and store.read("windows", 1).count() == 3
-    backup = review.envelope({"w": one})
-    assert review.verify_envelope(backup) and not review.verify_envelope({**backup, "payload": "x"})
-    assert review.same_rows(one, spark.range(3)) and not review.same_rows(one, spark.range(4))
