@@ -63,7 +63,8 @@ class Filters:
     false_positives: np.ndarray  # by language
 
     def classify(self, text: str | None) -> tuple[str, float]:
-        """The language and its corrected share of n-grams; `und` for a text without a letter or n-gram."""
+        """The language and its corrected share of n-grams; `und` for a text without a letter, the first language with
+        score 0 for one with letters but no n-gram."""
         if not text or not self.languages or not any(map(str.isalpha, text)):
             return UNKNOWN, 0.0
         hashes = grams(text)

@@ -170,7 +170,7 @@ def score_documents(docs: DataFrame, model: Model | None, text_col: str = "text"
 
 
 def predictions(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The result of the registered query."""
+    """The result of the registered query. Labels of one class only, or none, leave no model: every score is 0."""
     docs = docs.select("doc_id", "text")
     found = score_documents(docs, fit(training_texts(docs, labels)))
     return found.select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
