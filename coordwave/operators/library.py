@@ -7,13 +7,18 @@ in which rows come.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import materialise
+from .components import labels
 from .linkage import TIE, linked
 from .policy import COMPETITION, CORE
 
+#: Classes of clear members that a region needs for representatives besides its anchors, and how many it gets (fixed values).
+SHAPES, ADDED = 3, 2
+
 
 def _both(pairs: DataFrame) -> DataFrame:
     """(x, y, score) of pairs in both directions."""
@@ -115,7 +120,7 @@ def _named(groups: DataFrame) -> DataFrame:
     return base.join(free, "cluster", "left").withColumn("group_id", F.coalesce("reviewed", "suffixed", "base")).drop("base", "suffixed")
 
 
-def covering_members(members: DataFrame, scores: DataFrame, most: int = 2, shapes: int = 3) -> DataFrame:
+def covering_members(members: DataFrame, scores: DataFrame, most: int = ADDED, shapes: int = SHAPES) -> DataFrame:
     """C17: (group_id, id, place): the representatives that cover a group: its anchors (place 0), then up to `most` core
     members of classes not chosen yet, each time the one whose best score with those chosen is least, ties by id; only for
     groups whose core has `shapes` classes. members: (group_id, id, class_id, anchor, core), scores: (a, b, score), a < b.
@@ -160,7 +165,7 @@ def first_fit(entries: DataFrame, alike: DataFrame) -> DataFrame:
     return state
 
 
-def split_proposals(fringe: DataFrame, scores: DataFrame, threshold: float, shapes: int = 3) -> DataFrame:
+def split_proposals(fringe: DataFrame, scores: DataFrame, threshold: float, shapes: int = SHAPES) -> DataFrame:
     """(region_id, anchor_id, id, cohesion, n_classes): the members of each proposed split of a region's fringe.
 
     In order of ids each fringe entry of a region joins the first cluster with all of whose members it reaches the core
@@ -185,3 +190,96 @@ def split_proposals(fringe: DataFrame, scores: DataFrame, threshold: float, shap
     found = rows.groupBy("region_id", "home").agg(F.min("least").alias("cohesion"), F.count_distinct("class_id").alias("n_classes"), F.max("anchor_similarity").alias("nearest"), best.alias("best"))
     found = found.where((F.col("n_classes") >= shapes) & (F.col("cohesion") >= F.col("nearest") + COMPETITION))
     return found.select("home", (-F.col("best.low")).alias("anchor_id"), "cohesion", "n_classes").join(members, "home").select("region_id", "anchor_id", "id", "cohesion", "n_classes")
+
+
+def _admit(rows: pd.DataFrame, threshold: float, core: float) -> list[tuple]:
+    """The admissions of one component, entry by entry. rows: as admissions() sends them."""
+    score: dict[tuple[int, int], float] = {}
+    for a, b, x in rows.loc[rows["kind"] == "score", ["id", "other", "score"]].itertuples(index=False):
+        score[a, int(b)] = score[int(b), a] = x
+    shape = dict(rows.loc[rows["kind"].isin(("entry", "anchor")), ["id", "class_id"]].itertuples(index=False))
+    anchors: dict[str, list[int]] = {}
+    for region, anchor in sorted(rows.loc[rows["kind"] == "anchor", ["region", "id"]].itertuples(index=False)):
+        anchors.setdefault(region, []).append(anchor)
+    representatives = {r: list(a) for r, a in anchors.items()}
+    clear: dict[str, list[int]] = {}
+    out = []
+    entries = rows[rows["kind"] == "entry"].sort_values(["place", "id"])
+    for e, flagged, asked, known in entries[["id", "flagged", "region", "known"]].itertuples(index=False):
+        found = []
+        for region, own in anchors.items():
+            best = min(((-score[e, r] if e != r else -1.0, r) for r in representatives[region] if e == r or (e, r) in score), default=None)
+            if best:
+                near = max((1.0 if e == a else score.get((e, a), float("-inf")) for a in own), default=float("-inf"))
+                found.append((near < threshold, best[0], region, best[1], near))
+        found.sort()
+        eligible = [f for f in found if not f[0]]
+        pinned = next((f for f in eligible if f[2] == asked), None)
+        home = pinned or (eligible[0] if eligible else None)
+        reasons = ["reconstruction"] if flagged else []
+        if home is None:
+            region, near, lead = f"region-{e}", 1.0, e
+            if found and found[0][4] >= threshold - CORE:
+                reasons.append("near an existing group")
+            anchors[region], representatives[region] = [e], [e]
+        else:
+            _, best, region, lead, near = home
+            if e not in anchors[region]:
+                if near < core:
+                    reasons.append("borderline")
+                rival = next((f for f in eligible if f[2] != region), None)
+                if rival and rival[1] - best < COMPETITION:
+                    reasons.append("competition")
+        needs = bool(reasons) and not known and not (pinned and not flagged)
+        status = "review" if needs else "fringe" if reasons else "core"
+        out.append((e, region, lead, home is None, pinned is not None, asked is not None and pinned is None, near, status, reasons))
+        if not reasons:
+            clear.setdefault(region, []).append(e)
+            if len({shape[x] for x in clear[region]}) >= SHAPES:
+                chosen = list(anchors[region])
+                while len(chosen) < len(anchors[region]) + ADDED:
+                    seen = {shape[x] for x in chosen}
+                    left = [x for x in clear[region] if shape[x] not in seen]
+                    if not left:
+                        break
+                    chosen.append(min(left, key=lambda x: (max(score.get((x, r), 0.0) for r in chosen), x)))
+                representatives[region] = chosen
+    return out
+
+
+def admissions(entries: DataFrame, anchors: DataFrame, scores: DataFrame, reviewed: DataFrame, placements: DataFrame, acknowledged: DataFrame, threshold: float) -> DataFrame:
+    """C14: (id, region_id, representative_id, founded, pinned, paused, anchor_similarity, status, reasons): incoming entries,
+    in their order, are admitted to the best region whose anchors one reaches, or found a region of their own.
+
+    A region's anchors stay; they say who is eligible. Among eligible regions the one with the closest representative wins,
+    ties by name. Entries without reasons for review become representatives once a region has SHAPES classes of them: up to
+    ADDED, each the farthest of a new class, so what comes later may go elsewhere than it would in another order. A reviewed
+    group is a region anchored at one of the entries, which is asked to go there; so are placements; one that isn't eligible
+    is paused. reasons: reconstruction, near an existing group (a founder just below admission), borderline, competition.
+    status: core without reasons, review if they need one, else fringe (acknowledged, or placed and not flagged).
+
+    entries: (id, place, class_id, flagged); anchors: (region_id, anchor_id, class_id) of fixed regions; scores: (a, b, score),
+    a < b, a missing pair can't be compared; reviewed: (region_id, anchor_id); placements: (id, region_id); acknowledged: (id).
+    An entry depends only on what it is linked to by scores of threshold - CORE or more, over any number of steps, so each
+    such component is one group, in the order of its entries; a component is held by one task.
+    """
+    core = min(1.0, threshold + CORE)
+    named = reviewed.join(entries.select(F.col("id").alias("anchor_id"), "class_id"), "anchor_id").select("region_id", "anchor_id", "class_id")
+    every = materialise(anchors.select("region_id", "anchor_id", "class_id").unionByName(named), "anchors")
+    asked = named.select(F.col("anchor_id").alias("id"), "region_id").unionByName(placements.join(named.select(F.col("anchor_id").alias("id")), "id", "left_anti").select("id", "region_id"))
+    nodes = entries.select("id").unionByName(every.select(F.col("anchor_id").alias("id"))).distinct()
+    together = every.groupBy("region_id").agg(F.min("anchor_id").alias("a")).join(every, "region_id").select("a", F.col("anchor_id").alias("b"))
+    where = materialise(labels(nodes, scores.where(F.col("score") >= threshold - CORE).select("a", "b").unionByName(together.where("a <> b"))), "components")
+    kind = "id long, kind string, other long, score double, place long, class_id long, flagged boolean, region string, known boolean"
+    empty = entries.sparkSession.createDataFrame([], kind)
+    rows = entries.join(asked.withColumnRenamed("region_id", "region"), "id", "left").join(acknowledged.select("id", F.lit(True).alias("known")).distinct(), "id", "left")
+    rows = rows.select("id", F.lit("entry").alias("kind"), "place", "class_id", F.coalesce("flagged", F.lit(False)).alias("flagged"), "region", F.coalesce("known", F.lit(False)).alias("known"))
+    inside = scores.join(where.select(F.col("id").alias("b"), F.col("component").alias("there")), "b").join(where.select(F.col("id").alias("a"), "component"), "a").where("there = component")
+    sent = empty.unionByName(rows, allowMissingColumns=True).unionByName(every.select(F.col("anchor_id").alias("id"), F.lit("anchor").alias("kind"), "class_id", F.col("region_id").alias("region")), allowMissingColumns=True)
+    sent = sent.unionByName(inside.select(F.col("a").alias("id"), F.lit("score").alias("kind"), F.col("b").alias("other"), "score"), allowMissingColumns=True).join(where, "id")
+    names = ["id", "region_id", "representative_id", "founded", "pinned", "paused", "anchor_similarity", "status", "reasons"]
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(_admit(rows, threshold, core), columns=names)
+
+    return sent.groupBy("component").applyInPandas(run, "id long, region_id string, representative_id long, founded boolean, pinned boolean, paused boolean, anchor_similarity double, status string, reasons array<string>")

@@ -806,6 +806,20 @@ def c15_library_groups(spark, sf_dir):
     return library.library_groups(*_blocks(spark, sf_dir), 0.45).drop("reasons")
 
 
+def _incoming(spark, sf_dir):
+    """Blocks' entries in another order than their ids, the first of each block as a region's anchor."""
+    entries, scores, groups, placements, known = _blocks(spark, sf_dir)
+    i = _c("id")
+    anchors = entries.where(i % 8 == 0).select(F.concat(F.lit("ref-"), (i / 8).cast("long").cast("string")).alias("region_id"), i.alias("anchor_id"), "class_id")
+    return entries.where(i % 8 > 0).select("id", (i * 7919 % 1009).alias("place"), "class_id", "flagged"), anchors, scores, groups.withColumnRenamed("group_id", "region_id"), placements.withColumnRenamed("group_id", "region_id"), known
+
+
+@query()
+def c14_admissions(spark, sf_dir):
+    """Entries admitted in their order; tests admit them one by one, and in another order."""
+    return library.admissions(*_incoming(spark, sf_dir), 0.6).drop("reasons")
+
+
 @query()
 def c17_covering_members(spark, sf_dir):
     """The representatives that cover each block's core: entries that aren't flagged; the least of a block is its anchor."""

@@ -229,3 +229,80 @@ def test_query_of_splits(spark, small):
                 lead = min(c, key=lambda i: (-round(sum(score[min(i, j), max(i, j)] for j in c if j != i), 9), i))
                 wanted |= {(region, lead, i, least, len(classes)) for i in c}
     assert {tuple(r) for r in library_queries.c18_split_proposals(spark, small).collect()} == wanted and wanted
+
+
+def plain_admissions(entries, fixed, score, reviewed, placements, known, threshold):
+    """One after the other, all regions looked at. entries: (id, class, flagged) in order; fixed: region: {anchor: class}."""
+    core, shape = min(1.0, threshold + 0.08), {i: c for i, c, _ in entries} | {a: c for m in fixed.values() for a, c in m.items()}
+    of = lambda a, b: 1.0 if a == b else score.get((min(a, b), max(a, b)))
+    anchors = {r: list(m) for r, m in fixed.items()} | {r: [a] for r, a in reviewed.items() if a in shape}
+    reps, clear, out = {r: list(a) for r, a in anchors.items()}, defaultdict(list), {}
+    for e, _, flagged in entries:
+        candidates = []
+        for r in anchors:
+            seen = [(of(e, x), x) for x in reps[r] if of(e, x) is not None]
+            if seen:
+                top = max(s for s, _ in seen)
+                near = max((of(e, a) if of(e, a) is not None else -9 for a in anchors[r]))
+                candidates.append((near >= threshold, top, r, min(x for s, x in seen if s == top), near))
+        candidates.sort(key=lambda c: (not c[0], -c[1], c[2]))
+        asked = next((r for r, a in reviewed.items() if a == e), placements.get(e))
+        pinned = next((c for c in candidates if c[2] == asked and c[0]), None)
+        home = pinned or next((c for c in candidates if c[0]), None)
+        reasons = ["reconstruction"] * flagged
+        if home is None:
+            region, lead, near = f"region-{e}", e, 1.0
+            if candidates and candidates[0][4] >= threshold - 0.08:
+                reasons.append("near an existing group")
+            anchors[region], reps[region] = [e], [e]
+        else:
+            _, top, region, lead, near = home
+            if e not in anchors[region]:
+                if near < core:
+                    reasons.append("borderline")
+                rival = next((c for c in candidates if c[0] and c[2] != region), None)
+                if rival and top - rival[1] < 0.05:
+                    reasons.append("competition")
+        needs = reasons and e not in known and not (pinned and not flagged)
+        out[e] = (region, lead, home is None, pinned is not None, asked is not None and pinned is None, near, "review" if needs else "fringe" if reasons else "core", reasons)
+        if not reasons:
+            clear[region].append(e)
+            if len({shape[x] for x in clear[region]}) >= 3:
+                chosen = list(anchors[region])
+                for _ in range(2):
+                    left = [x for x in clear[region] if shape[x] not in {shape[y] for y in chosen}]
+                    if left:
+                        chosen.append(min(left, key=lambda x: (max(of(x, y) or 0.0 for y in chosen), x)))
+                reps[region] = chosen
+    return out
+
+
+def admitted(spark, entries, fixed, score, reviewed, placements, known, threshold):
+    frames = (
+        spark.createDataFrame([(i, k, c, f) for k, (i, c, f) in enumerate(entries)], "id long, place long, class_id long, flagged boolean").repartition(3),
+        spark.createDataFrame([(r, a, c) for r, m in fixed.items() for a, c in m.items()], "region_id string, anchor_id long, class_id long"),
+        spark.createDataFrame([(*p, s) for p, s in score.items()], "a long, b long, score double"),
+        spark.createDataFrame(list(reviewed.items()), "region_id string, anchor_id long"), spark.createDataFrame(list(placements.items()), "id long, region_id string"), spark.createDataFrame([(i,) for i in known], "id long"),
+    )
+    return {r.id: tuple(r)[1:] for r in library.admissions(*frames, threshold).collect()}
+
+
+def test_admissions_in_two_orders(spark):
+    rng = random.Random(21)
+    n, own = 44, [rng.randrange(5) for _ in range(44)]
+    score = {(i, j): rng.randrange(9, 20) / 20 if own[i] == own[j] else rng.randrange(0, 14) / 20 for i, j in itertools.combinations(range(n), 2) if rng.random() < 0.9}
+    fixed = {"ref-a": {0: 0, 1: 1}, "ref-b": {2: 2}}
+    entries = [(i, i if i % 5 else i + 1, i % 9 == 4) for i in range(3, n)]
+    case = (fixed, score, {"split-x": 10, "gone": 99}, {12: "split-x", 13: "ref-b", 20: "gone"}, set(range(3, n, 2)), 0.65)
+    one, two = plain_admissions(entries, *case), plain_admissions(entries[::-1], *case)
+    assert admitted(spark, entries, *case) == one and admitted(spark, entries[::-1], *case) == two
+    assert {i: x[0] for i, x in one.items()} != {i: x[0] for i, x in two.items()} and {x[6] for x in one.values()} == {"core", "fringe", "review"}
+
+
+def test_query_of_admissions(spark, small):
+    entries, anchors, scores, reviewed, placements, known = (x.collect() for x in library_queries._incoming(spark, small))
+    ordered = [(r.id, r.class_id, r.flagged) for r in sorted(entries, key=lambda r: (r.place, r.id))]
+    fixed = {r.region_id: {r.anchor_id: r.class_id} for r in anchors}
+    present = {r.id for r in entries}
+    wanted = plain_admissions(ordered, fixed, {(r.a, r.b): r.score for r in scores}, {r.region_id: r.anchor_id for r in reviewed if r.anchor_id in present}, {r.id: r.region_id for r in placements}, {r.id for r in known}, 0.6)
+    assert {r.id: tuple(r)[1:] for r in library_queries.c14_admissions(spark, small).collect()} == {i: x[:-1] for i, x in wanted.items()}
