@@ -23,6 +23,22 @@ def fnv1a(text: Column) -> Column:
     return F.lower(F.lpad(F.hex(h), 8, "0"))
 
 
+def canonical_json(*parts: Column | str) -> Column:
+    """The JSON array of some columns without blanks: texts quoted, whole numbers without a point, null as null. A str among
+    the parts is JSON that is put in as it is."""
+
+    def one(x: Column) -> Column:
+        text = F.to_json(F.array(x))
+        return F.regexp_replace(F.substring(text, F.lit(2), F.length(text) - 2), r"^(-?\d+)\.0$", "$1")
+
+    return F.concat(F.lit("["), F.concat_ws(",", *[F.lit(p) if isinstance(p, str) else one(p) for p in parts]), F.lit("]"))
+
+
+def signature(*parts: Column | str) -> Column:
+    """The hash of the canonical JSON of some columns."""
+    return fnv1a(canonical_json(*parts))
+
+
 def normalised(x: Column, low: Column, high: Column) -> Column:
     """Where x lies between low and high, computed so that very large values don't overflow; null for an empty range."""
     size = F.greatest(F.abs(low), F.abs(high), F.lit(2.0**-1022))

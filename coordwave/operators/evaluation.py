@@ -16,6 +16,8 @@ from ..sources.shared import materialise
 BINS = 5
 #: Ranges of scores that are ordered apart from each other, at most.
 RANGES = 2000
+#: Pairs of the fit split, which the driver fits the curve to (24 bytes each); more are an error.
+FIT_ROWS = 1_000_000
 
 
 def metrics(outcomes: DataFrame) -> DataFrame:
@@ -85,21 +87,6 @@ def fit_logistic(score: np.ndarray, y: np.ndarray, steps: int = 1500, rate: floa
     return float(mean), float(scale), slope, intercept
 
 
-def lcg_stream(seed: int):
-    while True:
-        seed = (seed * 1664525 + 1013904223) % (1 << 32)
-        yield seed / (1 << 32)
-
-
-def bootstrap(sources: list[str], correct: np.ndarray, reps: int = 500, seed: int = 20261007, low: int = 12, high: int = 487) -> tuple[float, float]:
-    """Order statistics of the mean over resamples of whole sources."""
-    names = sorted(set(sources))
-    of = {s: np.array([c for x, c in zip(sources, correct, strict=True) if x == s]) for s in names}
-    draw = lcg_stream(seed)
-    means = sorted(float(np.concatenate([of[names[int(next(draw) * len(names))]] for _ in names]).mean()) for _ in range(reps))
-    return means[low], means[high]
-
-
 def numbered(rows: DataFrame, key: str) -> DataFrame:
     """rows with `number`, 0, 1, ... in order of a key that no two share: places in ranges of the key, each behind all of
     the ranges before it (a row a range comes to the driver)."""
@@ -245,7 +232,9 @@ def evaluate(pairs: DataFrame, shares: list[float]) -> DataFrame:
     on = {s: pairs.where(F.col("split") == s) for s in ("fit", "tune", "test")}
     fitted = {}
     for c in ("formula", "overlap"):
-        rows = on["fit"].select(c, F.coalesce(F.col("expected") == F.col("region_id"), F.lit(False)).cast("int").alias("y")).toPandas()  # the fit split is a small, labelled set
+        if on["fit"].limit(FIT_ROWS + 1).count() > FIT_ROWS:
+            raise ValueError(f"the fit split has over {FIT_ROWS} pairs")
+        rows = on["fit"].select(c, F.coalesce(F.col("expected") == F.col("region_id"), F.lit(False)).cast("int").alias("y")).toPandas()
         fitted[c] = dict(zip(("mean", "scale", "slope", "intercept"), fit_logistic(rows[c].to_numpy(float), rows["y"].to_numpy()), strict=True))
     made = None
     for method, tried, calibration in (("formula", [1.0], None), ("overlap", [0.0], None), ("tuned", shares, None), ("calibrated", shares, fitted)):

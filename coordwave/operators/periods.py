@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .review import row_differences
+
 SUGGESTED = "recording_id long, place int, period double, similarity double, pairs int, coverage double, repeats double"
 
 
@@ -107,3 +109,9 @@ def median_gap(samples: DataFrame) -> DataFrame:
     gaps = samples.withColumn("gap", gap).where("gap IS NOT NULL")
     listed = gaps.groupBy("recording_id").agg(F.sort_array(F.collect_list("gap")).alias("g"))
     return listed.select("recording_id", F.element_at("g", (F.floor(F.size("g") / 2) + 1).cast("int")).alias("median_gap"))
+
+
+def changed_cycles(recorded: DataFrame, saved: DataFrame, cycles: DataFrame) -> DataFrame:
+    """V9: the samples, by side, in which saved cycles differ from those cut anew out of their recordings. recorded, saved:
+    samples as extract_cycles takes them; cycles: (recording_id, start, period)."""
+    return row_differences(extract_cycles(recorded, cycles), extract_cycles(saved, cycles))

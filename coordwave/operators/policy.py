@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
-
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -139,118 +137,3 @@ def place(distances: np.ndarray, xy: np.ndarray, k: int = 5) -> np.ndarray:
         return xy[near[0]]
     w = 1 / distances[near] ** 2
     return (xy[near] * w[:, None]).sum(axis=0) / w.sum()
-
-
-def stress(matrix: np.ndarray, xy: np.ndarray) -> float:
-    """What an embedding's distances miss, relative to the distances."""
-    upper = np.triu_indices(len(matrix), 1)
-    got = np.sqrt(((xy[upper[0]] - xy[upper[1]]) ** 2).sum(axis=1))
-    return float(np.sqrt(((matrix[upper] - got) ** 2).sum() / max((matrix[upper] ** 2).sum(), 1e-300)))
-
-
-@dataclass
-class Region:
-    id: str
-    anchors: list[str]
-    representatives: list[str] = field(default_factory=list)
-    core: list[str] = field(default_factory=list)
-
-
-@dataclass
-class Admission:
-    entry: str
-    region: str
-    status: str  # core or fringe
-    reasons: list[str]
-    needs_review: bool
-    founded: bool
-
-
-def cover(candidates: list[str], already: list[str], score, shape, most: int = 2) -> list[str]:
-    """C17: up to `most` candidates of new shapes, each time the one whose best score to those chosen is least."""
-    chosen, added = list(already), []
-    while len(added) < most:
-        seen = {shape(c) for c in chosen}
-        left = [c for c in candidates if shape(c) not in seen]
-        if not left:
-            break
-        best = min(left, key=lambda c: (max((score(c, x) for x in chosen), default=0.0), c))
-        chosen.append(best)
-        added.append(best)
-    return added
-
-
-def admit(entries: list[str], regions: list[Region], score, shape, threshold: float, flagged=frozenset(), placed: dict[str, str] | None = None, acknowledged=frozenset()) -> list[Admission]:
-    """C14: incoming cycles, in their order, are admitted to the first eligible region or found a new one.
-
-    Only anchors make a region eligible; a region's place among candidates is its best representative's. Core
-    members become representatives once a region has LEAST_SHAPES different shapes, which later entries see.
-    """
-    known = [Region(r.id, list(r.anchors), list(r.representatives or r.anchors), list(r.core)) for r in regions]
-    out = []
-    for e in entries:
-        rows = []
-        for r in known:
-            anchor = max((score(e, a) for a in r.anchors), default=0.0)
-            rows.append((anchor >= threshold, max((score(e, x) for x in r.representatives), default=0.0), anchor, r))
-        rows.sort(key=lambda x: (not x[0], -x[1], x[3].id))
-        pinned = (placed or {}).get(e)
-        home = next((x for x in rows if x[0] and x[3].id == pinned), None) if pinned else None
-        pinned_ok = home is not None
-        home = home or next((x for x in rows if x[0]), None)
-        reasons, founded = [], home is None
-        if e in flagged:
-            reasons.append("reconstruction")
-        if pinned and not pinned_ok:
-            reasons.append("placement not eligible")
-        if founded:
-            if max((x[2] for x in rows), default=0.0) >= threshold - CORE:
-                reasons.append("near an existing group")
-            region = Region(f"region-{e}", [e], [e])
-            known.append(region)
-        else:
-            region = home[3]
-            if e not in region.anchors and home[1] < min(1.0, threshold + CORE):
-                reasons.append("below the core threshold")
-            if any(x[0] and x[3] is not region and home[1] - x[1] < COMPETITION for x in rows):
-                reasons.append("another group is close")
-        status = "fringe" if reasons else "core"
-        quality = [r for r in reasons if r == "reconstruction"]
-        out.append(Admission(e, region.id, status, reasons, bool(reasons) and e not in acknowledged and not (pinned_ok and not quality), founded))
-        if status == "core":
-            region.core.append(e)
-            if len({shape(c) for c in region.core}) >= LEAST_SHAPES:
-                region.representatives = [*region.anchors, *cover(region.core, region.anchors, score, shape)]
-    return out
-
-
-@dataclass
-class Split:
-    anchor: str
-    members: list[str]
-    cohesion: float
-
-
-def split_proposals(anchors: list[str], fringe: list[str], score, shape, threshold: float, flagged=frozenset()) -> list[Split]:
-    """Groups inside a region's fringe that are closer to each other than to its anchors.
-
-    In order of ids each fringe member joins the first cluster all of whose members score at least the core
-    threshold with it. A cluster of LEAST_SHAPES different shapes or more is proposed if its weakest pair exceeds
-    every member's best anchor score by COMPETITION; its anchor is the member of greatest total score.
-    """
-    core = min(1.0, threshold + CORE)
-    clusters: list[list[str]] = []
-    for e in sorted(x for x in fringe if x not in flagged and x not in anchors):
-        home = next((c for c in clusters if all(score(e, x) >= core for x in c)), None)
-        if home is None:
-            clusters.append([e])
-        else:
-            home.append(e)
-    out = []
-    for c in clusters:
-        if len({shape(x) for x in c}) < LEAST_SHAPES:
-            continue
-        weakest = min(score(p, q) for k, p in enumerate(c) for q in c[k + 1 :])
-        if all(weakest >= max((score(x, a) for a in anchors), default=0.0) + COMPETITION for x in c):
-            out.append(Split(max(c, key=lambda x: (sum(score(x, y) for y in c), -c.index(x))), c, weakest))
-    return out

@@ -132,6 +132,19 @@ def missing_references(rows: DataFrame, column: str, known: DataFrame, key: str)
     return rows.join(known.select(F.col(key).alias("known__")), F.col(column) == F.col("known__"), "left_anti")
 
 
+def looked_up(rows: DataFrame, key: str, known: DataFrame, known_key: str) -> DataFrame:
+    """Rows whose key is among the keys of known ones; a null key is among none."""
+    return rows.join(known.select(F.col(known_key).alias(key)), key, "left_semi").select(rows.columns)
+
+
+def capacity(events: DataFrame, recording: str, most_events: int = 1_000_000) -> DataFrame:
+    """(events, recordings, most, within): the events of all recordings, of the largest, and whether a library may hold
+    them; one row, also of no events."""
+    n = events.groupBy(recording).agg(F.count(F.lit(1)).alias("n"))
+    found = n.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("events"), F.count(F.lit(1)).alias("recordings"), F.coalesce(F.max("n"), F.lit(0)).alias("most"))
+    return found.withColumn("within", F.col("events") <= most_events)
+
+
 def distinct_union(a: DataFrame, b: DataFrame) -> DataFrame:
     """The different rows of both."""
     return a.unionByName(b).distinct()

@@ -163,14 +163,13 @@ def p14_same_windows(spark, sf_dir):
 def j12_lookup(spark, sf_dir):
     """Windows whose stream is among those of some regions."""
     n = table(spark, sf_dir, "nation").where("n_regionkey <= 2")
-    c = table(spark, sf_dir, "customer").join(F.broadcast(n.select("n_nationkey")), _c("c_nationkey") == _c("n_nationkey"), "left_semi")  # nations are few
-    return c.select(_c("c_custkey").alias("window_id"), _c("c_nationkey").alias("stream_id"))
+    return review.looked_up(table(spark, sf_dir, "customer"), "c_nationkey", n, "n_nationkey").select(_c("c_custkey").alias("window_id"), _c("c_nationkey").alias("stream_id"))
 
 
 @query("""SELECT c_custkey AS window_id FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderkey % 9 = 0)""")
 def j13_related_windows(spark, sf_dir):
-    related = table(spark, sf_dir, "orders").where("o_orderkey % 9 = 0").select(_c("o_custkey").alias("c_custkey"))
-    return review.common_rows(table(spark, sf_dir, "customer"), related, ["c_custkey"]).select(_c("c_custkey").alias("window_id"))
+    related = table(spark, sf_dir, "orders").where("o_orderkey % 9 = 0")
+    return review.looked_up(table(spark, sf_dir, "customer"), "c_custkey", related, "o_custkey").select(_c("c_custkey").alias("window_id"))
 
 
 # Layout.
@@ -350,19 +349,19 @@ _FNV = "lpad(lower(to_hex(list_reduce(list_prepend(2166136261::BIGINT, list_tran
 
 @query(f"""SELECT c_custkey, {_FNV.format(t="'[\"' || c_custkey || '\",\"' || c_mktsegment || '\",{\"threshold\":0.65}]'")} AS token FROM customer""")
 def r9_review_tokens(spark, sf_dir):
-    text = F.concat(F.lit('["'), _c("c_custkey").cast("string"), F.lit('","'), _c("c_mktsegment"), F.lit('",{"threshold":0.65}]'))
-    return table(spark, sf_dir, "customer").select("c_custkey", scalar.fnv1a(text).alias("token"))
+    token = scalar.signature(_c("c_custkey").cast("string"), _c("c_mktsegment"), '{"threshold":0.65}')
+    return table(spark, sf_dir, "customer").select("c_custkey", token.alias("token"))
 
 
-@query(f"SELECT c_custkey, {_FNV.format(t='c_name')} AS signature FROM customer")
+@query(f"""SELECT p_partkey, {_FNV.format(t="'[' || p_partkey || ',\"' || p_name || '\",' || CASE WHEN p_size % 3 = 0 THEN 'null' ELSE '' || p_size END || ',' || p_size || '.5]'")} AS signature FROM part""")
 def e11_signatures(spark, sf_dir):
-    return table(spark, sf_dir, "customer").select("c_custkey", scalar.fnv1a(_c("c_name")).alias("signature"))
+    parts = _c("p_partkey").cast("double"), _c("p_name"), F.when(_c("p_size") % 3 > 0, _c("p_size")), _c("p_size") + 0.5
+    return table(spark, sf_dir, "part").select("p_partkey", scalar.signature(*parts).alias("signature"))
 
 
-@query("SELECT sum(n) AS events, count(*) AS recordings, max(n) AS most FROM (SELECT user_id, count(*) AS n FROM events GROUP BY user_id)")
+@query("SELECT CAST(sum(n) AS BIGINT) AS events, count(*) AS recordings, max(n) AS most, sum(n) <= 1000000 AS within FROM (SELECT user_id, count(*) AS n FROM events GROUP BY user_id)")
 def a21_capacity(spark, sf_dir):
-    n = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
-    return n.agg(F.sum("n").alias("events"), F.count(F.lit(1)).alias("recordings"), F.max("n").alias("most"))
+    return review.capacity(table(spark, sf_dir, "events"), "user_id")
 
 
 # Sets.
@@ -601,10 +600,7 @@ def w9_candidate_windows(spark, sf_dir):
 
 @query("SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY value, event_id) AS INTEGER) AS place FROM events QUALIFY place <= 5")
 def w6_first_five(spark, sf_dir):
-    from pyspark.sql import Window
-
-    place = F.row_number().over(Window.partitionBy("user_id").orderBy("value", "event_id"))
-    return table(spark, sf_dir, "events").select("user_id", "event_id", place.alias("place")).where("place <= 5")
+    return windows.first_of(table(spark, sf_dir, "events"), "user_id", 5, "value", "event_id").select("user_id", "event_id", "place")
 
 
 @query("""SELECT o_orderkey, round((o_totalprice / 5e8 - 1e3 / 5e8) / (5e5 / 5e8 - 1e3 / 5e8), 9) AS place, CAST(floor(o_totalprice / 7 + 0.5) AS BIGINT) AS rounded,
@@ -756,7 +752,7 @@ def v9_changed_cycles(spark, sf_dir):
     samples = rec.select("recording_id", "t", _c("frequency").alias("f"))
     quarter = samples.groupBy("recording_id").agg(F.lit(0.0).alias("start"), (F.max("t") / 4).alias("period"))
     changed = rec.select("recording_id", "t", F.when(_c("event_idx") % 50 == 7, _c("frequency") + 1).otherwise(_c("frequency")).alias("f"))
-    return review.row_differences(periods.extract_cycles(samples, quarter), periods.extract_cycles(changed, quarter))
+    return periods.changed_cycles(samples, changed, quarter)
 
 
 @query("""SELECT CAST(o_orderkey AS VARCHAR) AS edge_id, o_orderkey % 50 AS from_id, o_custkey % 50 AS to_id, 'reviewed' AS kind FROM orders WHERE o_orderkey % 50 = 7 OR o_custkey % 50 = 7

@@ -159,11 +159,9 @@ def test_align_finds_shift():
     assert cycles.canonical_shape(a) == cycles.canonical_shape(np.roll(a, 31))
 
 
-def test_medoids_and_embedding():
+def test_embedding():
     x = np.array([[0, 0], [0, 1], [0, 0.4], [9, 9], [9, 8], [9, 8.6]], float)
     matrix = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
-    centre, assigned, _ = cycles.medoids(matrix, 2)
-    assert sorted(centre) == [2, 5] and len(set(assigned[:3])) == 1
     xy = cycles.embed(matrix)
     assert np.allclose(np.sqrt(((xy[:, None] - xy[None]) ** 2).sum(axis=2)), matrix)
 
@@ -177,12 +175,10 @@ def test_period_search():
     assert periods.suggest(t, np.random.default_rng(1).normal(size=601), np.empty(0)) == []
 
 
-def test_calibration_and_bootstrap():
+def test_calibration():
     score, y = np.array([0.1, 0.2, 0.3, 0.7, 0.8, 0.9]), np.array([0, 0, 0, 1, 1, 1])
     mean, scale, slope, _ = evaluation.fit_logistic(score, y)
     assert abs(mean - 0.5) < 1e-9 and scale > 0.01 and slope > 1
-    low, high = evaluation.bootstrap(list("aabbcc"), np.array([1, 0, 1, 1, 0, 0]))
-    assert 0 <= low <= high <= 1
 
 
 def test_tune_prefers_accuracy_then_middle(spark):
