@@ -283,3 +283,58 @@ def admissions(entries: DataFrame, anchors: DataFrame, scores: DataFrame, review
         return pd.DataFrame(_admit(rows, threshold, core), columns=names)
 
     return sent.groupBy("component").applyInPandas(run, "id long, region_id string, representative_id long, founded boolean, pinned boolean, paused boolean, anchor_similarity double, status string, reasons array<string>")
+
+
+def _changed(placements: DataFrame, changes: DataFrame) -> DataFrame:
+    """placements (id, group_id) with those of changes in place of their own."""
+    changes = changes.select("id", "group_id")
+    return placements.select("id", "group_id").join(changes.select("id"), "id", "left_anti").unionByName(changes)
+
+
+def _none_of(rows: DataFrame, what: str) -> None:
+    """An error that shows one of rows, if there are any."""
+    if found := rows.take(1):
+        raise ValueError(f"{what}: {found[0].asDict()}")
+
+
+def retain_anchors(groups: DataFrame, placements: DataFrame, regions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Reviewed groups and placements in which every local region is a group, and its anchor is placed there, so that
+    replaying decisions finds it again. groups: (group_id, name, anchor_id); placements: (id, group_id), an id once; regions:
+    (region_id, name, anchor_id, local)."""
+    own = regions.where("local")
+    new = own.join(groups.select(F.col("group_id").alias("region_id")), "region_id", "left_anti")
+    listed = groups.select("group_id", "name", "anchor_id").unionByName(new.select(F.col("region_id").alias("group_id"), "name", "anchor_id"))
+    return listed, _changed(placements, own.select(F.col("anchor_id").alias("id"), F.col("region_id").alias("group_id")))
+
+
+def approve_splits(groups: DataFrame, placements: DataFrame, regions: DataFrame, proposals: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Groups and placements after splits: split-<anchor> anchored at the proposal's anchor, its members placed there. A
+    split that is there already, or of a region that isn't, is an error. proposals: (region_id, anchor_id, id), a row a member;
+    an entry is a member of one at most."""
+    listed, placed_ = retain_anchors(groups, placements, regions)
+    splits = proposals.withColumn("group_id", F.concat(F.lit("split-"), F.col("anchor_id").cast("string")))
+    one = splits.select("region_id", "anchor_id", "group_id").distinct()
+    _none_of(one.join(listed.select("group_id"), "group_id", "left_semi"), "the split exists")
+    _none_of(one.join(regions.select("region_id"), "region_id", "left_anti"), "the region is gone")
+    named = one.join(regions.select("region_id", "name"), "region_id").select("group_id", F.substring(F.concat(F.lit("Split from "), "name"), 1, 100).alias("name"), "anchor_id")
+    return listed.unionByName(named), _changed(placed_, splits)
+
+
+def approve_merges(groups: DataFrame, placements: DataFrame, regions: DataFrame, members: DataFrame, merges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Groups and placements after merges: the source's group goes, its members are placed in the target. Regions must be
+    there, differ, and take part in one merge each. members: (id, region_id); merges: (source_id, target_id)."""
+    ends = merges.select(F.col("source_id").alias("region_id")).unionByName(merges.select(F.col("target_id").alias("region_id")))
+    _none_of(ends.groupBy("region_id").count().where("count > 1"), "a region is in several merges, or merged with itself")
+    _none_of(ends.join(regions.select("region_id"), "region_id", "left_anti"), "the region is gone")
+    listed, placed_ = retain_anchors(groups, placements, regions)
+    moved = members.join(merges, F.col("region_id") == F.col("source_id")).select("id", F.col("target_id").alias("group_id"))
+    return listed.join(merges.select(F.col("source_id").alias("group_id")), "group_id", "left_anti"), _changed(placed_, moved)
+
+
+def move_members(groups: DataFrame, placements: DataFrame, regions: DataFrame, moves: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Groups and placements after moves (id, group_id), an id once. An anchor stays where it is, and the target must be
+    there: anything else is an error."""
+    _none_of(moves.join(regions.select(F.col("anchor_id").alias("id")), "id", "left_semi"), "anchors stay in their group")
+    _none_of(moves.join(regions.select(F.col("region_id").alias("group_id")), "group_id", "left_anti"), "the target is gone")
+    listed, placed_ = retain_anchors(groups, placements, regions)
+    return listed, _changed(placed_, moves)

@@ -833,6 +833,44 @@ def c18_split_proposals(spark, sf_dir):
     return library.split_proposals(fringe, scores, 0.3)
 
 
+_REGIONS = """WITH c AS (SELECT c_custkey AS id, c_custkey // 8 AS b FROM customer), r AS (SELECT 'region-' || b AS region_id, 'Group ' || b AS name, min(id) AS anchor_id, b % 4 > 0 AS local, b FROM c GROUP BY b),
+  g AS (SELECT region_id AS group_id, upper(name) AS name, anchor_id FROM r WHERE b % 3 = 0), p AS (SELECT id, 'region-' || (b + 1) AS group_id FROM c WHERE id % 8 IN (0, 2)),
+  kept AS (SELECT * FROM g UNION ALL SELECT region_id, name, anchor_id FROM r WHERE local AND b % 3 > 0), anchored AS (SELECT anchor_id AS id, region_id AS group_id FROM r WHERE local)"""
+
+
+def _regions(spark, sf_dir):
+    """Groups, placements, regions and members: blocks of eight customers; some are reviewed, some members placed next door."""
+    id_, b = _c("c_custkey"), F.floor(_c("c_custkey") / 8)
+    c = table(spark, sf_dir, "customer").select(id_.alias("id"), b.alias("b"), F.concat(F.lit("region-"), b.cast("string")).alias("region_id"))
+    regions = c.groupBy("b", "region_id").agg(F.min("id").alias("anchor_id")).select("region_id", F.concat(F.lit("Group "), _c("b").cast("string")).alias("name"), "anchor_id", (_c("b") % 4 > 0).alias("local"), "b")
+    groups = regions.where("b % 3 = 0").select(_c("region_id").alias("group_id"), F.upper("name").alias("name"), "anchor_id")
+    placements = c.where("id % 8 IN (0, 2)").select("id", F.concat(F.lit("region-"), (_c("b") + 1).cast("string")).alias("group_id"))
+    return groups, placements, regions, c
+
+
+def _decided(groups, placements):
+    return groups.select(_c("anchor_id").alias("id"), "group_id", "name").unionByName(placements.select("id", "group_id", F.lit(None).cast("string").alias("name")))
+
+
+@query(f"""{_REGIONS}, s AS (SELECT id, 'split-' || (8 * b + 4) AS group_id, b FROM c WHERE b % 5 = 0 AND id % 8 BETWEEN 4 AND 6 AND 8 * b + 4 IN (SELECT id FROM c))
+  SELECT anchor_id AS id, group_id, name FROM kept UNION ALL SELECT DISTINCT 8 * b + 4, group_id, 'Split from Group ' || b FROM s UNION ALL SELECT id, group_id, NULL FROM s
+  UNION ALL SELECT id, group_id, NULL FROM anchored WHERE id NOT IN (SELECT id FROM s) UNION ALL SELECT id, group_id, NULL FROM p WHERE id NOT IN (SELECT id FROM s) AND id NOT IN (SELECT id FROM anchored)""")
+def c21_approved_splits(spark, sf_dir):
+    groups, placements, regions, c = _regions(spark, sf_dir)
+    proposals = c.where("b % 5 = 0 AND id % 8 BETWEEN 4 AND 6").withColumn("anchor_id", _c("b") * 8 + 4).join(c.select(_c("id").alias("anchor_id")), "anchor_id", "left_semi")
+    return _decided(*library.approve_splits(groups, placements, regions, proposals.select("region_id", "anchor_id", "id")))
+
+
+@query(f"""{_REGIONS}, m AS (SELECT b FROM r WHERE b % 6 = 1 AND b + 1 IN (SELECT b FROM r)), s AS (SELECT id, 'region-' || (b + 1) AS group_id FROM c WHERE b IN (SELECT b FROM m))
+  SELECT anchor_id AS id, group_id, name FROM kept WHERE group_id NOT IN (SELECT 'region-' || b FROM m) UNION ALL SELECT id, group_id, NULL FROM s
+  UNION ALL SELECT id, group_id, NULL FROM anchored WHERE id NOT IN (SELECT id FROM s) UNION ALL SELECT id, group_id, NULL FROM p WHERE id NOT IN (SELECT id FROM s) AND id NOT IN (SELECT id FROM anchored)""")
+def c16_approved_merges(spark, sf_dir):
+    groups, placements, regions, c = _regions(spark, sf_dir)
+    following = regions.select((_c("b") - 1).alias("b"), _c("region_id").alias("target_id"))
+    merges = regions.where("b % 6 = 1").select("b", _c("region_id").alias("source_id")).join(following, "b").select("source_id", "target_id")
+    return _decided(*library.approve_merges(groups, placements, regions, c.select("id", "region_id"), merges))
+
+
 # Cycles: scores from distance and raster overlap, and medoids.
 
 

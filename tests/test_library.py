@@ -306,3 +306,25 @@ def test_query_of_admissions(spark, small):
     present = {r.id for r in entries}
     wanted = plain_admissions(ordered, fixed, {(r.a, r.b): r.score for r in scores}, {r.region_id: r.anchor_id for r in reviewed if r.anchor_id in present}, {r.id: r.region_id for r in placements}, {r.id for r in known}, 0.6)
     assert {r.id: tuple(r)[1:] for r in library_queries.c14_admissions(spark, small).collect()} == {i: x[:-1] for i, x in wanted.items()}
+
+
+def test_approvals_refuse(spark):
+    groups = spark.createDataFrame([("region-1", "One", 1)], "group_id string, name string, anchor_id long")
+    placements = spark.createDataFrame([(2, "region-1")], "id long, group_id string")
+    regions = spark.createDataFrame([("region-1", "One", 1, True), ("region-5", "Five", 5, True), ("ref", "Ref", 9, False)], "region_id string, name string, anchor_id long, local boolean")
+    state = groups, placements, regions
+    moves = lambda *rows: spark.createDataFrame(list(rows), "id long, group_id string")
+    listed, now = library.move_members(*state, moves((2, "ref")))
+    assert {tuple(r) for r in listed.collect()} == {("region-1", "One", 1), ("region-5", "Five", 5)}
+    assert {tuple(r) for r in now.collect()} == {(1, "region-1"), (2, "ref"), (5, "region-5")}
+    merges = lambda *rows: spark.createDataFrame(list(rows), "source_id string, target_id string")
+    members = spark.createDataFrame([(2, "region-1")], "id long, region_id string")
+    split = spark.createDataFrame([("region-1", 3, 3), ("gone", 4, 4)], "region_id string, anchor_id long, id long")
+    taken = groups.unionByName(spark.createDataFrame([("split-3", "x", 3)], groups.schema))
+    for call in (
+        lambda: library.move_members(*state, moves((9, "region-1"))), lambda: library.move_members(*state, moves((2, "none"))),
+        lambda: library.approve_merges(*state, members, merges(("region-1", "region-1"))), lambda: library.approve_merges(*state, members, merges(("region-1", "ref"), ("ref", "region-5"))),
+        lambda: library.approve_merges(*state, members, merges(("region-1", "none"))), lambda: library.approve_splits(*state, split), lambda: library.approve_splits(taken, placements, regions, split.limit(1)),
+    ):
+        with pytest.raises(ValueError):
+            call()
