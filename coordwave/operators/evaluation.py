@@ -113,28 +113,41 @@ def _states(seed: int, steps: np.ndarray) -> np.ndarray:
     return state
 
 
-def bootstrap_bounds(outcomes: DataFrame, reps: int = 500, seed: int = 20261007, low: int = 12, high: int = 487) -> DataFrame:
-    """(low, high, n_sources, reps): order statistics of the mean outcome over resamples of whole sources: each
-    repetition draws as many sources as there are, with the next numbers of one congruential stream. outcomes: (source_id,
-    correct). No rows: nulls.
+def source_interval(outcomes: DataFrame, reps: int = 500, seed: int = 20261007, low: int = 12, high: int = 487) -> DataFrame:
+    """(low, high, n_known, n_unfamiliar): order statistics of the balanced accuracy over resamples of whole sources.
+    Each repetition draws as many sources with a known region as there are, then as many unfamiliar ones, by the next numbers
+    of one congruential stream; sources are numbered by their first outcome. outcomes: (source_id, place, expected, correct),
+    places unique; with `other`, whether a second method is correct, the interval is of the difference. No rows: nulls.
 
     Draw m of the stream is reached by itself, so draws are rows of any task: they meet the sources' sums by number, and
     are added by repetition."""
-    spark = outcomes.sparkSession
-    sums = outcomes.groupBy("source_id").agg(F.sum(F.col("correct").cast("double")).alias("s"), F.count("correct").alias("n"))
-    sources = materialise(numbered(sums, "source_id"), "sources")
-    n = sources.count()
+    spark, paired = outcomes.sparkSession, "other" in outcomes.columns
+    known = F.col("expected").isNotNull()
+    rows = outcomes if paired else outcomes.withColumn("other", F.lit(False))
+    sums = rows.groupBy("source_id").agg(
+        F.min("place").alias("first"), F.min_by(known, "place").alias("known"), F.count_if(known).alias("kn"), F.count_if(~known).alias("un"),
+        *[F.count_if(k & F.col(c)).alias(f"{name}{c[0]}") for c in ("correct", "other") for name, k in (("k", known), ("u", ~known))],
+    )
+    sums = materialise(sums, "sums")
+    pools = [sums.where("known"), sums.where("NOT known")]
+    n = [p.count() for p in pools]
+    sources = materialise(numbered(pools[0], "first").unionByName(numbered(pools[1], "first").withColumn("number", F.col("number") + n[0])), "sources")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             m = batch.column(0).to_numpy()
-            drawn = np.floor(_states(seed, m + 1) / float(1 << 32) * n).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(m // n), pa.array(drawn)], ["rep", "number"])
+            strange = m % sum(n) >= n[0]
+            drawn = np.floor(_states(seed, m + 1) / float(1 << 32) * np.where(strange, n[1], n[0])).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(m // sum(n)), pa.array(drawn + np.where(strange, n[0], 0))], ["rep", "number"])
 
-    drawn = spark.range(reps * n).mapInArrow(run, "rep long, number long").groupBy("rep", "number").agg(F.count(F.lit(1)).alias("times"))
-    each = drawn.join(sources, "number").groupBy("rep").agg((F.sum(F.col("times") * F.col("s")) / F.sum(F.col("times") * F.col("n"))).alias("mean"))
-    placed = each.withColumn("place", F.row_number().over(Window.orderBy("mean")) - 1)  # a row a repetition
-    return placed.agg(F.max(F.when(F.col("place") == low, F.col("mean"))).alias("low"), F.max(F.when(F.col("place") == high, F.col("mean"))).alias("high")).select("low", "high", F.lit(n).cast("long").alias("n_sources"), F.lit(reps).alias("reps"))
+    drawn = spark.range(reps * sum(n)).mapInArrow(run, "rep long, number long").groupBy("rep", "number").agg(F.count(F.lit(1)).alias("times"))
+    total = lambda c: F.sum(F.col("times") * F.col(c))
+    accuracy = lambda c: 0.5 * (total(f"k{c}") / F.greatest(total("kn"), F.lit(1)) + total(f"u{c}") / F.greatest(total("un"), F.lit(1)))
+    value = accuracy("c") - accuracy("o") if paired else accuracy("c")
+    each = drawn.join(sources, "number").groupBy("rep").agg(value.alias("value"))
+    placed = each.withColumn("place", F.row_number().over(Window.orderBy("value")) - 1)  # a row a repetition
+    at = lambda k, name: F.max(F.when(F.col("place") == k, F.col("value"))).alias(name)
+    return placed.agg(at(low, "low"), at(high, "high")).select("low", "high", F.lit(n[0]).cast("long").alias("n_known"), F.lit(n[1]).cast("long").alias("n_unfamiliar"))
 
 
 def tune(scored: DataFrame, thresholds: DataFrame) -> DataFrame:
@@ -212,38 +225,86 @@ def predict(pairs: DataFrame, share: float, threshold: float, calibration: dict[
 
 
 def tune_shares(pairs: DataFrame, shares: list[float], calibration: dict[str, dict[str, float]] | None = None) -> DataFrame:
-    """(share, threshold, accuracy, false_merges) of the best setting on the tune split: for each share the
-    thresholds are 0, 1 and all midpoints; then greatest accuracy, fewer false merges, the higher share, the threshold
+    """(share, threshold, accuracy, false_merges) of the best setting on the tune split: for each share the thresholds are
+    1 and all midpoints over 0 between neighbours among 0, 1 and the scores; then greatest accuracy, fewer false merges, the higher share, the threshold
     nearest to 0.5. Another split than `tune` is an error."""
     if pairs.where("split <> 'tune' OR split IS NULL").take(1) or pairs.isEmpty():
         raise ValueError("parameters are chosen on the tune split only")
     found = None
     for share in shares:  # a few settings
         scored = predict(pairs, share, 0.0, calibration).select("expected", F.col("predicted").alias("region"), "score")
-        ends = scored.sparkSession.createDataFrame([(0.0,), (1.0,)], "threshold double")
-        best = tune(scored, threshold_grid(scored).unionByName(ends).distinct()).select(F.lit(share).alias("share"), "threshold", "accuracy", "false_merges")
+        ends = scored.sparkSession.createDataFrame([(0.0,), (1.0,)], "score double")
+        grid = threshold_grid(scored.select("score").unionByName(ends)).unionByName(ends.select(F.col("score").alias("threshold")))
+        best = tune(scored, grid.where("threshold > 0 AND threshold <= 1").distinct()).select(F.lit(share).alias("share"), "threshold", "accuracy", "false_merges")
         found = best if found is None else found.unionByName(best)
     return found.orderBy(F.desc("accuracy"), "false_merges", F.desc("share"), F.abs(F.col("threshold") - 0.5)).limit(1)
 
 
+def fitted(pairs: DataFrame) -> dict[str, dict[str, float]]:
+    """Calibrations of formula and overlap, fitted to the fit split's pairs."""
+    fit, out = pairs.where("split = 'fit'"), {}
+    if fit.limit(FIT_ROWS + 1).count() > FIT_ROWS:
+        raise ValueError(f"the fit split has over {FIT_ROWS} pairs")
+    for c in ("formula", "overlap"):
+        rows = fit.select(c, F.coalesce(F.col("expected") == F.col("region_id"), F.lit(False)).cast("int").alias("y")).toPandas()
+        out[c] = dict(zip(("mean", "scale", "slope", "intercept"), fit_logistic(rows[c].to_numpy(float), rows["y"].to_numpy()), strict=True))
+    return out
+
+
 def evaluate(pairs: DataFrame, shares: list[float]) -> DataFrame:
     """One row for each of the methods formula, overlap, tuned and calibrated: fitted on the fit split, tuned on the
     tune split, then frozen and measured on the test split. pairs: as prepare_pairs gives them."""
-    on = {s: pairs.where(F.col("split") == s) for s in ("fit", "tune", "test")}
-    fitted = {}
-    for c in ("formula", "overlap"):
-        if on["fit"].limit(FIT_ROWS + 1).count() > FIT_ROWS:
-            raise ValueError(f"the fit split has over {FIT_ROWS} pairs")
-        rows = on["fit"].select(c, F.coalesce(F.col("expected") == F.col("region_id"), F.lit(False)).cast("int").alias("y")).toPandas()
-        fitted[c] = dict(zip(("mean", "scale", "slope", "intercept"), fit_logistic(rows[c].to_numpy(float), rows["y"].to_numpy()), strict=True))
-    made = None
-    for method, tried, calibration in (("formula", [1.0], None), ("overlap", [0.0], None), ("tuned", shares, None), ("calibrated", shares, fitted)):
+    on = {s: pairs.where(F.col("split") == s) for s in ("tune", "test")}
+    model, made = fitted(pairs), None
+    for method, tried, calibration in (("formula", [1.0], None), ("overlap", [0.0], None), ("tuned", shares, None), ("calibrated", shares, model)):
         best = tune_shares(on["tune"], tried, calibration).first()
         row = metrics(predict(on["test"], best["share"], best["threshold"], calibration)).select(F.lit(method).alias("method"), F.lit(best["share"]).alias("share"), F.round(F.lit(best["threshold"]), 9).alias("threshold"), "n_known", "n_unfamiliar", "known_correct", "unfamiliar_correct", "balanced_accuracy")
         made = row if made is None else made.unionByName(row)
     return made
 
 
+#: The settings that aren't tuned, and the shares that the blend tries (fixed values).
+RAW_DEFAULT, HYBRID_DEFAULT, BLENDS = (1.0, 0.82), (0.7, 0.65), [0.25, 0.5, 0.75]
+
+
+def run_evaluation(pairs: DataFrame, sources: DataFrame) -> dict[str, DataFrame]:
+    """E9 whole: `methods`, `paired` and `diagnostics`.
+
+    Calibrations are fitted on the fit split and settings chosen on the tune split before a test label is looked at. methods:
+    a row for each of raw-default, raw-tuned, calibrated-formula, calibrated-blend and raw-hybrid-default with its setting,
+    its counts on the test split, the interval of its balanced accuracy over sources, and whether it is recommended: the
+    calibrated blend, if on the tune split it is more accurate than the calibrated formula or as accurate with fewer false
+    merges, else that formula. paired: the blend's accuracy less the formula's and its interval. diagnostics: Brier score and
+    calibration error of four series of test pairs (nulls where a class is missing). pairs: as prepare_pairs gives them;
+    sources: (example_id, source_id); outcomes count in order of example ids."""
+    pairs = materialise(pairs, "pairs")
+    tune_, test = pairs.where("split = 'tune'"), pairs.where("split = 'test'")
+    model = fitted(pairs)
+    raw, formula, blend = (tune_shares(tune_, shares, c).first() for shares, c in (([1.0], None), ([1.0], model), (BLENDS, model)))
+    better = blend["accuracy"] > formula["accuracy"] + 1e-12 or (abs(blend["accuracy"] - formula["accuracy"]) < 1e-12 and blend["false_merges"] < formula["false_merges"])
+    chosen = (
+        ("raw-default", RAW_DEFAULT, None), ("raw-tuned", (raw["share"], raw["threshold"]), None), ("calibrated-formula", (formula["share"], formula["threshold"]), model),
+        ("calibrated-blend", (blend["share"], blend["threshold"]), model), ("raw-hybrid-default", HYBRID_DEFAULT, None),
+    )
+    made, seen = None, {}
+    for method, (share, threshold), calibration in chosen:
+        outcomes = materialise(predict(test, share, threshold, calibration).join(sources, "example_id").withColumnRenamed("example_id", "place"), "outcomes")
+        seen[method] = outcomes
+        row = metrics(outcomes).crossJoin(F.broadcast(source_interval(outcomes).select("low", "high")))  # one row each
+        recommended = method == ("calibrated-blend" if better else "calibrated-formula")
+        row = row.select(F.lit(method).alias("method"), F.lit(share).alias("share"), F.lit(threshold).alias("threshold"), F.lit(recommended).alias("recommended"), *[c for c in row.columns])
+        made = row if made is None else made.unionByName(row)
+    both = seen["calibrated-blend"].join(seen["calibrated-formula"].select("place", F.col("correct").alias("other")), "place")
+    paired = source_interval(both).select("low", "high")
+    rows = test.select("formula", "overlap", F.coalesce(F.col("expected") == F.col("region_id"), F.lit(False)).cast("int").alias("y"))
+    series = [(f"{kind} {c}", F.col(c) if kind == "raw" else calibrated(F.col(c), model[c])) for c in ("formula", "overlap") for kind in ("raw", "calibrated")]
+    found = None
+    for name, score in series:
+        one = calibration_error(rows.select(score.alias("score"), "y")).select(F.lit(name).alias("series"), "brier", "ece")
+        found = one if found is None else found.unionByName(one)
+    return {"methods": made, "paired": paired, "diagnostics": found}
+
+
 def component_bootstrap(groups: list[int], correct: np.ndarray, reps: int = 1000, seed: int = 20261007) -> tuple[float, float]:
     """The middle 95 % of the mean over resamples of whole groups; one sum a group is all that it needs."""
     names, at = np.unique(groups, return_inverse=True)

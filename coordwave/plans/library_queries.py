@@ -469,8 +469,8 @@ def e6_predictions(spark, sf_dir):
 
 
 @query(f"""{_PAIRS}, sh AS (SELECT unnest([0.0, 0.5, 1.0]::DOUBLE[]) AS share), c AS (SELECT share, example_id, expected, region_id, share * formula + (1 - share) * overlap AS s, representative_id FROM p, sh WHERE split = 'tune'),
-  b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY share, example_id ORDER BY s DESC, region_id, representative_id) AS n FROM c) WHERE n = 1), d AS (SELECT DISTINCT share, s FROM b),
-  th AS (SELECT share, t FROM (SELECT share, (s + lag(s) OVER (PARTITION BY share ORDER BY s)) / 2 AS t FROM d) WHERE t IS NOT NULL UNION SELECT share, unnest([0.0, 1.0]::DOUBLE[]) FROM sh),
+  b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY share, example_id ORDER BY s DESC, region_id, representative_id) AS n FROM c) WHERE n = 1), d AS (SELECT share, s FROM b UNION SELECT share, unnest([0.0, 1.0]::DOUBLE[]) FROM sh),
+  th AS (SELECT share, t FROM (SELECT share, (s + lag(s) OVER (PARTITION BY share ORDER BY s)) / 2 AS t FROM d) WHERE t > 0 AND t <= 1 UNION SELECT share, 1.0::DOUBLE FROM sh),
   n AS (SELECT count(*) FILTER (expected IS NOT NULL) AS k, count(*) FILTER (expected IS NULL) AS u FROM b WHERE share = 0),
   m AS (SELECT th.share, t, count(*) FILTER (s >= t AND expected = region_id) AS hit, count(*) FILTER (s >= t AND expected IS NULL) AS fm FROM th JOIN b USING (share) GROUP BY ALL)
   SELECT share, round(t, 9) AS threshold, round((hit / k + (u - fm) / u) / 2, 9) AS accuracy, fm AS false_merges FROM m, n ORDER BY round((hit / k + (u - fm) / u) / 2, 12) DESC, fm, share DESC, abs(t - 0.5), t LIMIT 1""")
@@ -901,7 +901,15 @@ def o7_collated(spark, sf_dir):
 
 
 @query()
-def e8_bootstrap(spark, sf_dir):
-    """Bounds of the share of orders of high priority over resamples of whole customers; tests draw in one stream."""
-    rows = table(spark, sf_dir, "orders").select(_c("o_custkey").cast("string").alias("source_id"), (_c("o_orderpriority") < "3").cast("int").alias("correct"))
-    return evaluation.bootstrap_bounds(rows)
+def e8_source_interval(spark, sf_dir):
+    """The interval of the balanced accuracy over resamples of whole customers; tests draw in one stream."""
+    k = _c("o_orderkey")
+    rows = table(spark, sf_dir, "orders").select(_c("o_custkey").alias("source_id"), k.alias("place"), F.when(_c("o_custkey") % 4 > 0, k % 6).alias("expected"), (k % 7 < 5).alias("correct"))
+    return evaluation.source_interval(rows)
+
+
+@query()
+def e9_methods(spark, sf_dir):
+    """All five methods with their settings, counts and intervals, and which is recommended; tests have a plain version."""
+    sources = table(spark, sf_dir, "orders").select(_c("o_orderkey").alias("example_id"), _c("o_custkey").alias("source_id"))
+    return evaluation.run_evaluation(_pairs(spark, sf_dir), sources)["methods"]
