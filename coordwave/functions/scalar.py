@@ -76,6 +76,22 @@ def lcg(seed: Column, steps: Column) -> Column:
     return F.aggregate(n, seed.cast("long"), lambda x, _: (x * 1664525 + 1013904223).bitwiseAND(F.lit(0xFFFFFFFF)))
 
 
+#: A date, or a date and a time with or without a zone, as ISO 8601 writes them (fixed pattern).
+_ISO = r"^\d{4}-\d{2}-\d{2}(T\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)?(Z|[+-]\d{2}:\d{2})?)?$"
+
+
+def is_instant(text: Column) -> Column:
+    """Whether an ISO text is a point in time that exists; false for null."""
+    whole = F.regexp_replace(text, r"(T\d{2}:\d{2})(?=Z|[+-]|$)", "$1:00")  # minutes alone aren't read with a zone
+    return F.coalesce(text.rlike(_ISO) & F.try_to_timestamp(whole).isNotNull(), F.lit(False))
+
+
+def has_keys(values: Column, keys: Column) -> Column:
+    """Whether a map has exactly the keys of an array, whatever its values; false for a null map."""
+    own = F.map_keys(values)
+    return F.coalesce((F.size(F.array_except(own, keys)) == 0) & (F.size(F.array_except(keys, own)) == 0), F.lit(False))
+
+
 def by_locale(name: Column) -> Column:
     """A text to be ordered by the root collation (ICU), as names are by locale."""
     return F.collate(name.cast("string"), "UNICODE")

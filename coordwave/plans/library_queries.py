@@ -913,3 +913,14 @@ def e9_methods(spark, sf_dir):
     """All five methods with their settings, counts and intervals, and which is recommended; tests have a plain version."""
     sources = table(spark, sf_dir, "orders").select(_c("o_orderkey").alias("example_id"), _c("o_custkey").alias("source_id"))
     return evaluation.run_evaluation(_pairs(spark, sf_dir), sources)["methods"]
+
+
+@query("""WITH t AS (SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders), x AS (SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN day WHEN 1 THEN day || 'T25:00' WHEN 2 THEN day || 'T07:05:09.25Z' WHEN 3 THEN substr(day, 1, 5) || '02-31' WHEN 4 THEN day || ' noon' ELSE day || 'T23:59+02:00' END AS text FROM t)
+  SELECT o_orderkey, text, o_orderkey % 6 IN (0, 2, 5) AS is_instant, o_orderkey % 4 = 1 AS has_keys FROM x""")
+def dates_and_maps(spark, sf_dir):
+    """2.12: texts that are points in time, and maps that have a value, or a null, for each channel and no other."""
+    k, day = _c("o_orderkey"), F.date_format("o_orderdate", "yyyy-MM-dd")
+    text = F.when(k % 6 == 0, day).when(k % 6 == 1, F.concat(day, F.lit("T25:00"))).when(k % 6 == 2, F.concat(day, F.lit("T07:05:09.25Z"))).when(k % 6 == 3, F.concat(F.substring(day, 1, 5), F.lit("02-31"))).when(k % 6 == 4, F.concat(day, F.lit(" noon"))).otherwise(F.concat(day, F.lit("T23:59+02:00")))
+    one, two, three = (F.lit(x) for x in ("f", "p", "w"))
+    maps = F.when(k % 4 == 0, F.create_map(one, k)).when(k % 4 == 1, F.create_map(two, F.lit(None).cast("long"), one, k)).when(k % 4 == 2, F.create_map(one, k, two, k, three, k))
+    return table(spark, sf_dir, "orders").select("o_orderkey", text.alias("text"), scalar.is_instant(text).alias("is_instant"), scalar.has_keys(maps, F.array(one, two)).alias("has_keys"))
