@@ -85,7 +85,7 @@ def tables(spark, n, sim, classes, flagged, groups, placements, known):
     return entries, scores, spark.createDataFrame(list(groups.items()), "group_id string, anchor_id long"), spark.createDataFrame(list(placements.items()), "id long, group_id string"), spark.createDataFrame([(i,) for i in known], "id long")
 
 
-@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("seed", range(2))
 def test_library_groups(spark, seed):
     case = random_case(seed)
     got = library.library_groups(*tables(spark, *case), 0.4)
@@ -114,15 +114,15 @@ def test_paused_decisions(spark):
 
 @pytest.mark.parametrize("held", [linkage.COMPONENT, 0])
 def test_linkage_by_tasks_and_by_rounds(spark, held):
-    for seed in (11, 12):
-        n, sim, *_ = random_case(seed, 40, 6)
-        marks = {3: "p", 9: "p", 20: "q", 33: "r"}
+    for seed in (11,):
+        n, sim, *_ = random_case(seed, 30, 6)
+        marks = {3: "p", 9: "p", 20: "q", 27: "r"}
         nodes = spark.createDataFrame([(i, marks.get(i)) for i in range(n)], "id long, mark string").repartition(3)
         scores = spark.createDataFrame([(i, j, sim[i][j]) for i, j in itertools.combinations(range(n), 2)], "a long, b long, score double").repartition(3)
         got = defaultdict(list)
         for r in linkage.linked(nodes, scores, 0.5, held).collect():
             got[r.cluster].append(r.id)
-        seeds = [([3, 9], "p"), ([20], "q"), ([33], "r")] + [([i], None) for i in range(n) if i not in marks]
+        seeds = [([3, 9], "p"), ([20], "q"), ([27], "r")] + [([i], None) for i in range(n) if i not in marks]
         assert sorted(map(sorted, got.values())) == sorted(m for m, _ in plain_linkage(n, sim, 0.5, seeds))
 
 
