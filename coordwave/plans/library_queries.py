@@ -881,6 +881,18 @@ def c6_blended_pairs(spark, sf_dir):
     return found.select("a", "b", *[F.round(c, 9).alias(c) for c in ("formula", "overlap", "score")])
 
 
+@query()
+def c8_verified_classes(spark, sf_dir):
+    """Every cycle, and every third one turned and another one disturbed, by the sum of their values to one digit; tests compare
+    them one by one."""
+    grids = _gridded(spark, sf_dir).select(_c("cycle_id"), "grid", "period")
+    i = _c("cycle_id")
+    turned = grids.where(i % 3 == 0).select((i + 1_000_000).alias("cycle_id"), scalar.rotated(_c("grid"), (i % 128).cast("int")).alias("grid"), "period")
+    bent = grids.where(i % 3 == 1).select((i + 2_000_000).alias("cycle_id"), F.transform("grid", lambda x, k: x + F.when(k == 5, 1e-4).otherwise(0.0)).alias("grid"), "period")
+    key = F.round(F.aggregate("grid", F.lit(0.0), lambda s, x: s + x), 1)
+    return cycles.verified_classes(grids.unionByName(turned).unionByName(bent).withColumn("shape_key", key), ["shape_key", "period"])
+
+
 @query()
 def c10_medoids(spark, sf_dir):
     """Twelve medoids of all cycles; tests have a plain version."""
