@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from decimal import Decimal
 
@@ -17,8 +18,9 @@ from ..sources.shared import materialise
 BINS = 5
 #: Ranges of scores that are ordered apart from each other, at most.
 RANGES = 2000
-#: Pairs of the fit split, which the driver fits the curve to (24 bytes each); more are an error.
-FIT_ROWS = 1_000_000
+#: Width of a cell of standardised scores, and the powers of the distance to its middle that are added up in it: with slopes
+#: up to 30 the series of the curve inside a cell is exact to rounding.
+CELL, POWERS = 1 / 64, 14
 
 
 def metrics(outcomes: DataFrame) -> DataFrame:
@@ -72,6 +74,10 @@ def threshold_grid(scores: DataFrame) -> DataFrame:
     return _with_carried(placed, carried).select(((F.col("score") + before) / 2).alias("threshold")).where("threshold IS NOT NULL")
 
 
+class MissingClass(ValueError):
+    """Pairs to calibrate by that all match, or of which none does."""
+
+
 def fit_logistic(score: np.ndarray, y: np.ndarray, steps: int = 1500, rate: float = 0.2, penalty: float = 0.01):
     """(mean, scale, slope, intercept) of a logistic curve over standardised scores, by gradient steps from 0 with
     both classes weighing the same; slope 0 to 30, intercept -30 to 30, scale 0.01 at least. A missing class or a
@@ -88,6 +94,48 @@ def fit_logistic(score: np.ndarray, y: np.ndarray, steps: int = 1500, rate: floa
     return float(mean), float(scale), slope, intercept
 
 
+def _series() -> np.ndarray:
+    """Row k: the coefficients, by powers of the curve's value s, of its k-th derivative over k!."""
+    row, rows = np.zeros(POWERS + 2), []
+    row[1] = 1.0
+    for k in range(POWERS):
+        rows.append(row)
+        slope = np.arange(1, len(row)) * row[1:]  # by s; the curve's own slope is s - s^2
+        row = (np.concatenate(([0.0], slope)) - np.concatenate(([0.0, 0.0], slope[:-1]))) / (k + 1)
+    return np.array(rows)
+
+
+def _fit_by_cells(rows: DataFrame) -> tuple[float, float, float, float]:
+    """fit_logistic of a table (score, y) of any size, with its defaults: the driver holds POWERS sums a cell of scores, not
+    the scores. A step's sums over the rows of a cell follow from the curve's series around the cell's middle."""
+    score = F.col("score")
+    number = lambda c: F.coalesce(c.cast("double"), F.lit(float("nan")))
+    n = rows.agg(F.count_if(F.col("y") == 1).alias("ones"), F.count_if(F.col("y") == 0).alias("zeros"), F.avg(number(score)).alias("mean"), F.stddev_pop(number(score)).alias("scale")).first()
+    if not n["ones"] or not n["zeros"]:
+        raise MissingClass("calibration needs scores of both classes")
+    if not np.isfinite(n["mean"]) or not np.isfinite(n["scale"]):
+        raise ValueError("calibration needs finite scores")
+    mean, scale = n["mean"], max(n["scale"], 0.01)
+    x = (score - mean) / scale
+    placed = rows.select(x.alias("x"), "y", F.floor(x / CELL).alias("cell")).withColumn("d", F.col("x") - (F.col("cell") + 0.5) * CELL)
+    powers = [F.count(F.lit(1)).cast("double"), *[F.sum(F.pow("d", F.lit(float(k)))) for k in range(1, POWERS + 1)]]
+    sums = placed.groupBy("cell", "y").agg(F.sum("x").alias("x"), F.array(*powers).alias("powers")).toPandas().sort_values(["cell", "y"])  # cells, not rows
+    y, moments = sums["y"].to_numpy(), np.stack(sums["powers"].to_list())
+    weight = np.where(y == 1, 0.5 / n["ones"], 0.5 / n["zeros"])
+    middle, moments = (sums["cell"].to_numpy(float) + 0.5) * CELL, moments * weight[:, None]
+    first = float((weight * y * sums["x"].to_numpy()).sum())
+    # Sums of x times a power of d: x is the middle and d.
+    by_x = middle[:, None] * moments[:, :POWERS] + moments[:, 1:]
+    series, slope, intercept = _series(), 0.0, 0.0
+    for _ in range(1500):
+        s = 1 / (1 + np.exp(-np.clip(slope * middle + intercept, -700, 700)))
+        terms = np.vander(s, series.shape[1], increasing=True) @ series.T * slope ** np.arange(POWERS)
+        by_slope, by_one = float((terms * by_x).sum()) - first, float((terms * moments[:, :POWERS]).sum()) - 0.5
+        slope = float(np.clip(slope - 0.2 * (by_slope + 0.01 * slope), 0, 30))
+        intercept = float(np.clip(intercept - 0.2 * by_one, -30, 30))
+    return float(mean), float(scale), slope, intercept
+
+
 def numbered(rows: DataFrame, key: str) -> DataFrame:
     """rows with `number`, 0, 1, ... in order of a key that no two share: places in ranges of the key, each behind all of
     the ranges before it (a row a range comes to the driver)."""
@@ -243,24 +291,39 @@ def tune_shares(pairs: DataFrame, shares: list[float], calibration: dict[str, di
 
 
 def fitted(pairs: DataFrame) -> dict[str, dict[str, float]]:
-    """Calibrations of formula and overlap, fitted to the fit split's pairs."""
-    fit, out = pairs.where("split = 'fit'"), {}
-    if fit.limit(FIT_ROWS + 1).count() > FIT_ROWS:
-        raise ValueError(f"the fit split has over {FIT_ROWS} pairs")
-    for c in ("formula", "overlap"):
-        rows = fit.select(c, F.coalesce(F.col("expected") == F.col("region_id"), F.lit(False)).cast("int").alias("y")).toPandas()
-        out[c] = dict(zip(("mean", "scale", "slope", "intercept"), fit_logistic(rows[c].to_numpy(float), rows["y"].to_numpy()), strict=True))
-    return out
+    """Calibrations of formula and overlap, fitted to the fit split's pairs, all of them: the driver gets sums by cells
+    of the scores (_fit_by_cells)."""
+    fit = pairs.where("split = 'fit'").select("formula", "overlap", F.coalesce(F.col("expected") == F.col("region_id"), F.lit(False)).cast("int").alias("y"))
+    fit = materialise(fit, "fit")
+    return {c: dict(zip(("mean", "scale", "slope", "intercept"), _fit_by_cells(fit.select(F.col(c).alias("score"), "y")), strict=True)) for c in ("formula", "overlap")}
+
+
+def _calibrations(pairs: DataFrame) -> dict[str, dict[str, float]] | None:
+    """fitted, or None (and a warning) where the fit split lacks a class, so that no calibration exists."""
+    try:
+        return fitted(pairs)
+    except MissingClass as missing:
+        warnings.warn(f"{missing}: calibrated methods have no setting", stacklevel=2)
+        return None
+
+
+def _unmeasured(row: DataFrame, kept: tuple[str, ...]) -> DataFrame:
+    """A method's row with nulls but for the columns kept."""
+    return row.select(*[c if c in kept else F.lit(None).cast(row.schema[c].dataType).alias(c) for c in row.columns])
 
 
 def evaluate(pairs: DataFrame, shares: list[float]) -> DataFrame:
     """One row for each of the methods formula, overlap, tuned and calibrated: fitted on the fit split, tuned on the
-    tune split, then frozen and measured on the test split. pairs: as prepare_pairs gives them."""
+    tune split, then frozen and measured on the test split. Where the fit split lacks a class, nothing can be calibrated:
+    that method's row has nulls. pairs: as prepare_pairs gives them."""
+    pairs = materialise(pairs, "pairs")
     on = {s: pairs.where(F.col("split") == s) for s in ("tune", "test")}
-    model, made = fitted(pairs), None
+    model, made = _calibrations(pairs), None
     for method, tried, calibration in (("formula", [1.0], None), ("overlap", [0.0], None), ("tuned", shares, None), ("calibrated", shares, model)):
-        best = tune_shares(on["tune"], tried, calibration).first()
+        exists = method != "calibrated" or model is not None
+        best = tune_shares(on["tune"], tried, calibration).first() if exists else {"share": 1.0, "threshold": 1.0}
         row = metrics(predict(on["test"], best["share"], best["threshold"], calibration)).select(F.lit(method).alias("method"), F.lit(best["share"]).alias("share"), F.round(F.lit(best["threshold"]), 9).alias("threshold"), "n_known", "n_unfamiliar", "known_correct", "unfamiliar_correct", "balanced_accuracy")
+        row = row if exists else _unmeasured(row, ("method", "n_known", "n_unfamiliar"))
         made = row if made is None else made.unionByName(row)
     return made
 
@@ -277,12 +340,13 @@ def run_evaluation(pairs: DataFrame, sources: DataFrame) -> dict[str, DataFrame]
     its counts on the test split, the interval of its balanced accuracy over sources, and whether it is recommended: the
     calibrated blend, if on the tune split it is more accurate than the calibrated formula or as accurate with fewer false
     merges, else that formula. paired: the blend's accuracy less the formula's and its interval. diagnostics: Brier score and
-    calibration error of four series of test pairs (nulls where a class is missing). pairs: as prepare_pairs gives them;
-    sources: (example_id, source_id); outcomes count in order of example ids."""
+    calibration error of four series of test pairs (nulls where a class is missing). Where the fit split lacks a class, nothing
+    can be calibrated: rows, interval and series of calibrated scores have nulls, and no method is recommended. pairs: as
+    prepare_pairs gives them; sources: (example_id, source_id); outcomes count in order of example ids."""
     pairs = materialise(pairs, "pairs")
     tune_, test = pairs.where("split = 'tune'"), pairs.where("split = 'test'")
-    model = fitted(pairs)
-    raw, formula, blend = (tune_shares(tune_, shares, c).first() for shares, c in (([1.0], None), ([1.0], model), (BLENDS, model)))
+    model, none = _calibrations(pairs), {"share": 1.0, "threshold": 1.0, "accuracy": 0.0, "false_merges": 0}
+    raw, formula, blend = (none if c == {} else tune_shares(tune_, shares, c).first() for shares, c in (([1.0], None), ([1.0], model or {}), (BLENDS, model or {})))
     better = blend["accuracy"] > formula["accuracy"] + 1e-12 or (abs(blend["accuracy"] - formula["accuracy"]) < 1e-12 and blend["false_merges"] < formula["false_merges"])
     chosen = (
         ("raw-default", RAW_DEFAULT, None), ("raw-tuned", (raw["share"], raw["threshold"]), None), ("calibrated-formula", (formula["share"], formula["threshold"]), model),
@@ -290,16 +354,19 @@ def run_evaluation(pairs: DataFrame, sources: DataFrame) -> dict[str, DataFrame]
     )
     made, seen = None, {}
     for method, (share, threshold), calibration in chosen:
+        exists = model is not None or not method.startswith("calibrated")
         outcomes = materialise(predict(test, share, threshold, calibration).join(sources, "example_id").withColumnRenamed("example_id", "place"), "outcomes")
         seen[method] = outcomes
         row = metrics(outcomes).crossJoin(F.broadcast(source_interval(outcomes).select("low", "high")))  # one row each
-        recommended = method == ("calibrated-blend" if better else "calibrated-formula")
+        recommended = exists and method == ("calibrated-blend" if better else "calibrated-formula")
         row = row.select(F.lit(method).alias("method"), F.lit(share).alias("share"), F.lit(threshold).alias("threshold"), F.lit(recommended).alias("recommended"), *[c for c in row.columns])
+        row = row if exists else _unmeasured(row, ("method", "recommended", "n_known", "n_unfamiliar"))
         made = row if made is None else made.unionByName(row)
     both = seen["calibrated-blend"].join(seen["calibrated-formula"].select("place", F.col("correct").alias("other")), "place")
     paired = source_interval(both).select("low", "high")
+    paired = paired if model else _unmeasured(paired, ())
     rows = test.select("formula", "overlap", F.coalesce(F.col("expected") == F.col("region_id"), F.lit(False)).cast("int").alias("y"))
-    series = [(f"{kind} {c}", F.col(c) if kind == "raw" else calibrated(F.col(c), model[c])) for c in ("formula", "overlap") for kind in ("raw", "calibrated")]
+    series = [(f"{kind} {c}", F.col(c) if kind == "raw" else calibrated(F.col(c), model[c]) if model else F.lit(None).cast("double")) for c in ("formula", "overlap") for kind in ("raw", "calibrated")]
     found = None
     for name, score in series:
         one = calibration_error(rows.select(score.alias("score"), "y")).select(F.lit(name).alias("series"), "brier", "ece")
