@@ -33,6 +33,8 @@ from .common import free_name, slices, small_batches
 MOST_STATES = 200_000
 #: Chunks between single spaces whose ids a worker keeps.
 MOST_CHUNKS = 400_000
+#: The same where other stages have left their memory in executors and workers: (states, chunks).
+SMALL_TABLES = (50_000, 100_000)
 #: Moves of the decoder that a worker keeps.
 MOST_MOVES = 500_000
 
@@ -230,8 +232,8 @@ class _Chunks(dict):
     that aren't white space is a piece of its own, so chunks are put together from what stands around these.
     """
 
-    def __init__(self, encode, lead: str):
-        self.encode, self.lead, self.bare = encode, lead, self
+    def __init__(self, encode, lead: str, most: int = MOST_CHUNKS):
+        self.encode, self.lead, self.bare, self.most = encode, lead, self, most
         self.marks = {c: encode(c) for c in ".,\n"}
 
     def __missing__(self, chunk: str) -> bytes:
@@ -241,7 +243,7 @@ class _Chunks(dict):
         if len(chunk) > 1 and chunk[-1] in ".," and chunk[-2].isalpha():
             return self[chunk[:-1]] + self.marks[chunk[-1]]
         ids = self.encode(self.lead + chunk)
-        if len(self) < MOST_CHUNKS and len(chunk) < 200:
+        if len(self) < self.most and len(chunk) < 200:
             self[chunk] = ids
         return ids
 
@@ -250,17 +252,17 @@ _LONE_FEED = re.compile(r"(?<=\S)\n(?=\S)")
 
 
 class Codec:
-    """A text's pieces and ids. Chunks between single spaces are encoded once and kept, up to MOST_CHUNKS; by another
+    """A text's pieces and ids. Chunks between single spaces are encoded once and kept, up to a number; by another
     pattern than PATTERN, texts are encoded piece by piece."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.transducer = Transducer(ranks)
+    def __init__(self, ranks: dict[bytes, int], pattern: str, tables: tuple[int, int] = (MOST_STATES, MOST_CHUNKS)):
+        self.transducer = Transducer(ranks, tables[0])
         self.pieces = regex.compile(pattern)
         self.cuts = pattern == PATTERN
         # A cut at a space is safe where no white space is beside it: no piece goes on over such a space.
         self.unsafe = regex.compile(r" [\s\x1c-\x1f]|[\s\x1c-\x1f] ")
-        self.after_space = _Chunks(self._encode, " ")
-        self.after_space.bare = _Chunks(self._encode, "")
+        self.after_space = _Chunks(self._encode, " ", tables[1])
+        self.after_space.bare = _Chunks(self._encode, "", tables[1])
         self.moves: dict[tuple[bytes, int], tuple[bytes, str]] = {}
 
     def _encode(self, text: str) -> bytes:
@@ -298,27 +300,27 @@ class Codec:
         return move
 
 
-_codecs: dict[tuple[str, str], Codec] = {}
+_codecs: dict[tuple, Codec] = {}
 
 
-def codec(path: str, pattern: str) -> Codec:
-    """This process's codec of a rank file."""
-    if (path, pattern) not in _codecs:
-        _codecs[path, pattern] = Codec(read_ranks(path), pattern)
-    return _codecs[path, pattern]
+def codec(path: str, pattern: str, tables: tuple[int, int] = (MOST_STATES, MOST_CHUNKS)) -> Codec:
+    """This process's codec of a rank file, with tables of so many states and chunks."""
+    if (path, pattern, tables) not in _codecs:
+        _codecs[path, pattern, tables] = Codec(read_ranks(path), pattern, tables)
+    return _codecs[path, pattern, tables]
 
 
-def encode_and_decode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+def encode_and_decode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids: str = "ids", decoded: str = "decoded", tables: tuple[int, int] = (MOST_STATES, MOST_CHUNKS)) -> DataFrame:
     """All columns of docs, the token ids of its texts (array of int) and the text that decoding them gives.
 
     Null text is empty: no ids, and empty decoded text. Rows are independent, so repeated rows have equal results;
-    there is no shuffle. A very long text is held in memory with its ids: an array's cell is made whole.
+    there is no shuffle. tables: what a worker keeps; ids don't depend on it. A very long text is held in memory with its ids: an array's cell is made whole.
     """
     ids, decoded = free_name(docs, ids), free_name(docs, decoded)
     at, names = docs.columns.index(text_col), [*docs.columns, ids, decoded]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path, pattern)
+        own = codec(path, pattern, tables)
         for whole in batches:
             for batch in slices(whole, at):
                 rows = [own.encode(t.as_py() or "") for t in batch.column(at)]
@@ -331,8 +333,8 @@ def encode_and_decode(docs: DataFrame, path: str, pattern: str, text_col: str =
     return small_batches(docs).mapInArrow(run, schema)
 
 
-def digest(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+def digest(docs: DataFrame, path: str, pattern: str, tables: tuple[int, int] = (MOST_STATES, MOST_CHUNKS)) -> DataFrame:
     """The result of the registered query: counts and hashes of the ids and of the decoded text."""
-    r = encode_and_decode(docs.select("doc_id", "text"), path, pattern)
+    r = encode_and_decode(docs.select("doc_id", "text"), path, pattern, tables=tables)
     listed = F.array_join(F.col("ids").cast("array<string>"), ",")
     return r.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

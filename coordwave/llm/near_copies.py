@@ -1,7 +1,8 @@
 """Near copies by exact Jaccard similarity of word shingles, with candidates from banded MinHash.
 
 Exact copies are one content each. Contents that agree in one of BANDS bands of ROWS minima meet in a bucket: of
-pairs with a similarity of 0.8, 1 - (1 - 0.8 ** 6) ** 30 = 99.99 % do. In each round the first contents of a bucket
+pairs with a similarity of 0.8, 1 - (1 - 0.8 ** 6) ** 30 = 99.99 % do. So do contents that an index of fingerprints
+links, where it is given. In each round the first contents of a bucket
 are its centres: one at first, by which most copies go; then 8, and four times as many each round up to FAN, as what
 is left must be told apart. A content whose similarity to an earlier centre, counted over whole sets of
 shingles, is at least the threshold goes. What is left after a bucket's centres meets again in the next round, until
@@ -15,7 +16,7 @@ that mark rows are sent to all executors up to BROADCAST_ROWS rows, which are co
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +51,14 @@ def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
     return np.unique(np.array([digest(joined[a:b], 42) for a, b in zip(starts, ends[width - 1 :].tolist(), strict=True)], np.uint64))
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The SimHash fingerprint of hashes: the bits set in over half of them."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 1 << 16):
+        ones += np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
 def buckets(hashes: np.ndarray) -> list[int]:
     """The bucket of each band of a set of shingles."""
     least = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
@@ -65,7 +74,8 @@ def _in_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sets = [shingles(t.as_py()) for t in batch.column(2)]
             found = np.array([buckets(s) for s in sets], np.uint64).reshape(-1).view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * BANDS), pa.array(found))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), lists], ["id", "content", "n", "buckets"])
+            prints = pa.array(np.array([majority(s) for s in sets], np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), lists, prints], ["id", "content", "n", "buckets", "fp"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,6 +179,18 @@ def _gone(contents: DataFrame, rows: DataFrame) -> DataFrame:
     return gone
 
 
+def _in_groups(contents: DataFrame, groups: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """contents with one more bucket for those whose fingerprint the index has linked to another, or that share theirs."""
+    prints = materialise(contents.groupBy("fp").agg(F.min("k").alias("rep"), F.count(F.lit(1)).alias("many")), "distinct")
+    linked = groups(prints.select("fp", "rep")).select(F.col("rep").alias("u"), "component")
+    own = prints.join(linked, F.col("rep") == F.col("u"), "left").select("fp", "many", F.coalesce("component", "rep").alias("component"))
+    whole = own.groupBy("component").agg(F.sum("many").alias("size"))
+    of = materialise(own.join(whole.where("size > 1"), "component").select(F.col("fp").alias("same_fp"), F.xxhash64(F.lit("simhash"), "component").alias("group")), "groups")
+    met = contents.join(_small(of), F.col("fp") == F.col("same_fp"), "left")
+    found = F.when(F.col("group").isNull(), F.col("buckets")).otherwise(F.concat("buckets", F.array("group")))
+    return materialise(met.withColumn("buckets", found).drop("same_fp", "group"), "contents")
+
+
 def _sets_of(wanted: DataFrame, contents: DataFrame, rows: DataFrame) -> DataFrame:
     """(k, shingles) of the wanted contents (k), each made from one row that has it."""
     keys = materialise(contents.join(wanted, "k", "left_semi").select("k", F.col("id").alias("own"), F.col("content").alias("same")), "wanted")
@@ -177,23 +199,28 @@ def _sets_of(wanted: DataFrame, contents: DataFrame, rows: DataFrame) -> DataFra
     return materialise(made, "sets").dropDuplicates(["k"])
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", groups: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """All columns of docs for one row of each content that stays: that of its smallest id (of rows that repeat this
     id, the least as JSON). Contents come in order of their smallest id.
 
     Null and empty texts are one content. Contents that only rows with a null id have come last, and one such row of
     each that stays is kept. Rows that repeat an id with different texts are different documents.
+
+    groups: from fingerprints (fp, rep) of contents, each fp once, to (rep, component) of those that an index links; what it
+    links are candidates as well.
     """
     docs = small_batches(docs)
     content = free_name(docs, "content")
     marked = docs.withColumn(content, F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))))
     rows = marked.select(F.col(id_col).cast("long").alias("id"), F.col(content).alias("content"), F.col(text_col).alias("text"))
-    signed = materialise(rows.mapInArrow(_in_buckets, "id long, content binary, n long, buckets array<long>"), "signed")
+    signed = materialise(rows.mapInArrow(_in_buckets, "id long, content binary, n long, buckets array<long>, fp long"), "signed")
     held = materialise(signed.groupBy("content", "id").agg(F.count(F.lit(1)).alias("times")), "held")
     first = held.groupBy("content").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "times")).alias("f"))
-    about = signed.groupBy("content").agg(F.first("n").alias("n"), F.first("buckets").alias("buckets"))
+    about = signed.groupBy("content").agg(F.first("n").alias("n"), F.first("buckets").alias("buckets"), F.first("fp").alias("fp"))
     contents = first.select("content", "f.id", "f.times").join(about, "content").withColumn("k", F.monotonically_increasing_id())
     contents = materialise(contents, "contents")
+    if groups is not None:
+        contents = _in_groups(contents, groups)
     gone = _gone(contents, rows)
     # Rows that don't stay as they are: those of contents that go, of later ids, and repeats of one row.
     stay = contents.join(gone.distinct(), "k", "left_anti").select("content", F.col("id").alias("own"), F.col("times").alias("n"))

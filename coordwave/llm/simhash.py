@@ -245,13 +245,14 @@ def fingerprint_table(docs: DataFrame) -> DataFrame:
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, bits: int = 2, similarity: float | None = None) -> DataFrame:
     """All columns of docs for one row of each group: that of its smallest id (of rows with that id, the least as JSON).
 
-    Of rows with a null id one for each fingerprint that no row with an id has stays (the least as JSON). With a similarity, documents are compared by their sets of shingles of five words instead,
-    for which two bits are too few: see near_copies.keep_first, which this then is.
+    Of rows with a null id one for each fingerprint that no row with an id has stays (the least as JSON). With a similarity, documents are compared by their sets of shingles of five words: what the index
+    links by the fingerprints of these sets, and, as two bits are few for such pairs, what agrees in a band of minima, is
+    compared by whole sets (near_copies.keep_first).
     """
     if similarity is not None:
         if (width, similarity) != (near_copies.WIDTH, near_copies.SIMILARITY):
             raise ValueError("similarities are compared at five words and 0.8")
-        return near_copies.keep_first(docs, id_col, text_col)
+        return near_copies.keep_first(docs, id_col, text_col, lambda prints: components(links(prints, bits)).select(F.col("u").alias("rep"), F.col("v").alias("component")))
     found = near_duplicates(docs, id_col, text_col, width, bits)
     ids = found.where("id = component").select(F.col("id").alias(id_col)).distinct()
     named = docs.where(F.col(id_col).isNotNull()).join(ids, id_col, "left_semi").select(docs.columns)

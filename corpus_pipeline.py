@@ -4,7 +4,7 @@ Each stage takes (spark, docs, sf_dir) and returns a table; run() writes each re
 reads it back as the next stage's documents. All stages but the last return the columns of `documents`.
 
 quality      documents whose base statistics or log-likelihood ratio fail go
-simhash      documents at least 0.8 like one of smaller id, by their five-word shingles, go (banded MinHash finds them)
+simhash      documents at least 0.8 like one of smaller id, by their five-word shingles, go (the SimHash index and MinHash find them)
 suffix       bytes of strings that a document of smaller id has go; characters cut by this go whole
 mixing       documents are repeated as often as their rate says; rates are 1 or more, so none goes
 encoding     token ids of each remaining text, decoded again
@@ -30,7 +30,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops near copies by another method than op8's query: links of two bits miss most pairs with a similarity of 0.8."""
+    """Drops near copies: groups of the SimHash index, and bands of minima for the pairs whose fingerprints differ in more than
+    its two bits (most pairs with a similarity of 0.8), are candidates that the whole sets of shingles decide."""
     return simhash.keep_first(docs, width=5, similarity=0.8)
 
 
@@ -72,7 +73,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each row; rows that mixing repeats are repeated here."""
-    return byte_bpe.digest(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return byte_bpe.digest(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, byte_bpe.SMALL_TABLES)
 
 
 STAGES = [
