@@ -39,6 +39,9 @@ SHARD_BYTES = 1 << 20
 LEAST_SHARDS = 32
 #: Bytes of different contents under one hash beyond which it is split.
 HOT_BYTES = 256 << 10
+#: Bytes of the substrings whose hashes file strings; results don't depend on it. Of 16 bytes, unrelated texts share so
+#: many that the suffix arrays grow faster than the corpus; longer ones leave more, shorter runs.
+GRAM = 24
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xC4CEB9FE1A85EC53)
@@ -339,11 +342,23 @@ def smallest_holders(contents: list[bytes], least: np.ndarray, span: int) -> np.
 
 
 def _in_company(contents: list[bytes], span: int, gram: int) -> np.ndarray:
-    """Which contents have the least hash of another one too: that of any of their strings, so of their first."""
-    heads = np.frombuffer(b"".join([c[:span] for c in contents]), np.uint8)
-    hashes = np.append(gram_hashes(heads, gram), np.zeros(gram - 1, np.uint64)).reshape(-1, span)
-    _, at, count = np.unique(hashes[:, : span - gram + 1].min(axis=1), return_inverse=True, return_counts=True)
-    return count[at] > 1
+    """Which contents may share a string with another one: a shared string has its least gram at a place of both, and
+    at least half of the rest of its bytes stands on one side of that; so do the grams `side` bytes away."""
+    lengths = np.array([len(c) for c in contents], np.int64)
+    stops = np.cumsum(lengths)
+    begins = stops - lengths
+    hashes = gram_hashes(np.frombuffer(b"".join(contents), np.uint8), gram)
+    # The least hash is that of any of a content's strings, so of its first.
+    least = np.repeat(hashes[begins[:, None] + np.arange(span - gram + 1)].min(axis=1), lengths)[: len(hashes)]
+    places = np.flatnonzero(hashes == least)
+    owner = np.searchsorted(stops, places, side="right")
+    side, found = (span - gram + 1) // 2, np.zeros(len(contents), bool)
+    for away in (-side, side):
+        inside = (places + away >= begins[owner]) & (places + away + gram <= stops[owner]) & (places + gram <= stops[owner])
+        at, own = places[inside], owner[inside]
+        _, key, count = np.unique(hashes[at] * _ODD + hashes[at + away], return_inverse=True, return_counts=True)
+        found[own[count[key] > 1]] = True
+    return found
 
 
 def _holders(span, gram):
@@ -374,7 +389,7 @@ def _holders(span, gram):
             sent.append(np.full(len(n), r))
             number.append(n)
         contents, low = list(own), np.array(least, np.int64)
-        # Only contents under one least hash can share strings. One that stands alone there holds all of its own.
+        # Most contents share no string with another one of the shard: these hold all of their own.
         some = np.flatnonzero(_in_company(contents, span, gram))
         of, at, who = np.arange(len(contents)), np.zeros(len(contents), np.int64), low.copy()
         if len(some):
@@ -463,9 +478,11 @@ def _cut(span, id_col, text_col, out, schema_names):
     return run
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 50, gram: int = 16, out: str = "repeats", hot: int = HOT_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 50, gram: int | None = None, out: str = "repeats", hot: int = HOT_BYTES) -> DataFrame:
     """All rows and columns of docs, and a struct `out`: n_bytes, n_removed, spans (array of start, stop; ascending,
-    not touching) and kept (the remaining bytes, which may split a character). hot: see HOT_BYTES."""
+    not touching) and kept (the remaining bytes, which may split a character). gram: GRAM, or span if that is
+    shorter. hot: see HOT_BYTES."""
+    gram = min(GRAM, span) if gram is None else gram
     if not 1 <= gram <= span:
         raise ValueError("gram must be from 1 to span")
     docs = small_batches(docs)
