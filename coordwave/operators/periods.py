@@ -12,15 +12,44 @@ from .review import row_differences
 SUGGESTED = "recording_id long, place int, period double, similarity double, pairs int, coverage double, repeats double"
 
 
-def _bracketed(t: np.ndarray, f: np.ndarray, at: np.ndarray, widest: float, missing: np.ndarray, hold: bool = False):
-    """Values at times, on the line between the samples around them, or with hold of the one before; NaN where these are too far apart, or a time
-    between them is marked missing."""
-    k = np.clip(np.searchsorted(t, at, side="right") - 1, 0, len(t) - 2)
-    gap = t[k + 1] - t[k]
-    value = f[k] if hold else f[k] + (f[k + 1] - f[k]) * (at - t[k]) / gap
-    bad = (at < t[0]) | (at >= t[-1]) | (gap > widest)  # there is no sample behind the last one
-    bad |= np.searchsorted(missing, t[k]) < np.searchsorted(missing, t[k + 1])
-    return np.where(bad, np.nan, value)
+#: Values that are read at once when lags are scored: temporary arrays then stay in the processor's cache.
+AT_ONCE = 1 << 14
+
+
+class _Likeness:
+    """How much a recording resembles itself at lags: values are read on the line between the samples around a time, or with
+    hold from the one before, and don't count where these are more than widest apart or a time between them is missing."""
+
+    def __init__(self, t: np.ndarray, f: np.ndarray, widest: float, missing: np.ndarray, hold: bool):
+        every = -(-len(t) // 384)
+        self.t, self.f, self.base_t, self.base_f = t, f, t[::every], f[::every]
+        self.gap, self.rise, self.scale = np.diff(t), None if hold else np.diff(f), -3 / np.ptp(f)
+        at = np.searchsorted(missing, t)
+        self.apart = (self.gap > widest) | (at[:-1] < at[1:])
+        self.some_apart = bool(self.apart.any())
+
+    def __call__(self, lags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Similarity, number of pairs and share of the possible pairs at each lag."""
+        step = max(1, AT_ONCE // len(self.base_t))
+        parts = [self._score(lags[k : k + step]) for k in range(0, len(lags), step)]
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.empty(0), np.empty(0, int), np.empty(0))
+
+    def _score(self, lags: np.ndarray):
+        t, f = self.t, self.f
+        at = self.base_t + lags[:, None]
+        k = np.searchsorted(t, at.ravel(), side="right").reshape(at.shape) - 1
+        seen = (k >= 0) & (k < len(t) - 1)  # there is no sample behind the last one
+        possible = (at <= t[-1]).sum(axis=1)
+        np.clip(k, 0, len(t) - 2, out=k)
+        if self.some_apart:
+            seen &= ~self.apart[k]
+        value = f[k] if self.rise is None else f[k] + self.rise[k] * (at - t[k]) / self.gap[k]
+        seen &= ~np.isnan(value)
+        value -= self.base_f
+        value[~seen] = 0
+        n = seen.sum(axis=1)
+        rms = np.sqrt(np.einsum("ij,ij->i", value, value) / np.maximum(n, 1))
+        return np.where(n > 0, np.exp(rms * self.scale), 0.0), n, n / np.maximum(possible, 1)
 
 
 def suggest(t: np.ndarray, f: np.ndarray, missing: np.ndarray, hold: bool = False) -> list[tuple[float, float, int, float, float]]:
@@ -32,34 +61,26 @@ def suggest(t: np.ndarray, f: np.ndarray, missing: np.ndarray, hold: bool = Fals
     low, high = max(8 * spacing, span / 200), span / 2.8
     if low >= high:
         return []
-    every = -(-len(t) // 384)
-    base_t, base_f = t[::every], f[::every]
-
-    def like(lag: float):
-        value = _bracketed(t, f, base_t + lag, 3.01 * spacing, missing, hold)
-        both = ~np.isnan(value)
-        n, possible = int(both.sum()), int((base_t + lag <= t[-1]).sum())
-        if not n:
-            return 0.0, 0, 0.0
-        rms = float(np.sqrt(np.mean((value[both] - base_f[both]) ** 2)))
-        return float(np.exp(-3 * rms / np.ptp(f))), n, n / max(1, possible)
-
+    like = _Likeness(t, f, 3.01 * spacing, missing, hold)
     lags = np.linspace(low, high, 601)
-    score = np.array([like(x)[0] for x in lags])
+    score = like(lags)[0]
     peak = 1 + np.flatnonzero((score[1:-1] >= score[:-2]) & (score[1:-1] >= score[2:]))  # the ends are no peaks
+    peak = np.array(sorted(peak, key=lambda k: (-score[k], k))[:16], int)
+    centre, best, reach = lags[peak], score[peak], lags[1] - lags[0]
+    for _ in range(3):
+        tries = centre[:, None] + np.arange(-10, 11) * reach / 10
+        inside = (tries >= low) & (tries <= high)
+        near = np.full(tries.shape, -1.0)
+        near[inside] = like(tries[inside])[0]
+        first = np.argmax(near, axis=1)
+        top = near[np.arange(len(peak)), first]
+        better = top > best  # only a better one moves the centre; of several, the first
+        centre, best = np.where(better, tries[np.arange(len(peak)), first], centre), np.where(better, top, best)
+        reach /= 10
     found = []
-    for k in sorted(peak, key=lambda k: (-score[k], k))[:16]:
-        centre, reach, best = lags[k], lags[1] - lags[0], score[k]
-        for _ in range(3):
-            tries = centre + np.arange(-10, 11) * reach / 10
-            tries = tries[(tries >= low) & (tries <= high)]
-            near = np.array([like(x)[0] for x in tries])
-            if near.max(initial=-1) > best:  # only a better one moves the centre; of several, the first
-                centre, best = tries[int(np.argmax(near))], near.max()
-            reach /= 10
-        similarity, n, coverage = like(centre)
-        if similarity >= 0.85 and n >= 12 and coverage >= 0.5 and supported(t, missing, t[0], centre) >= 2:
-            found.append((float(centre), similarity, n, coverage, float(span / centre)))
+    for at, similarity, n, coverage in zip(centre.tolist(), *(x.tolist() for x in like(centre)), strict=True):
+        if similarity >= 0.85 and n >= 12 and coverage >= 0.5 and supported(t, missing, t[0], at) >= 2:
+            found.append((at, similarity, n, coverage, float(span / at)))
     found.sort()
     kept = [x for k, x in enumerate(found) if k == 0 or x[0] - found[k - 1][0] >= spacing]
     return kept[:5]
