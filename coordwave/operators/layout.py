@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import materialise
+
 #: Steps and margins of tiles and islands (fixed values).
 STEP_X, STEP_Y, MARGIN_X, MARGIN_Y, LEAST_WIDTH, LEAST_HEIGHT, BETWEEN = 188, 140, 36, 76, 320, 210, 100
+#: Boxes of a cell that are compared with the cell's others at once, and tasks at most.
+BLOCK, MOST_TASKS = 2000, 20_000
 
 
 def _sizes(n):
@@ -42,15 +46,21 @@ def in_view(points: DataFrame, left: float, top: float, right: float, bottom: fl
     return points.where(F.col("x").between(left - overscan, right + overscan) & F.col("y").between(top - overscan, bottom + overscan))
 
 
-def overlaps(boxes: DataFrame, gap: float = 48.0, cell: float = 1000.0) -> DataFrame:
+def overlaps(boxes: DataFrame, gap: float = 48.0, cell: float = 500.0) -> DataFrame:
     """(a, b), a < b: boxes (box_id, left, top, right, bottom) that aren't gap apart on either axis.
 
     Boxes meet in the cells of a grid that they (half a gap wider) touch, so only near ones are compared; a pair that
-    shares several cells comes from the one of its common corner alone."""
+    shares several cells comes from the one of its common corner alone. A cell's boxes are dealt into blocks of up to BLOCK,
+    and each box meets every block of its cell: these rows are few but heavy, so they have a number of tasks of their own."""
     ends = lambda low, high: F.sequence(F.floor((F.col(low) - gap / 2) / cell), F.floor((F.col(high) + gap / 2) / cell))
     dealt = boxes.withColumn("cx", F.explode(ends("left", "right"))).withColumn("cy", F.explode(ends("top", "bottom")))
-    side = lambda s: dealt.select(*[F.col(c).alias(f"{c}_{s}") for c in ("box_id", "left", "top", "right", "bottom")], "cx", "cy")
-    met = side("a").join(side("b"), ["cx", "cy"]).where("box_id_a < box_id_b")
+    cells = materialise(dealt.groupBy("cx", "cy").agg((F.count(F.lit(1)) / BLOCK).alias("share")), "cells")
+    work = cells.agg(F.sum(F.col("share") * F.col("share"))).first()[0] or 0
+    tasks = max(int(boxes.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(int(work), MOST_TASKS))
+    placed = dealt.join(cells.select("cx", "cy", F.ceil("share").alias("blocks")), ["cx", "cy"])
+    block = {"a": F.pmod(F.xxhash64("box_id"), F.col("blocks")), "b": F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))}
+    side = lambda s: placed.select(*[F.col(c).alias(f"{c}_{s}") for c in ("box_id", "left", "top", "right", "bottom")], "cx", "cy", block[s].alias("block")).repartition(tasks, "cx", "cy", "block")
+    met = side("a").hint("shuffle_hash").join(side("b"), ["cx", "cy", "block"]).where("box_id_a < box_id_b")
     near = (F.col("right_a") + gap > F.col("left_b")) & (F.col("right_b") + gap > F.col("left_a")) & (F.col("bottom_a") + gap > F.col("top_b")) & (F.col("bottom_b") + gap > F.col("top_a"))
     corner = [F.floor((F.greatest(f"{e}_a", f"{e}_b") - gap / 2) / cell) for e in ("left", "top")]
     return met.where(near & (F.col("cx") == corner[0]) & (F.col("cy") == corner[1])).select(F.col("box_id_a").alias("a"), F.col("box_id_b").alias("b"))
