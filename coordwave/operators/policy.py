@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import materialise
 from .components import labels
 
 #: Margins of the group policy (fixed values).
 CORE, COMPETITION, LEAST_SHAPES, NEAR = 0.08, 0.05, 3, 0.005
+#: Members of a group that are compared with another group's at once, and tasks at most.
+BLOCK, MOST_TASKS = 5000, 20_000
 
 
 def merge_proposals(members: DataFrame, representatives: DataFrame, scores: DataFrame, threshold: float) -> DataFrame:
@@ -30,6 +35,32 @@ def merge_proposals(members: DataFrame, representatives: DataFrame, scores: Data
     return across(members, threshold).join(core, ["group_a", "group_b"]).join(sizes.select(F.col("group_id").alias("group_a")), "group_a", "left_semi")
 
 
+def scored_proposals(members: DataFrame, representatives: DataFrame, beside: DataFrame, score: Callable[[Column, Column], Column], threshold: float) -> DataFrame:
+    """merge_proposals of neighbouring groups, for scores that follow from two ids, the smaller first: no pair of members is
+    written or shuffled. beside: (group_a, group_b), a < b, once each. Representatives are asked first; the members of what is
+    left meet in blocks that are dealt over tasks, each of which keeps a minimum and a count for two groups."""
+
+    def across(side: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
+        n = side.groupBy("group_id").agg(F.count(F.lit(1)).alias("n"))
+        sized = pairs.join(n.select(F.col("group_id").alias("group_a"), F.col("n").alias("na")), "group_a").join(n.select(F.col("group_id").alias("group_b"), F.col("n").alias("nb")), "group_b")
+        sized = materialise(sized.withColumn("blocks", F.ceil(F.col("na") / BLOCK)), "sized")
+        work = sized.agg(F.sum(F.col("na") / BLOCK * F.col("nb") / BLOCK)).first()[0] or 0
+        tasks = max(int(side.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(int(work), MOST_TASKS))
+        block = {"a": F.pmod(F.xxhash64("id"), F.col("blocks")), "b": F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))}
+
+        def dealt(s: str) -> DataFrame:
+            rows = sized.join(side.select("id", F.col("group_id").alias(f"group_{s}")), f"group_{s}")
+            return rows.select("group_a", "group_b", F.col("id").alias(s), block[s].alias("block")).repartition(tasks, "group_a", "group_b", "block")
+
+        met = dealt("a").hint("shuffle_hash").join(dealt("b"), ["group_a", "group_b", "block"]).where("a <> b")
+        found = met.groupBy("group_a", "group_b").agg(F.min(score(F.least("a", "b"), F.greatest("a", "b"))).alias("weakest"), F.count(F.lit(1)).alias("pairs"))
+        enough = (F.col("pairs") == F.col("na") * F.col("nb")) & (F.col("weakest") + 1e-12 >= least)
+        return found.join(sized, ["group_a", "group_b"]).where(enough).select("group_a", "group_b", "weakest")
+
+    core = materialise(across(representatives, beside, min(1.0, threshold + CORE)).select("group_a", "group_b"), "core")
+    return across(members, core, threshold)
+
+
 def near_duplicate_components(nodes: DataFrame, distances: DataFrame, limit: float = NEAR) -> DataFrame:
     """(id, component): cycles linked by distances up to limit, so that a component stays in one split."""
     return labels(nodes, distances.where(F.col("distance") <= limit).select("a", "b"))
