@@ -23,6 +23,8 @@ repeat an id do not cut each other. Texts shorter than `span` are returned whole
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -30,13 +32,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, parts_for, small_batches
+from .common import free_name, small_batches
 from .suffix_sort import common_prefixes, suffix_array
 
-#: Bytes of the documents table in a part (as many parts as shuffle partitions at least) and for each shard.
-PART_BYTES = 2 << 20
-SHARD_BYTES = 1 << 20
+#: Bytes of texts in a part (as many parts as shuffle partitions at least) and for each shard.
+PART_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 LEAST_SHARDS = 32
+#: There is a message for each part and shard. Beyond ROOT_BYTES of texts, parts and shards grow with the root of the
+#: texts' bytes, so that messages grow as the texts do, up to MOST_TIMES the bytes above, which workers have memory for.
+ROOT_BYTES = 1 << 30
+MOST_TIMES = 2
 #: Bytes of different contents under one hash beyond which it is split.
 HOT_BYTES = 256 << 10
 #: Bytes of the substrings whose hashes file strings; results don't depend on it. Of 16 bytes, unrelated texts share so
@@ -478,6 +484,12 @@ def _cut(span, id_col, text_col, out, schema_names):
     return run
 
 
+def parts_and_shards(text_bytes: int, floor: int) -> tuple[int, int]:
+    """Numbers of parts, floor at least, and of shards for so many bytes of texts."""
+    times = min(MOST_TIMES, max(1.0, math.sqrt(text_bytes / ROOT_BYTES)))
+    return max(floor, math.ceil(text_bytes / (PART_BYTES * times))), max(LEAST_SHARDS, math.ceil(text_bytes / (SHARD_BYTES * times)))
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 50, gram: int | None = None, out: str = "repeats", hot: int = HOT_BYTES) -> DataFrame:
     """All rows and columns of docs, and a struct `out`: n_bytes, n_removed, spans (array of start, stop; ascending,
     not touching) and kept (the remaining bytes, which may split a character). gram: GRAM, or span if that is
@@ -486,8 +498,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if not 1 <= gram <= span:
         raise ValueError("gram must be from 1 to span")
     docs = small_batches(docs)
-    parts = parts_for(docs, PART_BYTES)
-    shards = max(LEAST_SHARDS, parts_for(docs, SHARD_BYTES, floor=0) or 4 * parts)
+    # Files' bytes say little about texts: other columns count in them, and copies are compressed.
+    text_bytes = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    parts, shards = parts_and_shards(text_bytes, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     part, out = free_name(docs, "part"), free_name(docs, out)
     # One shuffle of the documents serves all three passes.
     dealt = docs.withColumn(part, F.pmod(F.xxhash64(id_col, text_col), F.lit(parts))).groupBy(part)
