@@ -3,10 +3,12 @@
 BPE is local: a sequence of tokens is the encoding of its bytes exactly if each token encodes itself and each
 two neighbours encode to themselves. So, reading a piece byte by byte, the encoding of every prefix ends in one
 certain token, and only prefixes from which some token still reaches beyond the current byte can be boundaries
-of the final encoding. The transducer's state is that set of prefixes: for each, the trie node of the bytes read
-since, the token it ends in, and the tokens not yet emitted. What all of them begin with is emitted at once, so
-output lags by a bounded lookahead (the longest token). Transitions are computed when first taken and kept;
-when there are too many states, all but the present one are dropped, and encoding goes on from the same byte.
+of the final encoding. The transducer's state is the set of trie nodes of the bytes read since each of these; which
+token each prefix ends in stands in a register beside it. A transition gives the next state and the tokens that end
+with its byte, longest first: the first that fits behind the token in its start's register is the prefix's own.
+Transitions are computed when first taken and kept, as is whether two tokens fit; when there are too many, all but the
+present state are dropped, and encoding goes on from the same byte. Tokens that all prefixes in a state have in common
+are emitted, so output lags by a bounded lookahead.
 
 Decoding runs the bytes of each token through an incremental UTF-8 state machine, whose state is the beginning of a
 character that is not yet whole; its moves over whole tokens are kept likewise.
@@ -30,11 +32,14 @@ from pyspark.sql import types as T
 
 from .common import free_name, slices, small_batches
 
-MOST_STATES = 200_000
+#: Transitions, and pairs of tokens, that a worker keeps.
+MOST_STATES = 400_000
 #: Chunks between single spaces whose ids a worker keeps.
 MOST_CHUNKS = 400_000
-#: The same where other stages have left their memory in executors and workers: (states, chunks).
-SMALL_TABLES = (50_000, 100_000)
+#: The same where other stages have left their memory in executors and workers: (transitions or pairs, chunks).
+SMALL_TABLES = (400_000, 100_000)
+#: Registers after which common tokens are emitted.
+LOOKAHEAD = 4096
 #: Moves of the decoder that a worker keeps.
 MOST_MOVES = 500_000
 
@@ -47,28 +52,32 @@ class Transducer:
         self.child: dict[int, int] = {}
         self.token: list[int] = [-1]
         self.inner: list[bool] = [False]
+        self.depth: list[int] = [0]
         for text, rank in ranks.items():
             node = 0
-            for b in text:
+            for depth, b in enumerate(text, 1):
                 step = node << 8 | b
                 found = self.child.get(step)
                 if found is None:
                     found = self.child[step] = len(self.token)
                     self.token.append(-1)
                     self.inner.append(False)
+                    self.depth.append(depth)
                     self.inner[node] = True
                 node = found
             self.token[node] = rank
+        self.n_ids = max(self.bytes_of, default=0) + 1
+        self.sizes = [len(self.bytes_of.get(r, b"")) for r in range(self.n_ids)]
         self._split: dict[int, tuple[int, int]] = {}
         self._whole: dict[int, bool] = {}
         self._reset()
 
     def _reset(self) -> None:
-        start = ((0, -1, ()),)
+        start = (0,)
         self.states = [start]
         self.number = {start: 0}
-        self.steps: dict[int, int] = {}  # a state and a byte: the next state
-        self.emits: dict[int, tuple[int, ...]] = {}  # and the tokens emitted, where there are some
+        self.steps: dict[int, tuple[int, tuple[tuple[int, int], ...]]] = {}  # a state and a byte: the next state, and sizes and tokens that end
+        self.fits: dict[int, bool] = {}  # a token and the one before it
 
     def merge(self, data: bytes) -> list[int]:
         """BPE by its definition: join the neighbours of least rank, leftmost first, until none can be joined."""
@@ -111,15 +120,14 @@ class Transducer:
             else:
                 most, right = right + 1, inner_right
 
-    def _allowed(self, last: int, token: int) -> bool:
-        """Whether token encodes itself and stays whole behind the token last (-1: at the start)."""
+    def _encodes_itself(self, token: int) -> bool:
         whole = self._whole.get(token)
         if whole is None:
             whole = self._whole[token] = self.merge(self.bytes_of[token]) == [token]
-        return whole and (last < 0 or self._fit(last, token))
+        return whole
 
     def _keep_only(self, state: int) -> int:
-        """Drops all states and transitions but the start and this state; its new number."""
+        """Drops all states, transitions and pairs but the start and this state; its new number."""
         kept = self.states[state]
         self._reset()
         if kept not in self.number:
@@ -127,35 +135,26 @@ class Transducer:
             self.states.append(kept)
         return self.number[kept]
 
-    def _step(self, state: int, byte: int) -> int:
-        entries, ends = [], None
-        for node, last, pending in self.states[state]:
+    def _step(self, state: int, byte: int) -> tuple[int, tuple[tuple[int, int], ...]]:
+        nodes, ends = [], []
+        for node in self.states[state]:
             node = self.child.get(node << 8 | byte)
             if node is None:
                 continue
             if self.inner[node]:
-                entries.append((node, last, pending))
+                nodes.append(node)
             token = self.token[node]
-            if ends is None and token >= 0 and self._allowed(last, token):
-                ends = (0, token, (*pending, token))
-        if ends is None:
+            if token >= 0 and self._encodes_itself(token):
+                ends.append((self.sizes[token], token))
+        if not ends or ends[-1][0] > 1:
             raise ValueError(f"byte {byte} has no token of its own")
-        entries.append(ends)
-        common = 0
-        first = entries[0][2]
-        for i, token in enumerate(first):
-            if any(len(p) <= i or p[i] != token for _, _, p in entries[1:]):
-                break
-            common = i + 1
-        key = tuple((n, t, p[common:]) for n, t, p in entries)
+        key = (*nodes, 0)
         to = self.number.get(key)
         if to is None:
             to = self.number[key] = len(self.states)
             self.states.append(key)
-        self.steps[state << 8 | byte] = to
-        if common:
-            self.emits[state << 8 | byte] = first[:common]
-        return to
+        made = self.steps[state << 8 | byte] = (to, tuple(ends))
+        return made
 
     def encode_piece(self, piece: bytes) -> list[int]:
         """The ids of one piece; a piece that is a token is that token."""
@@ -163,20 +162,53 @@ class Transducer:
         if known is not None:
             return [known]
         out: list[int] = []
-        state = 0
-        steps, emits = self.steps, self.emits
+        state, last, most = 0, [-1], LOOKAHEAD
+        steps, fits, n_ids = self.steps, self.fits, self.n_ids
         for byte in piece:
-            at = state << 8 | byte
-            to = steps.get(at)
-            if to is None:
-                if len(self.states) > self.most_states:
+            step = steps.get(state << 8 | byte)
+            if step is None:
+                if len(steps) > self.most_states or len(fits) > self.most_states:
                     state = self._keep_only(state)
-                    steps, emits, at = self.steps, self.emits, state << 8 | byte
-                to = self._step(state, byte)
-            if at in emits:
-                out += emits[at]
-            state = to
-        return out + list(self.states[state][-1][2])
+                    steps, fits = self.steps, self.fits
+                step = self._step(state, byte)
+            state, ends = step
+            for size, token in ends:
+                left = last[-size]
+                if size == 1 or left < 0:  # one token fits, so the shortest does if no other
+                    break
+                pair = left * n_ids + token
+                fit = fits.get(pair)
+                if fit is None:
+                    fit = fits[pair] = self._fit(left, token)
+                if fit:
+                    break
+            last.append(token)
+            if len(last) > most:
+                done = self._common(state, last)
+                out += self._back(last, done)
+                del last[:done]
+                most = max(LOOKAHEAD, 2 * len(last))
+        return out + self._back(last, len(last) - 1)
+
+    def _back(self, last: list[int], at: int) -> list[int]:
+        """The tokens of the prefix that ends at register `at`."""
+        sizes, found = self.sizes, []
+        while at:
+            found.append(last[at])
+            at -= sizes[last[at]]
+        found.reverse()
+        return found
+
+    def _common(self, state: int, last: list[int]) -> int:
+        """The greatest register that the encodings of all prefixes in the state go through."""
+        at = {len(last) - 1}
+        for node in self.states[state]:
+            at.add(len(last) - 1 - self.depth[node])
+        while len(at) > 1:
+            far = max(at)
+            at.remove(far)
+            at.add(far - self.sizes[last[far]])
+        return at.pop()
 
 
 #: Fixed values of UTF-8: first bytes of a character, how many bytes it has, and the range of its second byte.
@@ -229,25 +261,39 @@ class _Chunks(dict):
     """Ids (as int32 bytes) of chunks behind `lead`; unknown ones are encoded, and kept while there is room.
 
     By PATTERN a piece ends before a full stop or comma that follows a letter, and a line feed between two characters
-    that aren't white space is a piece of its own, so chunks are put together from what stands around these.
+    that aren't white space is a piece of its own, so chunks are put together from what stands around these. ASCII letters
+    alone are one piece with the lead.
     """
 
-    def __init__(self, encode, lead: str, most: int = MOST_CHUNKS):
-        self.encode, self.lead, self.bare, self.most = encode, lead, self, most
+    def __init__(self, encode, word, lead: str, most: int = MOST_CHUNKS):
+        self.encode, self.word, self.lead, self.bare, self.most = encode, word, lead, self, most
         self.marks = {c: encode(c) for c in ".,\n"}
 
     def __missing__(self, chunk: str) -> bytes:
-        head, *lines = _LONE_FEED.split(chunk)
-        if lines:
-            return self.marks["\n"].join([self[head], *map(self.bare.__getitem__, lines)])
-        if len(chunk) > 1 and chunk[-1] in ".," and chunk[-2].isalpha():
+        if self.lead and (not chunk or chunk[0].isspace() or chunk[-1].isspace()):
+            raise _Beside(chunk)
+        return self.make(chunk)
+
+    def make(self, chunk: str, keep: bool = True) -> bytes:
+        if chunk.isascii() and chunk.isalpha():
+            ids = self.word((self.lead + chunk).encode())
+        elif len(chunk) > 1 and chunk[-1] in ".," and chunk[-2].isalpha():
             return self[chunk[:-1]] + self.marks[chunk[-1]]
-        ids = self.encode(self.lead + chunk)
-        if len(self) < self.most and len(chunk) < 200:
+        else:
+            head, *lines = _LONE_FEED.split(chunk)
+            if lines:
+                *inner, last = lines
+                return self.marks["\n"].join([self[head], *map(self.bare.__getitem__, inner), self.bare.get(last) or self.bare.make(last, keep)])
+            ids = self.encode(self.lead + chunk)
+        if keep and len(self) < self.most and len(chunk) < 200:
             self[chunk] = ids
         return ids
 
 
+class _Beside(Exception):
+    """White space stands beside the space at one of a chunk's ends."""
+
+
 _LONE_FEED = re.compile(r"(?<=\S)\n(?=\S)")
 
 
@@ -259,22 +305,36 @@ class Codec:
         self.transducer = Transducer(ranks, tables[0])
         self.pieces = regex.compile(pattern)
         self.cuts = pattern == PATTERN
-        # A cut at a space is safe where no white space is beside it: no piece goes on over such a space.
-        self.unsafe = regex.compile(r" [\s\x1c-\x1f]|[\s\x1c-\x1f] ")
-        self.after_space = _Chunks(self._encode, " ", tables[1])
-        self.after_space.bare = _Chunks(self._encode, "", tables[1])
+        self.after_space = _Chunks(self._encode, self._word, " ", tables[1])
+        self.after_space.bare = _Chunks(self._encode, self._word, "", tables[1])
         self.moves: dict[tuple[bytes, int], tuple[bytes, str]] = {}
 
     def _encode(self, text: str) -> bytes:
         encode = self.transducer.encode_piece
         return array("i", chain.from_iterable([encode(p.encode()) for p in self.pieces.findall(text)])).tobytes()
 
+    def _word(self, piece: bytes) -> bytes:
+        return array("i", self.transducer.encode_piece(piece)).tobytes()
+
     def encode(self, text: str) -> bytes:
         """The ids of a text as int32 bytes."""
-        if not self.cuts or self.unsafe.search(text):
+        if not self.cuts:
+            return self._encode(text)
+        head, *chunks = text.split(" ")
+        if not chunks:
+            return self.after_space.bare[head]
+        last = chunks.pop()
+        # A cut at a space is safe where no white space is beside it: no piece goes on over such a space. Behind the last
+        # chunk there is none, so it may end in white space.
+        if head[-1:].isspace() or last[:1].isspace():
+            return self._encode(text)
+        open_end = not last or last[-1].isspace()
+        try:
+            known = self.after_space
+            ids = [known.bare[head] if head else b"", *map(known.__getitem__, chunks), known.make(last, False) if open_end else known[last]]
+        except _Beside:
             return self._encode(text)
-        head, *tail = text.split(" ")
-        return (self.after_space.bare[head] if head else b"") + b"".join(map(self.after_space.__getitem__, tail))
+        return b"".join(ids)
 
     def decode(self, ids: list[int], block: int = 4096) -> Iterator[str]:
         """The text of ids, in blocks of so many ids: each id moves the state machine as its bytes would."""
